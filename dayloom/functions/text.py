@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Header spellings and their canonical column.
 HEADER_ALIASES = {
@@ -60,7 +61,7 @@ def norm_label_ascii(c: Column, prefixes: list[str] = ()) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))

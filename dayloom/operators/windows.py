@@ -17,7 +17,9 @@ from dayloom.operators import ordering as O
 from dayloom.operators.aggregates import rate
 from dayloom.panel import DAY, ENTITY, LABEL, SITE
 
-BY_DAY = Window.partitionBy(*ENTITY).orderBy("day")
+def by_day():
+    """Rows of one entity in day order: at most one per calendar day."""
+    return Window.partitionBy(*ENTITY).orderBy("day")
 
 
 # ---- columns and labels -------------------------------------------------
@@ -84,7 +86,7 @@ def with_wl(df: DataFrame) -> DataFrame:
 
 
 def pattern(df: DataFrame, k: int) -> DataFrame:
-    parts = [F.lag("wl", i).over(BY_DAY) for i in range(k, 0, -1)]
+    parts = [F.lag("wl", i).over(by_day()) for i in range(k, 0, -1)]
     return with_wl(df).withColumn("pattern", F.concat(*parts))
 
 
@@ -92,8 +94,8 @@ def pattern(df: DataFrame, k: int) -> DataFrame:
 
 def with_prev_next(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        "prev": F.lag("metric").over(BY_DAY), "next": F.lead("metric").over(BY_DAY),
-        "prev_day": F.lag("day").over(BY_DAY), "next_day": F.lead("day").over(BY_DAY)})
+        "prev": F.lag("metric").over(by_day()), "next": F.lead("metric").over(by_day()),
+        "prev_day": F.lag("day").over(by_day()), "next_day": F.lead("day").over(by_day())})
 
 
 def next_calendar_day(df: DataFrame) -> DataFrame:
@@ -192,22 +194,23 @@ def rolling(series: DataFrame, ws: Sequence[int], by: Sequence[str] = SITE, valu
             F.lit(n).alias("window_days"), F.avg(value).over(w).alias("roll_mean"),
             F.sum(value).over(w).alias("roll_sum"),
             F.avg((F.col(value) > 0).cast("int")).over(w).alias("roll_positive"))))
-    return series.select(*by, "day", F.explode(F.array_compact(F.array(*parts))).alias("r")).select(*by, "day", "r.*")
+    full = series.withColumn("_r", F.array_compact(F.array(*parts)))
+    return full.select(*by, "day", F.explode("_r").alias("r")).select(*by, "day", "r.*")
 
 
 # ---- label history, segments, epochs -----------------------------------
 
 def label_history(df: DataFrame) -> DataFrame:
-    return df.withColumn("prev_label", F.lag("label").over(BY_DAY)).withColumn(
+    return df.withColumn("prev_label", F.lag("label").over(by_day())).withColumn(
         "changed", F.coalesce(F.col("label") != F.col("prev_label"), F.lit(False)))
 
 
 def segments(df: DataFrame) -> DataFrame:
     """Sequence breaks at the first row, a calendar gap or a label change; running segment id."""
-    gap = F.datediff("day", F.lag("day").over(BY_DAY))
-    same = F.col("label") == F.lag("label").over(BY_DAY)
+    gap = F.datediff("day", F.lag("day").over(by_day()))
+    same = F.col("label") == F.lag("label").over(by_day())
     reason = F.when(gap.isNull(), "FIRST").when(gap != 1, "CALENDAR_GAP").when(~same, "LABEL_CHANGE").otherwise("")
-    run = BY_DAY.rowsBetween(Window.unboundedPreceding, 0)
+    run = by_day().rowsBetween(Window.unboundedPreceding, 0)
     return with_wl(df).withColumn("break_reason", reason).withColumn(
         "segment_id", F.sum((F.col("break_reason") != "").cast("int")).over(run))
 
@@ -278,10 +281,10 @@ def replicate(df: DataFrame, label: str) -> DataFrame:
 
 def with_epochs(df: DataFrame) -> DataFrame:
     """Epoch number and start: a new epoch at every label change, calendar gaps do not end one."""
-    prev = F.lag("label").over(BY_DAY)
+    prev = F.lag("label").over(by_day())
     new = (prev.isNull() | (F.col("label") != prev)).cast("int")
     x = df.withColumn("_new", new).withColumn(
-        "epoch", F.sum("_new").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0)))
+        "epoch", F.sum("_new").over(by_day().rowsBetween(Window.unboundedPreceding, 0)))
     start = F.min("day").over(Window.partitionBy(*ENTITY, "epoch"))
     return x.withColumn("epoch_start", start).drop("_new")
 
@@ -340,8 +343,8 @@ def reset_history(df: DataFrame) -> DataFrame:
 
 def change_events(df: DataFrame) -> DataFrame:
     """Label changes between consecutive calendar days only."""
-    x = df.select(*ENTITY, "day", "label", F.lag("label").over(BY_DAY).alias("old_label"),
-                  F.lag("day").over(BY_DAY).alias("prev_day"))
+    x = df.select(*ENTITY, "day", "label", F.lag("label").over(by_day()).alias("old_label"),
+                  F.lag("day").over(by_day()).alias("prev_day"))
     return x.where((F.datediff("day", "prev_day") == 1) & (F.col("label") != F.col("old_label"))).withColumnRenamed(
         "label", "new_label")
 
@@ -461,23 +464,24 @@ def repeated_runs(r: DataFrame, minimum: int = 2) -> DataFrame:
 def islands(df: DataFrame, by: Sequence[str], block: int = 4096) -> DataFrame:
     """Start and end of maximal runs of consecutive ids per group, for groups of any size.
 
-    Runs are found inside id blocks; pieces that touch across a block border
-    are then chained, with one row per block piece instead of one per id.
+    Runs are found inside id blocks. Only the pieces that touch a block border
+    (two per block at most) are then chained across blocks.
     """
     by = list(by)
     e = F.col("entity_id")
     x = df.withColumn("_block", F.floor(e / block))
     w = Window.partitionBy(*by, "_block").orderBy("entity_id")
     piece = x.withColumn("_g", e - F.row_number().over(w)).groupBy(*by, "_block", "_g").agg(
-        F.min("entity_id").alias("_a"), F.max("entity_id").alias("_b"))
-    v = Window.partitionBy(*by).orderBy("_a")
-    # pieces per group: at most two per touching block plus isolated runs inside blocks
-    new = F.coalesce(F.col("_a") != F.lag("_b").over(v) + 1, F.lit(True)).cast("int")
-    chained = piece.withColumn("_new", new).withColumn(
+        F.min("entity_id").alias("start_id"), F.max("entity_id").alias("end_id"))
+    border = (F.pmod("start_id", F.lit(block)) == 0) | (F.pmod("end_id", F.lit(block)) == block - 1)
+    v = Window.partitionBy(*by).orderBy("start_id")
+    new = F.coalesce(F.col("start_id") != F.lag("end_id").over(v) + 1, F.lit(True)).cast("int")
+    chained = piece.where(border).withColumn("_new", new).withColumn(
         "_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy(*by, "_run").agg(
-        F.min("_a").alias("start_id"), F.max("_b").alias("end_id")).withColumn(
-        "length", F.col("end_id") - F.col("start_id") + 1).drop("_run")
+    joined = chained.groupBy(*by, "_run").agg(F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"))
+    cols = [*by, "start_id", "end_id"]
+    return piece.where(~border).select(*cols).unionByName(joined.select(*cols)).withColumn(
+        "length", F.col("end_id") - F.col("start_id") + 1)
 
 
 def maximal_runs(df: DataFrame, hit: Column, minimum: int = 2) -> DataFrame:
@@ -519,13 +523,16 @@ def number_runs(ids: DataFrame) -> DataFrame:
     return out.withColumn("edge_distance", dist).withColumn("edge_bucket", edge_bucket(F.col("edge_distance")))
 
 
-def gaps(ids: DataFrame) -> DataFrame:
-    """Missing id ranges between runs."""
-    isles = islands(ids.select(*ENTITY).distinct(), SITE)
-    w = Window.partitionBy(*SITE).orderBy("start_id")  # one row per run, not per id
-    return isles.withColumn("after_id", F.lag("end_id").over(w)).where("after_id IS NOT NULL").select(
-        *SITE, "after_id", F.col("start_id").alias("before_id"),
-        (F.col("start_id") - F.col("after_id") - 1).alias("missing"))
+def gaps(ids: DataFrame, block: int = 4096) -> DataFrame:
+    """Missing id ranges: inside id blocks first, then between neighbouring blocks."""
+    x = ids.select(*ENTITY).distinct().withColumn("_block", F.floor(F.col("entity_id") / block))
+    w = Window.partitionBy(*SITE, "_block").orderBy("entity_id")
+    inside = x.select(*SITE, F.lag("entity_id").over(w).alias("after_id"), F.col("entity_id").alias("before_id"))
+    ends = x.groupBy(*SITE, "_block").agg(F.min("entity_id").alias("_a"), F.max("entity_id").alias("_b"))
+    v = Window.partitionBy(*SITE).orderBy("_block")  # one row per block
+    between = ends.select(*SITE, F.lag("_b").over(v).alias("after_id"), F.col("_a").alias("before_id"))
+    return inside.unionByName(between).where(F.col("before_id") > F.col("after_id") + 1).withColumn(
+        "missing", F.col("before_id") - F.col("after_id") - 1)
 
 
 def label_blocks(df: DataFrame) -> DataFrame:
