@@ -349,7 +349,7 @@ def evaluate_topn(picks: DataFrame, actual: DataFrame, bands: Sequence[tuple[str
     band = F.filter(F.array(*[
         F.struct(F.lit(n).alias("band"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for n, lo, hi in bands
     ]), lambda s: (F.col("rank") >= s["lo"]) & (F.col("rank") <= s["hi"]))
-    daily = picks.withColumn("band", F.explode(band)["band"]).groupBy(*DAY, *by, "band").agg(
+    daily = picks.withColumn("_b", F.explode(band)).withColumn("band", F.col("_b.band")).groupBy(*DAY, *by, "band").agg(
         F.count(F.lit(1)).alias("n"), F.avg(m).alias("mean"), F.median(m).alias("median"),
         rate(m > 0).alias("win_rate"), rate(m >= t).alias("strong_rate"), F.sum(m).alias("total"))
     return daily.join(population, DAY).withColumn("excess", F.col("mean") - F.col("pop_mean")).withColumn(

@@ -45,3 +45,92 @@ def prior_basic(df: DataFrame) -> DataFrame:
         "mean3": F.avg("metric").over(back(ENTITY, 3)), "mean7": F.avg("metric").over(back(ENTITY, 7)),
         "win7": F.avg((F.col("metric") > 0).cast("int")).over(back(ENTITY, 7)),
     })
+
+
+# ---- the ranking feature panel ------------------------------------------
+
+FACTORS = ["avg_all", "recent7", "last", "change", "weekday_avg", "label_avg", "rate1", "rate2", "neighbour"]
+EXTRA_FACTORS = ["recent7_win", "bounce", "entity_shrunk", "band10_avg", "band50_avg", "edge"]
+
+
+def mean_before(daily_sums: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """Mean over all earlier days from (sum, count) per (group, day): one row per group and day."""
+    past = back(by)
+    return daily_sums.select(*by, "day", (F.sum("_s").over(past) / F.sum("_c").over(past)).alias(name))
+
+
+def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: float | None = None) -> DataFrame:
+    """Features of every (entity, day) from the days before it, for all days in one plan.
+
+    Entity history comes from frames over the entity's rows (row tails, not
+    calendar windows); label, band and site means from per-day sums, so the
+    hot groups are combined before the shuffle. Rows whose label differs from
+    the entity's last known label are dropped.
+    """
+    from dayloom.operators import windows as WN
+    from dayloom.panel import DAY, SITE
+
+    half = t1 / 2 if half is None else half
+    m, e = F.col("metric"), F.col("entity_id")
+    rows = Window.partitionBy(*ENTITY).orderBy("day")
+    past, past7 = back(ENTITY), back(ENTITY, 7)
+    same_wd = Window.partitionBy(*ENTITY, "wd").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    x = panel.withColumns({
+        "wd": F.weekday("day"), "band10": e - F.pmod(e, F.lit(10)), "band50": e - F.pmod(e, F.lit(50))})
+    h = x.withColumns({
+        "hist_n": F.count(m).over(past), "_hsum": F.sum(m).over(past), "avg_all": F.avg(m).over(past),
+        "recent7": F.avg(m).over(past7), "recent7_win": F.avg((m > 0).cast("int")).over(past7),
+        "last": F.lag("metric").over(rows), "_prev": F.lag("metric", 2).over(rows),
+        "last_label": F.lag("label").over(rows), "rate1": F.avg((m >= t1).cast("int")).over(past),
+        "rate2": F.avg((m >= t2).cast("int")).over(past), "_wn": F.count(m).over(same_wd),
+        "_wavg": F.avg(m).over(same_wd),
+    }).where("hist_n > 0 AND last_label = label")
+
+    sums = [F.sum(m).alias("_s"), F.count(m).alias("_c")]
+    label_avg = mean_before(x.groupBy("site", "label", "day").agg(*sums), ["site", "label"], "label_avg")
+    b10 = mean_before(x.groupBy("site", "band10", "day").agg(*sums), ["site", "band10"], "band10_avg")
+    b50 = mean_before(x.groupBy("site", "band50", "day").agg(*sums), ["site", "band50"], "band50_avg")
+    site_days = x.groupBy(*DAY).agg(*sums)
+    site_avg = mean_before(site_days, SITE, "site_avg")
+    following = site_days.select("site", "day", F.lead("day").over(
+        Window.partitionBy(*SITE).orderBy("day")).alias("next_day"))
+    sent = x.join(following, DAY).select(
+        "site", F.col("next_day").alias("day"), "metric", F.explode(F.array(e - 1, e + 1)).alias("entity_id"))
+    nb = sent.groupBy(*DAY, "entity_id").agg(F.avg("metric").alias("_nb"))
+    edges = WN.number_runs(x).select(*ENTITY, "edge_distance")
+
+    w = F.col("_wn") / (F.col("_wn") + 15.0)
+    return (
+        h.join(label_avg, ["site", "label", "day"]).join(b10, ["site", "band10", "day"], "left")
+        .join(b50, ["site", "band50", "day"], "left").join(site_avg, DAY).join(nb, [*DAY, "entity_id"], "left")
+        .join(edges, ENTITY, "left")
+        .withColumns({
+            "change": F.col("last") - F.coalesce("_prev", "last"),
+            "weekday_avg": F.coalesce("_wavg", "avg_all") * w + F.col("avg_all") * (1 - w),
+            "label_avg": F.coalesce("label_avg", F.lit(0.0)), "neighbour": F.coalesce("_nb", F.lit(0.0)),
+            "bounce": F.when(F.col("last") <= -t1, 1.0).when(F.col("last") <= -half, 0.5).when(
+                F.col("last") >= t1, -0.25).otherwise(0.0),
+            "entity_shrunk": (F.col("_hsum") + F.col("site_avg") * 30.0) / (F.col("hist_n") + 30.0),
+            "band10_avg": F.coalesce("band10_avg", "site_avg"), "band50_avg": F.coalesce("band50_avg", "site_avg"),
+            "edge": F.when(F.col("edge_distance") == 0, 1.0).when(F.col("edge_distance") == 1, 0.75).when(
+                F.col("edge_distance") == 2, 0.5).when(F.col("edge_distance") <= 4, 0.25).otherwise(0.0),
+        })
+        .select("site", "day", "entity_id", "label", "metric", "activity", "hist_n", *FACTORS, *EXTRA_FACTORS)
+    )
+
+
+def with_next_day(panel: DataFrame) -> DataFrame:
+    """The panel plus tomorrow's rows: the latest day's inventory, dated one day on, with no outcome."""
+    from dayloom.panel import SITE
+
+    latest = panel.groupBy(*SITE).agg(F.max("day").alias("_last"))
+    tomorrow = panel.join(latest, SITE).where("day = _last").select(
+        "site", F.date_add("day", 1).alias("day"), "entity_id", "label",
+        *[F.lit(None).cast(t).alias(c) for c, t in (("activity", "double"), ("metric", "double"),
+                                                    ("c1", "bigint"), ("c2", "bigint"))])
+    return panel.select(tomorrow.columns).unionByName(tomorrow)
+
+
+def future_features(panel: DataFrame, **kw) -> DataFrame:
+    """Features for the day after the latest one; the outcome column stays null."""
+    return rank_features(with_next_day(panel), **kw).where("metric IS NULL")

@@ -31,7 +31,7 @@ def _(spark, d):
     return A.by_label(panel(spark, d))
 
 
-@query("E02_by_label_lines", f"label:s {CORE_SPEC} mean_c1:f mean_c2:f",
+@query("E02_by_label_lines", f"label:s {CORE_SPEC} mean_c1:f mean_c2:f".replace("total:f", "total:m").replace("mean:f", "mean:m"),
        f"SELECT label, {CORE}, avg(c1) mean_c1, avg(c2) mean_c2 FROM panel GROUP BY label", S.LINES)
 def _(spark, d):
     return A.by_label(lines(spark, d))

@@ -2,7 +2,7 @@
 
 An output spec such as ``"day:d label:s n:i mean:f"`` fixes column order and
 types on both sides: d = date text, s = string, i = bigint, f = double to six
-places, b = boolean.
+places, m = large double to three places, b = boolean.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ _SQL_CAST = {
     "s": "CAST({c} AS VARCHAR)",
     "i": "CAST({c} AS BIGINT)",
     "f": "round(CAST({c} AS DOUBLE) + {shift}::DOUBLE, 6) + 0::DOUBLE",
+    "m": "round(CAST({c} AS DOUBLE) + {big}::DOUBLE, 3) + 0::DOUBLE",
     "b": "CAST({c} AS BOOLEAN)",
 }
 
@@ -38,6 +39,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         "s": lambda c: c.cast("string"),
         "i": lambda c: c.cast("bigint"),
         "f": lambda c: F.round(c.cast("double") + F.lit(SHIFT), 6) + F.lit(0.0),
+        "m": lambda c: F.round(c.cast("double") + F.lit(SHIFT * 1000), 3) + F.lit(0.0),
         "b": lambda c: c.cast("boolean"),
     }
     return df.select(*[cast[k](F.col(c)).alias(c) for c, k in _columns(spec)])
@@ -49,7 +51,7 @@ def query(name: str, spec: str, sql: str | None = None, ctes: str = "", recursiv
     def add(fn):
         QUERIES[name] = lambda spark, folder: shape(fn(spark, folder), spec)
         if sql is not None:
-            cols = ", ".join(f"{_SQL_CAST[k].format(c='q.' + c, shift=SHIFT)} AS {c}" for c, k in _columns(spec))
+            cols = ", ".join(f"{_SQL_CAST[k].format(c='q.' + c, shift=SHIFT, big=SHIFT * 1000)} AS {c}" for c, k in _columns(spec))
             head = f"WITH {ctes}\n" if ctes else ""
             SQL[name] = f"{head}SELECT {cols} FROM (\n{sql.strip()}\n) q"
         return fn

@@ -46,3 +46,76 @@ def wilson(k: str, n: str, z: str = "1.959963984540054::DOUBLE") -> tuple[str, s
     centre = f"(({p} + {z}*{z}/(2*({n}))) / {den})"
     half = f"({z} * sqrt({p}*(1-{p})/({n}) + {z}*{z}/(4.0::DOUBLE*({n})*({n}))) / {den})"
     return f"greatest(0.0::DOUBLE, {centre} - {half})", f"least(1.0::DOUBLE, {centre} + {half})"
+
+
+def feats(src: str = "panel", t1: int = 100, t2: int = 200, name: str = "feats") -> str:
+    """operators.features.rank_features as window SQL over the CTE ``src``."""
+    past = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def before(key: str, cte: str, col: str) -> str:
+        by = f"PARTITION BY {key} " if key else ""
+        k = f"{key}, " if key else ""
+        return (f"{cte} AS (SELECT {k}day, sum(s) OVER w / sum(c) OVER w AS {col} FROM (SELECT {k}day, sum(metric) s, "
+                f"count(metric) c FROM x_{name} GROUP BY ALL) WINDOW w AS ({by}ORDER BY day {past}))")
+
+    return f"""x_{name} AS (SELECT *, isodow(day)-1 wd, entity_id//10*10 band10, entity_id//50*50 band50 FROM {src}),
+h_{name} AS (SELECT * FROM (SELECT *, count(metric) OVER (e {past}) hist_n, sum(metric) OVER (e {past}) hsum,
+  avg(metric) OVER (e {past}) avg_all, avg(metric) OVER (e ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) recent7,
+  avg((metric>0)::INT) OVER (e ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) recent7_win, lag(metric) OVER e AS last,
+  lag(metric,2) OVER e AS prev2, lag(label) OVER e AS last_label, avg((metric>={t1})::INT) OVER (e {past}) rate1,
+  avg((metric>={t2})::INT) OVER (e {past}) rate2, count(metric) OVER (ew {past}) wn, avg(metric) OVER (ew {past}) wavg
+  FROM x_{name} WINDOW e AS (PARTITION BY entity_id ORDER BY day), ew AS (PARTITION BY entity_id, wd ORDER BY day))
+  WHERE hist_n>0 AND last_label=label),
+{before('label', 'la_' + name, 'label_avg')},
+{before('band10', 'b1_' + name, 'band10_avg')},
+{before('band50', 'b5_' + name, 'band50_avg')},
+{before('', 'sa_' + name, 'site_avg')},
+nd_{name} AS (SELECT day, lead(day) OVER (ORDER BY day) next_day FROM (SELECT DISTINCT day FROM {src})),
+nb_{name} AS (SELECT next_day AS day, entity_id + k AS entity_id, avg(metric) nb FROM {src} JOIN nd_{name} USING (day),
+  (SELECT unnest([-1,1]) k) GROUP BY 1, 2),
+ed_{name} AS (SELECT entity_id, least(entity_id-min(entity_id) OVER g, max(entity_id) OVER g-entity_id) dist FROM (
+  SELECT entity_id, entity_id-row_number() OVER (ORDER BY entity_id) k FROM (SELECT DISTINCT entity_id FROM {src}))
+  WINDOW g AS (PARTITION BY k)),
+{name} AS (SELECT day, entity_id, label, metric, activity, hist_n, avg_all, recent7, last,
+  last-coalesce(prev2,last) change, coalesce(wavg,avg_all)*(wn/(wn+15.0::DOUBLE))+avg_all*(1-wn/(wn+15.0::DOUBLE)) weekday_avg,
+  coalesce(label_avg,0) label_avg, rate1, rate2, coalesce(nb,0) neighbour, recent7_win,
+  CASE WHEN last<={-t1} THEN 1.0 WHEN last<={-t1 / 2} THEN 0.5 WHEN last>={t1} THEN -0.25 ELSE 0 END bounce,
+  (hsum+site_avg*30)/(hist_n+30) entity_shrunk, coalesce(band10_avg,site_avg) band10_avg,
+  coalesce(band50_avg,site_avg) band50_avg,
+  CASE WHEN dist=0 THEN 1.0 WHEN dist=1 THEN 0.75 WHEN dist=2 THEN 0.5 WHEN dist<=4 THEN 0.25 ELSE 0 END AS edge
+  FROM h_{name} JOIN la_{name} USING (label, day) LEFT JOIN b1_{name} USING (band10, day)
+  LEFT JOIN b5_{name} USING (band50, day) JOIN sa_{name} USING (day) LEFT JOIN nb_{name} USING (day, entity_id)
+  LEFT JOIN ed_{name} USING (entity_id))"""
+
+
+def comp(f: str, by: str = "day", where: str = "") -> str:
+    """0..100 component of one factor."""
+    flt = f"FILTER ({where})" if where else ""
+    w = f"OVER (PARTITION BY {by})"
+    z = f"coalesce(({f}-avg({f}) {flt} {w})/nullif(stddev_pop({f}) {flt} {w},0),0)"
+    return f"greatest(0, least(100, 50+12.5*{z}))"
+
+
+def scored(weights: dict, src: str = "feats", name: str = "scored", by: str = "day", where: str = "",
+           keep: str = "*") -> str:
+    total = " + ".join(f"{w!r}::DOUBLE*{comp(f, by, where)}" for f, w in weights.items())
+    return f"{name} AS (SELECT {keep}, round({total}, 9) AS score FROM {src})"
+
+
+def components(factors, src: str = "feats", name: str = "comps") -> str:
+    cols = ", ".join(f"{comp(f)} AS k_{f}" for f in factors)
+    return f"{name} AS (SELECT *, {cols} FROM {src})"
+
+
+def models(modes: dict, name: str = "modes", src: str = "comps") -> str:
+    """Long table of scores: one row per (model, day, entity)."""
+    parts = []
+    for m, w in modes.items():
+        total = " + ".join(f"{v!r}::DOUBLE*k_{f}" for f, v in w.items())
+        parts.append(f"SELECT '{m}' AS model, * EXCLUDE (score), score FROM (SELECT *, round({total}, 9) score FROM {src})")
+    return f"{name} AS (" + "\nUNION ALL ".join(parts) + ")"
+
+
+def picks(src: str = "scored", name: str = "picks", n: int = 10, by: str = "day") -> str:
+    return (f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, entity_id) "
+            f"AS rank FROM {src}) WHERE rank<={n})")
