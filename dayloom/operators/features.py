@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dayloom.panel import ENTITY
+from dayloom.panel import DAY, ENTITY, SITE
+from dayloom.session import materialise
 
 # The same features as window SQL, for the comparison queries.
 SQL_PRIOR_BASIC = """prior AS (
@@ -53,30 +54,39 @@ FACTORS = ["avg_all", "recent7", "last", "change", "weekday_avg", "label_avg", "
 EXTRA_FACTORS = ["recent7_win", "bounce", "entity_shrunk", "band10_avg", "band50_avg", "edge"]
 
 
-def mean_before(daily_sums: DataFrame, by: Sequence[str], name: str) -> DataFrame:
-    """Mean over all earlier days from (sum, count) per (group, day): one row per group and day."""
-    past = back(by)
-    return daily_sums.select(*by, "day", (F.sum("_s").over(past) / F.sum("_c").over(past)).alias(name))
+def means_before(panel: DataFrame, dims: dict[str, Column]) -> DataFrame:
+    """Mean over all earlier days for every value of several dimensions.
+
+    One pass turns each row into (dimension, key) cells that combine on the map
+    side to one row per cell and day. That table (days x cells) is written
+    once, because every dimension is then looked up in it.
+    """
+    m = F.col("metric")
+    cells = F.array(*[F.struct(F.lit(d).alias("dim"), k.cast("string").alias("key")) for d, k in dims.items()])
+    daily = panel.select("site", "day", "metric", F.explode(cells).alias("c")).groupBy(
+        "site", "c.dim", "c.key", "day").agg(F.sum(m).alias("_s"), F.count(m).alias("_c"))
+    past = back(["site", "dim", "key"])
+    return materialise(daily.select("site", "dim", "key", "day", (
+        F.sum("_s").over(past) / F.sum("_c").over(past)).alias("before")))
 
 
-def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: float | None = None) -> DataFrame:
+def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: float | None = None,
+                  extras: Sequence[str] = EXTRA_FACTORS) -> DataFrame:
     """Features of every (entity, day) from the days before it, for all days in one plan.
 
     Entity history comes from frames over the entity's rows (row tails, not
-    calendar windows); label, band and site means from per-day sums, so the
-    hot groups are combined before the shuffle. Rows whose label differs from
-    the entity's last known label are dropped.
+    calendar windows); label, band and site means from per-day sums. Rows whose
+    label differs from the entity's last known label are dropped. ``extras``
+    names the optional factors; leaving one out also leaves out its joins.
     """
     from dayloom.operators import windows as WN
-    from dayloom.panel import DAY, SITE
 
     half = t1 / 2 if half is None else half
     m, e = F.col("metric"), F.col("entity_id")
     rows = Window.partitionBy(*ENTITY).orderBy("day")
     past, past7 = back(ENTITY), back(ENTITY, 7)
     same_wd = Window.partitionBy(*ENTITY, "wd").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    x = panel.withColumns({
-        "wd": F.weekday("day"), "band10": e - F.pmod(e, F.lit(10)), "band50": e - F.pmod(e, F.lit(50))})
+    x = panel.withColumn("wd", F.weekday("day"))
     h = x.withColumns({
         "hist_n": F.count(m).over(past), "_hsum": F.sum(m).over(past), "avg_all": F.avg(m).over(past),
         "recent7": F.avg(m).over(past7), "recent7_win": F.avg((m > 0).cast("int")).over(past7),
@@ -86,43 +96,50 @@ def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: floa
         "_wavg": F.avg(m).over(same_wd),
     }).where("hist_n > 0 AND last_label = label")
 
-    sums = [F.sum(m).alias("_s"), F.count(m).alias("_c")]
-    label_avg = mean_before(x.groupBy("site", "label", "day").agg(*sums), ["site", "label"], "label_avg")
-    b10 = mean_before(x.groupBy("site", "band10", "day").agg(*sums), ["site", "band10"], "band10_avg")
-    b50 = mean_before(x.groupBy("site", "band50", "day").agg(*sums), ["site", "band50"], "band50_avg")
-    site_days = x.groupBy(*DAY).agg(*sums)
-    site_avg = mean_before(site_days, SITE, "site_avg")
-    following = site_days.select("site", "day", F.lead("day").over(
-        Window.partitionBy(*SITE).orderBy("day")).alias("next_day"))
-    sent = x.join(following, DAY).select(
+    # dimension means the caller needs, keyed by their text form
+    dims = {"label": F.col("label")}
+    site_needed = {"entity_shrunk", "band10_avg", "band50_avg"} & set(extras)
+    if site_needed:
+        dims["site"] = F.lit("")
+    for k in (10, 50):
+        if f"band{k}_avg" in extras:
+            dims[f"band{k}"] = e - F.pmod(e, F.lit(k))
+    before = means_before(panel, dims)
+    names = {"label": "_label_avg", "site": "site_avg", "band10": "_b10", "band50": "_b50"}
+    for dim, key in dims.items():
+        side = before.where(F.col("dim") == dim).select(
+            "site", "day", F.col("key").alias("_key"), F.col("before").alias(names[dim]))
+        h = h.withColumn("_key", key.cast("string")).join(side, [*DAY, "_key"], "left").drop("_key")
+
+    days = materialise(panel.select(*DAY).distinct())  # one row per site and day
+    following = days.withColumn("next_day", F.lead("day").over(Window.partitionBy(*SITE).orderBy("day")))
+    sent = panel.select(*DAY, "entity_id", "metric").join(following, DAY).select(
         "site", F.col("next_day").alias("day"), "metric", F.explode(F.array(e - 1, e + 1)).alias("entity_id"))
     nb = sent.groupBy(*DAY, "entity_id").agg(F.avg("metric").alias("_nb"))
-    edges = WN.number_runs(x).select(*ENTITY, "edge_distance")
+    h = h.join(nb, [*DAY, "entity_id"], "left")
+    if "edge" in extras:
+        h = h.join(WN.number_runs(panel).select(*ENTITY, "edge_distance"), ENTITY, "left")
 
     w = F.col("_wn") / (F.col("_wn") + 15.0)
-    return (
-        h.join(label_avg, ["site", "label", "day"]).join(b10, ["site", "band10", "day"], "left")
-        .join(b50, ["site", "band50", "day"], "left").join(site_avg, DAY).join(nb, [*DAY, "entity_id"], "left")
-        .join(edges, ENTITY, "left")
-        .withColumns({
-            "change": F.col("last") - F.coalesce("_prev", "last"),
-            "weekday_avg": F.coalesce("_wavg", "avg_all") * w + F.col("avg_all") * (1 - w),
-            "label_avg": F.coalesce("label_avg", F.lit(0.0)), "neighbour": F.coalesce("_nb", F.lit(0.0)),
-            "bounce": F.when(F.col("last") <= -t1, 1.0).when(F.col("last") <= -half, 0.5).when(
-                F.col("last") >= t1, -0.25).otherwise(0.0),
-            "entity_shrunk": (F.col("_hsum") + F.col("site_avg") * 30.0) / (F.col("hist_n") + 30.0),
-            "band10_avg": F.coalesce("band10_avg", "site_avg"), "band50_avg": F.coalesce("band50_avg", "site_avg"),
-            "edge": F.when(F.col("edge_distance") == 0, 1.0).when(F.col("edge_distance") == 1, 0.75).when(
-                F.col("edge_distance") == 2, 0.5).when(F.col("edge_distance") <= 4, 0.25).otherwise(0.0),
-        })
-        .select("site", "day", "entity_id", "label", "metric", "activity", "hist_n", *FACTORS, *EXTRA_FACTORS)
-    )
+    more = {
+        "recent7_win": lambda: F.col("recent7_win"),
+        "bounce": lambda: F.when(F.col("last") <= -t1, 1.0).when(F.col("last") <= -half, 0.5).when(
+            F.col("last") >= t1, -0.25).otherwise(0.0),
+        "entity_shrunk": lambda: (F.col("_hsum") + F.col("site_avg") * 30.0) / (F.col("hist_n") + 30.0),
+        "band10_avg": lambda: F.coalesce("_b10", "site_avg"), "band50_avg": lambda: F.coalesce("_b50", "site_avg"),
+        "edge": lambda: F.when(F.col("edge_distance") == 0, 1.0).when(F.col("edge_distance") == 1, 0.75).when(
+            F.col("edge_distance") == 2, 0.5).when(F.col("edge_distance") <= 4, 0.25).otherwise(0.0),
+    }
+    return h.select(
+        "site", "day", "entity_id", "label", "metric", "activity", "hist_n", "avg_all", "recent7", "last",
+        (F.col("last") - F.coalesce("_prev", "last")).alias("change"),
+        (F.coalesce("_wavg", "avg_all") * w + F.col("avg_all") * (1 - w)).alias("weekday_avg"),
+        F.coalesce("_label_avg", F.lit(0.0)).alias("label_avg"), "rate1", "rate2",
+        F.coalesce("_nb", F.lit(0.0)).alias("neighbour"), *[more[c]().alias(c) for c in extras])
 
 
 def with_next_day(panel: DataFrame) -> DataFrame:
     """The panel plus tomorrow's rows: the latest day's inventory, dated one day on, with no outcome."""
-    from dayloom.panel import SITE
-
     latest = panel.groupBy(*SITE).agg(F.max("day").alias("_last"))
     tomorrow = panel.join(latest, SITE).where("day = _last").select(
         "site", F.date_add("day", 1).alias("day"), "entity_id", "label",

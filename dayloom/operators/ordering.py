@@ -20,7 +20,7 @@ def position(
 ) -> DataFrame:
     """Add the 1-based row number inside ``by`` (and optionally the group size).
 
-    One range shuffle, one reliable checkpoint so that both uses of the ranged
+    One range shuffle, one written table so that both uses of the ranged
     rows see the same bounds, then a table of one row per (group, task) that
     carries the offsets.
     """

@@ -152,13 +152,13 @@ PULL_WEIGHTS = {  # fixed values: factor shares of the reliability-pulled score
 
 def pulled_score(panel: DataFrame, t1: float = 100, t2: float = 200, prior_n: float = 15.0) -> DataFrame:
     """Blend of z-components pulled to 50 by history length, with class and reasons, for the next day."""
-    feats = FT.future_features(panel, t1=t1, t2=t2)
+    feats = FT.future_features(panel, t1=t1, t2=t2, extras=["recent7_win", "bounce"])
     m = F.col("metric")
     site = panel.groupBy(*SITE).agg(rate(m >= t1).alias("_p1"), rate(m >= t2).alias("_p2"))
     x = feats.join(site, SITE).withColumns({
         "rate1_eb": X.shrink(F.col("rate1") * F.col("hist_n"), F.col("hist_n"), F.col("_p1"), prior_n),
         "rate2_eb": X.shrink(F.col("rate2") * F.col("hist_n"), F.col("hist_n"), F.col("_p2"), prior_n)})
-    z = WN.zscores(x, list(PULL_WEIGHTS))
+    z = WN.zscores(materialise(x), list(PULL_WEIGHTS))
     # a constant factor counts as the neutral 50, the same as z = 0
     raw = sum(component(F.col(f"z_{f}")) * w for f, w in PULL_WEIGHTS.items()) + F.col("bounce") * 3.0
     out = z.withColumn("raw", raw).withColumn(
@@ -559,13 +559,14 @@ def epoch_policies(panel: DataFrame, threshold: int = 14, t1: float = 100, t2: f
     moments and drops short epochs from the ranking only; EPOCH_POP drops them
     from the z population too; BASE_REF keeps baseline features and moments.
     """
-    base = FT.future_features(panel, t1=t1, t2=t2)
+    base = FT.future_features(panel, t1=t1, t2=t2, extras=())
     ep = epoch_features(panel, True, t1, t2)
     names = {f: f"e_{f}" for f in EPOCH_FACTORS}
     j = base.join(ep.select(*ENTITY, "epoch_n", *[F.col(f).alias(a) for f, a in names.items()]), ENTITY, "left")
     j = j.withColumns({a: F.coalesce(a, f) for f, a in names.items()}).withColumn(
         "changed", F.col("epoch_n").isNotNull()).withColumn(
         "eligible", ~F.col("changed") | (F.col("epoch_n") >= threshold))
+    j = materialise(j)
     # all three sets of z moments from one pass over the features
     epoch = {f: names.get(f, f) for f in BASE_WEIGHTS}
     plain = {f: f for f in BASE_WEIGHTS}
@@ -595,21 +596,21 @@ def policy_picks(scored: DataFrame, n: int = 10) -> DataFrame:
 
 
 def policy_compare(scored: DataFrame, n: int = 10) -> DataFrame:
-    """Per policy: picks replaced against BASELINE and the score ripple on unchanged entities."""
+    """Per policy: picks replaced against BASELINE and the score ripple on unchanged and changed entities."""
     scored = materialise(scored)  # read four times below
     picks = policy_picks(scored, n).select(*DAY, "policy", "entity_id")
     base_picks = picks.where("policy = 'BASELINE'").select(*DAY, "entity_id", F.lit(1).alias("_b"))
     repl = picks.join(base_picks, [*DAY, "entity_id"], "left").groupBy(*DAY, "policy").agg(
         F.count_if(F.col("_b").isNull()).alias("replaced"))
     base = scored.where("policy = 'BASELINE'").select(*DAY, "entity_id", F.col("score").alias("_s"))
-    rip = scored.where(~F.col("changed")).join(base, [*DAY, "entity_id"]).withColumn(
-        "delta", F.col("score") - F.col("_s"))
-    agg = rip.groupBy(*DAY, "policy").agg(
-        F.count(F.lit(1)).alias("unchanged"), F.avg("delta").alias("mean_delta"),
+    rip = scored.join(base, [*DAY, "entity_id"]).withColumn("delta", F.col("score") - F.col("_s"))
+    by = [*DAY, "policy", "changed"]
+    agg = rip.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("delta").alias("mean_delta"),
         F.avg(F.abs("delta")).alias("mean_abs_delta"), F.max(F.abs("delta")).alias("max_abs_delta"))
-    p95 = O.exact_quantiles(rip.withColumn("_a", F.abs("delta")), [*DAY, "policy"], "_a",
+    p95 = O.exact_quantiles(rip.withColumn("_a", F.abs("delta")), by, "_a",
                             {"median_abs_delta": 0.5, "p95_abs_delta": 0.95})
-    return repl.join(agg, [*DAY, "policy"]).join(p95, [*DAY, "policy"])
+    return repl.join(agg, [*DAY, "policy"]).join(p95, by)
 
 
 def category_rank(scored: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "NORMAL",

@@ -8,6 +8,7 @@ from dayloom.operators import scoring as SC
 from dayloom.operators import windows as WN
 from dayloom.panel import DAY, ENTITY, LABEL, SITE
 from dayloom.plans import sql as S
+from dayloom.session import materialise
 from dayloom.plans.common import F, panel
 from dayloom.plans.registry import query
 from dayloom.plans.windows import EPOCH
@@ -22,12 +23,13 @@ PCOMP = S.chain(PF, S.components(MODE_FACTORS))
 PMODES = S.chain(PCOMP, S.models(SC.MODES))
 
 
-def feats(spark, d):
-    return FT.rank_features(panel(spark, d))
+def feats(spark, d, extras=FT.EXTRA_FACTORS):
+    """Feature panel of all days; panel and features are each used several times, so each is written once."""
+    return materialise(FT.rank_features(materialise(panel(spark, d)), extras=extras))
 
 
 def picks(spark, d, n=10):
-    return SC.rank_score(feats(spark, d), SC.BASE_WEIGHTS, n)
+    return SC.rank_score(feats(spark, d, ()), SC.BASE_WEIGHTS, n)
 
 
 BANDS = [("TOP1", 1, 1), ("TOP3", 1, 3), ("TOP5", 1, 5), ("TOP10", 1, 10), ("R4_5", 4, 5), ("R4_10", 4, 10),
@@ -115,7 +117,7 @@ SELECT *, round(greatest(0, least(100, 50+(raw-50)*sqrt(least(hist_n,31)/31))),
   CASE WHEN label_avg>=20 THEN 'LABEL' END, CASE WHEN neighbour>=30 THEN 'NEIGHBOUR' END], lambda z: z IS NOT NULL), 1, 4),
   ' / ') rs FROM pull)""", PULL)
 def _(spark, d):
-    return SC.pulled_score(panel(spark, d))
+    return SC.pulled_score(materialise(panel(spark, d)))
 
 
 @query("I07_rule_score", "day:d entity_id:i activity_points:i metric_points:i relative_points:i points:i grade:s", """
@@ -393,7 +395,7 @@ EPF = """epf AS (SELECT entity_id, count(metric) epoch_n, avg(metric) e_avg_all,
  FROM ep JOIN (SELECT entity_id, max(epoch) le FROM ep GROUP BY 1) USING (entity_id)
  WHERE epoch=le AND le>1 AND activity>0 AND entity_id IN (SELECT entity_id FROM panel WHERE day=(SELECT max(day) FROM panel)))
  GROUP BY 1),
-bj AS (SELECT ffeats.*, epoch_n IS NOT NULL changed, epoch_n IS NULL OR epoch_n>=2 eligible, epf.* EXCLUDE (entity_id)
+bj AS (SELECT ffeats.*, epoch_n IS NOT NULL changed, epoch_n IS NULL OR epoch_n>=4 eligible, epf.* EXCLUDE (entity_id)
  FROM ffeats LEFT JOIN epf USING (entity_id)),
 ej AS (SELECT * REPLACE (""" + ", ".join(f"coalesce(e_{f},{f}) AS {f}" for f in SC.EPOCH_FACTORS) + """) FROM bj),
 """ + ",\n".join([
@@ -405,13 +407,11 @@ pol AS (""" + "\nUNION ALL ".join(
         ("BASE_REF", "s_base", "eligible"))) + """),
 polp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY score DESC, entity_id) AS rank FROM pol
  WHERE candidate) WHERE rank<=10)"""
-# The first six days only: later on every entity has changed its label at least once.
-PEPOCH = S.chain(PNEXT, EPOCH, EPF).replace(
-    "FROM events GROUP BY", "FROM events WHERE CAST(ts AS DATE)<=DATE '2024-01-06' GROUP BY")
+PEPOCH = S.chain(PNEXT, EPOCH, EPF)
 
 
 def _policies(spark, d):
-    return SC.epoch_policies(panel(spark, d).where("day <= DATE '2024-01-06'"), threshold=2)
+    return SC.epoch_policies(materialise(panel(spark, d)), threshold=4)
 
 
 @query("I22_epoch_policies", "policy:s day:d entity_id:i score:f changed:b candidate:b", "SELECT * FROM pol", PEPOCH)
@@ -435,13 +435,13 @@ def _(spark, d):
     return SC.category_rank(SC.score(feats(spark, d), SC.BASE_WEIGHTS), CATS)
 
 
-@query("I24_policy_compare", "policy:s replaced:i unchanged:i mean_delta:f mean_abs_delta:f max_abs_delta:f "
+@query("I24_policy_compare", "policy:s changed:b replaced:i rows:i mean_delta:f mean_abs_delta:f max_abs_delta:f "
                              "median_abs_delta:f p95_abs_delta:f", """
 SELECT * FROM (SELECT policy, count(*) FILTER (entity_id NOT IN (SELECT entity_id FROM polp WHERE policy='BASELINE')) replaced
- FROM polp GROUP BY 1) JOIN (SELECT p.policy, count(*) unchanged, avg(p.score-b.score) mean_delta,
+ FROM polp GROUP BY 1) JOIN (SELECT p.policy, p.changed, count(*) AS rows, avg(p.score-b.score) mean_delta,
  avg(abs(p.score-b.score)) mean_abs_delta, max(abs(p.score-b.score)) max_abs_delta, median(abs(p.score-b.score)) median_abs_delta,
  quantile_cont(abs(p.score-b.score),0.95) p95_abs_delta FROM pol p JOIN pol b ON b.policy='BASELINE' AND p.entity_id=b.entity_id
- WHERE NOT p.changed GROUP BY 1) USING (policy)""", PEPOCH)
+ GROUP BY 1, 2) USING (policy)""", PEPOCH)
 def _(spark, d):
     return SC.policy_compare(_policies(spark, d))
 
@@ -449,7 +449,7 @@ def _(spark, d):
 @query("I25_future_rank", "day:d rank:i entity_id:i label:s score:f", "SELECT * FROM fpicks",
        S.chain(PNEXT, S.scored(SC.BASE_WEIGHTS, "ffeats", "fscored"), S.picks("fscored", "fpicks")))
 def _(spark, d):
-    return SC.rank_score(FT.future_features(panel(spark, d)), SC.BASE_WEIGHTS)
+    return SC.rank_score(materialise(FT.future_features(materialise(panel(spark, d)), extras=())), SC.BASE_WEIGHTS)
 
 
 @query("I26_inventory_flags", "entity_id:i label:s changed:b stable:b new_label:b mixed_history:b", """

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle: int = 8, memory: str = "12g") -> SparkSession:
@@ -38,12 +38,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current.get()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"dayloom-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one written table."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it back.
+
+    Used where a result is read several times: it cuts lineage, survives lost
+    executors, and the Parquet scan still prunes columns and knows its size,
+    so later joins can be planned from it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def materialise(df):
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this session."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
