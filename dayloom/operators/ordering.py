@@ -47,7 +47,7 @@ def position(
 
 
 def position_by_uniform(
-    df: DataFrame, by: Sequence[str], u: str, tie: str, name: str = "rn", buckets: int = 64
+    df: DataFrame, by: Sequence[str], u: str, tie: str, name: str = "rn", buckets: int = 256
 ) -> DataFrame:
     """Row number by a uniform(0,1) column; equal-width buckets spread each group evenly."""
     by = list(by)

@@ -34,7 +34,7 @@ def _rec(spark, d):
     return J.reconcile(panel(spark, d), shuffled_second(spark, d))
 
 
-@query("D02_reconcile", "day:d entity_id:i presence:s metric_a:f metric_b:f delta_metric:f same_metric:b same_label:b",
+@query("D02_reconcile", "day:d entity_id:i presence:s metric_a:f metric_b:f delta_metric:f same_metric:s same_label:s",
        "SELECT * FROM rec", REC)
 def _(spark, d):
     return _rec(spark, d)
@@ -92,7 +92,7 @@ def _(spark, d):
     return WN.change_events(panel(spark, d))
 
 
-@query("D06_asof_event", "day:d entity_id:i label:s change_day:d days_since:i", """
+@query("D06_asof_event", "day:d entity_id:i label:s change_day:d days_since:f", """
 SELECT day, entity_id, label, CASE WHEN nl=label THEN ed END change_day, CASE WHEN nl=label THEN day-ed END days_since FROM (
  SELECT p.day, p.entity_id, p.label, e.day ed, e.new_label nl FROM panel p ASOF LEFT JOIN ev e
  ON p.entity_id=e.entity_id AND p.day>=e.day)""", EV)
@@ -169,7 +169,7 @@ r_cat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, category
  FROM catp) WHERE rank<=10)"""
 
 
-@query("D12_integrate_rankings", "day:d entity_id:i label:s rank_all:i rank_sales:i rank_system:i overlap:i selected_by:s", """
+@query("D12_integrate_rankings", "day:d entity_id:i label:s rank_all:f rank_sales:f rank_system:f overlap:i selected_by:s", """
 SELECT *, (rank_all IS NOT NULL)::INT+(rank_sales IS NOT NULL)::INT+(rank_system IS NOT NULL)::INT overlap,
  concat_ws('+', CASE WHEN rank_all IS NOT NULL THEN 'ALL' END, CASE WHEN rank_sales IS NOT NULL THEN 'SALES' END,
   CASE WHEN rank_system IS NOT NULL THEN 'SYSTEM' END) selected_by FROM (
