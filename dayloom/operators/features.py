@@ -111,7 +111,7 @@ def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: floa
             "site", "day", F.col("key").alias("_key"), F.col("before").alias(names[dim]))
         h = h.withColumn("_key", key.cast("string")).join(side, [*DAY, "_key"], "left").drop("_key")
 
-    days = materialise(panel.select(*DAY).distinct())  # one row per site and day
+    days = panel.select(*DAY).distinct()
     following = days.withColumn("next_day", F.lead("day").over(Window.partitionBy(*SITE).orderBy("day")))
     sent = panel.select(*DAY, "entity_id", "metric").join(following, DAY).select(
         "site", F.col("next_day").alias("day"), "metric", F.explode(F.array(e - 1, e + 1)).alias("entity_id"))

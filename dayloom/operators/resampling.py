@@ -16,10 +16,17 @@ from dayloom.operators import aggregates as A
 from dayloom.operators import ordering as O
 from dayloom.operators.aggregates import rate
 from dayloom.panel import DAY, SITE
+from dayloom.session import materialise
 
 
 def replicates(df: DataFrame, reps: int, first: int = 1) -> DataFrame:
-    return df.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps))))
+    """Every row once per replicate.
+
+    The rows are dealt out evenly first, so a small input does not multiply
+    inside one task; that shuffle is 1/reps of what follows.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks).withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps))))
 
 
 def bootstrap_means(series: DataFrame, by: Sequence[str], value: str, reps: int, seed: str = "b") -> DataFrame:
@@ -117,9 +124,10 @@ def perm_diff_test(series: DataFrame, group: str, b: str, value: str, reps: int,
     is_b = F.col(group) == b
     obs = series.groupBy(*SITE).agg(
         F.count_if(is_b).alias("_m"), (F.avg(F.when(is_b, v)) - F.avg(F.when(~is_b, v))).alias("_obs"))
-    x = replicates(series, reps).withColumn("_u", X.uniform(F.col("day"), F.col("rep"), seed))
-    x = O.position_by_uniform(x, [*SITE, "rep"], "_u", "day", "_r").join(obs, SITE)
-    mine = F.col("_r") <= F.col("_m")
+    x = replicates(series.join(obs, SITE), reps).withColumn("_u", X.uniform(F.col("day"), F.col("rep"), seed))
+    cut = O.uniform_cutoff(x, [*SITE, "rep"], "_u", "day", "_m", 8)
+    x = x.join(cut, [*SITE, "rep"], "left")
+    mine = O.within_cutoff("_u", "day")
     null = x.groupBy(*SITE, "rep").agg(
         (F.avg(F.when(mine, v)) - F.avg(F.when(~mine, v))).alias("_null"), F.max("_obs").alias("_obs"))
     return null.groupBy(*SITE).agg(
@@ -131,16 +139,18 @@ def perm_diff_test(series: DataFrame, group: str, b: str, value: str, reps: int,
 def permuted_labels(df: DataFrame, reps: int, within: Sequence[str] = (), seed: str = "x") -> DataFrame:
     """Rep 0 keeps the observed flag; each other rep deals the same number of flags out at random.
 
-    The deal happens inside (day, ``within``). Flags are picked by position of
-    a hashed uniform, counted in equal-width buckets, so a day of any size is
-    spread over tasks.
+    The deal happens inside (day, ``within``): the rows below the m-th smallest
+    hashed uniform carry a flag. Only the cutoffs, one per (day, rep), are
+    joined back, so the rows themselves are not sorted or moved here.
     """
     group = [*DAY, *within]
     count = df.groupBy(*group).agg(F.count_if("strong").alias("_m"))
-    x = replicates(df, reps, first=0).withColumn("_u", X.uniform(F.col("day"), F.col("entity_id"), F.col("rep"), seed))
-    x = O.position_by_uniform(x, [*group, "rep"], "_u", "entity_id", "_r").join(count, group)
-    return x.withColumn("strong", F.when(F.col("rep") == 0, F.col("strong")).otherwise(F.col("_r") <= F.col("_m"))
-                        ).drop("_u", "_r", "_m")
+    x = replicates(df.join(count, group), reps, first=0).withColumn(
+        "_u", X.uniform(F.col("day"), F.col("entity_id"), F.col("rep"), seed))
+    cut = O.uniform_cutoff(x.where("rep > 0"), [*group, "rep"], "_u", "entity_id", "_m", 8 if within else 64)
+    dealt = x.join(cut, [*group, "rep"], "left")
+    return dealt.withColumn("strong", F.when(F.col("rep") == 0, F.col("strong")).otherwise(
+        O.within_cutoff("_u", "entity_id"))).drop("_u", "_m", "cut_u", "cut_tie")
 
 
 def cluster_counts(flagged: DataFrame) -> DataFrame:
@@ -162,7 +172,8 @@ def spatial_counts(panel: DataFrame, layout: DataFrame, threshold: float, reps:
                    seed: str = "x") -> DataFrame:
     dim = layout.where("shape = 'rect'").select("site", "entity_id", "island_id", "side", "slot_index")
     rows = panel.join(dim, ["site", "entity_id"]).withColumn("strong", F.col("metric") >= threshold)
-    return cluster_counts(permuted_labels(rows, reps, within, seed))
+    # one small row per (day, rep), read once as observed and once as null values
+    return materialise(cluster_counts(permuted_labels(rows, reps, within, seed)))
 
 
 def null_summary(counts: DataFrame, statistics: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -191,10 +202,10 @@ def group_event_counts(panel: DataFrame, threshold: float, reps: int, mode: str
     g = x.groupBy(*DAY, "rep", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if("strong").alias("q"))
     need = F.ceil(F.col("size") * 2.0 / 3.0) if mode == "SOFT" else F.col("size")
     g = g.where("size >= 3").withColumns({"event": F.col("q") >= need, "stratum": A.size_stratum(F.col("size"))})
-    return g.groupBy(*DAY, "rep").agg(
+    return materialise(g.groupBy(*DAY, "rep").agg(
         F.count_if("event").alias("overall"),
         *[F.count_if(F.col("event") & (F.col("stratum") == s)).alias(n) for s, n in (
-            ("3-4", "s3_4"), ("5-9", "s5_9"), ("10+", "s10"))])
+            ("3-4", "s3_4"), ("5-9", "s5_9"), ("10+", "s10"))]))
 
 
 def group_event_test(panel: DataFrame, threshold: float, reps: int, mode: str = "SOFT") -> DataFrame:

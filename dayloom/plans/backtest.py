@@ -231,7 +231,7 @@ _SCN = {"NONE": "true", "EXCLUDE_GAP_ADJACENT": "NOT gap_adjacent", "EXCLUDE_ISL
 
 @query("J25_effect_sensitivity", "scenario:s days:i mean_effect:f positive_days:f lo:f hi:f", "\nUNION ALL ".join(
     f"SELECT '{n}' scenario, count(*) AS days, avg(effect) mean_effect, avg((effect>0)::INT) positive_days, min(effect) lo, "
-    f"max(effect) hi FROM ({eff_sql('island_id', src=f'(SELECT * FROM cor WHERE {c})')})" for n, c in _SCN.items()), COR)
+    f"max(effect) hi FROM ({eff_sql('island_id', src=f'(SELECT * FROM cor WHERE {c})')}) HAVING count(*)>0" for n, c in _SCN.items()), COR)
 def _(spark, d):
     return B.effect_sensitivity(corners(spark, d), "corner", {n: F.expr(c) for n, c in _SCN.items()}, ["island_id"])
 
@@ -327,7 +327,7 @@ def _(spark, d):
 @query("J29_focus_dependence", "replacements:i focus_rows:i advantage:f focus_part:f without_focus:f focus_share:f", """
 SELECT count(*) replacements, count(*) FILTER (f) focus_rows, sum(v) advantage, coalesce(sum(v) FILTER (f),0) focus_part,
  sum(v)-coalesce(sum(v) FILTER (f),0) without_focus, coalesce(sum(v) FILTER (f),0)/nullif(sum(v),0) focus_share FROM (
- SELECT CASE WHEN kind='ENTERED' THEN metric ELSE -metric END v, label='click' f FROM pj WHERE kind<>'BOTH')""", PJ)
+ SELECT CASE WHEN kind='ENTERED' THEN metric ELSE -metric END v, label='click' f FROM pj WHERE kind<>'BOTH') HAVING count(*)>0""", PJ)
 def _(spark, d):
     return B.focus_dependence(J.pick_join(*two_models(spark, d)), F.col("label") == "click")
 

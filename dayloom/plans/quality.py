@@ -167,7 +167,7 @@ def _(spark, d):
 
 @query("C16_progress", "collected:i first_day:d last_day:d target:i remaining:i state:s", """
 SELECT count(*) collected, min(day) first_day, max(day) last_day, 20 target, greatest(0, 20-count(*)) remaining,
- CASE WHEN count(*)>=20 THEN 'COMPLETE' ELSE 'COLLECTING' END state FROM elig""", ELIG)
+ CASE WHEN count(*)>=20 THEN 'COMPLETE' ELSE 'COLLECTING' END state FROM elig HAVING count(*)>0""", ELIG)
 def _(spark, d):
     return Q.progress(_eligible(spark, d), 20)
 

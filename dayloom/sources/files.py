@@ -78,6 +78,13 @@ def read_daily_files(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
     return parse_daily(files.where("length > 0"))
 
 
+def read_large_csv(spark: SparkSession, path: str, columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """Integrated CSV files with one known header order; splittable, unlike the small daily files."""
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return spark.read.schema(schema).option("header", True).option("encoding", encoding).option(
+        "enforceSchema", False).csv(path)
+
+
 def file_day(path: Column) -> Column:
     """Date in a file path: yyyy-mm-dd or yyyymmdd."""
     return TX.to_day(F.regexp_extract(path, r"(20\d{2}-\d{2}-\d{2}|20\d{6})", 1))
