@@ -197,7 +197,7 @@ def correlate(df: DataFrame, features: Sequence[str], target: str, min_n: int =
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Pearson correlation of average ranks."""
     clean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = O.rank_positions(clean, by, x, "_rx").drop("_rx_min")
+    ranked = O.rank_positions(clean, by, x, "_rx").drop("_rx_min", "_rx_dense")
     ranked = O.rank_positions(ranked, by, y, "_ry")
     return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("spearman"))
 

@@ -16,6 +16,7 @@ from dayloom.operators import quality as Q
 from dayloom.operators import scoring as SC
 from dayloom.operators import windows as WN
 from dayloom.operators.aggregates import rate
+from dayloom.operators.resampling import replicates
 from dayloom.panel import DAY, KEY, SITE
 from dayloom.session import materialise
 
@@ -212,7 +213,7 @@ def random_baseline(panel: DataFrame, picks: DataFrame, reps: int, n: int = 10,
 
     Per (day, rep) only n rows of each task survive to the shuffle.
     """
-    x = panel.select(*KEY, "metric").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn(
+    x = replicates(panel.select(*KEY, "metric"), reps).withColumn(
         "u", X.uniform(F.col("day"), F.col("entity_id"), F.col("rep"), seed))
     drawn = O.top_n(x, [*DAY, "rep"], [F.asc("u"), F.asc("entity_id")], n, "_r")
     sample = drawn.groupBy(*DAY, "rep").agg(X.rank_key(F.avg("metric")).alias("sample_mean"))

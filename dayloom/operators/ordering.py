@@ -101,32 +101,33 @@ def top_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, nam
 
 
 def rank_positions(df: DataFrame, by: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
-    """Average rank of tied values (1-based), computed on distinct values only."""
+    """Average, lowest and dense rank of tied values (1-based), worked out on distinct values only."""
     by = list(by)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, by, value, "_n", "_upto")
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_one"))
+    ranked = running_totals(counts, by, value, {"_upto": "_n", "_dense": "_one"})
     ranks = ranked.select(
         *by, F.col(value).alias("_v"),
         (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name),
-        (F.col("_upto") - F.col("_n") + 1).alias(f"{name}_min"),
+        (F.col("_upto") - F.col("_n") + 1).alias(f"{name}_min"), F.col("_dense").alias(f"{name}_dense"),
     )
     on = [df[c].eqNullSafe(ranks[c]) for c in by] + [df[value].eqNullSafe(ranks["_v"])]
-    return df.join(ranks, on, "left").select(df["*"], name, f"{name}_min")
+    return df.join(ranks, on, "left").select(df["*"], name, f"{name}_min", f"{name}_dense")
 
 
-def running_total(df: DataFrame, by: Sequence[str], order: str, value: str, name: str) -> DataFrame:
-    """Inclusive running sum of ``value`` along ``order`` for groups of any size."""
+def running_totals(df: DataFrame, by: Sequence[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Inclusive running sums (new name -> column) along ``order`` for groups of any size."""
     by = list(by)
     ranged = materialise(
         df.repartitionByRange(*by, order).sortWithinPartitions(*by, order)
         .withColumn("_task", F.spark_partition_id())
     )
-    parts = ranged.groupBy(*by, "_task").agg(F.sum(value).alias("_s"))
+    parts = ranged.groupBy(*by, "_task").agg(*[F.sum(c).alias(f"_s{n}") for n, c in sums.items()])
     before = Window.partitionBy(*by).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(*by, "_task", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    offsets = parts.select(*by, "_task", *[
+        F.coalesce(F.sum(f"_s{n}").over(before), F.lit(0)).alias(f"_b{n}") for n in sums])
     inside = Window.partitionBy(*by, "_task").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         ranged.join(offsets, [*by, "_task"])
-        .withColumn(name, F.sum(value).over(inside) + F.col("_before"))
-        .drop("_task", "_before")
+        .withColumns({n: F.sum(c).over(inside) + F.col(f"_b{n}") for n, c in sums.items()})
+        .drop("_task", *[f"_b{n}" for n in sums])
     )

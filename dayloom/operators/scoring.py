@@ -325,10 +325,13 @@ def robust_scores(df: DataFrame, keys: Sequence[str], parts: Mapping[str, float]
         (rate(m >= t) * 100).alias("p1"), (rate(m >= 2 * t) * 100).alias("p2")).join(recent, keys).withColumns({
             "change": F.col("recent3") - F.col("mean"), "neg_dip": F.col("previous") - F.col("recent3"),
             "reliability": F.least(F.lit(100.0), X.confidence_exp(F.col("n"), 12.0) * 100)})
-    for c in ("mean", "recent3", "neg_dip"):
-        cuts = O.exact_quantiles(g.select(*SITE, c), SITE, c, {f"_lo_{c}": 0.05, f"_hi_{c}": 0.95})
-        g = g.join(cuts, SITE).withColumn(f"s_{c}", X.to_range(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}"))).drop(
-            f"_lo_{c}", f"_hi_{c}")
+    cols = ["mean", "recent3", "neg_dip"]
+    long = g.unpivot(SITE, cols, "_c", "_v")
+    cuts = O.exact_quantiles(long, [*SITE, "_c"], "_v", {"_lo": 0.05, "_hi": 0.95})
+    wide = cuts.groupBy(*SITE).agg(*[F.max(F.when(F.col("_c") == c, F.col(e))).alias(f"{e}_{c}")
+                                     for c in cols for e in ("_lo", "_hi")])
+    g = g.join(wide, SITE).withColumns({
+        f"s_{c}": X.to_range(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in cols})
     return g.withColumn("score", sum(F.col(c) * v for c, v in parts.items() if c != "const") + parts.get("const", 0.0))
 
 
@@ -453,11 +456,13 @@ def recent_win(df: DataFrame, n: int, topn: int, by: Sequence[str] = (), min_day
 
 def neutral_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = DAY) -> DataFrame:
     """Missing values become the cross-sectional median of the same day, or 0 if the day has none."""
-    out = df
-    for c in columns:
-        mid = O.exact_quantiles(df, by, c, {"_mid": 0.5})
-        out = out.join(mid, list(by), "left").withColumn(c, F.coalesce(c, "_mid", F.lit(0.0))).drop("_mid")
-    return out
+    by = list(by)
+    long = df.unpivot(by, [F.col(c).cast("double").alias(c) for c in columns], "_c", "_v")
+    mids = O.exact_quantiles(long, [*by, "_c"], "_v", {"_mid": 0.5})  # all columns in one ordering
+    wide = mids.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.col("_mid"))).alias(f"_mid_{c}") for c in columns])
+    out = df.join(wide, by, "left")
+    return out.withColumns({c: F.coalesce(c, f"_mid_{c}", F.lit(0.0)) for c in columns}).drop(
+        *[f"_mid_{c}" for c in columns])
 
 
 def weekday_signal(df: DataFrame) -> DataFrame:

@@ -390,10 +390,8 @@ def ranks(df: DataFrame, value: str, by: Sequence[str] = DAY) -> DataFrame:
     x = df.withColumn("_neg", -F.col(value))
     x = O.position(x, by, [F.col("_neg"), F.col("entity_id")], "row_no", "_n")
     x = O.rank_positions(x, by, "_neg", "_avg")
-    distinct = df.groupBy(*by, value).agg(F.lit(1).alias("_one")).withColumn("_neg", -F.col(value))
-    dense = O.running_total(distinct, by, "_neg", "_one", "dense_rank").select(*by, "_neg", "dense_rank")
-    return x.join(dense, [*by, "_neg"]).withColumn("pct_rank", F.col("_avg") / F.col("_n")).withColumnRenamed(
-        "_avg_min", "min_rank").drop("_neg", "_n", "_avg")
+    return x.withColumn("pct_rank", F.col("_avg") / F.col("_n")).withColumnsRenamed({
+        "_avg_min": "min_rank", "_avg_dense": "dense_rank"}).drop("_neg", "_n", "_avg")
 
 
 def relative_state(df: DataFrame) -> DataFrame:
