@@ -28,10 +28,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def panel_from_events(events: DataFrame, site: Column | str = "main") -> DataFrame:
+def one_site(key: str) -> Column:
+    """All keyed rows belong to one site. Not a bare literal: those fold out of join and window keys."""
+    return F.when(F.col(key).isNull(), "unassigned").otherwise("main")
+
+
+def panel_from_events(events: DataFrame, site: Column | None = None) -> DataFrame:
     """One row per (user, calendar day); errors count against the metric."""
     signed = F.when(F.col("event_type") == "error", -F.col("value")).otherwise(F.col("value"))
-    site = F.lit(site) if isinstance(site, str) else site
+    site = one_site("user_id") if site is None else site
     return (
         events.groupBy(site.alias("site"), F.to_date("ts").alias("day"), F.col("user_id").alias("entity_id"))
         .agg(
@@ -44,19 +49,19 @@ def panel_from_events(events: DataFrame, site: Column | str = "main") -> DataFra
     )
 
 
-def panel_from_lines(lineitem: DataFrame, part: DataFrame, site: Column | str = "main") -> DataFrame:
+def panel_from_lines(lineitem: DataFrame, part: DataFrame, site: Column | None = None) -> DataFrame:
     """One row per (supplier, ship day); returned lines count against the metric.
 
     Money is summed in DECIMAL so the totals do not depend on shuffle order.
     """
-    site = F.lit(site) if isinstance(site, str) else site
+    site = one_site("l_suppkey") if site is None else site
     price = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
     signed = price * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
     return (
         lineitem.join(part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(site.alias("site"), F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("entity_id"))
         .agg(
-            F.max_by("p_brand", F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("label"),
+            F.max_by("p_brand", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey")).alias("label"),
             F.sum("l_quantity").alias("activity"),
             F.sum(signed).cast("double").alias("metric"),
             F.count_if(F.col("l_returnflag") == "A").alias("c1"),

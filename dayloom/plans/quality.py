@@ -40,7 +40,7 @@ DUP = """raw AS (SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS entity_id,
 
 def raw_lines(spark, d):
     return table(spark, d, "lineitem").select(
-        F.lit("main").alias("site"), F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("entity_id"),
+        P.one_site("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("entity_id"),
         F.col("l_quantity").alias("qty"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
 
 
@@ -118,7 +118,7 @@ LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_
 def _(spark, d):
     p = lines(spark, d)
     orders = table(spark, d, "orders").where("o_orderpriority LIKE '1%' AND o_orderstatus = 'P'").select(
-        F.lit("main").alias("site"), F.to_date("o_orderdate").alias("day"))
+        P.one_site("o_orderkey").alias("site"), F.to_date("o_orderdate").alias("day"))
     return Q.completeness(Q.calendar(p), {"first": p, "orders": orders})
 
 
@@ -131,10 +131,10 @@ def _(spark, d):
 
 for _keep, _dir in (("last", "DESC"), ("first", "ASC")):
     @query(f"C12_dedupe_{_keep}", "day:d entity_id:i qty:f line:i", f"""
-SELECT day, entity_id, qty, line FROM (SELECT *, row_number() OVER (PARTITION BY day, entity_id ORDER BY line {_dir}) r
+SELECT day, entity_id, qty, line FROM (SELECT *, row_number() OVER (PARTITION BY day, entity_id ORDER BY line {_dir}, qty {_dir}) r
  FROM raw) WHERE r=1""", DUP)
     def _(spark, d, _keep=_keep):
-        return Q.dedupe(raw_lines(spark, d), KEY, [F.col("line")], _keep)
+        return Q.dedupe(raw_lines(spark, d), KEY, [F.col("line"), F.col("qty")], _keep)
 
 
 @query("C13_clean", "day:d entity_id:i metric:f", """SELECT day, entity_id, metric FROM panel

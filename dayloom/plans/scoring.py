@@ -77,14 +77,15 @@ WSQL = "(VALUES " + ", ".join(f"('{m}','{f}',{w!r}::DOUBLE)" for m, ww in {
     for f, w in ww.items()) + ") v(model, factor, weight)"
 
 
-@query("I03_weight_algebra", "model:s factor:s weight:f n:i",
-       f"""SELECT model, factor, weight/sum(weight) OVER (PARTITION BY model) weight, (SELECT count(*) FROM feats) n
-FROM {WSQL}""", PF)
+@query("I03_weight_algebra", "model:s factor:s weight:f factor_mean:f",
+       f"""SELECT w.*, m.factor_mean FROM (SELECT model, factor, weight/sum(weight) OVER (PARTITION BY model) weight FROM {WSQL}) w
+JOIN (SELECT factor, avg(x) factor_mean FROM (UNPIVOT (SELECT {', '.join(f'{f}::DOUBLE AS {f}' for f in ALL)} FROM feats)
+ ON COLUMNS(*) INTO NAME factor VALUE x) GROUP BY 1) m USING (factor)""", PF)
 def _(spark, d):
     sets = {"FULL": SC.FULL_WEIGHTS, "BASE": SC.BASE_WEIGHTS, "DROP_LAST": SC.drop_factor(SC.BASE_WEIGHTS, "last"),
             "DOUBLE_LABEL": SC.scale_factor(SC.BASE_WEIGHTS, "label_avg", 2.0), "ADD_EDGE": SC.MODES["ADD_EDGE"]}
-    w = SC.normalised(SC.weights_frame(spark, sets)).withColumn("site", F.lit("main"))
-    return w.join(feats(spark, d).groupBy("site").agg(F.count(F.lit(1)).alias("n")), "site")
+    means = A.unpivot(feats(spark, d), ["site"], ALL, "factor").groupBy("factor").agg(F.avg("x").alias("factor_mean"))
+    return SC.normalised(SC.weights_frame(spark, sets)).join(means, "factor")
 
 
 @query("I04_score_models", "model:s day:d entity_id:i score:f", "SELECT * FROM modes", PMODES)

@@ -10,7 +10,7 @@ PANEL = """panel AS (
 
 LINES = """panel AS (
   SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS day,
-         arg_max(p_brand, l_orderkey * 10 + l_linenumber) AS label, sum(l_quantity) AS activity,
+         arg_max(p_brand, (l_orderkey * 10 + l_linenumber, l_partkey)) AS label, sum(l_quantity) AS activity,
          CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
               * (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END)) AS DOUBLE) AS metric,
          count(*) FILTER (WHERE l_returnflag = 'A') AS c1, count(*) FILTER (WHERE l_returnflag = 'R') AS c2

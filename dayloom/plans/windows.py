@@ -325,7 +325,7 @@ IDS = "ids AS (SELECT DISTINCT doc_id AS entity_id FROM labels)"
 
 
 def some_ids(spark, d):
-    return table(spark, d, "labels").select(F.lit("main").alias("site"), F.col("doc_id").alias("entity_id")).distinct()
+    return table(spark, d, "labels").select(PN.one_site("doc_id").alias("site"), F.col("doc_id").alias("entity_id")).distinct()
 
 
 @query("F26_number_runs", "entity_id:i run_id:i position:i length:i edge_distance:i edge_bucket:s", """
