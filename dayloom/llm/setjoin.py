@@ -10,9 +10,16 @@ K-token combinations begin; only sets with K frequent tokens take part. The
 counts of shared tokens must reach K too, so most pairs that only share a
 passage are never verified.
 
+Sets with K frequent tokens are few. For them the whole sets are counted again:
+m is how many tokens of a set occur in another of these sets, and a pair that
+shares no rare token overlaps in min(m) tokens at most. That bound leaves of a
+large group of near copies the members that can be similar; they are linked to
+the fullest member of each token's list, and only what is then still apart
+meets in pairs.
+
 Postings travel as packed arrays, a row for each (task, part). A token that is
 frequent inside one task never meets in one part: its postings are spread over
-the parts, and only a mark and two pivots go to the token's own part.
+the parts, and only a mark goes to the token's own part.
 """
 
 from __future__ import annotations
@@ -98,37 +105,11 @@ def _count_pairs(a, b, na, nb):
     return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
 
 
-def _pivots(tok, key, n):
-    """(start, pivot position) twice for each run of equal tokens: least key and least mixed key."""
-    start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
-    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(tok))))
-    out = []
-    for by in (key, mix(key.astype(_U)).view(_I)):
-        order = np.lexsort((by, run))
-        out.append(order[start])
-    return start, run, out
-
-
-def _star_rows(tok, key, n, rule: Rule):
-    """Pairs of each set with its token's pivots, where enough tokens agree."""
-    if not len(tok):
-        return None
-    order = np.lexsort((key, tok))
-    tok, key, n = tok[order], key[order], n[order]
-    _, run, pivots = _pivots(tok, key, n)
-    found = []
-    for p in pivots:
-        a, na = key[p][run], n[p][run]
-        use = (a != key) & rule.sizes(na, n)
-        found.append(_count_pairs(a[use], key[use], na[use], n[use]))
-    a, b, na, nb, c = (np.concatenate(x) for x in zip(*found))
-    keep = c >= rule.shared(np.minimum(na, nb))
-    a, b, na, nb, c = a[keep], b[keep], na[keep], nb[keep], c[keep]
-    return a, b, na, nb
-
-
-def postings(rows: DataFrame, sets: Sets, rule: Rule, parts: int) -> DataFrame:
-    """Packed postings (token, set key, set size) of every extended prefix, by part of the token."""
+def postings(rows: DataFrame, sets: Sets, take: Callable[[int], int], parts: int, bits=None) -> DataFrame:
+    """Packed postings (token, set key, set size) of the first ``take(size)`` tokens of each set, by part of the token.
+
+    With ``bits`` (a broadcast filter) only of sets that pass it.
+    """
 
     def pack(p, kind, tok, key, n):
         return p, kind, tok.astype(_U).tobytes(), key.astype(_I).tobytes(), n.astype(_N).tobytes()
@@ -147,9 +128,8 @@ def postings(rows: DataFrame, sets: Sets, rule: Rule, parts: int) -> DataFrame:
         if hot.any():
             t, k, s = tok[hot], key[hot], n[hot]
             out.append(pack(salt % parts, "hot", t, k, s))
-            _, _, pivots = _pivots(t, k, s)
-            for p in pivots:
-                out += by_part("mark", t[p], k[p], s[p])
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            out += by_part("mark", t[first], k[first], s[first])
         return out + by_part("post", tok[~hot], key[~hot], n[~hot])
 
     def by_part(kind, tok, key, n):
@@ -169,10 +149,11 @@ def postings(rows: DataFrame, sets: Sets, rule: Rule, parts: int) -> DataFrame:
             types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
+        want = None if bits is None else _unpack_bits(bits.value)
         for b in batches:
             for k, s in sets(b):
-                m = int(rule.prefix(len(s)))
-                if not m:
+                m = int(take(len(s)))
+                if not m or want is not None and not want[k & _MASK]:
                     continue
                 tok.append(s[:m])
                 key.append(np.full(m, k, _I))
@@ -207,7 +188,7 @@ def _pair_frame(kind, a, b, na, nb, c) -> pd.DataFrame:
 
 
 def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
-    """Pairs that share rare tokens with their counts, star pairs, and the postings of frequent tokens by part of the set."""
+    """Pairs that share rare tokens with their counts, and the postings of frequent tokens by part of the set."""
 
     def frequent(tok, key, n) -> pd.DataFrame:
         q = (key % parts).astype(np.int64)
@@ -224,9 +205,6 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
         for _, row in hot.iterrows():  # one row for each flush of a task
             t, k, n = _unpack(hot.loc[[row.name]])
             out.append(frequent(t, k, n))
-            stars = _star_rows(t, k, n, rule)
-            if stars is not None and len(stars[0]):
-                out.append(_pair_frame("star", *stars, 0))
         marks = _unpack(pdf[pdf["kind"] == "mark"])
         tok, key, n = _unpack(pdf[pdf["kind"] == "post"])
         known = np.unique(marks[0])
@@ -242,8 +220,6 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
             each = np.repeat(often, many)
             if each.any():
                 out.append(frequent(tok[each], key[each], n[each]))
-            stars = _star_rows(np.concatenate([tok[each], marks[0]]), np.concatenate([key[each], marks[1]]),
-                               np.concatenate([n[each], marks[2]]), rule)
             found = []
             for size in np.unique(many[~often]):
                 if size < 2:
@@ -260,17 +236,13 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
             if found:
                 pairs = _count_pairs(*(np.concatenate(c) for c in zip(*found)))
                 out.append(_pair_frame("pair", *pairs))
-        else:
-            stars = _star_rows(*marks, rule)
-        if stars is not None and len(stars[0]):
-            out.append(_pair_frame("star", *stars, 0))
         return pd.concat(out, ignore_index=True) if out else _frame(kind="", a=[])
 
     return packed.groupBy("p").applyInPandas(run, _JOINED)
 
 
 def frequent_parts(matched: DataFrame, rule: Rule) -> DataFrame:
-    """Per set with frequent tokens their number, and an index entry for each that can begin a K-token combination."""
+    """Per set with frequent tokens their number; of kind 'entry' if K-token combinations are among them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tok, key, n = _unpack(pdf)
@@ -281,56 +253,138 @@ def frequent_parts(matched: DataFrame, rule: Rule) -> DataFrame:
         tok, key, n = tok[new], key[new], n[new]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         many = np.diff(np.append(start, len(key)))
-        heads = pd.DataFrame({"kind": "count", "key": key[start], "size": n[start], "f": many, "token": 0})
-        place = np.arange(len(key)) - np.repeat(start, many)
-        use = place <= np.repeat(many, many) - rule.shared(n)
-        entries = pd.DataFrame({"kind": "entry", "key": key[use], "size": n[use], "f": np.repeat(many, many)[use], "token": _signed(tok[use])})
-        return pd.concat([heads, entries], ignore_index=True)
+        heads = pd.DataFrame({"kind": "count", "key": key[start], "size": n[start], "f": many})
+        return heads.assign(kind=np.where(heads["f"] >= rule.shared(heads["size"].to_numpy()), "entry", "count"))
 
-    return matched.where("kind = 'frequent'").groupBy("q").applyInPandas(run, "kind string, key long, size int, f int, token long")
+    return matched.where("kind = 'frequent'").groupBy("q").applyInPandas(run, "kind string, key long, size int, f int")
 
 
 def rare_pairs(matched: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs whose shared rare tokens, with all frequent ones they could share, reach K; and the star pairs."""
-    f = counts.where("kind = 'count'").select("key", "f")
+    """Pairs whose shared rare tokens, with all frequent ones they could share, reach K."""
+    f = counts.select("key", "f")
     pairs = (matched.where("kind = 'pair'").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
              .join(f.select(F.col("key").alias("a"), F.col("f").alias("fa")), "a", "left")
              .join(f.select(F.col("key").alias("b"), F.col("f").alias("fb")), "b", "left")
              .where(F.col("c") + F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))) >= rule.shared_sql("na", "nb")))
-    return pairs.select("a", "b").unionByName(matched.where("kind = 'star'").select("a", "b")).distinct()
+    return pairs.select("a", "b")
+
+
+_ENTRIES = "token long, key long, size int, m int, rest int"
+
+
+def entries(counts: DataFrame, rows: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
+    """(token, key, size, m, rest) of the sets that have K frequent tokens, joined anew among themselves.
+
+    The whole sets are indexed, rarest token first. m counts the tokens that
+    occur in another of these sets; the others come first in the order and need
+    no entry, so of the prefix of n - ceil(t n) + 1 tokens m - ceil(t n) + 1 stay.
+    rest counts the m tokens from this one on: all that a pair can share whose
+    first shared token this is.
+    """
+    keys = counts.where("kind = 'entry'").select("key", "size").distinct()
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    parts = max(64, total // FLUSH)
+    bits = rows.sparkSession.sparkContext.broadcast(_wanted(keys.select("key")))
+    often = np.int64(1 << 30)  # stands for the count of a token that is frequent inside one task
+    packed = "q int, t binary, k binary, n binary, d binary"
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        tok, key, n = _unpack(pdf[pdf["kind"] == "post"])
+        order = np.lexsort((key, tok))
+        tok, key, n = tok[order], key[order], n[order]
+        new = np.append(True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1]))[:len(tok)]
+        tok, key, n = tok[new], key[new], n[new]
+        start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])[:len(tok)])
+        many = np.diff(np.append(start, len(tok)))
+        df = np.where(np.isin(tok[start], _unpack(pdf[pdf["kind"] == "mark"])[0]), often, many)
+        df = np.repeat(df, many)
+        hot = _unpack(pdf[pdf["kind"] == "hot"])
+        use = df > 1
+        tok, key, n = (np.concatenate([x[use], y]) for x, y in zip((tok, key, n), hot))
+        df = np.concatenate([df[use], np.full(len(hot[0]), often)])
+        q = (key % parts).astype(np.int64)
+        order = np.argsort(q, kind="stable")
+        q, tok, key, n, df = q[order], tok[order], key[order], n[order].astype(_N), df[order].astype(_N)
+        at = np.flatnonzero(np.append(True, q[1:] != q[:-1])[:len(q)])
+        cuts = list(zip(at, [*at[1:], len(q)]))
+        return pd.DataFrame({"q": q[at], **{c: [x[i:j].tobytes() for i, j in cuts] for c, x in (("t", tok), ("k", key), ("n", n), ("d", df))}})
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        tok, key, n = _unpack(pdf)
+        df = np.frombuffer(b"".join(pdf["d"]), _N)
+        at = np.lexsort((tok, df, key))
+        tok, key, n = tok[at], key[at], n[at]
+        new = np.append(True, (tok[1:] != tok[:-1]) | (key[1:] != key[:-1]))[:len(tok)]
+        tok, key, n = tok[new], key[new], n[new]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        many = np.diff(np.append(start, len(key)))
+        m, place = np.repeat(many, many), np.arange(len(key)) - np.repeat(start, many)
+        use = place <= m - rule.least(n)
+        return pd.DataFrame({"token": _signed(tok[use]), "key": key[use], "size": n[use], "m": m[use], "rest": (m - place)[use]})
+
+    shared = postings(rows, sets, lambda n: n, parts, bits).groupBy("p").applyInPandas(count, packed)
+    return shared.groupBy("q").applyInPandas(order, _ENTRIES)
+
+
+def _partner(rule: Rule, a: str, b: str, m: str = "rest"):
+    """The pair can be similar if this is the first token that it shares."""
+    o = F.least(F.col(a + m), F.col(b + m))
+    return (100 + rule.num) * o >= rule.num * (F.col(a + "size") + F.col(b + "size"))
 
 
-def frequent_pairs(counts: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that share an entry of the frequent class.
+def _side(e: DataFrame, name: str) -> DataFrame:
+    return e.select("token", *[F.col(c).alias(name + c) for c in e.columns if c != "token"])
+
+
+def star_pairs(index: DataFrame, rule: Rule) -> DataFrame:
+    """Each set with the fullest set of each of its tokens: the one whose tokens the others share most."""
+    best = index.groupBy("token").agg(F.max_by(F.struct("key", "size", "m", "rest"), F.struct(F.col("m") / F.col("size"), "m", "key")).alias("x"))
+    best = best.select("token", F.col("x.key").alias("xkey"), F.col("x.size").alias("xsize"), F.col("x.rest").alias("xrest"))
+    return (_side(index, "y").join(best, "token").where("xkey <> ykey").where(_partner(rule, "x", "y"))
+            .select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")))
+
+
+def frequent_pairs(index: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components that share an entry and whose sizes and m allow them to be similar.
 
     Inside a token's list the members of its largest component meet only the
-    others, so a large group of near copies makes no pairs with itself.
+    others, and these only in the size bands where a partner of theirs can be.
     """
-    e = (counts.where("kind = 'entry'").join(roots.withColumnRenamed("node", "key"), "key", "left")
-         .select("token", "key", "size", F.coalesce("root", "key").alias("comp")))
+    band = lambda c: F.floor(F.log(c) * 8).cast("int")  # noqa: E731  13 percent wide
+    low, high = F.ceil(F.col("xsize") * (rule.num / 100)), F.floor(F.col("xrest") * ((100 + rule.num) / rule.num) - F.col("xsize"))
+    e = (index.join(roots.withColumnRenamed("node", "key"), "key", "left")
+         .withColumn("comp", F.coalesce("root", "key")).drop("root"))
     each = e.groupBy("token", "comp").count()
-    main = (each.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("m"))
-            .where("m > 1").select("token", "main"))
+    main = (each.groupBy("token").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("m_comps"))
+            .where("m_comps > 1").select("token", "main"))
     e = e.join(main, "token")
-    x = e.where("comp <> main").select("token", F.col("key").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))
-    y = e.select("token", F.col("key").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"), "main")
-    return (x.join(y, "token").where("cx <> cy and (cy = main or x < y)")
-            .where(100 * F.least("sx", "sy") >= rule.num * F.greatest("sx", "sy"))
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    x = _side(e.where("comp <> main").drop("main"), "x").withColumn("high", F.least(high, F.floor(F.col("xsize") / (rule.num / 100)))).where(F.col("high") >= low)
+    x = x.withColumn("band", F.explode(F.sequence(band(low) - 1, band(F.col("high")) + 1)))
+    y = _side(e, "y").withColumn("band", band(F.col("ysize")))
+    return (x.join(y, ["token", "band"]).where("xcomp <> ycomp and (ycomp = ymain or xkey < ykey)")
+            .where(rule.num * F.greatest("xsize", "ysize") <= 100 * F.least("xsize", "ysize")).where(_partner(rule, "x", "y"))
+            .select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")).distinct())
+
+
+_MASK = (1 << BITS) - 1
+
+
+def _unpack_bits(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
 
 
-def _wanted(pairs: DataFrame) -> bytes:
-    """Bit filter of the keys in ``pairs``: 2^BITS bits at most 16 times, whatever their number."""
+def _wanted(keys: DataFrame) -> bytes:
+    """Bit filter of the keys in all columns: 2^BITS bits at most 16 times, whatever their number."""
 
     def run(batches):
         bits = np.zeros(1 << BITS, bool)
         for b in batches:
             for c in b.columns:
-                bits[c.to_numpy(zero_copy_only=False) & ((1 << BITS) - 1)] = True
+                bits[c.to_numpy(zero_copy_only=False) & _MASK] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)])], ["bits"])
 
     total = np.zeros(1 << (BITS - 3), np.uint8)
-    for row in pairs.select("a", "b").coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in keys.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
     return total.tobytes()
 
@@ -344,13 +398,13 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
     spark = rows.sparkSession
     n = pairs.count()
     side = max(8, int(np.ceil(np.sqrt(n / per_cell))))
-    bits = spark.sparkContext.broadcast(_wanted(pairs))
+    bits = spark.sparkContext.broadcast(_wanted(pairs.select("a", "b")))
     cell = lambda: (F.pmod("a", F.lit(side)) * side + F.pmod("b", F.lit(side))).alias("cell")
 
     def pick(batches):
-        want = np.unpackbits(np.frombuffer(bits.value, np.uint8)).view(bool)
+        want = _unpack_bits(bits.value)
         for b in batches:
-            got = {k: s for k, s in sets(b) if k and want[k & ((1 << BITS) - 1)]}
+            got = {k: s for k, s in sets(b) if k and want[k & _MASK]}
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([np.sort(s).tobytes() for s in got.values()], pa.binary())], ["key", "s"])
 
@@ -369,11 +423,12 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
 def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame | None:
     """Edges (a, b) of similar sets: as many as keep every component whole."""
     parts = max(64, total // (1 << 21))
-    matched = materialise(match(postings(rows, sets, rule, parts), rule, parts), "matched")
+    matched = materialise(match(postings(rows, sets, rule.prefix, parts), rule, parts), "matched")
     counts = materialise(frequent_parts(matched, rule), "frequent")
-    first = materialise(rare_pairs(matched, counts, rule), "pairs")
+    index = materialise(entries(counts, rows, sets, rule), "entries")
+    first = materialise(rare_pairs(matched, counts, rule).unionByName(star_pairs(index, rule)).distinct(), "pairs")
     found = materialise(verify(first, rows, sets, rule), "links")
-    more = materialise(frequent_pairs(counts, components(found), rule).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(frequent_pairs(index, components(found), rule).join(first, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return found
     return found.unionByName(materialise(verify(more, rows, sets, rule), "links"))
