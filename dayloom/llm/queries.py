@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dayloom.llm import op5_jaccard
+from dayloom.llm import op2_tokens, op5_jaccard, op7_packing
 
 QUERIES = {
+    "op2_tokens": op2_tokens.query,
     "op5_jaccard": op5_jaccard.query,
+    "op7_packing": op7_packing.query,
 }
 SQL: dict[str, str] = {}
