@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dayloom.llm import op2_tokens, op5_jaccard, op7_packing
+from dayloom.llm import op2_tokens, op3_contamination, op5_jaccard, op7_packing
 
 QUERIES = {
     "op2_tokens": op2_tokens.query,
+    "op3_contamination": op3_contamination.query,
     "op5_jaccard": op5_jaccard.query,
     "op7_packing": op7_packing.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op3_contamination": op3_contamination.SQL}
