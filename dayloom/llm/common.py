@@ -100,7 +100,13 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: str =
 
 
 def words(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word and the number of words before each row.
+    """64-bit hash of each word and the number of words before each row."""
+    h, first, _ = word_places(t, sep, segment)
+    return h, np.searchsorted(first, t.off)
+
+
+def word_places(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of each word.
 
     A word is a run of bytes that ``sep`` does not mark, with A-Z lower-cased.
     The bytes are worked on in segments that end between words, so a text of
@@ -109,7 +115,7 @@ def words(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray,
     low = lower_table()
     cut = np.zeros(len(t.data) + 1, bool)
     cut[t.off] = True
-    hashes, firsts = [], []
+    hashes, firsts, lasts = [], [], []
     at, end = 0, len(t.data)
     while at < end:
         to = min(end, at + segment)
@@ -127,11 +133,11 @@ def words(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray,
         np.cumsum((low[raw].astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=total[1:])
         hashes.append(mix((total[e] - total[s]) * down[s]))
         firsts.append(s + at)
+        lasts.append(e + at)
         at = to
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(t.off), np.int64)
-    first = np.concatenate(firsts)
-    return np.concatenate(hashes), np.searchsorted(first, t.off)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts)
 
 
 def shingle_sets(t: Texts, k: int = 5) -> list[np.ndarray]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from dayloom.llm import op2_tokens, op3_contamination, op5_jaccard, op7_packing, op8_quality
+from dayloom.llm import op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op6_chat, op7_packing, op8_quality
 
 QUERIES = {
     "op2_tokens": op2_tokens.query,
     "op3_contamination": op3_contamination.query,
+    "op4_substrings": op4_substrings.query,
     "op5_jaccard": op5_jaccard.query,
+    "op6_chat": op6_chat.query,
     "op7_packing": op7_packing.query,
     "op8_quality": op8_quality.query,
 }
