@@ -104,6 +104,20 @@ def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return bins, offsets, np.array(gaps, np.int64)
 
 
+def _packer(size: int, turn: int, last: bool):
+    """Packs one block; unless it is the last, one bin in sixteen, the emptiest, is given up again."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_row", ignore_index=True)
+        bins, offset, gaps = place(pdf["length"].to_numpy(), size)
+        worst = np.zeros(len(gaps), bool)
+        if not last:
+            worst[np.argsort(-gaps, kind="stable")[:max(1, len(gaps) // 16)]] = True
+        return pdf.drop(columns="_part").assign(sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offset, again=worst[bins])
+
+    return run
+
+
 def pack(lengths: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """``lengths`` (column ``length``, 1 to ``size``) with ``sequence_id`` and the gapless ``offset`` in that sequence.
 
@@ -123,16 +137,8 @@ def pack(lengths: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
             break
         blocks = -(-n // block)
 
-        def run(key, pdf: pd.DataFrame, last=blocks == 1, turn=turn) -> pd.DataFrame:
-            pdf = pdf.sort_values("_row", ignore_index=True)
-            bins, offset, gaps = place(pdf["length"].to_numpy(), size)
-            worst = np.zeros(len(gaps), bool)
-            if not last:
-                worst[np.argsort(-gaps, kind="stable")[:max(1, len(gaps) // 16)]] = True
-            return pdf.drop(columns="_part").assign(sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offset, again=worst[bins])
-
         out = materialise(todo.withColumn("_part", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(blocks)).cast("int"))
-                          .groupBy("_part").applyInPandas(run, types), "packed")
+                          .groupBy("_part").applyInPandas(_packer(size, turn, blocks == 1), types), "packed")
         done.append(out.where("not again").select(*fields, "sequence_id", "offset"))
         if blocks == 1:
             break
