@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ def _sets(k: int):
             for s in shingle_sets(Texts(part.column(part.schema.get_field_index("text"))), k):
                 if len(s):
                     out[set_key(s)] = s
-        return list(out.items())
+        found = list(out.values())
+        return np.array(list(out), np.int64), np.array([len(s) for s in found], np.int64), np.concatenate([*found, np.zeros(0, np.uint64)])
     return sets
 
 

@@ -41,7 +41,8 @@ RARE = 32  # the longest list of a rare token
 FLUSH = 1 << 21  # postings packed at once in a task
 BITS = 25  # of the filter on wanted sets
 
-Sets = Callable[[pa.RecordBatch], list[tuple[int, np.ndarray]]]
+# Of a batch the keys of its sets, each once, their sizes, and their tokens one set after the other, in the order of the prefixes.
+Sets = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 _U, _I, _N = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 
@@ -49,8 +50,8 @@ _U, _I, _N = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 class Rule:
     """Similarity of at least num / 100, and the lengths that follow from it."""
 
-    def __init__(self, num: int = 75):
-        self.num = num
+    def __init__(self, num: int = 75, extra: int = 12):
+        self.num, self.more = num, extra
 
     def least(self, n):
         """ceil(t n): the least overlap of a set of n tokens with a similar one."""
@@ -58,7 +59,7 @@ class Rule:
 
     def extra(self, n):
         """K for a set of n tokens: it grows with n and never exceeds the least overlap."""
-        return np.minimum(self.least(n), np.maximum(12, n // 24))
+        return np.minimum(self.least(n), np.maximum(self.more, n // 24))
 
     def prefix(self, n):
         return n - self.least(n) + self.extra(n)
@@ -69,7 +70,7 @@ class Rule:
 
     def shared_sql(self, a: str, b: str):
         def extra(c):
-            return F.least(F.expr(f"({self.num} * {c} + 99) div 100"), F.greatest(F.lit(12), F.expr(f"{c} div 24")))
+            return F.least(F.expr(f"({self.num} * {c} + 99) div 100"), F.greatest(F.lit(self.more), F.expr(f"{c} div 24")))
         return F.least(extra(a), extra(b))
 
     def sizes(self, a, b):
@@ -105,7 +106,7 @@ def _count_pairs(a, b, na, nb):
     return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
 
 
-def postings(rows: DataFrame, sets: Sets, take: Callable[[int], int], parts: int, bits=None) -> DataFrame:
+def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarray], parts: int, bits=None) -> DataFrame:
     """Packed postings (token, set key, set size) of the first ``take(size)`` tokens of each set, by part of the token.
 
     With ``bits`` (a broadcast filter) only of sets that pass it.
@@ -151,18 +152,17 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[int], int], parts: int
 
         want = None if bits is None else _unpack_bits(bits.value)
         for b in batches:
-            for k, s in sets(b):
-                m = int(take(len(s)))
-                if not m or want is not None and not want[k & _MASK]:
-                    continue
-                tok.append(s[:m])
-                key.append(np.full(m, k, _I))
-                n.append(np.full(m, len(s), _N))
-                held += m
-                if held >= FLUSH:
-                    yield out()
-                    salt, held = salt + 1, 0
-                    tok, key, n = [], [], []
+            k, size, s = sets(b)
+            m = take(size) if want is None else np.where(want[k & _MASK], take(size), 0)
+            use = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(m, size)
+            tok.append(s[use])
+            key.append(np.repeat(k, m))
+            n.append(np.repeat(size, m))
+            held += len(key[-1])
+            if held >= FLUSH:
+                yield out()
+                salt, held = salt + 1, 0
+                tok, key, n = [], [], []
         if held:
             yield out()
 
@@ -404,9 +404,12 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
     def pick(batches):
         want = _unpack_bits(bits.value)
         for b in batches:
-            got = {k: s for k, s in sets(b) if k and want[k & _MASK]}
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array([np.sort(s).tobytes() for s in got.values()], pa.binary())], ["key", "s"])
+            k, size, s = sets(b)
+            end = np.cumsum(size)
+            got = np.flatnonzero(want[k & _MASK])
+            if len(got):
+                packed = [np.sort(s[end[i] - size[i]:end[i]]).tobytes() for i in got]
+                yield pa.RecordBatch.from_arrays([pa.array(k[got], pa.int64()), pa.array(packed, pa.binary())], ["key", "s"])
 
     placed = pairs.select(F.explode(F.array("a", "b")).alias("key"), cell()).distinct()
     have = rows.mapInArrow(pick, "key long, s binary").dropDuplicates(["key"])
