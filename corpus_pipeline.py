@@ -4,20 +4,47 @@ from __future__ import annotations
 
 import os
 
-from dayloom.llm import op5_jaccard
+import public_tokenizers
+
+from dayloom.llm import op3_contamination, op5_jaccard, op7_packing, op8_quality, op10_lines
+from dayloom.llm.common import read
 from dayloom.session import materialise
 
 
+def quality(spark, docs, sf_dir):
+    """Documents that the classifier rejects go."""
+    return op8_quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def lines(spark, docs, sf_dir):
+    """Lines that match an earlier line go; every document stays, and n_chars is that of the text left."""
+    return op10_lines.drop_lines(docs)
+
+
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group of near copies stays: the one with the smallest id."""
     return op5_jaccard.keep_one(docs)
 
 
+def decontaminate(spark, docs, sf_dir):
+    """Documents go in which benchmark passages make up a twentieth of the words or more."""
+    return op3_contamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark, docs, sf_dir):
+    """The token sequences: one row for each piece of a document with its place."""
+    return op7_packing.pack_documents(docs, public_tokenizers.path(op7_packing.MODEL))
+
+
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
     ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("best-fit packing", pack),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # a trained model and token ids are not SQL; tests hold the stages against brute force
 
 
 def run(spark, sf_dir):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dayloom.llm import op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op6_chat, op7_packing, op8_quality
+from dayloom.llm import (
+    op1_neighbours, op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op6_chat, op7_packing, op8_quality, op9_secrets, op10_lines,
+)
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours.query,
     "op2_tokens": op2_tokens.query,
     "op3_contamination": op3_contamination.query,
     "op4_substrings": op4_substrings.query,
@@ -12,5 +15,7 @@ QUERIES = {
     "op6_chat": op6_chat.query,
     "op7_packing": op7_packing.query,
     "op8_quality": op8_quality.query,
+    "op9_secrets": op9_secrets.query,
+    "op10_lines": op10_lines.query,
 }
 SQL: dict[str, str] = {"op3_contamination": op3_contamination.SQL}
