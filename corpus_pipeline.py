@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from dayloom.llm import op3_contamination, op5_jaccard, op7_packing, op8_quality, op10_lines
 from dayloom.llm.common import read
@@ -18,7 +19,8 @@ def quality(spark, docs, sf_dir):
 
 def lines(spark, docs, sf_dir):
     """Lines that match an earlier line go; every document stays, and n_chars is that of the text left."""
-    return op10_lines.drop_lines(docs)
+    kept = op10_lines.drop_lines(docs)
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):

@@ -63,7 +63,7 @@ def near_groups(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY) -
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one that names it."""
+    """``docs`` with one document of each group: the one that names it, with all rows of its id. Rows without an id stay."""
     groups = near_groups(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti").select(docs.columns)
 

@@ -191,7 +191,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = METADATA, t
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those that the classifier rejects."""
+    """``docs`` without those that the classifier rejects; all rows of an id go if one of them is rejected, rows without an id stay."""
     bad = score(docs, train(docs, labels)).where("predicted = 0").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
