@@ -57,10 +57,11 @@ def anchors(items: DataFrame, seen: DataFrame, rarest: int) -> DataFrame:
 def alignments(post: DataFrame, marks: DataFrame) -> DataFrame:
     """(doc, row, delta) where all the rarest terms of some window stand at their offsets: delta is the item's place in the text."""
     need = marks.withColumn("group", F.xxhash64("row", "terms")).withColumn("need", F.size("terms"))
-    each = need.select("row", "group", "need", F.explode("terms").alias("t")).select("row", "group", "need", F.col("t.term").alias("term"), F.col("t.at").alias("at"))
-    return (post.join(each, "term").select("doc", "row", "group", "need", (F.col("pos") - F.col("at")).alias("delta"))
-            .groupBy("doc", "row", "group", "delta").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-            .where("n = need").select("doc", "row", "delta").distinct())
+    each = need.select("row", "group", "need", F.posexplode("terms").alias("nth", "t")).select(
+        "row", "group", "need", F.expr("shiftleft(1, nth)").alias("bit"), F.col("t.term").alias("term"), F.col("t.at").alias("at"))
+    return (post.join(each, "term").select("doc", "row", "group", "need", "bit", (F.col("pos") - F.col("at")).alias("delta"))
+            .groupBy("doc", "row", "group", "delta").agg(F.bit_or("bit").alias("bits"), F.first("need").alias("need"))
+            .where("bits = shiftleft(1, need) - 1").select("doc", "row", "delta").distinct())
 
 
 def phrase_matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, rarest: int = RAREST) -> DataFrame:
