@@ -15,6 +15,7 @@ from dayloom.llm.common import _R, Texts, chunks, mix, read, white_table, word_p
 from dayloom.session import materialise
 
 SIMILARITY, MORE = 80, 3  # percent; shared tokens that a pair must have in the prefixes
+RARE = 64  # the longest list of a rare token: signatures make its pairs cheap
 COUNTERS = 20  # bits of the number of counters that order tokens by rarity
 FLUSH = 1 << 19  # lines packed at once in a task
 
@@ -178,7 +179,7 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         return np.concatenate(keys), np.concatenate(sizes), np.concatenate(tokens)
 
     placed = materialise(places(docs, table, parts), "places")
-    edges = setjoin.links(keyed.select("_text"), sets, setjoin.Rule(similarity, MORE), size // 8, graph.components)
+    edges = setjoin.links(keyed.select("_text"), sets, setjoin.Rule(similarity, MORE, signed=True, rare=RARE), size // 8, graph.components)
     linked = _linked(placed.where("kind = 'first'"), materialise(graph.components(edges), "roots"))
 
     def pack(batches):

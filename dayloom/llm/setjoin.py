@@ -50,8 +50,8 @@ _U, _I, _N = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 class Rule:
     """Similarity of at least num / 100, and the lengths that follow from it."""
 
-    def __init__(self, num: int = 75, extra: int = 12):
-        self.num, self.more = num, extra
+    def __init__(self, num: int = 75, extra: int = 12, signed: bool = False, rare: int = RARE):
+        self.num, self.more, self.signed, self.rare = num, extra, signed, rare
 
     def least(self, n):
         """ceil(t n): the least overlap of a set of n tokens with a similar one."""
@@ -76,6 +76,17 @@ class Rule:
     def sizes(self, a, b):
         return 100 * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
+    def near(self, a, b, g, h):
+        """Sizes and 64-bit signatures that a similar pair can have.
+
+        Each token flips one bit of its set's signature, so the bits that
+        differ are no more than the tokens that only one of the sets has.
+        """
+        ok = self.sizes(a, b)
+        if self.signed:
+            ok &= np.bitwise_count(g ^ h).astype(np.int64) * (100 + self.num) <= (100 - self.num) * (a + b)
+        return ok
+
     def similar(self, x: np.ndarray, y: np.ndarray) -> bool:
         if len(x) > len(y):
             x, y = y, x
@@ -86,7 +97,7 @@ class Rule:
         return 100 * both >= self.num * (len(x) + len(y) - both)
 
 
-_PACKED = "p int, kind string, t binary, k binary, n binary"
+_PACKED = "p int, kind string, t binary, k binary, n binary, g binary"
 _JOINED = "kind string, a long, b long, na int, nb int, c int, q int, t binary, k binary, n binary"
 
 
@@ -106,48 +117,47 @@ def _count_pairs(a, b, na, nb):
     return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
 
 
-def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarray], parts: int, bits=None) -> DataFrame:
-    """Packed postings (token, set key, set size) of the first ``take(size)`` tokens of each set, by part of the token.
+def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarray], parts: int, bits=None, signed: bool = False, rare: int = RARE) -> DataFrame:
+    """Packed postings (token, set key, set size, signature if ``signed``) of the first ``take(size)`` tokens of each set, by part of the token.
 
     With ``bits`` (a broadcast filter) only of sets that pass it.
     """
 
-    def pack(p, kind, tok, key, n):
-        return p, kind, tok.astype(_U).tobytes(), key.astype(_I).tobytes(), n.astype(_N).tobytes()
+    def pack(p, kind, tok, key, n, g):
+        return p, kind, tok.astype(_U).tobytes(), key.astype(_I).tobytes(), n.astype(_N).tobytes(), g.tobytes() if signed else b""
 
-    def flush(tok, key, n, salt):
-        tok, key, n = np.concatenate(tok), np.concatenate(key), np.concatenate(n)
+    def flush(held, salt):
+        tok, key, n, g = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((key, tok))
-        tok, key, n = tok[order], key[order], n[order]
+        tok, key, n, g = tok[order], key[order], n[order], g[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-        tok, key, n = tok[new], key[new], n[new]
+        tok, key, n, g = tok[new], key[new], n[new], g[new]
         start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         many = np.diff(np.append(start, len(tok)))
-        hot = np.repeat(many > RARE, many)
+        hot = np.repeat(many > rare, many)
         out = []
         if hot.any():
-            t, k, s = tok[hot], key[hot], n[hot]
-            out.append(pack(salt % parts, "hot", t, k, s))
+            t, k, s, x = tok[hot], key[hot], n[hot], g[hot]
+            out.append(pack(salt % parts, "hot", t, k, s, x))
             first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            out += by_part("mark", t[first], k[first], s[first])
-        return out + by_part("post", tok[~hot], key[~hot], n[~hot])
+            out += by_part("mark", t[first], k[first], s[first], x[first])
+        return out + by_part("post", tok[~hot], key[~hot], n[~hot], g[~hot])
 
-    def by_part(kind, tok, key, n):
+    def by_part(kind, tok, key, n, g):
         part = (tok % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((key, part))
-        part, tok, key, n = part[order], tok[order], key[order], n[order]
+        part, tok, key, n, g = part[order], tok[order], key[order], n[order], g[order]
         at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-        return [pack(int(part[i]), kind, tok[i:j], key[i:j], n[i:j]) for i, j in zip(at, [*at[1:], len(part)])]
+        return [pack(int(part[i]), kind, tok[i:j], key[i:j], n[i:j], g[i:j]) for i, j in zip(at, [*at[1:], len(part)])]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        names = ["p", "kind", "t", "k", "n"]
-        salt, held = TaskContext.get().partitionId() * 7919, 0
-        tok, key, n = [], [], []
+        names = ["p", "kind", "t", "k", "n", "g"]
+        salt, many, held = TaskContext.get().partitionId() * 7919, 0, []
 
         def out():
-            cols = list(zip(*flush(tok, key, n, salt)))
-            types = [pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()]
+            cols = list(zip(*flush(held, salt)))
+            types = [pa.int32(), pa.string(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         want = None if bits is None else _unpack_bits(bits.value)
@@ -155,15 +165,16 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
             k, size, s = sets(b)
             m = take(size) if want is None else np.where(want[k & _MASK], take(size), 0)
             use = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(m, size)
-            tok.append(s[use])
-            key.append(np.repeat(k, m))
-            n.append(np.repeat(size, m))
-            held += len(key[-1])
-            if held >= FLUSH:
+            g = np.zeros(len(k), np.uint64)
+            if signed and len(s):
+                full = size > 0
+                g[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(s) & np.uint64(63)), (np.cumsum(size) - size)[full])
+            held.append((s[use], np.repeat(k, m), np.repeat(size, m), np.repeat(g, m)))
+            many += len(held[-1][0])
+            if many >= FLUSH:
                 yield out()
-                salt, held = salt + 1, 0
-                tok, key, n = [], [], []
-        if held:
+                salt, many, held = salt + 1, 0, []
+        if many:
             yield out()
 
     return rows.mapInArrow(run, _PACKED)
@@ -206,17 +217,19 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
             t, k, n = _unpack(hot.loc[[row.name]])
             out.append(frequent(t, k, n))
         marks = _unpack(pdf[pdf["kind"] == "mark"])
-        tok, key, n = _unpack(pdf[pdf["kind"] == "post"])
+        post = pdf[pdf["kind"] == "post"]
+        tok, key, n = _unpack(post)
+        g = np.frombuffer(b"".join(post["g"]), _U) if rule.signed else np.zeros(len(tok), _U)
         known = np.unique(marks[0])
         order = np.lexsort((key, tok))
-        tok, key, n = tok[order], key[order], n[order]
+        tok, key, n, g = tok[order], key[order], n[order], g[order]
         if len(tok):
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-            tok, key, n = tok[new], key[new], n[new]
+            tok, key, n, g = tok[new], key[new], n[new], g[new]
             start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             many = np.diff(np.append(start, len(tok)))
-            often = (many > RARE) | np.isin(tok[start], known)
+            often = (many > rule.rare) | np.isin(tok[start], known)
             each = np.repeat(often, many)
             if each.any():
                 out.append(frequent(tok[each], key[each], n[each]))
@@ -230,7 +243,7 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
                 for at in range(0, len(runs), step):
                     x = (runs[at:at + step, None] + i).ravel()
                     y = (runs[at:at + step, None] + j).ravel()
-                    use = rule.sizes(n[x], n[y])
+                    use = rule.near(n[x], n[y], g[x], g[y])
                     x, y = x[use], y[use]
                     found.append((key[x], key[y], n[x], n[y]))
             if found:
@@ -426,7 +439,7 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
 def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame | None:
     """Edges (a, b) of similar sets: as many as keep every component whole."""
     parts = max(64, total // (1 << 21))
-    matched = materialise(match(postings(rows, sets, rule.prefix, parts), rule, parts), "matched")
+    matched = materialise(match(postings(rows, sets, rule.prefix, parts, signed=rule.signed, rare=rule.rare), rule, parts), "matched")
     counts = materialise(frequent_parts(matched, rule), "frequent")
     index = materialise(entries(counts, rows, sets, rule), "entries")
     first = materialise(rare_pairs(matched, counts, rule).unionByName(star_pairs(index, rule)).distinct(), "pairs")
