@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -57,7 +58,8 @@ def norm_label_ascii(c: Column, prefixes: list[str] = ()) -> Column:
     """Whitespace dropped, listed prefixes stripped, lower case."""
     out = F.lower(F.regexp_replace(c, r"\s+", ""))
     for prefix in prefixes:
-        out = F.when(F.startswith(out, F.lit(prefix)), F.substring(out, len(prefix) + 1, 1 << 20)).otherwise(out)
+        quoted = "^" + re.sub(r"(\W)", r"\\\1", prefix)
+        out = F.regexp_replace(out, quoted, "")
     return out
 
 

@@ -331,10 +331,10 @@ def shrunk(df: DataFrame, by: Sequence[str], prior_n: float = 30.0) -> DataFrame
         X.shrink(F.col("_k"), F.col("n"), F.col("_site_win"), prior_n).alias("eb_rate"))
 
 
-def pivot_rank_day(picks: DataFrame, days: Sequence[str], value: str = "metric") -> DataFrame:
-    """Rank by day matrix with a row total; the day list is given, so no extra job finds it."""
-    cols = [F.sum(F.when(F.col("day") == F.lit(d).cast("date"), F.col(value))).alias(d) for d in days]
-    return picks.groupBy("site", "rank").agg(*cols, F.sum(value).alias("row_total"))
+def pivot_rank_day(picks: DataFrame, value: str = "metric") -> DataFrame:
+    """Rank by day matrix in long form, one row for each cell, with the total of the rank: every day of the picks has its cell."""
+    cells = picks.groupBy(*DAY, "rank").agg(F.sum(value).alias("value"))
+    return cells.withColumn("row_total", F.sum("value").over(Window.partitionBy("site", "rank")))
 
 
 def evaluate_topn(picks: DataFrame, actual: DataFrame, bands: Sequence[tuple[str, int, int]], t: float = T[1],

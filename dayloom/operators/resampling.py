@@ -81,12 +81,47 @@ def signflip_test(series: DataFrame, by: Sequence[str], value: str, reps: int, s
 
 
 EXACT_LIMIT = 20
+GRID, REACH = 100, 5_000_000  # steps of a unit, and the most sums that are counted
+
+
+def _sums_test(x: DataFrame, by: list[str], value: str) -> DataFrame:
+    """p of all sign patterns from the number of ways to reach each sum, for values on a grid of 1 / GRID.
+
+    A group's distinct sizes with their counts are all that meets in a task,
+    and the sums are at most REACH; other groups are refused by name.
+    """
+    import numpy as np
+    import pandas as pd
+
+    sizes = x.withColumn("_g", F.round(F.abs(value) * GRID)).withColumn("_off", F.abs(F.abs(value) * GRID - F.col("_g")) > 1e-6)
+    sums = sizes.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.signum(value)).alias("_net"), F.bool_or("_off").alias("_off"))
+    fields = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        g, m = pdf["_g"].to_numpy(np.int64), pdf["_m"].to_numpy(np.int64)
+        top = int((g * m).sum())
+        if pdf["_off"].any() or top > REACH:
+            raise ValueError(f"group {dict(zip(by, key))}: over {EXACT_LIMIT} values that are not on a grid of 1/{GRID} or reach over {REACH} sums; use signflip_test")
+        share = np.zeros(2 * top + 1)
+        share[top] = 1.0
+        for v, k in zip(g, m):
+            for _ in range(int(k)):
+                share = 0.5 * (np.roll(share, v) + np.roll(share, -v))
+        seen = int(abs((g * pdf["_net"].to_numpy(np.int64)).sum()))
+        far = share[:top - seen + 1].sum() + share[top + seen:].sum() if seen else 1.0
+        patterns = 2.0 ** int(m.sum())
+        p = (far * patterns + 1) / (patterns + 1) if np.isfinite(patterns) else far
+        return pd.DataFrame([[*key, p]], columns=[*by, "p_value"])
+
+    return sums.groupBy(*by).applyInPandas(run, f"{fields}, p_value double")
 
 
 def exact_sign_test(series: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """All 2^n sign patterns for groups of at most 20 non-zero values; null p beyond that.
+    """p over all 2^n sign patterns of the non-zero values.
 
-    Groups over the limit are filtered out before their values are gathered.
+    Up to 20 values the patterns are enumerated; beyond that their sums are
+    counted, which needs values on a grid. A group that allows neither stops
+    the query with its name.
     """
     by = list(by)
     x = series.where(F.col(value) != 0)
@@ -103,7 +138,8 @@ def exact_sign_test(series: DataFrame, by: Sequence[str], value: str) -> DataFra
     plain = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v)
     g = masks.withColumns({"_s": X.rank_key(F.abs(flipped)), "_o": X.rank_key(F.abs(plain))}).groupBy(*by).agg(
         ((F.count_if(F.col("_s") >= F.col("_o")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
-    return size.join(g, by, "left")
+    large = _sums_test(x.join(size.where(F.col("n") > EXACT_LIMIT).select(*by), by), by, value)
+    return size.join(g.select(*by, "p_value").unionByName(large), by)
 
 
 def cohens_d(series: DataFrame, by: Sequence[str], value: str) -> DataFrame:

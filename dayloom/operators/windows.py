@@ -215,21 +215,19 @@ def segments(df: DataFrame) -> DataFrame:
         "segment_id", F.sum((F.col("break_reason") != "").cast("int")).over(run))
 
 
-def prior_streak(df: DataFrame, cap: int = 6, named: int = 5) -> DataFrame:
-    """Exact streak before each row inside its segment (looks back ``cap`` rows), and its W/L name."""
+def prior_streak(df: DataFrame, named: int = 5) -> DataFrame:
+    """Length of the streak before each row inside its segment, and the W/L name of those up to ``named``."""
     w = Window.partitionBy(*ENTITY, "segment_id").orderBy("day")
-    x = segments(df)
-    lags = [F.lag("wl", i).over(w) for i in range(1, cap + 1)]
-    x = x.withColumn("_l", F.array(*lags))
-    same = F.transform("_l", lambda v: F.coalesce(v == F.col("_l")[0], F.lit(False)))
-    x = x.withColumn("_stop", F.array_position(same, F.lit(False)))
-    length = F.when(F.col("_l")[0].isNull(), 0).when(F.col("_stop") == 0, cap).otherwise(F.col("_stop") - 1)
-    x = x.withColumn("streak", length.cast("int"))
+    x = segments(df).withColumn("_l", F.array(*[F.lag("wl", i).over(w) for i in (1, 2, 3)]))
+    turned = F.coalesce(F.col("wl") != F.col("_l")[0], F.lit(True)).cast("int")
+    x = x.withColumn("_run", F.sum(turned).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy(*ENTITY, "segment_id", "_run").orderBy("day"))
+    x = x.withColumn("_place", place).withColumn("streak", F.lag("_place", 1, 0).over(w).cast("int"))
     name = F.when(F.col("streak").between(1, named), F.concat(F.col("_l")[0], F.col("streak").cast("string")))
     pats = {f"pattern_{k}d": F.when(F.col("_l")[k - 1].isNotNull(), F.concat(
         *[F.col("_l")[i] for i in range(k - 1, -1, -1)])) for k in (2, 3)}
     return x.withColumn("streak_label", name).withColumns(pats).withColumn(
-        "has_prior", F.col("_l")[0].isNotNull()).drop("_l", "_stop")
+        "has_prior", F.col("_l")[0].isNotNull()).drop("_l", "_run", "_place")
 
 
 def pattern_summary(df: DataFrame) -> DataFrame:
@@ -301,7 +299,7 @@ def epochs(df: DataFrame, as_of: str | None = None) -> DataFrame:
         F.max(F.when(seen, F.col("day"))).alias("last_observed"))
     span = F.datediff("epoch_end", "epoch_start") + 1
     return e.withColumns({
-        "epoch_id": F.concat_ws(":", F.col("entity_id").cast("string"), F.lpad(F.col("epoch").cast("string"), 4, "0"),
+        "epoch_id": F.concat_ws(":", F.col("entity_id").cast("string"), F.format_string("%04d", "epoch"),
                                 F.date_format("epoch_start", "yyyyMMdd")),
         "missing_days": span - F.col("calendar_days"), "continuous": span == F.col("calendar_days")})
 
@@ -459,25 +457,42 @@ def repeated_runs(r: DataFrame, minimum: int = 2) -> DataFrame:
     ).where(F.col("days") >= minimum)
 
 
+def _pieces(df: DataFrame, by: Sequence[str], block: int) -> DataFrame:
+    """``df`` with the id block and the run inside it (``_block``, ``_g``) of each id; ids are distinct in a group."""
+    e = F.col("entity_id")
+    x = df.withColumn("_block", F.floor(e / block))
+    return x.withColumn("_g", e - F.row_number().over(Window.partitionBy(*by, "_block").orderBy("entity_id")))
+
+
 def islands(df: DataFrame, by: Sequence[str], block: int = 4096) -> DataFrame:
     """Start and end of maximal runs of consecutive ids per group, for groups of any size.
 
     Runs are found inside id blocks. Only the pieces that touch a block border
     (two per block at most) are then chained across blocks.
     """
+    whole = _chained(_pieces(df, by, block), by, block)
+    return whole.select(*by, "start_id", "end_id", "length").distinct()
+
+
+def in_islands(df: DataFrame, by: Sequence[str], block: int = 4096) -> DataFrame:
+    """``df`` with the run that holds each id; a run of any length is spread over its id blocks."""
     by = list(by)
-    e = F.col("entity_id")
-    x = df.withColumn("_block", F.floor(e / block))
-    w = Window.partitionBy(*by, "_block").orderBy("entity_id")
-    piece = x.withColumn("_g", e - F.row_number().over(w)).groupBy(*by, "_block", "_g").agg(
-        F.min("entity_id").alias("start_id"), F.max("entity_id").alias("end_id"))
+    x = _pieces(df, by, block)
+    return x.join(_chained(x, by, block), [*by, "_block", "_g"]).drop("_block", "_g")
+
+
+def _chained(pieces: DataFrame, by: Sequence[str], block: int) -> DataFrame:
+    """The run (start_id, end_id, length) of each piece (``_block``, ``_g``)."""
+    by = list(by)
+    piece = pieces.groupBy(*by, "_block", "_g").agg(F.min("entity_id").alias("start_id"), F.max("entity_id").alias("end_id"))
     border = (F.pmod("start_id", F.lit(block)) == 0) | (F.pmod("end_id", F.lit(block)) == block - 1)
     v = Window.partitionBy(*by).orderBy("start_id")
     new = F.coalesce(F.col("start_id") != F.lag("end_id").over(v) + 1, F.lit(True)).cast("int")
     chained = piece.where(border).withColumn("_new", new).withColumn(
         "_run", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
     joined = chained.groupBy(*by, "_run").agg(F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"))
-    cols = [*by, "start_id", "end_id"]
+    joined = chained.drop("start_id", "end_id").join(joined, [*by, "_run"])
+    cols = [*by, "_block", "_g", "start_id", "end_id"]
     return piece.where(~border).select(*cols).unionByName(joined.select(*cols)).withColumn(
         "length", F.col("end_id") - F.col("start_id") + 1)
 
@@ -485,10 +500,7 @@ def islands(df: DataFrame, by: Sequence[str], block: int = 4096) -> DataFrame:
 def maximal_runs(df: DataFrame, hit: Column, minimum: int = 2) -> DataFrame:
     """Longest runs of adjacent qualifying ids per day, with their totals."""
     good = df.where(hit)
-    isles = islands(good, DAY).where(F.col("length") >= minimum)
-    ids = isles.select(*DAY, "start_id", "end_id", "length", F.explode(
-        F.sequence("start_id", "end_id")).alias("entity_id"))
-    return ids.join(good, [*DAY, "entity_id"]).groupBy(*DAY, "start_id", "end_id", "length").agg(
+    return in_islands(good, DAY).where(F.col("length") >= minimum).groupBy(*DAY, "start_id", "end_id", "length").agg(
         F.sum("metric").alias("total"), F.avg("metric").alias("mean"))
 
 
@@ -513,9 +525,7 @@ def edge_bucket(d: Column) -> Column:
 
 def number_runs(ids: DataFrame) -> DataFrame:
     """Run id, position, run length and distance to the nearer run end for every entity id."""
-    isles = islands(ids.select(*ENTITY).distinct(), SITE)
-    out = isles.select(*SITE, F.col("start_id").alias("run_id"), "length", F.explode(
-        F.sequence("start_id", "end_id")).alias("entity_id")).withColumn(
+    out = in_islands(ids.select(*ENTITY).distinct(), SITE).withColumnRenamed("start_id", "run_id").drop("end_id").withColumn(
         "position", F.col("entity_id") - F.col("run_id") + 1)
     dist = F.least(F.col("position") - 1, F.col("length") - F.col("position"))
     return out.withColumn("edge_distance", dist).withColumn("edge_bucket", edge_bucket(F.col("edge_distance")))

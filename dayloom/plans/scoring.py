@@ -455,8 +455,9 @@ def _(spark, d):
 
 @query("I26_inventory_flags", "entity_id:i label:s changed:b stable:b new_label:b mixed_history:b", """
 SELECT n.entity_id, n.label, NOT coalesce(bool_and(p.label=n.label) FILTER (r=2), false) changed,
- count(*) FILTER (r<=2 AND p.label=n.label)>=2 stable, false new_label, count(*) FILTER (p.label<>n.label)>0 mixed_history
+ count(*) FILTER (r<=7 AND p.label=n.label)>=7 stable,
+ n.label NOT IN (SELECT label FROM panel WHERE day<(SELECT max(day) FROM panel)) new_label, count(*) FILTER (p.label<>n.label)>0 mixed_history
 FROM (SELECT entity_id, label FROM panel WHERE day=(SELECT max(day) FROM panel)) n JOIN (
  SELECT *, dense_rank() OVER (ORDER BY day DESC) r FROM panel) p USING (entity_id) GROUP BY 1, 2""", P)
 def _(spark, d):
-    return SC.inventory_flags(panel(spark, d), 2)
+    return SC.inventory_flags(panel(spark, d), 7)

@@ -92,15 +92,10 @@ def _(spark, d):
     return K.shortlist(SC.score(feats(spark, d, ()), SC.BASE_WEIGHTS), busy, 3)
 
 
-DAYS = [f"2024-01-{k:02d}" for k in range(1, 31)]
-
-
-@query("E15_pivot_rank_day", "rank:i row_total:f " + " ".join(f"d{k:02d}:f" for k in range(1, 31)),
-       "SELECT rank, sum(metric) row_total, " + ", ".join(
-           f"sum(metric) FILTER (day=DATE '{x}') d{x[-2:]}" for x in DAYS) + " FROM picks GROUP BY 1", PICKS)
+@query("E15_pivot_rank_day", "rank:i day:d value:f row_total:f",
+       "SELECT rank, day, sum(metric) AS value, sum(sum(metric)) OVER (PARTITION BY rank) row_total FROM picks GROUP BY 1, 2", PICKS)
 def _(spark, d):
-    m = A.pivot_rank_day(picks(spark, d), DAYS)
-    return m.select("rank", "row_total", *[F.col(f"`{x}`").alias(f"d{x[-2:]}") for x in DAYS])
+    return A.pivot_rank_day(picks(spark, d))
 
 
 @query("E33_evaluate_topn", EVAL_SPEC, eval_sql("picks"), S.chain(PICKS, POP))

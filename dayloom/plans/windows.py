@@ -117,10 +117,11 @@ def _(spark, d):
 
 STREAK = """strk AS (SELECT *, CASE WHEN streak BETWEEN 1 AND 5 THEN l1 || streak END streak_label,
   l2 || l1 AS p2, l3 || l2 || l1 AS p3 FROM (
- SELECT *, CASE WHEN l1 IS NULL THEN 0 WHEN l2 IS NULL OR l2<>l1 THEN 1 WHEN l3 IS NULL OR l3<>l1 THEN 2
-  WHEN l4 IS NULL OR l4<>l1 THEN 3 WHEN l5 IS NULL OR l5<>l1 THEN 4 WHEN l6 IS NULL OR l6<>l1 THEN 5 ELSE 6 END streak
- FROM (SELECT *, lag(wl,1) OVER s AS l1, lag(wl,2) OVER s AS l2, lag(wl,3) OVER s AS l3, lag(wl,4) OVER s AS l4,
-   lag(wl,5) OVER s AS l5, lag(wl,6) OVER s AS l6 FROM seg WINDOW s AS (PARTITION BY entity_id, sid ORDER BY day))))"""
+ SELECT *, coalesce(lag(place) OVER (PARTITION BY entity_id, sid ORDER BY day), 0) streak FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_id, sid, grp ORDER BY day) place FROM (
+   SELECT *, row_number() OVER s - row_number() OVER (PARTITION BY entity_id, sid, wl ORDER BY day) || wl AS grp,
+    lag(wl,1) OVER s AS l1, lag(wl,2) OVER s AS l2, lag(wl,3) OVER s AS l3
+   FROM seg WINDOW s AS (PARTITION BY entity_id, sid ORDER BY day)))))"""
 PSTR = S.chain(PSEG, STREAK)
 
 

@@ -65,7 +65,7 @@ def main(argv):
 
     sf = argv[0] if argv else "0.01"
     prefixes = argv[1:]
-    folder = f"/root/testdata/sf{sf}"
+    folder = sf if sf.startswith("/") else f"/root/testdata/sf{sf}"
     for fam in plans.FAMILIES:
         if importlib.util.find_spec(f"dayloom.plans.{fam}"):
             importlib.import_module(f"dayloom.plans.{fam}")

@@ -62,11 +62,32 @@ def test_change_needs_consecutive_days(make):
     assert rows(WN.change_events(p), "day", "old_label", "new_label") == [(d(4), "B", "C")]
 
 
-def test_exact_streak_is_capped_at_six_and_then_unnamed(make):
-    p = make([(k, 1, "A", 1) for k in range(1, 10)])
+def test_streak_has_its_whole_length_and_a_name_up_to_five(make):
+    p = make([(k, 1, "A", 1) for k in range(1, 11)] + [(11, 1, "A", -1), (12, 1, "A", 1)])
     got = rows(WN.prior_streak(p), "day", "streak", "streak_label")
-    assert [g[1] for g in got] == [0, 1, 2, 3, 4, 5, 6, 6, 6]
-    assert got[5][2] == "W5" and got[6][2] is None
+    assert [g[1] for g in got] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1]
+    assert got[5][2] == "W5" and got[6][2] is None and got[11][2] == "L1"
+
+
+def test_runs_of_many_ids_cross_blocks(spark):
+    ids = spark.range(1_000_000).where("id <> 500000").select(F.lit("main").alias("site"), F.col("id").alias("entity_id"))
+    got = WN.number_runs(ids)
+    assert got.count() == 999_999
+    assert [tuple(r) for r in got.groupBy("run_id", "length").agg(F.max("position")).orderBy("run_id").collect()] == [
+        (0, 500_000, 500_000), (500_001, 499_999, 499_999)]
+
+
+def test_epoch_ids_over_four_digits_stay_apart(spark):
+    out = spark.createDataFrame([(5,), (1234,), (12345,)], "epoch long").select(F.format_string("%04d", "epoch")).collect()
+    assert [r[0] for r in out] == ["0005", "1234", "12345"]
+
+
+def test_a_long_label_keeps_its_tail(spark):
+    from dayloom.functions import text
+
+    long = "l.(x" + "a" * 2_000_000 + "z"
+    got = spark.createDataFrame([(long,)], "s string").select(text.norm_label_ascii(F.col("s"), ["l.(x"]).alias("s")).first().s
+    assert len(got) == 2_000_001 and got[-1] == "z"
 
 
 def test_zero_is_a_loss(make):
@@ -276,8 +297,23 @@ def test_exact_sign_test_matches_enumeration(spark):
     assert R.exact_sign_test(series(spark, x), ["site"], "v").first().p_value == pytest.approx(want)
 
 
-def test_exact_sign_test_leaves_large_groups_open(spark):
-    assert R.exact_sign_test(series(spark, range(1, 30)), ["site"], "v").first().p_value is None
+def test_exact_sign_test_of_large_groups(spark):
+    x = np.array([3, -1, 4, 1, -5, 9, 2, 6, 5, 3, 5, -8, 9, 7, 9, 3, 2, -3, 8, 4, 6, 2, -6, 4, 3]) / 4
+    ways = {0: 1}
+    for v in (np.abs(x) * 4).astype(int):
+        new = {}
+        for s, c in ways.items():
+            for t in (s + v, s - v):
+                new[t] = new.get(t, 0) + c
+        ways = new
+    seen = abs(int(round(x.sum() * 4)))
+    want = (sum(c for s, c in ways.items() if abs(s) >= seen) + 1) / (2 ** 25 + 1)
+    assert R.exact_sign_test(series(spark, x), ["site"], "v").first().p_value == pytest.approx(want)
+
+
+def test_exact_sign_test_names_a_group_it_cannot_count(spark):
+    with pytest.raises(Exception, match="group .*use signflip_test"):
+        R.exact_sign_test(series(spark, np.sqrt(np.arange(1, 30))), ["site"], "v").collect()
 
 
 def test_bootstrap_is_reproducible_and_covers_the_mean(spark):
