@@ -17,7 +17,8 @@ from dayloom.session import materialise
 SIMILARITY, MORE = 80, 3  # percent; shared tokens that a pair must have in the prefixes
 RARE = 64  # the longest list of a rare token: signatures make its pairs cheap
 COUNTERS = 20  # bits of the number of counters that order tokens by rarity
-FLUSH = 1 << 19  # lines packed at once in a task
+FLUSH = 1 << 18  # lines packed at once in a task
+CHUNK = 1 << 20  # bytes of text worked on at once
 
 _PACKED = "p long, kind string, set binary, doc binary, key binary, at binary"
 
@@ -62,7 +63,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(1 << COUNTERS, np.int64)
-        for b in chunks(batches):
+        for b in chunks(batches, CHUNK):
             h, _, _ = word_places(Texts(b.column(0)), white_table())
             total += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
         cut = total.reshape(64, -1)
@@ -119,7 +120,7 @@ def places(docs: DataFrame, table, parts: int) -> DataFrame:
 
     def scan(batches):
         held, n = [], 0
-        for b in chunks(batches, column="_text"):
+        for b in chunks(batches, CHUNK, "_text"):
             s, _, _, row, number = line_sets(Texts(b.column(0)), table.value)
             doc, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (1, 2))
             held.append((s, doc, key, number))
@@ -169,7 +170,7 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def sets(batch: pa.RecordBatch):
         keys, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for b in chunks(iter([batch]), column="_text"):
+        for b in chunks(iter([batch]), CHUNK, "_text"):
             k, n, tok, _, _ = line_sets(Texts(b.column(0)), table.value)
             one = np.zeros(len(k), bool)
             one[np.unique(k, return_index=True)[1]] = True

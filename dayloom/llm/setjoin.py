@@ -38,7 +38,7 @@ from dayloom.llm.common import mix
 from dayloom.session import materialise
 
 RARE = 32  # the longest list of a rare token
-FLUSH = 1 << 21  # postings packed at once in a task
+FLUSH = 1 << 20  # postings packed at once in a task, and pairs held at once
 BITS = 25  # of the filter on wanted sets
 
 # Of a batch the keys of its sets, each once, their sizes, and their tokens one set after the other, in the order of the prefixes.
@@ -105,8 +105,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(_I)
 
 
-def _count_pairs(a, b, na, nb):
-    """Distinct pairs with a < b and how often each comes."""
+def _count_pairs(a, b, na, nb, c=None):
+    """Distinct pairs with a < b and how often each comes, or the sum of ``c``."""
     swap = a > b
     a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
     order = np.lexsort((b, a))
@@ -114,7 +114,14 @@ def _count_pairs(a, b, na, nb):
     first = np.ones(len(a), bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(first)
-    return a[at], b[at], na[at], nb[at], np.diff(np.append(at, len(a)))
+    count = np.diff(np.append(at, len(a))) if c is None else np.add.reduceat(c[order], at) if len(at) else c[:0]
+    return a[at], b[at], na[at], nb[at], count
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarray], parts: int, bits=None, signed: bool = False, rare: int = RARE) -> DataFrame:
@@ -161,7 +168,7 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         want = None if bits is None else _unpack_bits(bits.value)
-        for b in batches:
+        for b in _small(batches):
             k, size, s = sets(b)
             m = take(size) if want is None else np.where(want[k & _MASK], take(size), 0)
             use = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(m, size)
@@ -233,22 +240,25 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
             each = np.repeat(often, many)
             if each.any():
                 out.append(frequent(tok[each], key[each], n[each]))
-            found = []
+            found, held = [], 0
             for size in np.unique(many[~often]):
                 if size < 2:
                     continue
                 i, j = np.triu_indices(int(size), 1)
                 runs = start[~often & (many == size)]
-                step = max(1, (1 << 21) // len(i))
+                step = max(1, (FLUSH >> 2) // len(i))
                 for at in range(0, len(runs), step):
                     x = (runs[at:at + step, None] + i).ravel()
                     y = (runs[at:at + step, None] + j).ravel()
                     use = rule.near(n[x], n[y], g[x], g[y])
                     x, y = x[use], y[use]
-                    found.append((key[x], key[y], n[x], n[y]))
+                    found.append(_count_pairs(key[x], key[y], n[x], n[y]))
+                    held += len(found[-1][0])
+                    if held > FLUSH:
+                        found = [_count_pairs(*(np.concatenate(c) for c in zip(*found)))]
+                        held = 0
             if found:
-                pairs = _count_pairs(*(np.concatenate(c) for c in zip(*found)))
-                out.append(_pair_frame("pair", *pairs))
+                out.append(_pair_frame("pair", *_count_pairs(*(np.concatenate(c) for c in zip(*found)))))
         return pd.concat(out, ignore_index=True) if out else _frame(kind="", a=[])
 
     return packed.groupBy("p").applyInPandas(run, _JOINED)
@@ -416,7 +426,7 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
 
     def pick(batches):
         want = _unpack_bits(bits.value)
-        for b in batches:
+        for b in _small(batches):
             k, size, s = sets(b)
             end = np.cumsum(size)
             got = np.flatnonzero(want[k & _MASK])
