@@ -371,7 +371,8 @@ def form(df: DataFrame, keys: Sequence[str], daily: bool) -> DataFrame:
 
 
 def swing_points(c: Column, t: float) -> Column:
-    """90 for a mild gain, 60 for a mild loss, 55 / 25 for big moves, 45 between."""
+    """90 for a mild gain, 60 for a mild loss, 55 / 25 for big moves, 45 between; fixed values. Rounded, so that sums in any order agree."""
+    c = X.rank_key(c)
     return (F.when((c >= 0) & (c <= t), 90.0).when((c >= -t / 2) & (c < 0), 60.0)
             .when((c > t) & (c <= 2 * t), 55.0).when(c < -t, 25.0).otherwise(45.0))
 
@@ -389,7 +390,7 @@ def band_score(df: DataFrame, t: float = 100, bonus: Column | None = None) -> Da
     cand = df.join(latest, SITE).where("day = _d").select(
         *ENTITY, "label", F.weekday(F.date_add("day", 1)).alias("wd"))
     x = cand.join(ent, ENTITY).join(lab, LABEL).join(wd, ["site", "wd"], "left")
-    dd = F.col("drawdown")
+    dd = X.rank_key(F.col("drawdown"))
     dd_points = F.when((dd >= -t) & (dd <= 0), 75.0).when(dd < -t, 50.0).when((dd > 0) & (dd <= t), 40.0).otherwise(25.0)
     bonus = F.lit(40.0) if bonus is None else bonus
     parity = F.when(F.pmod("entity_id", F.lit(2)) == 1, 55.0).otherwise(45.0)
@@ -397,7 +398,7 @@ def band_score(df: DataFrame, t: float = 100, bonus: Column | None = None) -> Da
          + swing_points(F.col("l_last"), t) * 0.18 + X.to_range(F.col("l_recent3"), -t, t) * 0.1
          + X.to_range(F.col("l_mean"), -t, t) * 0.06 + F.coalesce("wd_score", F.lit(50.0)) * 0.06 + bonus * 0.05
          + parity * 0.03)
-    return x.withColumn("score", X.clip(s)).withColumn("grade", X.grade(F.col("score"), [75, 65, 55, 45, 35],
+    return x.withColumn("score", X.clip(s)).withColumn("grade", X.grade(X.rank_key(F.col("score")), [75, 65, 55, 45, 35],
                                                                         list("SABCDE")))
 
 

@@ -104,9 +104,15 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", TX.norm_label_ascii(text, ["small"]).alias("v"))
 
 
-@query("B08_norm_label_nfkc", "doc_id:i v:s")
+WIDE = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F))  # the full-width forms of printable ASCII
+ASCII = "".join(chr(c) for c in range(0x21, 0x7F))
+
+
+@query("B08_norm_label_nfkc", "doc_id:i v:s",
+       r"SELECT doc_id, lower(regexp_replace(text, '\s+', '', 'g')) v FROM documents".replace(r"\\s", r"\s"))
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", TX.norm_label(F.col("text")).alias("v"))
+    wide = F.translate("text", ASCII, WIDE)  # folded back by the compatibility form
+    return table(spark, d, "documents").select("doc_id", TX.norm_label(wide).alias("v"))
 
 
 @query("B09_canonical_header", "header:s v:s n:i", """

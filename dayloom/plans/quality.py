@@ -66,13 +66,15 @@ def _(spark, d):
 
 @query("C07_qa_table", "item:s actual:s expected:s ok:b", """
 SELECT item, actual::VARCHAR actual, expected, actual::VARCHAR = expected ok FROM (
- SELECT 'rows' item, count(*) actual, '4006' expected FROM panel UNION ALL
- SELECT 'days', count(DISTINCT day), '30' FROM panel UNION ALL
+ SELECT 'rows' item, count(*) actual, (SELECT count(DISTINCT (user_id, CAST(ts AS DATE)))::VARCHAR FROM events) expected FROM panel UNION ALL
+ SELECT 'days', count(DISTINCT day), (SELECT count(DISTINCT CAST(ts AS DATE))::VARCHAR FROM events) FROM panel UNION ALL
  SELECT 'labels', count(DISTINCT label), '5' FROM panel UNION ALL
  SELECT 'null_metric', count(*) FILTER (metric IS NULL), '0' FROM panel)""", PS)
 def _(spark, d):
+    day = F.to_date("ts")
+    rows, days = table(spark, d, "events").agg(F.countDistinct("user_id", day), F.countDistinct(day)).first()
     return Q.qa_table(panel(spark, d), {
-        "rows": (F.count(F.lit(1)), 4006), "days": (F.countDistinct("day"), 30),
+        "rows": (F.count(F.lit(1)), rows), "days": (F.countDistinct("day"), days),
         "labels": (F.countDistinct("label"), 5), "null_metric": (F.count_if(F.col("metric").isNull()), 0)})
 
 
@@ -84,20 +86,18 @@ def _(spark, d):
     return Q.daily_quality(panel(spark, d), 130)
 
 
-# Only the largest last lines of orders: few enough to leave calendar holes.
-SPARSE = S.LINES.replace("GROUP BY 1, 2", "WHERE l_quantity = 50 AND l_linenumber = 7 GROUP BY 1, 2")
+# Groups of customers as sites: each has days without an order.
+SITES = """o AS (SELECT (o_custkey % 7)::VARCHAR AS site, CAST(o_orderdate AS DATE) AS day FROM orders),
+cal AS (SELECT site, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM o GROUP BY site)"""
 
 
-def sparse_lines(spark, d):
-    few = table(spark, d, "lineitem").where("l_quantity = 50 AND l_linenumber = 7")
-    return P.panel_from_lines(few, table(spark, d, "part"))
+def order_days(spark, d):
+    return table(spark, d, "orders").select((F.col("o_custkey") % 7).cast("string").alias("site"), F.to_date("o_orderdate").alias("day"))
 
 
-@query("C09_missing_days", "day:d", """
-SELECT day FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM panel)
-WHERE day NOT IN (SELECT day FROM panel)""", SPARSE)
+@query("C09_missing_days", "site:s day:d", "SELECT site, day FROM cal ANTI JOIN o USING (site, day)", SITES)
 def _(spark, d):
-    return Q.missing_days(sparse_lines(spark, d))
+    return Q.missing_days(order_days(spark, d))
 
 
 @query("C09_missing_entity_days", "entity_id:i day:d", """
@@ -107,19 +107,17 @@ def _(spark, d):
     return Q.missing_entity_days(panel(spark, d))
 
 
-@query("C10_completeness", "day:d first:s orders:s todo:s", """
-SELECT c.day, CASE WHEN p.day IS NULL THEN 'MISSING' ELSE 'OK' END AS first,
- CASE WHEN o.day IS NULL THEN 'MISSING' ELSE 'OK' END AS orders,
- concat_ws(',', CASE WHEN p.day IS NULL THEN 'first' END, CASE WHEN o.day IS NULL THEN 'orders' END) todo
-FROM (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM panel) c
-LEFT JOIN (SELECT DISTINCT day FROM panel) p ON c.day = p.day
-LEFT JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderpriority LIKE '1%'
-  AND o_orderstatus = 'P') o ON c.day = o.day""", S.LINES)
+@query("C10_completeness", "site:s day:d ordered:s shipped:s todo:s", """
+SELECT c.site, c.day, CASE WHEN p.day IS NULL THEN 'MISSING' ELSE 'OK' END AS ordered,
+ CASE WHEN s.day IS NULL THEN 'MISSING' ELSE 'OK' END AS shipped,
+ concat_ws(',', CASE WHEN p.day IS NULL THEN 'ordered' END, CASE WHEN s.day IS NULL THEN 'shipped' END) todo
+FROM cal c LEFT JOIN (SELECT DISTINCT site, day FROM o) p ON c.site = p.site AND c.day = p.day
+LEFT JOIN (SELECT DISTINCT (l_suppkey % 7)::VARCHAR AS site, CAST(l_shipdate AS DATE) AS day FROM lineitem) s
+ ON c.site = s.site AND c.day = s.day""", SITES)
 def _(spark, d):
-    p = lines(spark, d)
-    orders = table(spark, d, "orders").where("o_orderpriority LIKE '1%' AND o_orderstatus = 'P'").select(
-        P.one_site("o_orderkey").alias("site"), F.to_date("o_orderdate").alias("day"))
-    return Q.completeness(Q.calendar(p), {"first": p, "orders": orders})
+    ordered = order_days(spark, d)
+    shipped = table(spark, d, "lineitem").select((F.col("l_suppkey") % 7).cast("string").alias("site"), F.to_date("l_shipdate").alias("day"))
+    return Q.completeness(Q.calendar(ordered), {"ordered": ordered, "shipped": shipped})
 
 
 @query("C11_presence", "entity_id:i labels:i observed:i first_day:d last_day:d multi_label:b", """

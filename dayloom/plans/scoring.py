@@ -259,7 +259,8 @@ def form_sql(key, name, daily):
 
 FE, FL = form_sql("entity_id", "fe", False), form_sql("label", "fl", True)
 CAND = "cand AS (SELECT entity_id, label, isodow(day+1)-1 wd FROM panel WHERE day=(SELECT max(day) FROM panel))"
-SW = lambda c: (f"(CASE WHEN {c} BETWEEN 0 AND 100 THEN 90 WHEN {c}>=-50 AND {c}<0 THEN 60 WHEN {c}>100 AND {c}<=200 THEN 55 "
+SW = lambda c: _sw(f"round({c}, 9)")
+_sw = lambda c: (f"(CASE WHEN {c} BETWEEN 0 AND 100 THEN 90 WHEN {c}>=-50 AND {c}<0 THEN 60 WHEN {c}>100 AND {c}<=200 THEN 55 "
                 f"WHEN {c}<-100 THEN 25 ELSE 45 END)")
 RG = lambda c, a, b: f"greatest(0, least(100, ({c}-({a}))/(({b})-({a}))*100))"
 WDS = f"""wds AS (SELECT wd, {RG('avg(a)', -30, 10)}*0.7+{RG('avg(p)', 20, 45)}*0.3 wd_score FROM (
@@ -267,10 +268,10 @@ WDS = f"""wds AS (SELECT wd, {RG('avg(a)', -30, 10)}*0.7+{RG('avg(p)', 20, 45)}*
 
 
 @query("I13_band_score", "entity_id:i label:s change:f drawdown:f l_last:f score:f grade:s", f"""
-SELECT *, CASE WHEN score>=75 THEN 'S' WHEN score>=65 THEN 'A' WHEN score>=55 THEN 'B' WHEN score>=45 THEN 'C'
- WHEN score>=35 THEN 'D' ELSE 'E' END grade FROM (SELECT c.entity_id, c.label, fe.change, fe.drawdown, fl.last l_last,
- {SW('fe.change')}*0.22+{SW('fe.last')}*0.18+(CASE WHEN fe.drawdown BETWEEN -100 AND 0 THEN 75 WHEN fe.drawdown<-100 THEN 50
-  WHEN fe.drawdown<=100 THEN 40 ELSE 25 END)*0.12+{SW('fl.last')}*0.18+{RG('fl.recent3', -100, 100)}*0.1
+SELECT *, CASE WHEN round(score, 9)>=75 THEN 'S' WHEN round(score, 9)>=65 THEN 'A' WHEN round(score, 9)>=55 THEN 'B'
+ WHEN round(score, 9)>=45 THEN 'C' WHEN round(score, 9)>=35 THEN 'D' ELSE 'E' END grade FROM (SELECT c.entity_id, c.label, fe.change, fe.drawdown, fl.last l_last,
+ {SW('fe.change')}*0.22+{SW('fe.last')}*0.18+(CASE WHEN round(fe.drawdown, 9) BETWEEN -100 AND 0 THEN 75 WHEN round(fe.drawdown, 9)<-100 THEN 50
+  WHEN round(fe.drawdown, 9)<=100 THEN 40 ELSE 25 END)*0.12+{SW('fl.last')}*0.18+{RG('fl.recent3', -100, 100)}*0.1
  +{RG('fl.mean', -100, 100)}*0.06+coalesce(wd_score,50)*0.06+40*0.05+(CASE WHEN c.entity_id%2=1 THEN 55 ELSE 45 END)*0.03 score
  FROM cand c JOIN fe USING (entity_id) JOIN fl USING (label) LEFT JOIN wds USING (wd))""", S.chain(P, FE, FL, CAND, WDS))
 def _(spark, d):
