@@ -561,6 +561,12 @@ def neighbour_mean(df: DataFrame, same_label: bool = False) -> DataFrame:
         F.count_if(ok).alias("neighbours"))
 
 
+def neighbour_coverage(df: DataFrame, same_label: bool = False) -> DataFrame:
+    """``neighbour_mean`` with the class of what it rests on: BOTH neighbours, ONE or NONE."""
+    n = F.col("neighbours")
+    return neighbour_mean(df, same_label).withColumn("coverage", F.when(n >= 2, "BOTH").when(n == 1, "ONE").otherwise("NONE"))
+
+
 def label_position(df: DataFrame) -> DataFrame:
     """Place of an entity among the ids of its label on the day: share, edge distance, centre, end flag."""
     x = O.position(df, [*DAY, "label"], [F.col("entity_id")], "pos", "label_n")

@@ -4,7 +4,7 @@ import importlib
 
 FAMILIES = [
     "sources", "expressions", "quality", "joins", "aggregates", "windows", "topk", "sets", "scoring",
-    "backtest", "inference", "streams",
+    "backtest", "inference", "streams", "sites",
 ]
 
 
