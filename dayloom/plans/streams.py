@@ -89,22 +89,37 @@ def _(spark, d):
     return spark.read.parquet(out).where("kind = 'EPOCH'")
 
 
+INVENTORY = """inv AS (SELECT user_id % 2 AS entity_id, CAST(ts AS DATE) AS day, CASE WHEN count(*) % 2 = 0 THEN 'A' ELSE 'B' END AS label
+ FROM events GROUP BY 1, 2),
+days AS (SELECT day, lag(day) OVER (ORDER BY day) AS prev FROM (SELECT DISTINCT day FROM inv)),
+diff AS (SELECT d.day, coalesce(n.entity_id, o.entity_id) e, coalesce(o.label, '') || '>' || coalesce(n.label, '') c FROM days d
+ JOIN (SELECT DISTINCT entity_id FROM inv) i ON true LEFT JOIN inv n ON n.day = d.day AND n.entity_id = i.entity_id
+ LEFT JOIN inv o ON o.day = d.prev AND o.entity_id = i.entity_id WHERE n.label IS DISTINCT FROM o.label),
+ch AS (SELECT d.day, CASE WHEN coalesce(d.day - d.prev, 0) = 1 THEN coalesce(n, 0) ELSE 0 END changes,
+  CASE WHEN coalesce(d.day - d.prev, 0) = 1 THEN s ELSE 'gap:' || d.day END s FROM days d
+ LEFT JOIN (SELECT day, count(*) n, string_agg(e || c, ',' ORDER BY e) s FROM diff GROUP BY 1) USING (day)),
+open AS (SELECT s, min(day) AS a, min(day) FILTER (day <= (SELECT min(day) + 14 FROM days)) + 1 AS z FROM ch WHERE s IS NOT NULL GROUP BY s)"""
+
+
 @query("L05_guard", "day:d changes:i status:s", """
-SELECT day, coalesce(n, 0) changes, CASE WHEN day=(SELECT min(day) FROM panel) THEN 'PASS' ELSE 'MANUAL_REVIEW' END status
-FROM (SELECT DISTINCT day FROM panel) LEFT JOIN (SELECT day, count(*) n FROM (SELECT *, lag(label) OVER e AS ol,
- lag(day) OVER e AS pd FROM panel WINDOW e AS (PARTITION BY entity_id ORDER BY day)) WHERE day-pd=1 AND label<>ol GROUP BY 1)
- USING (day)""", P)
+SELECT day, changes, CASE WHEN EXISTS (SELECT 1 FROM open WHERE ch.day >= a AND (z IS NULL OR ch.day <= z)) THEN 'MANUAL_REVIEW'
+ WHEN s IS NOT NULL THEN 'APPROVED' ELSE 'PASS' END status FROM ch""", INVENTORY)
 def _(spark, d):
     src, out, ck = paths(spark, "guard")
-    ch = L.change_signature(panel(spark, d))
+    stock = table(spark, d, "events").groupBy(
+        F.lit("main").alias("site"), F.to_date("ts").alias("day"), (F.col("user_id") % 2).alias("entity_id")).agg(
+        F.when(F.count(F.lit(1)) % 2 == 0, "A").otherwise("B").alias("label"))
+    ch = L.change_signature(stock)
     ch.write.parquet(f"{src}/changes")
-    # the first incident is approved the day it opens; the next day's opens another that never is
-    first = ch.where("day = DATE '2024-01-02'").select("site", "day", "signature")
-    first.write.parquet(f"{src}/approvals")
+    # what changes in the first fifteen days is approved a day later, the rest never
+    first = ch.agg(F.min("day")).first()[0]
+    done = ch.where((F.datediff("day", F.lit(first)) <= 14) & (F.col("signature") != "")).select(
+        "site", F.date_add("day", 1).alias("day"), "signature")
+    done.write.parquet(f"{src}/approvals")
     schema = spark.read.parquet(f"{src}/changes").schema
     L.run_to_table(L.stream_guard(
         L.file_stream(spark, f"{src}/changes", schema),
-        L.file_stream(spark, f"{src}/approvals", first.schema)), out, ck)
+        L.file_stream(spark, f"{src}/approvals", done.schema)), out, ck)
     return spark.read.parquet(out)
 
 

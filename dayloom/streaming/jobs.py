@@ -7,6 +7,7 @@ shared folder.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -103,50 +104,71 @@ def stream_epochs(panel: DataFrame) -> DataFrame:
 
 
 GUARD_OUT = "site string, day date, changes bigint, signature string, status string"
-GUARD_STATE = "signature string, approved boolean"
+GUARD_STATE = "open string, approved string"  # lists as JSON
+PLANNED = "planned:"  # an approval of whatever changes on the date that follows
 
 
 def _guard(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    signature, approved = state.get if state.exists else (None, True)
+    waiting, approved = [json.loads(x) for x in state.get] if state.exists else ([], [])
     out = []
     for row in pd.concat(list(batches)).sort_values(["day", "is_approval"]).itertuples():
         if row.is_approval:
-            approved = approved or row.signature == signature
+            if row.signature.startswith(PLANNED) or row.signature in waiting:
+                approved.append(row.signature)
+                waiting = [s for s in waiting if s != row.signature]
             continue
-        if row.changes > 0 and row.signature != signature and approved:
-            signature, approved = row.signature, False  # an open incident stays until it is approved
-        status = "MANUAL_REVIEW" if not approved else "APPROVED" if row.changes > 0 else "PASS"
+        blocked = row.changes > 0 or not row.comparable
+        fine = row.signature in approved or f"{PLANNED}{row.day}" in approved
+        if blocked and not fine and row.signature not in waiting:
+            waiting.append(row.signature)  # behind those that wait already
+        status = "MANUAL_REVIEW" if waiting else "APPROVED" if blocked else "PASS"
         out.append((row.day, row.changes, row.signature, status))
-    state.update((signature, approved))
+    state.update((json.dumps(waiting), json.dumps(approved)))
     pdf = pd.DataFrame(out, columns=["day", "changes", "signature", "status"])
     pdf.insert(0, "site", key[0])
     yield pdf
 
 
 def stream_guard(changes: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Guard status per site and day: a change blocks (MANUAL_REVIEW) until its signature is approved.
+    """Guard status per site and day; it fails closed.
 
+    A change, and a day that cannot be compared with the day before, block
+    (MANUAL_REVIEW) until their signature is approved; a further change waits
+    behind the first. A signature approved once is APPROVED when it comes again.
+    An approval of nothing that waits has no effect, but for a planned date.
     Both streams carry one row per site and day, so a site's state and its
     share of a batch stay small.
     """
-    c = changes.select("site", "day", "changes", "signature", F.lit(False).alias("is_approval"))
+    c = changes.select("site", "day", "changes", "signature", "comparable", F.lit(False).alias("is_approval"))
     a = approvals.select("site", "day", F.lit(0).cast("bigint").alias("changes"), "signature",
-                         F.lit(True).alias("is_approval"))
+                         F.lit(True).alias("comparable"), F.lit(True).alias("is_approval"))
     return c.unionByName(a).groupBy("site").applyInPandasWithState(
         _guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def change_signature(panel: DataFrame) -> DataFrame:
-    """Per site and day: how many labels changed since the day before, and an order-free digest of which."""
-    from dayloom.operators.windows import change_events
+    """Per site and day: labels changed and ids added or removed since the site's day before, and an order-free digest of which.
 
-    days = panel.select("site", "day").distinct()
-    ev = change_events(panel)
-    h = F.xxhash64("entity_id", "old_label", "new_label").cast("decimal(38,0)")
-    g = ev.groupBy("site", "day").agg(F.count(F.lit(1)).alias("changes"), F.sum(h).cast("string").alias("signature"))
+    The first day and a day after a gap are not comparable; their signature names the day.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("site").orderBy("day")  # one row per day
+    days = panel.select("site", "day").distinct().withColumns({"_prev": F.lag("day").over(w), "_next": F.lead("day").over(w)})
+    now = panel.select("site", "day", "entity_id", "label")
+    old = now.join(days, ["site", "day"]).where("_next IS NOT NULL").select(
+        "site", F.col("_next").alias("day"), "entity_id", F.col("label").alias("_old"))
+    diff = now.join(old, ["site", "day", "entity_id"], "full").where(~F.col("label").eqNullSafe(F.col("_old")))
+    h = F.xxhash64("entity_id", F.coalesce("_old", F.lit("")), F.coalesce("label", F.lit(""))).cast("decimal(38,0)")
+    g = diff.groupBy("site", "day").agg(F.count(F.lit(1)).alias("changes"), F.sum(h).cast("string").alias("signature"))
+    comparable = F.coalesce(F.datediff("day", "_prev") == 1, F.lit(False))
     return days.join(g, ["site", "day"], "left").select(
-        "site", "day", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("signature", F.lit("")).alias("signature"))
+        "site", "day", F.when(comparable, F.coalesce("changes", F.lit(0))).otherwise(0).cast("bigint").alias("changes"),
+        F.when(comparable, F.coalesce("signature", F.lit(""))).otherwise(F.concat(F.lit("gap:"), F.col("day").cast("string"))).alias("signature"),
+        comparable.alias("comparable"))
+
 
+# ---- lateness ----------------------------------------------------------------------------
 
 def lateness(df: DataFrame, event_day: str, processing_day: str) -> DataFrame:
     """Delay of each row and its class; works the same on a batch and on a stream."""

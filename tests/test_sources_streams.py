@@ -91,9 +91,9 @@ def test_registry_defects(spark, tmp_path):
         FI.read_registry(spark, str(tmp_path / "v.json"), ["X"]).collect()
 
 
-def test_guard_blocks_until_the_same_incident_is_approved(spark):
+def test_guard_fails_closed(spark):
     root = scratch_path(spark, "guard-test")
-    cs = "site string, day date, changes bigint, signature string"
+    cs = "site string, day date, changes bigint, signature string, comparable boolean"
     day = lambda n: dt.date(2024, 1, n)
 
     def run(changes, approvals):
@@ -104,11 +104,19 @@ def test_guard_blocks_until_the_same_incident_is_approved(spark):
             L.file_stream(spark, f"{root}/a", spark.createDataFrame([], "site string, day date, signature string").schema))
         L.run_to_table(s, f"{root}/out", f"{root}/ck")
 
-    run([("s", day(1), 0, ""), ("s", day(2), 3, "x"), ("s", day(3), 0, "")], [])
-    run([("s", day(4), 2, "y"), ("s", day(5), 0, "")], [("s", day(4), "x")])
-    run([("s", day(6), 3, "x")], [])
+    run([("s", day(1), 0, "gap:1", False), ("s", day(2), 3, "x", True), ("s", day(3), 0, "", True)], [("s", day(1), "gap:1"), ("s", day(1), "x")])
+    run([("s", day(4), 2, "y", True), ("s", day(5), 0, "", True)], [("s", day(4), "x")])  # y came while x was open
+    run([("s", day(6), 3, "x", True), ("s", day(7), 0, "", True), ("s", day(8), 5, "x", True)], [("s", day(6), "y")])
+    run([("s", day(10), 0, "gap:10", False), ("s", day(11), 7, "z", True)], [("s", day(9), "planned:2024-01-11"), ("s", day(10), "gap:10")])
     got = {r.day.day: r.status for r in spark.read.parquet(f"{root}/out").collect()}
-    assert got == {1: "PASS", 2: "MANUAL_REVIEW", 3: "MANUAL_REVIEW", 4: "MANUAL_REVIEW", 5: "PASS", 6: "APPROVED"}
+    assert got == {1: "MANUAL_REVIEW", 2: "MANUAL_REVIEW", 3: "MANUAL_REVIEW", 4: "MANUAL_REVIEW", 5: "MANUAL_REVIEW", 6: "MANUAL_REVIEW",
+                   7: "PASS", 8: "APPROVED", 10: "MANUAL_REVIEW", 11: "APPROVED"}
+
+
+def test_change_signature_sees_added_and_removed_ids_and_gaps(make):
+    p = make([(1, 1, "A", 0), (1, 2, "A", 0), (2, 1, "A", 0), (3, 1, "A", 0), (3, 3, "B", 0), (4, 1, "B", 0), (4, 3, "B", 0), (6, 1, "B", 0), (7, 1, "B", 0)])
+    got = {r.day.day: (r.changes, r.comparable) for r in L.change_signature(p).collect()}
+    assert got == {1: (0, False), 2: (1, True), 3: (1, True), 4: (1, True), 6: (0, False), 7: (0, True)}
 
 
 def test_stream_epochs_reports_late_rows(spark, make):
