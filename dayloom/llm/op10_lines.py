@@ -14,8 +14,8 @@ from dayloom.llm import graph, setjoin
 from dayloom.llm.common import _R, Texts, chunks, mix, read, white_table, word_places
 from dayloom.session import materialise
 
-SIMILARITY, MORE = 80, 3  # percent; shared tokens that a pair must have in the prefixes
-RARE = 64  # the longest list of a rare token: signatures make its pairs cheap
+SIMILARITY, MORE = 80, 1  # percent; shared tokens that a pair must have in the prefixes
+RARE = 1000  # the longest list of a rare token: places, lengths and signatures sift its pairs
 COUNTERS = 20  # bits of the number of counters that order tokens by rarity
 FLUSH = 1 << 18  # lines packed at once in a task
 CHUNK = 1 << 20  # bytes of text worked on at once

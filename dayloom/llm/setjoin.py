@@ -44,6 +44,9 @@ BITS = 25  # of the filter on wanted sets
 # Of a batch the keys of its sets, each once, their sizes, and their tokens one set after the other, in the order of the prefixes.
 Sets = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
+SIGN = 58  # bits of a signature, above the place of the token in its set (63: there or later)
+_PLACE, _LAST = np.uint64(6), np.uint64(63)
+
 _U, _I, _N = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4")
 
 
@@ -59,7 +62,7 @@ class Rule:
 
     def extra(self, n):
         """K for a set of n tokens: it grows with n and never exceeds the least overlap."""
-        return np.minimum(self.least(n), np.maximum(self.more, n // 24))
+        return np.minimum(self.least(n), np.maximum(self.more, n // 24 if self.more > 1 else 1))
 
     def prefix(self, n):
         return n - self.least(n) + self.extra(n)
@@ -70,21 +73,24 @@ class Rule:
 
     def shared_sql(self, a: str, b: str):
         def extra(c):
-            return F.least(F.expr(f"({self.num} * {c} + 99) div 100"), F.greatest(F.lit(self.more), F.expr(f"{c} div 24")))
+            return F.least(F.expr(f"({self.num} * {c} + 99) div 100"), F.greatest(F.lit(self.more), F.expr(f"{c} div 24") if self.more > 1 else F.lit(1)))
         return F.least(extra(a), extra(b))
 
     def sizes(self, a, b):
         return 100 * np.minimum(a, b) >= self.num * np.maximum(a, b)
 
     def near(self, a, b, g, h):
-        """Sizes and 64-bit signatures that a similar pair can have.
+        """Sizes, places of the shared token and signatures that a similar pair can have, if this is its first shared token.
 
-        Each token flips one bit of its set's signature, so the bits that
-        differ are no more than the tokens that only one of the sets has.
+        Each token flips one of SIGN bits of its set's signature, so the bits
+        that differ are no more than the tokens that only one of the sets has;
+        and the pair shares no more than what follows in either set.
         """
         ok = self.sizes(a, b)
         if self.signed:
-            ok &= np.bitwise_count(g ^ h).astype(np.int64) * (100 + self.num) <= (100 - self.num) * (a + b)
+            ok &= np.bitwise_count((g ^ h) >> _PLACE).astype(np.int64) * (100 + self.num) <= (100 - self.num) * (a + b)
+            rest = np.minimum(a - (g & _LAST).astype(np.int64), b - (h & _LAST).astype(np.int64))
+            ok &= rest * (100 + self.num) >= self.num * (a + b)
         return ok
 
     def similar(self, x: np.ndarray, y: np.ndarray) -> bool:
@@ -175,8 +181,9 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
             g = np.zeros(len(k), np.uint64)
             if signed and len(s):
                 full = size > 0
-                g[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(s) & np.uint64(63)), (np.cumsum(size) - size)[full])
-            held.append((s[use], np.repeat(k, m), np.repeat(size, m), np.repeat(g, m)))
+                g[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(s) % np.uint64(SIGN) + _PLACE), (np.cumsum(size) - size)[full])
+            place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            held.append((s[use], np.repeat(k, m), np.repeat(size, m), np.repeat(g, m) | np.minimum(place, 63).astype(np.uint64)))
             many += len(held[-1][0])
             if many >= FLUSH:
                 yield out()
