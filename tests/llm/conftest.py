@@ -11,16 +11,6 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = "key long, n long, p int, doc long, row long, w string, size int, token long, at long, term string, kind string, length long"
 
 
-@pytest.fixture(scope="session")
-def spark():
-    from dayloom.session import drop_scratch, local_session
-
-    s = local_session(4, shuffle=4, memory="6g")
-    yield s
-    drop_scratch(s)
-    s.stop()
-
-
 LONG = " ".join(f"word{i % 977} filler{i % 31}." for i in range(30_000))
 BASE = "The quick brown fox jumps over the lazy dog near the old river bank while seven wise owls watch it from above in calm silence"
 

@@ -280,5 +280,25 @@ def test_lines_of_the_table_by_brute_force(table):
     assert {r.doc_id: r._removed for r in op10_lines.dedup(df).collect()} == {r.doc_id: gone[r.doc_id] for r in df.collect()}
 
 
+@pytest.mark.parametrize("rare", [3, 1000])
+def test_lines_of_many_near_copies(spark, monkeypatch, rare):
+    """Both ways of the join: lists that are sifted in place, and the frequent class."""
+    monkeypatch.setattr(op10_lines, "RARE", rare)
+    rs = np.random.RandomState(6)
+    base = [[f"{c}{i}" for i in range(30)] for c in "ab"]
+    rows = []
+    for d in range(40):
+        lines = []
+        for words_ in base:
+            line = list(words_)
+            for j in rs.choice(30, rs.randint(0, 5), replace=False):
+                line[j] = f"new{rs.randint(60)}"
+            lines.append(" ".join(line))
+        rows.append((d, "\n".join([*lines, f"alone {d} and its own words x{d} y{d} z{d}"])))
+    gone = collections.Counter(at[1] for at in brute_lines(rows))
+    got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: gone[d] for d, _ in rows} and sum(gone.values()) > 20
+
+
 def test_lines_of_an_empty_table(empty):
     assert op10_lines.dedup(empty).count() == 0 and op10_lines.drop_lines(empty).columns == empty.columns
