@@ -98,7 +98,7 @@ diff AS (SELECT d.day, coalesce(n.entity_id, o.entity_id) e, coalesce(o.label, '
 ch AS (SELECT d.day, CASE WHEN coalesce(d.day - d.prev, 0) = 1 THEN coalesce(n, 0) ELSE 0 END changes,
   CASE WHEN coalesce(d.day - d.prev, 0) = 1 THEN s ELSE 'gap:' || d.day END s FROM days d
  LEFT JOIN (SELECT day, count(*) n, string_agg(e || c, ',' ORDER BY e) s FROM diff GROUP BY 1) USING (day)),
-open AS (SELECT s, min(day) AS a, min(day) FILTER (day <= (SELECT min(day) + 14 FROM days)) + 1 AS z FROM ch WHERE s IS NOT NULL GROUP BY s)"""
+open AS (SELECT s, min(day) AS a, min(day) FILTER (day <= (SELECT min(day) + 24 FROM days)) + 1 AS z FROM ch WHERE s IS NOT NULL GROUP BY s)"""
 
 
 @query("L05_guard", "day:d changes:i status:s", """
@@ -111,9 +111,9 @@ def _(spark, d):
         F.when(F.count(F.lit(1)) % 2 == 0, "A").otherwise("B").alias("label"))
     ch = L.change_signature(stock)
     ch.write.parquet(f"{src}/changes")
-    # what changes in the first fifteen days is approved a day later, the rest never
+    # what changes in the first 25 days is approved a day later, the rest never
     first = ch.agg(F.min("day")).first()[0]
-    done = ch.where((F.datediff("day", F.lit(first)) <= 14) & (F.col("signature") != "")).select(
+    done = ch.where((F.datediff("day", F.lit(first)) <= 24) & (F.col("signature") != "")).select(
         "site", F.date_add("day", 1).alias("day"), "signature")
     done.write.parquet(f"{src}/approvals")
     schema = spark.read.parquet(f"{src}/changes").schema
