@@ -619,6 +619,16 @@ def policy_compare(scored: DataFrame, n: int = 10) -> DataFrame:
     return repl.join(agg, [*DAY, "policy"]).join(p95, by)
 
 
+def rank_ripple(scored: DataFrame, n: int = 10) -> DataFrame:
+    """Per policy: how far ranks move against BASELINE on changed and unchanged entities, and how many of the top n change place."""
+    ranked = materialise(O.position(scored.select(*DAY, "policy", "entity_id", "changed", "score"), [*DAY, "policy"], best_first(), "pos", "pop"))
+    base = ranked.where("policy = 'BASELINE'").select(*DAY, "entity_id", F.col("pos").alias("_pos"), F.col("pop").alias("_pop"))
+    moved = F.abs(F.col("pos") - F.col("_pos"))
+    return ranked.join(base, [*DAY, "entity_id"]).groupBy(*DAY, "policy", "changed").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(moved).alias("mean_rank_move"), F.max(moved).alias("max_rank_move"),
+        F.count_if((F.least("pos", "_pos") <= n) & (moved > 0)).alias("top_moves"), F.max(F.col("pop") - F.col("_pop")).alias("pop_change"))
+
+
 def category_rank(scored: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "NORMAL",
                   n: int = 10) -> DataFrame:
     """Re-rank a frozen score inside label categories; the first matching rule wins."""

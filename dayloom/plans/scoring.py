@@ -448,6 +448,16 @@ def _(spark, d):
     return SC.policy_compare(_policies(spark, d))
 
 
+@query("I24_rank_ripple", "policy:s changed:b rows:i mean_rank_move:f max_rank_move:i top_moves:i pop_change:i", """
+SELECT p.policy, p.changed, count(*) AS rows, avg(abs(p.pos-b.pos)) mean_rank_move, max(abs(p.pos-b.pos)) max_rank_move,
+ count(*) FILTER (least(p.pos, b.pos) <= 10 AND p.pos <> b.pos) top_moves, max(p.pop - b.pop) pop_change
+FROM rk p JOIN rk b ON b.policy='BASELINE' AND p.entity_id=b.entity_id GROUP BY 1, 2""",
+       S.chain(PEPOCH, """rk AS (SELECT *, row_number() OVER (PARTITION BY policy ORDER BY round(score, 9) DESC, entity_id) pos,
+  count(*) OVER (PARTITION BY policy) pop FROM pol)"""))
+def _(spark, d):
+    return SC.rank_ripple(_policies(spark, d))
+
+
 @query("I25_future_rank", "day:d rank:i entity_id:i label:s score:f", "SELECT * FROM fpicks",
        S.chain(PNEXT, S.scored(SC.BASE_WEIGHTS, "ffeats", "fscored"), S.picks("fscored", "fpicks")))
 def _(spark, d):
