@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK = 4 << 20  # bytes of text worked on at once inside a task
+CHUNK = 1 << 20  # bytes of text worked on at once inside a task
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)

@@ -18,4 +18,4 @@ QUERIES = {
     "op9_secrets": op9_secrets.query,
     "op10_lines": op10_lines.query,
 }
-SQL: dict[str, str] = {"op3_contamination": op3_contamination.SQL}
+SQL: dict[str, str] = {"op3_contamination": op3_contamination.SQL, "op5_jaccard": op5_jaccard.SQL, "op6_chat": op6_chat.SQL}
