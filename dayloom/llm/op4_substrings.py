@@ -13,6 +13,7 @@ from dayloom.session import materialise
 
 MIN_WORDS = 20  # of a run of repeated units that is removed
 FLUSH = 1 << 19  # units packed at once in a task
+LINE = 1 << 40  # added to the number of a line, to tell it from that of a unit
 
 # Where units end: at these bytes ...
 ENDS = {"line": b"\n", "sentence": b"\n.!?", "clause": b"\n.!?;:,"}
@@ -52,6 +53,36 @@ def units(t: Texts, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return digest, many, first[head], np.searchsorted(first[head], t.off)
 
 
+def _with_lines(t: Texts, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest, row and number of each unit and then of each whole line; a line's digest never equals a unit's."""
+    d, _, _, before = units(t, unit)
+    lines, _, _, starts = units(t, "line")
+    rows, places = [], []
+    for at in (before, starts):
+        row = np.repeat(np.arange(len(t)), np.diff(at))
+        rows.append(row)
+        places.append(np.arange(len(row)) - at[row])
+    return np.append(d, mix(lines ^ _R)), np.concatenate(rows), np.append(places[0], places[1] + LINE)
+
+
+def _line_ends(t: Texts, first: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of the line that holds each of the bytes ``first``, and of the line after it (the row's end in its last)."""
+    breaks = np.flatnonzero(t.data == 10)
+    i = np.searchsorted(breaks, first)
+    bounds = np.concatenate([[-1], breaks, [len(t.data)]])
+    return np.maximum(t.off[row], bounds[i] + 1), np.minimum(t.off[row + 1], bounds[i + 1] + 1)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """text, place of the document in the order (its id; without one last) and a key of both that is never null."""
     last = F.lit((1 << 63) - 1)
@@ -63,9 +94,11 @@ def _groups(at_p: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(at_p[i]), i, j) for i, j in zip(cut, [*cut[1:], len(at_p)])]
 
 
-def repeats(docs: DataFrame, unit: str, parts: int) -> DataFrame:
+def repeats(docs: DataFrame, unit: str, parts: int, whole: bool = False) -> DataFrame:
     """(key, at): the units of each document that an earlier one repeats; at is an array of unit numbers, packed.
 
+    With ``whole`` also the lines that repeat an earlier line, as LINE + number.
+
     The order of units is (doc_id, place in the text). A task settles what
     repeats inside it and sends each digest on once, with its earliest place,
     so a unit that a third of all texts hold costs one entry for each task.
@@ -93,10 +126,14 @@ def repeats(docs: DataFrame, unit: str, parts: int) -> DataFrame:
         held, n = [], 0
         for b in chunks(batches, column="_text"):
             t = Texts(b.column(0))
-            d, _, _, before = units(t, unit)
-            many = np.diff(before)
-            doc, key = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), many) for c in (1, 2))
-            held.append((d, doc, key, (np.arange(len(d)) - np.repeat(before[:-1], many)).astype(np.int64)))
+            if whole:
+                d, row, at = _with_lines(t, unit)
+            else:
+                d, _, _, before = units(t, unit)
+                row = np.repeat(np.arange(len(t)), np.diff(before))
+                at = np.arange(len(d)) - before[row]
+            doc, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (1, 2))
+            held.append((d, doc, key, at.astype(np.int64)))
             n += len(d)
             if n >= FLUSH:
                 yield flush(held)
@@ -133,33 +170,45 @@ def repeats(docs: DataFrame, unit: str, parts: int) -> DataFrame:
     return settled.groupBy("q").applyInPandas(gather, "key long, at binary")
 
 
-def dedup(docs: DataFrame, unit: str = "clause", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, unit: str = "clause", min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """doc_id, n_units, n_repeated, n_removed (characters), spans and text: each text without the passages that repeat an earlier one.
 
     Units are hashed; of equal digests the earliest by (doc_id, place) stays.
     A run of repeated units is removed if it has ``min_words`` words, so chance
-    repeats of short units stay. ``spans`` are the removed places of the given
+    repeats of short units inside a line stay. With ``whole`` every line that
+    repeats an earlier line goes too, however short, with its line break, and so
+    do repeated paragraphs and texts; its units count as repeated. Lines without
+    words are no units and stay. ``spans`` are the removed places of the given
     text, in characters, from inclusive, to exclusive. Null and empty texts give
     an empty text and no spans; a document without an id comes last; a repeated
     row shares the result of its twin.
     """
     keyed = _keyed(docs)
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    late = materialise(repeats(docs, unit, max(64, size >> 25)), "repeats").withColumnRenamed("key", "_key")
+    late = materialise(repeats(docs, unit, max(64, size >> 25), whole), "repeats").withColumnRenamed("key", "_key")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for b in chunks(batches):
             t = Texts(b.column(1))
             _, many, first, before = units(t, unit)
+            if whole:
+                _, _, head, lines = units(t, "line")
+                begin, end = _line_ends(t, head, np.repeat(np.arange(len(t)), np.diff(lines)))
             out = []
             for r in range(len(t)):
                 raw, i, j = t.data[t.off[r]:t.off[r + 1]].tobytes(), before[r], before[r + 1]
                 packed = b.column(2)[r].as_py()
-                spans = []
+                spans, n = [], 0
                 if packed:
                     hit = np.zeros(j - i + 2, np.int8)
-                    hit[1 + np.frombuffer(packed, "<i8")] = 1
+                    late = np.frombuffer(packed, "<i8")
+                    hit[1 + late[late < LINE]] = 1
+                    for x in late[late >= LINE] - LINE:
+                        a, z = begin[lines[r] + x], end[lines[r] + x]
+                        spans.append((int(a - t.off[r]), int(z - t.off[r])))
+                        hit[1 + np.searchsorted(first[i:j], a):1 + np.searchsorted(first[i:j], z)] = 1
+                    n = int(hit.sum())
                     edge = np.diff(hit)
                     starts = np.append(first[i:j] - t.off[r], len(raw))
                     total = np.append(0, np.cumsum(many[i:j]))
@@ -167,13 +216,13 @@ def dedup(docs: DataFrame, unit: str = "clause", min_words: int = MIN_WORDS) ->
                         if total[z] - total[a] >= min_words:
                             spans.append((0 if a == 0 else int(starts[a]), int(starts[z])))
                 keep, at, shown = [], 0, []
-                for a, z in spans:
+                for a, z in _merged(spans):
                     keep.append(raw[at:a])
                     shown.append({"from": len(raw[:a].decode()), "to": len(raw[:z].decode())})
                     at = z
                 keep.append(raw[at:])
                 gone = sum(s["to"] - s["from"] for s in shown)
-                out.append((j - i, 0 if not packed else len(packed) // 8, gone, shown, b"".join(keep).decode()))
+                out.append((j - i, n, gone, shown, b"".join(keep).decode()))
             cols = list(zip(*out))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], ["doc_id", "n_units", "n_repeated", "n_removed", "spans", "text"])
@@ -183,4 +232,4 @@ def dedup(docs: DataFrame, unit: str = "clause", min_words: int = MIN_WORDS) ->
 
 
 def query(spark, sf_dir):
-    return dedup(read(spark, sf_dir, "documents"))
+    return dedup(read(spark, sf_dir, "documents"), whole=True)

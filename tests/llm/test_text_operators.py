@@ -156,6 +156,35 @@ def test_a_passage_inside_a_line_goes_and_its_first_place_stays(spark):
     assert passage in got[1] and "nine white houses" not in got[2] and got[2].endswith("And more.")
 
 
+def test_every_later_whole_line_goes_however_short(spark, table):
+    """By brute force on lines, without a least number of words; what is left repeats no line, and first places stay."""
+    split = lambda t: [(x, tuple(re.findall(r"[0-9a-z\x80-\U0010ffff]+", x.translate(LOW)))) for x in t.split("\n")]
+    short = [(3, "Accept cookies\nmine, three"), (1, "Accept cookies\n\nmine: one\nShare"), (2, "accept  cookies!\n---\nmine two\n* Share\nShare"), (4, "tiny text"), (5, "tiny text"), (6, "a tiny text")]
+    got = {r.doc_id: r.text for r in op4_substrings.dedup(spark.createDataFrame(short, "doc_id long, text string"), whole=True).collect()}
+    assert got == {1: short[1][1], 2: "---\nmine two\n", 3: "mine, three", 4: "tiny text", 5: "", 6: "a tiny text"}
+    df = table("documents")
+    given = {r.doc_id: r.text for r in pairs_of(df)}
+    seen, late = set(), {}
+    for d in sorted(given):
+        late[d] = []
+        at = 0
+        for x, w in split(given[d]):
+            if w and w in seen:
+                late[d].append((at, at + len(x)))
+            seen.add(w)
+            at += len(x) + 1
+    assert sum(map(len, late.values())) > 20
+    rows = op4_substrings.query(df.sparkSession, "/root/testdata/sf0.001").collect()
+    clauses = {r.doc_id: r.n_removed for r in op4_substrings.dedup(df).collect()}
+    assert len(rows) == len(given)
+    for r in rows:
+        spans = [(s["from"], s["to"]) for s in r.spans]
+        assert all(any(a <= x and y <= z for a, z in spans) for x, y in late[r.doc_id]) and r.n_removed >= clauses[r.doc_id]
+        assert late[r.doc_id] or r.n_removed == clauses[r.doc_id]
+        kept = "".join(given[r.doc_id][a:z] for a, z in zip([0, *(z for _, z in spans)], [*(a for a, _ in spans), None]))
+        assert kept == r.text
+
+
 def test_substrings_of_an_empty_table(empty):
     assert op4_substrings.dedup(empty).count() == 0
 
