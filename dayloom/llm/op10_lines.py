@@ -145,8 +145,8 @@ def places(docs: DataFrame, table, parts: int) -> DataFrame:
     return found.groupBy("p").applyInPandas(settle, _PACKED)
 
 
-def _linked(firsts: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, at): of the first lines of linked sets all but the earliest of each group, packed like 'late' rows."""
+def _nodes(firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, root, doc, key, at: the first lines of linked sets."""
     bits = firsts.sparkSession.sparkContext.broadcast(setjoin._wanted(roots.select("node")))
 
     def pick(batches):
@@ -156,13 +156,17 @@ def _linked(firsts: DataFrame, roots: DataFrame) -> DataFrame:
             use = want[s & setjoin._MASK]
             yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (s, doc, key, at)], ["node", "doc", "key", "at"])
 
-    rows = firsts.select("set", "doc", "key", "at").mapInArrow(pick, "node long, doc long, key long, at long").join(roots, "node")
+    return firsts.select("set", "doc", "key", "at").mapInArrow(pick, "node long, doc long, key long, at long").join(roots, "node")
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    """(key, at): of the first lines of linked sets all but the earliest of each group."""
     least = rows.groupBy("root").agg(F.min(F.struct("doc", "key", "at")).alias("keep"))
     return rows.join(least, "root").where(F.struct("doc", "key", "at") != F.col("keep")).select("key", "at")
 
 
-def late_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(key, at): for each document with such lines their numbers, packed: lines that an earlier line matches."""
+def late_lines(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = False) -> DataFrame:
+    """(key, at): for each document with such lines their numbers, packed: lines linked to an earlier line; if ``direct``, that match one."""
     keyed = _keyed(docs)
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs))
@@ -180,8 +184,15 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
         return np.concatenate(keys), np.concatenate(sizes), np.concatenate(tokens)
 
     placed = materialise(places(docs, table, parts), "places")
-    edges = setjoin.links(keyed.select("_text"), sets, setjoin.Rule(similarity, MORE, signed=True, rare=RARE), size // 8, graph.components)
-    linked = _linked(placed.where("kind = 'first'"), materialise(graph.components(edges), "roots"))
+    rule = setjoin.Rule(similarity, MORE, signed=True, rare=RARE)
+    edges, index = setjoin.joined(keyed.select("_text"), sets, rule, size // 8, graph.components)
+    nodes = _nodes(placed.where("kind = 'first'"), materialise(graph.components(edges), "roots"))
+    if direct:
+        nodes = materialise(nodes, "nodes")
+        at = nodes.select("node", "root", F.struct("doc", "key", "at").alias("place"))
+        linked = nodes.join(setjoin.earlier(edges, index, at, keyed.select("_text"), sets, rule), "node", "left_semi")
+    else:
+        linked = _linked(nodes)
 
     def pack(batches):
         for b in batches:
@@ -203,18 +214,19 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     return late.unionByName(more).groupBy("p").applyInPandas(gather, "key long, at binary")
 
 
-def dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+def dedup(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = False) -> DataFrame:
     """``docs`` with three more columns: _lines and _removed (numbers of lines), and _kept: the text without the removed lines.
 
     A line's tokens are its distinct words (A-Z lower-cased, between white
     space); two lines match when their sets have a Jaccard similarity of
     ``similarity`` percent or more, so equal lines do. Of lines that are linked
-    by matches the earliest by (doc_id, line) stays, and all later ones go.
+    by matches the earliest by (doc_id, line) stays, and all later ones go; with
+    ``direct`` a line goes only if an earlier line matches it itself.
     Lines without words stay. Null texts stay null and have no lines, empty ones
     one; documents without an id come last; a repeated row shares the result of
     its twin. All columns of ``docs`` are kept.
     """
-    late = materialise(late_lines(docs, similarity), "late").select(F.col("key").alias("_key"), F.col("at").alias("_at"))
+    late = materialise(late_lines(docs, similarity, direct), "late").select(F.col("key").alias("_key"), F.col("at").alias("_at"))
     both = _keyed(docs).drop("_text", "_rank").join(late, "_key", "left").drop("_key")
     fields = docs.columns
     at = both.columns.index("text")
@@ -235,10 +247,10 @@ def dedup(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the later lines taken out of the texts; every row stays."""
-    return dedup(docs).drop("_lines", "_removed").drop("text").withColumnRenamed("_kept", "text").select(docs.columns)
+    """``docs`` without the lines that an earlier line matches; every row stays."""
+    return dedup(docs, direct=True).drop("_lines", "_removed").drop("text").withColumnRenamed("_kept", "text").select(docs.columns)
 
 
 def query(spark, sf_dir):
-    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), direct=True).select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_kept").alias("text"))

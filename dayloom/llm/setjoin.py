@@ -419,17 +419,9 @@ def _wanted(keys: DataFrame) -> bytes:
     return total.tobytes()
 
 
-def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell: int = 20_000) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar.
-
-    Pairs fall into cells by the hash buckets of both sides; a set goes once to
-    each cell that needs it, not once to each pair.
-    """
-    spark = rows.sparkSession
-    n = pairs.count()
-    side = max(8, int(np.ceil(np.sqrt(n / per_cell))))
-    bits = spark.sparkContext.broadcast(_wanted(pairs.select("a", "b")))
-    cell = lambda: (F.pmod("a", F.lit(side)) * side + F.pmod("b", F.lit(side))).alias("cell")
+def chosen(keys: DataFrame, rows: DataFrame, sets: Sets) -> DataFrame:
+    """(key, s): the sorted tokens of the sets whose keys stand in the columns of ``keys``, and of few others."""
+    bits = rows.sparkSession.sparkContext.broadcast(_wanted(keys))
 
     def pick(batches):
         want = _unpack_bits(bits.value)
@@ -441,8 +433,19 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
                 packed = [np.sort(s[end[i] - size[i]:end[i]]).tobytes() for i in got]
                 yield pa.RecordBatch.from_arrays([pa.array(k[got], pa.int64()), pa.array(packed, pa.binary())], ["key", "s"])
 
+    return rows.mapInArrow(pick, "key long, s binary").dropDuplicates(["key"])
+
+
+def verify(pairs: DataFrame, have: DataFrame, rule: Rule, per_cell: int = 20_000) -> DataFrame:
+    """The pairs (a, b) whose whole sets, taken from ``have``, are similar.
+
+    Pairs fall into cells by the hash buckets of both sides; a set goes once to
+    each cell that needs it, not once to each pair.
+    """
+    n = pairs.count()
+    side = max(8, int(np.ceil(np.sqrt(n / per_cell))))
+    cell = lambda: (F.pmod("a", F.lit(side)) * side + F.pmod("b", F.lit(side))).alias("cell")
     placed = pairs.select(F.explode(F.array("a", "b")).alias("key"), cell()).distinct()
-    have = rows.mapInArrow(pick, "key long, s binary").dropDuplicates(["key"])
     placed = placed.join(have, "key").select("cell", "key", "s")
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -453,15 +456,54 @@ def verify(pairs: DataFrame, rows: DataFrame, sets: Sets, rule: Rule, per_cell:
     return pairs.select("a", "b", cell()).groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(test, "a long, b long")
 
 
-def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame | None:
+def earlier(edges: DataFrame, index: DataFrame, at: DataFrame, rows: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
+    """node: the sets of ``at`` (node, root, place) that a set of earlier place is similar to itself, not only through others.
+
+    ``edges`` and ``index`` are those of ``joined``. All similar pairs that share
+    a rare token or lie in different components of the first links are edges;
+    the sets that these give no earlier partner, and that are not the earliest of
+    their component, meet all earlier sets of it that share an entry. In long
+    lists they meet a hashed 512th of them first, then a 64th and an eighth, so
+    that mostly the sets without a partner are left to meet all.
+    """
+    side = lambda c: at.select(F.col("node").alias(c), F.col("place").alias("at_" + c))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
+    late = materialise(both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct(), "late")
+    least = at.groupBy("root").agg(F.min("place").alias("least"))
+    needy = at.join(least, "root").where("place > least").join(late, "node", "left_anti").select("node", "root")
+    needy = materialise(needy.join(index.select(F.col("key").alias("node")).distinct(), "node", "left_semi"), "needy")
+    if needy.isEmpty():
+        return late
+    placed = at.join(needy.select("root").distinct(), "root", "left_semi").withColumnRenamed("node", "key")
+    e = materialise(index.join(placed, "key"), "entries")
+    have = materialise(chosen(e.select("key"), rows, sets), "sets")
+    longest = e.groupBy("token", "root").count().agg(F.max("count")).first()[0]
+    for share in [*(n for n in (512, 64, 8) if 8 * n <= longest), 1]:
+        x = _side(e.join(needy.select(F.col("node").alias("key")), "key", "left_semi"), "x")
+        y = _side(e.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), "y")
+        pairs = (x.join(y, (x["token"] == y["token"]) & (F.col("xroot") == F.col("yroot"))).where("yplace < xplace")
+                 .where(rule.num * F.greatest("xsize", "ysize") <= 100 * F.least("xsize", "ysize")).where(_partner(rule, "x", "y"))
+                 .select(F.col("xkey").alias("a"), F.col("ykey").alias("b")).distinct())
+        found = materialise(verify(materialise(pairs, "pairs"), have, rule).select(F.col("a").alias("node")).distinct(), "late")
+        late = late.unionByName(found)
+        needy = materialise(needy.join(found, "node", "left_anti"), "needy")
+    return late
+
+
+def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame:
     """Edges (a, b) of similar sets: as many as keep every component whole."""
+    return joined(rows, sets, rule, total, components)[0]
+
+
+def joined(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> tuple[DataFrame, DataFrame]:
+    """The edges of ``links`` and the index of the frequent class."""
     parts = max(64, total // (1 << 21))
     matched = materialise(match(postings(rows, sets, rule.prefix, parts, signed=rule.signed, rare=rule.rare), rule, parts), "matched")
     counts = materialise(frequent_parts(matched, rule), "frequent")
     index = materialise(entries(counts, rows, sets, rule), "entries")
     first = materialise(rare_pairs(matched, counts, rule).unionByName(star_pairs(index, rule)).distinct(), "pairs")
-    found = materialise(verify(first, rows, sets, rule), "links")
+    found = materialise(verify(first, chosen(first.select("a", "b"), rows, sets), rule), "links")
     more = materialise(frequent_pairs(index, components(found), rule).join(first, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
-        return found
-    return found.unionByName(materialise(verify(more, rows, sets, rule), "links"))
+        return found, index
+    return found.unionByName(materialise(verify(more, chosen(more.select("a", "b"), rows, sets), rule), "links")), index

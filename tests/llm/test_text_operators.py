@@ -329,5 +329,28 @@ def test_lines_of_many_near_copies(spark, monkeypatch, rare):
     assert got == {d: gone[d] for d, _ in rows} and sum(gone.values()) > 20
 
 
+def brute_matched(rows, num=80):
+    """Lines that some earlier line matches itself."""
+    lines = sorted(((d, i), frozenset(words(x))) for d, t in rows for i, x in enumerate(t.split("\n")))
+    return {at for n, (at, s) in enumerate(lines) if s and any(o and 100 * len(s & o) >= num * len(s | o) for _, o in lines[:n])}
+
+
+@pytest.mark.parametrize("rare", [3, 1000])
+def test_lines_go_only_for_a_match_of_their_own(spark, monkeypatch, rare):
+    """Chains with the middle last, and groups in which an edit too many parts two lines that a later one links."""
+    monkeypatch.setattr(op10_lines, "RARE", rare)
+    rs = np.random.RandomState(8)
+    rows = [(d, "\n".join(" ".join(f"g{g}w{i}" if rs.rand() > 0.07 else f"e{rs.randint(40)}" for i in range(30)) for g in range(3))) for d in range(90)]
+    base = [f"c{i}" for i in range(20)]
+    rows += [(200, " ".join(base)), (201, " ".join(base[3:] + ["x", "y"])), (202, " ".join(base[2:] + ["x"])), (203, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = brute_matched(rows)
+    got = {r.doc_id: r._kept for r in op10_lines.dedup(df, direct=True).collect()}
+    assert got == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+    assert (201, 0) not in gone and (202, 0) in gone and gone < {at[1:] for at in brute_lines(rows)}
+    left = {r.doc_id: r.text for r in op10_lines.drop_lines(df).collect()}
+    assert left == got
+
+
 def test_lines_of_an_empty_table(empty):
     assert op10_lines.dedup(empty).count() == 0 and op10_lines.drop_lines(empty).columns == empty.columns
