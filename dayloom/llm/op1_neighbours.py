@@ -108,7 +108,7 @@ def neighbours(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, lea
                sample: int = SAMPLE, search: int = SEARCH, share: float = SHARE, probe: int = PROBE) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with ``is_query`` the ``k`` largest inner products among the candidates found.
 
-    Equal vectors are one index entry that keeps its k + 1 smallest ids: ties
+    Equal vectors are one index entry that keeps its k + 1 smallest distinct ids: ties
     go to the smaller id, so no more can be in a result, and a vector that a
     third of all rows share costs one entry. The forest is fitted on at most
     ``sample`` distinct vectors, in the order of a hash; every distinct vector
@@ -120,12 +120,12 @@ def neighbours(vectors: DataFrame, is_query, k: int = K, trees: int = TREES, lea
     all: vectors without structure have no neighbours to be found for less. With fewer than k candidates all are returned.
     Vectors that are null, zero, not finite or of another dimension take no
     part, nor do rows without an id; extra columns are not read; a repeated row
-    is a candidate of its own, but for the query's own id.
+    counts once, an id with several vectors once for each score.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     keep = Window.partitionBy("v").orderBy("vec_id")
-    ids = rows.withColumn("r", F.row_number().over(keep)).where(F.col("r") <= k + 1)
+    ids = rows.distinct().withColumn("r", F.row_number().over(keep)).where(F.col("r") <= k + 1)
     index = materialise(ids.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("id", F.col("ids")[0]), "vectors")
     n, longest = index.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))).first()
     asked = materialise(rows.where(is_query).groupBy("vec_id", "v").agg(F.count("*").alias("n")), "queries")
@@ -182,17 +182,26 @@ def _scores(visits: DataFrame, cells: DataFrame, k: int) -> DataFrame:
             if cell not in of_cell:
                 continue
             x, ids = _matrix(of_cell[cell]["v"]), of_cell[cell]["ids"].tolist()
-            m = min(k + 8, len(x))
+            head, sole = np.array([c[0] for c in ids]), np.array([len(c) == 1 for c in ids])
+            second = np.array([c[min(1, len(c) - 1)] for c in ids])
+            # The rounding of a product is below this share of the lengths of its vectors.
+            rounding = 1e-15 * (x.shape[1] + 8) * np.sqrt((x ** 2).sum(1).max())
             for at in range(0, len(asks), 256):
                 part = asks.iloc[at:at + 256]
                 q, floors = _matrix(part["qv"]), part["floor"].to_numpy()
                 near = q @ x.T
-                some = np.flatnonzero(near.max(1) >= floors - 1e-9)
+                slack = rounding * np.sqrt((q ** 2).sum(1))
+                some = np.flatnonzero(near.max(1) >= floors - slack)
                 for i in some:
-                    top = np.argpartition(-near[i], m - 1)[:m]
-                    top = top[near[i][top] >= floors[i] - 1e-9]
-                    exact, name = (x[top] * q[i]).sum(1).tolist(), part["q"].iat[i]
-                    order = sorted((-s, v) for s, c in zip(exact, top) if s >= floors[i] for v in ids[c] if v != name)[:k]
+                    name = part["q"].iat[i]
+                    top = np.flatnonzero((near[i] >= floors[i] - slack[i]) & ~(sole & (head == name)))
+                    if len(top) > k:  # all that may reach the k-th score, however many
+                        kth = np.partition(near[i][top], len(top) - k)[len(top) - k]
+                        top = top[near[i][top] >= kth - 2 * slack[i]]
+                    exact = (x[top] * q[i]).sum(1)
+                    least = np.where(head[top] == name, second[top], head[top])  # the first id that an entry can give
+                    first = np.lexsort((least, -exact))[:k]  # k entries give k ids, each before those of all other entries
+                    order = sorted((-s, v) for s, c in zip(exact[first].tolist(), top[first]) if s >= floors[i] for v in ids[c] if v != name)[:k]
                     out += [(name, v, -s) for s, v in order]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

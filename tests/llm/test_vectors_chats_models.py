@@ -53,6 +53,25 @@ def test_a_common_vector_keeps_the_smallest_ids(spark):
         assert sorted(r.vec_id for r in got if r.query_id == q) == [i for i in range(21) if i != q][:20]
 
 
+def test_repeated_rows_do_not_push_out_other_ids(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(30)] + [(0, [1.0, 2.0])] * 40 + [(i, [0.1 * i, 0.0]) for i in range(30, 60)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = op1_neighbours.neighbours(df, F.col("vec_id").isin(5, 50)).orderBy("query_id", "rank").collect()
+    ids = lambda q: [r.vec_id for r in got if r.query_id == q]
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    want = exact([i for i, _ in once], [np.array(v) for _, v in once], lambda q: q in (5, 50))
+    assert {q: ids(q) for q in (5, 50)} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
+def test_many_equal_scores_go_to_the_smaller_ids(spark):
+    """Different vectors of one score: zero for the query but where it is not."""
+    n = 120
+    rows = [(1000 - i, [1.0] + [1.0 if j == i else 0.0 for j in range(n)]) for i in range(n)]
+    df = spark.createDataFrame([*rows, (5000, [1.0] + [0.0] * n)], "vec_id long, embedding array<double>")
+    got = op1_neighbours.neighbours(df, F.col("vec_id") == 5000).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1000 - n + 1 + i, 1.0) for i in range(20)]
+
+
 # --- 6: chats
 
 
