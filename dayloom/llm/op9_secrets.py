@@ -21,6 +21,10 @@ COMMON = 4096  # words of the dictionary
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}")
 KEY_FORMAT = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})$"
 NAMED = r"(?i)(password|passwd|pwd|token|secret|api[_-]?key)\W{0,4}$"
+# A value assigned to such a name, of any length and characters: quoted, or up to white space, a quote or the next assignment.
+_ASSIGN = r"(?:password|passwd|pwd|token|secret|api[_-]?key)[\"'`]?[ \t]{0,4}(?:=>|:=|==?|:)[ \t]{0,4}"
+ASSIGNED = rf"(?i){_ASSIGN}[\"'`]?$"
+VALUE = re.compile(rf"(?i){_ASSIGN}(?:(?P<q>[\"'`])(?P<quoted>(?:\\[^\n]|(?!(?P=q))[^\\\n])+)(?P=q)|[\"'`]?(?P<bare>(?:(?![&;,]\w+=)[^\s\"'`])+))")
 
 _WORD = re.compile(r"[^\W\d_]+")
 _KINDS = np.full(128, 4, np.int64)
@@ -30,6 +34,19 @@ _KINDS[[ord(x) for x in "+/_-"]] = 3
 WIDTH = 1 + 5 + 25 + 4 + 2 * BUCKETS
 
 
+def places(text: str) -> list[tuple[int, int]]:
+    """Start and end of every candidate: values of named keys whole, and what else looks like one."""
+    at = {}
+    for m in VALUE.finditer(text):
+        i, j = m.span("quoted" if m["quoted"] else "bare")
+        if not m["quoted"]:  # the sentence's punctuation is not the value's
+            j = i + (len(m["bare"].rstrip(",;.)]}")) or j - i)
+        at[i] = j
+    for m in CANDIDATE.finditer(text):
+        at[m.start()] = max(m.end(), at.get(m.start(), 0))
+    return sorted(at.items())
+
+
 def findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """doc_id, start, end (characters), value, before, after, path of every candidate in the whole texts."""
 
@@ -37,9 +54,8 @@ def findings(docs: DataFrame, path: str | None = "source") -> DataFrame:
         for b in chunks(batches):
             rows = []
             for d, t, p in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for m in CANDIDATE.finditer(t):
-                    i, j = m.span()
-                    rows.append((d.as_py(), i, j, m[0], t[max(0, i - NEAR):i], t[j:j + NEAR], p))
+                for i, j in places(t):
+                    rows.append((d.as_py(), i, j, t[i:j], t[max(0, i - NEAR):i], t[j:j + NEAR], p))
             if rows:
                 cols = list(zip(*rows))
                 kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), *[pa.string()] * 4]
@@ -58,7 +74,7 @@ def dictionary(docs: DataFrame, size: int = COMMON) -> list[str]:
 
 def labelled(found: DataFrame) -> DataFrame:
     """Labels by format: 1 for the known formats of keys and for values named as secrets, else 0."""
-    return found.withColumn("label", (F.col("value").rlike(KEY_FORMAT) | F.col("before").rlike(NAMED)).cast("int"))
+    return found.withColumn("label", (F.col("value").rlike(KEY_FORMAT) | F.col("before").rlike(NAMED) | F.col("before").rlike(ASSIGNED)).cast("int"))
 
 
 def _slot(word: str) -> int:
@@ -151,9 +167,14 @@ def grow(x: np.ndarray, y: np.ndarray, rs: np.random.RandomState, depth: int = D
 
 
 def train(found: DataFrame, words: list[str], max_rows: int = MAX_ROWS, trees: int = TREES, seed: int = 5) -> Forest:
-    """Forest on at most ``max_rows`` labelled findings, in the order of a hash of their values and places. None: a forest that scores 0."""
-    rows = found.orderBy(F.xxhash64("value", "before", "doc_id", "start"), "doc_id", "start").limit(max_rows).toPandas()
-    rows = rows.dropna(subset=["label"])
+    """Forest on at most ``max_rows`` / 2 labelled findings of each label, in the order of a hash of their values. None: a forest that scores 0.
+
+    A value counts once for each label, with the place whose hash is least, so
+    neither common values nor a common label push the others out.
+    """
+    place = F.struct(F.xxhash64("value", "before", "doc_id", "start").alias("h"), "doc_id", "start", "before", "after", "path")
+    once = found.where(F.col("label").isNotNull()).groupBy("label", "value").agg(F.min(place).alias("p")).select("label", "value", "p.*")
+    rows = pd.concat([once.where(side).orderBy("h", "doc_id", "start").limit(max_rows // 2).toPandas() for side in ("label > 0", "label <= 0")], ignore_index=True)
     if not len(rows):
         return Forest([])
     x, y, rs = inputs(rows, set(words)), rows["label"].to_numpy(np.float64), np.random.RandomState(seed)
@@ -163,6 +184,9 @@ def train(found: DataFrame, words: list[str], max_rows: int = MAX_ROWS, trees: i
 def secrets(docs: DataFrame, labels: DataFrame | None = None, path: str | None = "source", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, value, score, secret: every candidate in the whole texts and the forest's verdict.
 
+    Candidates are the values assigned (= or :) to a name of a secret, whatever
+    their length and characters, and elsewhere runs of 12 or more of
+    [A-Za-z0-9+/_-] with a digit.
     Learnt from ``labels`` (findings with label 0 or 1), else from the findings
     whose format names them. Null and empty texts have no candidates; a null
     path is empty; repeated rows give repeated findings; without findings the

@@ -171,6 +171,26 @@ def test_secrets_are_told_from_other_candidates(spark, docs, empty):
     assert op9_secrets.secrets(empty).count() == 0
 
 
+def test_named_values_are_candidates_whatever_they_look_like():
+    text = """password = 'tr0ub4dor&3' pwd: correct-horse-battery, "api_key": "a b\\"c" token=x; secret=&y%ab;user=me TOKEN = "0123456789abcdef" and abcdef0123456789"""
+    got = [text[i:j] for i, j in op9_secrets.places(text)]
+    assert got == ["tr0ub4dor&3", "correct-horse-battery", 'a b\\"c', "x", "&y%ab", "0123456789abcdef", "abcdef0123456789"]
+    assert [a for a, _ in op9_secrets.places("no token here, a secret of old times")] == []
+
+
+def test_rare_secrets_are_learnt_beside_many_others(spark):
+    rs = np.random.RandomState(9)
+    hexes = lambda n: "".join(rs.choice(list("0123456789abcdef"), n))
+    keys = [hexes(40) for _ in range(12)]
+    rows = [(i, f'set token = "{k}" done', "p") for i, k in enumerate(keys)] + [(100 + i, "see id 1234567890123456 and " + " ".join(f"n{rs.randint(10**13, 10**14)}" for _ in range(20)), "p") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = op9_secrets.labelled(op9_secrets.findings(df))
+    forest = op9_secrets.train(found, [], max_rows=60)
+    of = found.toPandas()
+    hit = forest.score(op9_secrets.inputs(of, set())) >= 0.5
+    assert set(of["value"][hit]) == set(keys)
+
+
 def test_forest_on_held_out_findings(spark):
     rs = np.random.RandomState(5)
     x = rs.randn(1200, 12).astype(np.float32)
