@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions import expr as X
 from dayloom.operators import aggregates as A
+from dayloom.operators import deals as D
 from dayloom.operators import features as FT
 from dayloom.operators import joins as J
 from dayloom.operators import ordering as O
@@ -16,7 +19,6 @@ from dayloom.operators import quality as Q
 from dayloom.operators import scoring as SC
 from dayloom.operators import windows as WN
 from dayloom.operators.aggregates import rate
-from dayloom.operators.resampling import replicates
 from dayloom.panel import DAY, KEY, SITE
 from dayloom.session import materialise
 
@@ -149,11 +151,85 @@ def random_weights(spark: SparkSession, k: int, factors: Sequence[str], seed: st
     return x.select("model", F.transform("_r", lambda v: v / total).alias("w"))
 
 
-def daily_objective(feats: DataFrame, vectors: DataFrame, k: int, factors: Sequence[str], population: DataFrame,
+PATTERNS = 256  # patterns whose best rows a task keeps together
+ROWS = 2048  # rows that one matrix product takes
+
+
+def _best_rows(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of each column's n best scores, ties to the smaller id: rows x columns in, n (or all) x columns out."""
+    order = np.argsort(ids, kind="stable")
+    first = np.argsort(-scores[order], axis=0, kind="stable")[:n]
+    return order[first]
+
+
+def pattern_picks(feats: DataFrame, vectors: DataFrame, factors: Sequence[str], n: int) -> DataFrame:
+    """(day, model, entity_id, metric, score): the n best of each day for each weight vector, packed by blocks of patterns.
+
+    The weights are a table of k short rows. A task multiplies blocks of rows
+    with blocks of PATTERNS weight vectors and keeps n rows for each day and
+    pattern; only these leave it, as packed arrays, and are merged by (day, block).
+    """
+    spark = feats.sparkSession
+    parts = SC.components(feats, factors)
+    table = vectors.orderBy(F.col("model").cast("long")).toPandas()  # k vectors of a few factors: a parameter
+    kept = spark.sparkContext.broadcast((table["model"].to_numpy(), np.array(table["w"].tolist(), np.float64).reshape(len(table), -1)))
+
+    def pack(key, block, ids, metric, score):
+        return [*key, block, ids.astype(np.int64).tobytes(), metric.astype(np.float64).tobytes(), score.astype(np.float64).tobytes(), ids.shape[0]]
+
+    cols = [*DAY, "block", "ids", "metrics", "scores", "size"]
+    kinds = "site string, day date, block int, ids binary, metrics binary, scores binary, size int"
+
+    def best(frames):
+        held: dict[tuple, tuple] = {}
+        models, w = kept.value
+        for pdf in frames:
+            for key, own in pdf.groupby(DAY, sort=False, dropna=False):
+                for at in range(0, len(own), ROWS):
+                    some = own.iloc[at:at + ROWS]
+                    x, ids, metric = np.stack(list(some["comp"])), some["entity_id"].to_numpy(), some["metric"].to_numpy(np.float64)
+                    for block in range(0, len(models), PATTERNS):
+                        part = w[block:block + PATTERNS]
+                        score = np.zeros((len(x), len(part)))
+                        for i in range(x.shape[1]):  # one factor after the other, as a row at a time would add them
+                            score += x[:, i:i + 1] * part[:, i]
+                        score = np.round(score, 9)
+                        top = _best_rows(score, ids, n)
+                        new = (ids[top], metric[top], np.take_along_axis(score, top, 0))
+                        old = held.get((*key, block))
+                        held[(*key, block)] = new if old is None else _merged([old, new], n)
+            if len(held) * PATTERNS * n > 1 << 22:
+                yield pd.DataFrame([pack(k[:2], k[2], *v) for k, v in held.items()], columns=cols)
+                held.clear()
+        if held:
+            yield pd.DataFrame([pack(k[:2], k[2], *v) for k, v in held.items()], columns=cols)
+
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        models = kept.value[0][key[2]:key[2] + PATTERNS]
+        lists = [tuple(np.frombuffer(b, t).reshape(size, -1) for b, t in ((r.ids, np.int64), (r.metrics, np.float64), (r.scores, np.float64)))
+                 for r, size in zip(pdf.itertuples(), pdf["size"])]
+        ids, metric, score = lists[0]
+        for other in lists[1:]:
+            ids, metric, score = _merged([(ids, metric, score), other], n)
+        rank = np.repeat(np.arange(1, len(ids) + 1, dtype=np.int32), len(models))
+        return pd.DataFrame({"site": key[0], "day": key[1], "model": np.tile(models, len(ids)), "rank": rank,
+                             "entity_id": ids.ravel(), "metric": metric.ravel(), "score": score.ravel()})
+
+    packed = parts.select(*DAY, "entity_id", F.col("metric").cast("double").alias("metric"), "comp").mapInPandas(best, kinds)
+    return packed.groupBy(*DAY, "block").applyInPandas(merge, "site string, day date, model string, rank int, entity_id long, metric double, score double")
+
+
+def _merged(lists: list[tuple], n: int) -> tuple:
+    """The n best of several (ids, metric, score) lists of the same patterns."""
+    ids, metric, score = (np.concatenate(x) for x in zip(*lists))
+    order = np.lexsort((ids, -score), axis=0)[:n]
+    return tuple(np.take_along_axis(a, order, 0) for a in (ids, metric, score))
+
+
+def daily_objective(feats: DataFrame, vectors: DataFrame, factors: Sequence[str], population: DataFrame,
                     n1: int = 10, n2: int = 30) -> DataFrame:
     """Per (pattern, day): lift of the n1 and n2 best over the day and the composite objective."""
-    ids = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i.cast("string"))
-    picks = O.top_n(SC.score_models(feats, vectors, ids, factors), [*DAY, "model"], SC.best_first(), n2)
+    picks = pattern_picks(feats, vectors, factors, n2)
     m = F.col("metric")
     day = population.groupBy(*DAY).agg(F.avg(m).alias("_pop"))
     g = picks.groupBy(*DAY, "model").agg(F.avg(F.when(F.col("rank") <= n1, m)).alias("mean1"), F.avg(m).alias("mean2"))
@@ -211,11 +287,11 @@ def robust_factors(ranked: DataFrame, vectors: DataFrame, factors: Sequence[str]
 def random_baseline(panel: DataFrame, picks: DataFrame, reps: int, n: int = 10, seed: str = "r") -> DataFrame:
     """Share of random n-sets of the day that do worse than the picks.
 
-    Per (day, rep) only n rows of each task survive to the shuffle.
+    Only the n drawn row numbers of each (day, rep) are made and meet the numbered rows.
     """
-    x = replicates(panel.select(*KEY, "metric"), reps).withColumn(
-        "u", X.uniform(F.col("day"), F.col("entity_id"), F.col("rep"), seed))
-    drawn = O.top_n(x, [*DAY, "rep"], [F.asc("u"), F.asc("entity_id")], n, "_r")
+    rows = O.position(panel.select(*KEY, "metric"), DAY, [F.col("entity_id")], "_number", "_n").withColumn("_number", F.col("_number") - 1)
+    groups = panel.groupBy(*DAY).agg(F.count(F.lit(1)).alias("_n")).withColumn("_key", D.key_of(F.col("day"), seed))
+    drawn = D.draws(groups, DAY, n, reps).join(rows.select(*DAY, "_number", "metric"), [*DAY, "_number"])
     sample = drawn.groupBy(*DAY, "rep").agg(X.rank_key(F.avg("metric")).alias("sample_mean"))
     real = picks.groupBy(*DAY).agg(X.rank_key(F.avg("metric")).alias("pick_mean"))
     return sample.join(real, DAY).groupBy(*DAY).agg(

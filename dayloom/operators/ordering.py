@@ -46,31 +46,6 @@ def position(
     return out.drop("_at", "_task", "_from", "_before", "_total")
 
 
-def uniform_cutoff(
-    df: DataFrame, by: Sequence[str], u: str, tie: str, wanted: str, buckets: int = 64
-) -> DataFrame:
-    """The ``wanted``-th smallest (u, tie) of each group, for a uniform u in [0, 1).
-
-    Equal-width bucket counts tell which bucket holds it; only that bucket's
-    rows (1 / buckets of the data) are then ordered. Groups that want 0 rows
-    give no cutoff. ``wanted`` is constant inside a group.
-    """
-    by = list(by)
-    cut = df.withColumn("_b", F.floor(F.col(u) * buckets))
-    counts = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max(wanted).alias("_m"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    edge = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(
-        "_before < _m AND _m <= _before + _n").select(*by, "_b", (F.col("_m") - F.col("_before")).alias("_k"))
-    inside = Window.partitionBy(*by, "_b").orderBy(u, tie)
-    rows = cut.select(*by, "_b", u, tie).join(edge, [*by, "_b"]).withColumn("_r", F.row_number().over(inside))
-    return rows.where("_r = _k").select(*by, F.col(u).alias("cut_u"), F.col(tie).alias("cut_tie"))
-
-
-def within_cutoff(u: str, tie: str) -> Column:
-    return F.coalesce((F.col(u) < F.col("cut_u")) | ((F.col(u) == F.col("cut_u")) & (F.col(tie) <= F.col("cut_tie"))),
-                      F.lit(False))
-
-
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolation quantiles per group, for groups of any size.
 

@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.functions import expr as X
 from dayloom.operators import aggregates as A
+from dayloom.operators import deals as D
 from dayloom.operators import ordering as O
 from dayloom.operators.aggregates import rate
 from dayloom.panel import DAY, SITE
@@ -81,39 +84,102 @@ def signflip_test(series: DataFrame, by: Sequence[str], value: str, reps: int, s
 
 
 EXACT_LIMIT = 20
-GRID, REACH = 100, 5_000_000  # steps of a unit, and the most sums that are counted
+LEAVES = 64  # values that one leaf of the convolution tree holds
+REACH = 1 << 24  # the longest list of sums that a task holds
+GRIDS = (1, 10, 100, 1000, 10_000, 1_000_000)  # parts of a unit in which values may be given
+
+
+def _signs(steps: np.ndarray) -> np.ndarray:
+    """Shares of all sums of the steps with either sign, the least sum first, each next one higher by two."""
+    out = np.ones(1)
+    for v in steps:  # a shift by v in steps of two
+        grown = np.zeros(len(out) + v)
+        grown[v:] = 0.5 * out
+        grown[:len(out)] += 0.5 * out
+        out = grown
+    return out
+
+
+def _joined(lists: list[np.ndarray]) -> np.ndarray:
+    """Convolution of the lists, the shortest first; long ones by FFT, with exact zeros below rounding noise."""
+    lists = sorted(lists, key=len)
+    while len(lists) > 1:
+        a, b = lists.pop(0), lists.pop(0)
+        if min(len(a), len(b)) <= 256:
+            both = np.convolve(a, b)
+        else:
+            size = 1 << int(np.ceil(np.log2(len(a) + len(b) - 1)))
+            both = np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:len(a) + len(b) - 1], 0.0)
+        lists.append(both / both.sum())
+        lists.sort(key=len)
+    return lists[0]
 
 
 def _sums_test(x: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p of all sign patterns from the number of ways to reach each sum, for values on a grid of 1 / GRID.
-
-    A group's distinct sizes with their counts are all that meets in a task,
-    and the sums are at most REACH; other groups are refused by name.
+    """p of all sign patterns from the shares of each sum, for values on a common grid.
+
+    The grid is the greatest common divisor of a group's values, written in the
+    coarsest of GRIDS that holds them, so whole totals of any size cost no more
+    than their ratios. Equal values are one entry with a count. A tree of
+    convolutions joins leaves of some LEAVES values, spread over the tasks, level
+    by level; the shares are exact to 1e-10. Values on no grid, or whose sums are more than REACH steps, stop
+    the query with the group's name.
     """
-    import numpy as np
-    import pandas as pd
-
-    sizes = x.withColumn("_g", F.round(F.abs(value) * GRID)).withColumn("_off", F.abs(F.abs(value) * GRID - F.col("_g")) > 1e-6)
-    sums = sizes.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.signum(value)).alias("_net"), F.bool_or("_off").alias("_off"))
+    # The coarsest grid on which all values of the group stand, as whole numbers.
+    on = [F.max(F.abs(F.abs(value) * g - F.round(F.abs(value) * g))) <= 1e-6 for g in GRIDS]
+    grid = F.coalesce(*[F.when(o, F.lit(float(g))) for o, g in zip(on, GRIDS)])
+    grids = x.groupBy(*by).agg(grid.alias("_grid"))
+    sizes = x.join(grids, by).withColumn("_g", F.round(F.abs(value) * F.col("_grid")).cast("long"))
+    sums = sizes.groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("_m"), F.sum(F.signum(value)).cast("long").alias("_net"))
     fields = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in by)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        g, m = pdf["_g"].to_numpy(np.int64), pdf["_m"].to_numpy(np.int64)
-        top = int((g * m).sum())
-        if pdf["_off"].any() or top > REACH:
-            raise ValueError(f"group {dict(zip(by, key))}: over {EXACT_LIMIT} values that are not on a grid of 1/{GRID} or reach over {REACH} sums; use signflip_test")
-        share = np.zeros(2 * top + 1)
-        share[top] = 1.0
-        for v, k in zip(g, m):
-            for _ in range(int(k)):
-                share = 0.5 * (np.roll(share, v) + np.roll(share, -v))
-        seen = int(abs((g * pdf["_net"].to_numpy(np.int64)).sum()))
-        far = share[:top - seen + 1].sum() + share[top + seen:].sum() if seen else 1.0
-        patterns = 2.0 ** int(m.sum())
-        p = (far * patterns + 1) / (patterns + 1) if np.isfinite(patterns) else far
-        return pd.DataFrame([[*key, p]], columns=[*by, "p_value"])
-
-    return sums.groupBy(*by).applyInPandas(run, f"{fields}, p_value double")
+    def divisor(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        steps = pdf["_g"]
+        if steps.isna().any():
+            raise ValueError(f"group {dict(zip(by, key))}: over {EXACT_LIMIT} values that are on no grid of {GRIDS} parts of a unit; use signflip_test")
+        return pd.DataFrame([[*key, int(np.gcd.reduce(steps.to_numpy(np.int64))), int(steps.max())]], columns=[*by, "_d", "_most"])
+
+    # One row for each group: distinct sizes of a group, gathered by a divisor tree of their own.
+    part = sums.withColumn("_part", F.pmod(F.xxhash64("_g"), F.lit(64)))
+    first = part.groupBy(*by, "_part").applyInPandas(lambda key, pdf: divisor(key[:-1], pdf), f"{fields}, _d long, _most long")
+    step = first.groupBy(*by).applyInPandas(
+        lambda key, pdf: pd.DataFrame([[*key, int(np.gcd.reduce(pdf["_d"].to_numpy()))]], columns=[*by, "_d"]), f"{fields}, _d long")
+    rows = sums.join(step, by).withColumn("_g", F.expr("_g div _d"))
+    whole = materialise(rows.groupBy(*by).agg(F.sum(F.col("_g") * F.col("_m")).alias("_top"), F.abs(F.sum(F.col("_g") * F.col("_net"))).alias("_seen"), F.sum("_m").alias("_n")), "sums")
+    over = whole.where(F.col("_top") > REACH).select(*by, "_top").limit(1).collect()
+    if over:
+        raise ValueError(f"group {over[0].asDict()}: over {EXACT_LIMIT} values whose sums reach over {REACH} steps; use signflip_test")
+    each = rows.withColumn("_i", F.explode(F.expr(f"sequence(0L, (_m - 1) div {LEAVES})")))
+    each = each.select(*by, "_g", F.least(F.lit(LEAVES), F.col("_m") - F.col("_i") * LEAVES).alias("_m"),
+                       F.pmod(F.xxhash64("_g", "_i"), F.lit(1 << 30)).alias("_leaf"))
+    leaves = whole.select(*by, F.ceil(F.col("_n") / LEAVES).alias("_leaves"))
+    kinds = f"{fields}, _leaf long, _leaves long, shares binary"
+
+    def leaf(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        made = _joined([_signs(np.repeat(int(g), int(m))) for g, m in zip(pdf["_g"], pdf["_m"])])
+        return pd.DataFrame([[*key[:-1], int(key[-1]), int(pdf["_leaves"].iloc[0]), made.tobytes()]], columns=[*by, "_leaf", "_leaves", "shares"])
+
+    def pair(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        made = _joined([np.frombuffer(b) for b in pdf["shares"]])
+        return pd.DataFrame([[*key[:-1], int(key[-1]), int(pdf["_leaves"].iloc[0]), made.tobytes()]], columns=[*by, "_leaf", "_leaves", "shares"])
+
+    tree = each.join(leaves, by).withColumn("_leaf", F.pmod("_leaf", F.col("_leaves"))).groupBy(*by, "_leaf").applyInPandas(leaf, kinds)
+    most = leaves.agg(F.max("_leaves")).first()[0] or 1
+    while most > 1:
+        most = -(-most // 8)
+        tree = tree.withColumn("_leaf", F.pmod("_leaf", F.lit(most))).groupBy(*by, "_leaf").applyInPandas(pair, kinds)
+
+    def share(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for shares, top, seen, n in zip(pdf["shares"], pdf["_top"], pdf["_seen"], pdf["_n"]):
+            s = np.frombuffer(shares)
+            cut = (top - seen) // 2  # sums -top, -top + 2 ..: the places up to this one, and as many from the end
+            far = 1.0 if seen == 0 else s[:cut + 1].sum() + s[len(s) - 1 - cut:].sum()
+            patterns = 2.0 ** min(n, 1000)
+            out.append((far * patterns + 1) / (patterns + 1))
+        return pdf[by].assign(p_value=np.minimum(1.0, out))
+
+    return tree.select(*by, "shares").join(whole, by).mapInPandas(lambda frames: map(share, frames), f"{fields}, p_value double")
 
 
 def exact_sign_test(series: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -138,8 +204,11 @@ def exact_sign_test(series: DataFrame, by: Sequence[str], value: str) -> DataFra
     plain = F.aggregate("_v", F.lit(0.0), lambda s, v: s + v)
     g = masks.withColumns({"_s": X.rank_key(F.abs(flipped)), "_o": X.rank_key(F.abs(plain))}).groupBy(*by).agg(
         ((F.count_if(F.col("_s") >= F.col("_o")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
-    large = _sums_test(x.join(size.where(F.col("n") > EXACT_LIMIT).select(*by), by), by, value)
-    return size.join(g.select(*by, "p_value").unionByName(large), by)
+    g = g.select(*by, "p_value")
+    large = x.join(size.where(F.col("n") > EXACT_LIMIT).select(*by), by)
+    if not size.where(F.col("n") > EXACT_LIMIT).isEmpty():
+        g = g.unionByName(_sums_test(materialise(large.select(*by, value), "values"), by, value))
+    return size.join(g, by)
 
 
 def cohens_d(series: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -154,62 +223,41 @@ def wilson_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
                                ).withColumns({"win_rate": F.col("wins") / F.col("n"), "ci_low": lo, "ci_high": hi})
 
 
-def perm_diff_test(series: DataFrame, group: str, b: str, value: str, reps: int, seed: str = "p") -> DataFrame:
-    """Two-sided p of a difference of means when the group labels are dealt out again."""
-    v = F.col(value)
-    is_b = F.col(group) == b
-    obs = series.groupBy(*SITE).agg(
-        F.count_if(is_b).alias("_m"), (F.avg(F.when(is_b, v)) - F.avg(F.when(~is_b, v))).alias("_obs"))
-    x = replicates(series.join(obs, SITE), reps).withColumn("_u", X.uniform(F.col("day"), F.col("rep"), seed))
-    cut = O.uniform_cutoff(x, [*SITE, "rep"], "_u", "day", "_m", 8)
-    x = x.join(cut, [*SITE, "rep"], "left")
-    mine = O.within_cutoff("_u", "day")
-    null = x.groupBy(*SITE, "rep").agg(
-        (F.avg(F.when(mine, v)) - F.avg(F.when(~mine, v))).alias("_null"), F.max("_obs").alias("_obs"))
-    return null.groupBy(*SITE).agg(
-        F.max("_obs").alias("observed"), p_two_sided("_null", "_obs", F.count(F.lit(1))).alias("p_value"))
-
-
-# ---- spatial and group permutations ----------------------------------------------
-
-def permuted_labels(df: DataFrame, reps: int, within: Sequence[str] = (), seed: str = "x") -> DataFrame:
-    """Rep 0 keeps the observed flag; each other rep deals the same number of flags out at random.
+def dealt(df: DataFrame, group: Sequence[str], order: str, seed: str) -> DataFrame:
+    """``df`` (with a flag ``strong``) with what a deal of its flags inside ``group`` needs.
 
-    The deal happens inside (day, ``within``): the rows below the m-th smallest
-    hashed uniform carry a flag. Only the cutoffs, one per (day, rep), are
-    joined back, so the rows themselves are not sorted or moved here.
+    _number (from 0, along ``order``), _n and _m (rows and flagged rows of the group) and _key.
     """
-    group = [*DAY, *within]
+    group = list(group)
+    x = O.position(df, group, [F.col(order)], "_number", "_n").withColumn("_number", F.col("_number") - 1)
     count = df.groupBy(*group).agg(F.count_if("strong").alias("_m"))
-    x = replicates(df.join(count, group), reps, first=0).withColumn(
-        "_u", X.uniform(F.col("day"), F.col("entity_id"), F.col("rep"), seed))
-    cut = O.uniform_cutoff(x.where("rep > 0"), [*group, "rep"], "_u", "entity_id", "_m", 8 if within else 64)
-    dealt = x.join(cut, [*group, "rep"], "left")
-    return dealt.withColumn("strong", F.when(F.col("rep") == 0, F.col("strong")).otherwise(
-        O.within_cutoff("_u", "entity_id"))).drop("_u", "_m", "cut_u", "cut_tie")
+    return x.join(count, group).withColumn("_key", D.key_of(*[F.col(c) for c in group if c != "site"], seed))
 
 
-def cluster_counts(flagged: DataFrame) -> DataFrame:
-    """Strong pairs, triples and 3-of-5 windows per (day, rep) along unbroken slots of a segment side.
+def perm_diff_test(series: DataFrame, group: str, b: str, value: str, reps: int, seed: str = "p") -> DataFrame:
+    """Two-sided p of a difference of means when the group labels are dealt out again; rows without a value are left out."""
+    x = series.where(F.col(value).isNotNull()).withColumn("strong", F.coalesce(F.col(group) == b, F.lit(False)))
+    total = x.groupBy(*SITE).agg(F.count(F.lit(1)).alias("_all"), F.sum(value).alias("_sum"))
+    q, v = F.col("q"), F.col("v")
+    diff = F.try_divide(v, q) - F.try_divide(F.col("_sum") - v, F.col("_all") - q)
+    null = D.flag_sums(dealt(x, SITE, "day", seed), SITE, reps, value).join(total, SITE).select(*SITE, "rep", diff.alias("_null"))
+    obs = null.where("rep = 0").select(*SITE, F.col("_null").alias("_obs"))
+    return null.where("rep > 0").join(obs, SITE).groupBy(*SITE).agg(
+        F.max("_obs").alias("observed"), p_two_sided("_null", "_obs", F.count(F.lit(1))).alias("p_value"))
 
-    A window holds one (day, rep, island, side): a physical segment.
-    """
-    w = Window.partitionBy(*DAY, "rep", "island_id", "side").orderBy("slot_index")
-    s = F.col("strong").cast("int")
-    run = lambda k: F.lead("slot_index", k - 1).over(w) == F.col("slot_index") + k - 1
-    tot = lambda k: F.sum(s).over(w.rowsBetween(0, k - 1))
-    x = flagged.withColumns({
-        "_2": run(2) & (tot(2) == 2), "_3": run(3) & (tot(3) == 3), "_5": run(5) & (tot(5) >= 3)})
-    return x.groupBy(*DAY, "rep").agg(
-        F.count_if("_2").alias("pairs"), F.count_if("_3").alias("triples"), F.count_if("_5").alias("fives"))
 
+# ---- spatial and group permutations ----------------------------------------------
 
 def spatial_counts(panel: DataFrame, layout: DataFrame, threshold: float, reps: int, within: Sequence[str] = (),
                    seed: str = "x") -> DataFrame:
+    """Strong pairs, triples and 3-of-5 windows per (day, rep) along unbroken slots of a segment side.
+
+    Rep 0 is observed; each other rep deals the day's flags (or those of each ``within`` group) out again.
+    """
     dim = layout.where("shape = 'rect'").select("site", "entity_id", "island_id", "side", "slot_index")
-    rows = panel.join(dim, ["site", "entity_id"]).withColumn("strong", F.col("metric") >= threshold)
+    rows = panel.select(*DAY, *within, "entity_id", "metric").join(dim, ["site", "entity_id"]).withColumn("strong", F.coalesce(F.col("metric") >= threshold, F.lit(False)))
     # one small row per (day, rep), read once as observed and once as null values
-    return materialise(cluster_counts(permuted_labels(rows, reps, within, seed)))
+    return materialise(D.window_counts(dealt(rows, [*DAY, *within], "entity_id", seed), DAY, ["island_id", "side"], reps))
 
 
 def null_summary(counts: DataFrame, statistics: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -234,10 +282,11 @@ def spatial_test(panel: DataFrame, layout: DataFrame, threshold: float, reps: in
 def group_event_counts(panel: DataFrame, threshold: float, reps: int, mode: str = "SOFT", seed: str = "g") -> DataFrame:
     """Qualifying label groups per (day, rep), overall and by size stratum; groups under three are left out."""
     hit = F.col("metric") >= threshold if mode == "SOFT" else F.col("metric") > 0
-    x = permuted_labels(panel.withColumn("strong", hit), reps, seed=seed)
-    g = x.groupBy(*DAY, "rep", "label").agg(F.count(F.lit(1)).alias("size"), F.count_if("strong").alias("q"))
+    x = panel.select(*DAY, "label", "entity_id", F.coalesce(hit, F.lit(False)).alias("strong"))
+    size = x.groupBy(*DAY, "label").agg(F.count(F.lit(1)).alias("size")).where("size >= 3")
+    g = D.flag_sums(dealt(x, DAY, "entity_id", seed), [*DAY, "label"], reps).join(size, [*DAY, "label"])
     need = F.ceil(F.col("size") * 2.0 / 3.0) if mode == "SOFT" else F.col("size")
-    g = g.where("size >= 3").withColumns({"event": F.col("q") >= need, "stratum": A.size_stratum(F.col("size"))})
+    g = g.withColumns({"event": F.col("q") >= need, "stratum": A.size_stratum(F.col("size"))})
     return materialise(g.groupBy(*DAY, "rep").agg(
         F.count_if("event").alias("overall"),
         *[F.count_if(F.col("event") & (F.col("stratum") == s)).alias(n) for s, n in (

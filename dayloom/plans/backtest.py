@@ -119,16 +119,16 @@ def _(spark, d):
 
 # ---- J05-J09 -------------------------------------------------------------------
 
-K = 24
+K, BOOT = 3000, 20_000  # weight vectors, bootstrap replicates
 FACT = sorted(SC.BASE_WEIGHTS)
 WV = "wv AS (SELECT i::VARCHAR AS model, " + ", ".join(
     f"-ln(1-{S.u('i', repr(f), repr('w'))}) r_{f}" for f in FACT) + f" FROM (SELECT unnest(range({K})) i)),\nwn AS (SELECT *, " \
     + "+".join(f"r_{f}" for f in FACT) + " rt FROM wv)"
 OBJ = S.chain(PF, S.components(FACT), POP, WV, f"""wsp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, day
  ORDER BY score DESC, entity_id) AS rank FROM (SELECT model, day, entity_id, metric, round({' + '.join(
-    f'k_{f}*(r_{f}/rt)' for f in FACT)}, 9) score FROM comps, wn)) WHERE rank<=12),
+    f'k_{f}*(r_{f}/rt)' for f in FACT)}, 9) score FROM comps, wn)) WHERE rank<=30),
 obj AS (SELECT *, lift1*0.4+lift2*0.25+(mean1>0)::INT*100*5*0.2+(mean2>0)::INT*100*5*0.15 objective FROM (
- SELECT model, day, avg(metric) FILTER (rank<=5) mean1, avg(metric) mean2, avg(metric) FILTER (rank<=5)-any_value(pop_mean) lift1,
+ SELECT model, day, avg(metric) FILTER (rank<=10) mean1, avg(metric) mean2, avg(metric) FILTER (rank<=10)-any_value(pop_mean) lift1,
  avg(metric)-any_value(pop_mean) lift2 FROM wsp JOIN pop USING (day) GROUP BY 1, 2)),
 wrank AS (SELECT *, row_number() OVER (ORDER BY objective DESC, model::INT) AS position FROM (SELECT model, count(*) AS n_days,
  avg(lift1) lift1, avg(lift2) lift2, round(avg(objective), 9) objective FROM obj GROUP BY 1))""")
@@ -137,7 +137,7 @@ wrank AS (SELECT *, row_number() OVER (ORDER BY objective DESC, model::INT) AS p
 def objective(spark, d):
     p = materialise(panel(spark, d))
     f = materialise(FT.rank_features(p, extras=()))
-    return B.daily_objective(f, B.random_weights(spark, K, FACT), K, FACT, p, 5, 12)
+    return B.daily_objective(f, B.random_weights(spark, K, FACT), FACT, p, 10, 30)
 
 
 @query("J05_weight_search", "model:s lift1:f lift2:f objective:f position:i", "SELECT * FROM wrank", OBJ)
@@ -171,14 +171,17 @@ def _(spark, d):
     return B.robust_factors(B.weight_search(objective(spark, d)), B.random_weights(spark, K, FACT), FACT)
 
 
-@query("J09_random_baseline", "day:d reps:i random_mean:f pick_mean:f percentile:f", f"""
+BASELINES = 5000  # random sets of a day
+
+
+@query("J09_random_baseline", "day:d reps:i random_mean:f pick_mean:f percentile:f", """
 SELECT day, count(*) reps, avg(sm) random_mean, max(pm) pick_mean, avg((sm<pm)::INT) percentile FROM (
- SELECT day, rep, round(avg(metric),9) sm FROM (SELECT *, row_number() OVER (PARTITION BY day, rep ORDER BY u, entity_id) r
-  FROM (SELECT day, entity_id, metric, rep, {S.u('day', 'entity_id', 'rep', "'r'")} u FROM panel,
-   (SELECT unnest(range(1,51)) rep))) WHERE r<=10 GROUP BY 1, 2)
-JOIN (SELECT day, round(avg(metric),9) pm FROM picks GROUP BY 1) USING (day) GROUP BY 1""", PICKS)
+ SELECT day, rep, round(avg(metric),9) sm FROM dealt JOIN numbered USING (day, x) WHERE rep>0 GROUP BY 1, 2)
+JOIN (SELECT day, round(avg(metric),9) pm FROM picks GROUP BY 1) USING (day) GROUP BY 1""",
+       S.chain(PICKS, "numbered AS (SELECT day, metric, row_number() OVER (PARTITION BY day ORDER BY entity_id) - 1 AS x FROM panel)",
+               "flagged AS (SELECT day, entity_id, true strong FROM panel)", S.deal("flagged", BASELINES, "day", "entity_id", "r", "dealt", 10)))
 def _(spark, d):
-    return B.random_baseline(panel(spark, d), picks(spark, d), 50)
+    return B.random_baseline(panel(spark, d), picks(spark, d), BASELINES)
 
 
 # ---- J22-J25 ---------------------------------------------------------------------
@@ -263,7 +266,7 @@ def boot_sql(src, by, value, reps, name, seed="b"):
 
 
 CC = S.chain(MPAIRS, "cpair AS (SELECT day, model, round(change,9) change FROM mpairs WHERE band='TOP10')",
-             boot_sql("cpair", "model", "change", 200, "ccb"))
+             boot_sql("cpair", "model", "change", BOOT, "ccb"))
 
 
 @query("J26_champion_challenger", "model:s pairs:i better:i worse:i total_change:f ci_low:f ci_high:f status:s", """
@@ -275,10 +278,10 @@ def _(spark, d):
     from dayloom.functions import expr as X
     pairs = J.pair_models(mode_daily(spark, d), "BASE").where("band = 'TOP10'")
     pairs = materialise(pairs.withColumn("change", X.rank_key(F.col("change"))))
-    return B.champion_challenger(pairs, R.bootstrap_ci(pairs, [*SITE, "model"], "change", 200), 20)
+    return B.champion_challenger(pairs, R.bootstrap_ci(pairs, [*SITE, "model"], "change", BOOT), 20)
 
 
-XV = S.chain(PICKS, POP, "xdaily AS (" + eval_sql("picks") + ")", boot_sql("xdaily", "band", "excess", 200, "xvb"))
+XV = S.chain(PICKS, POP, "xdaily AS (" + eval_sql("picks") + ")", boot_sql("xdaily", "band", "excess", BOOT, "xvb"))
 
 
 @query("J27_external_validation", "band:s days:i mean:f mean_lift:f positive_days:f reverses:i loo_min:f loo_max:f ci_low:f "
@@ -292,7 +295,7 @@ SELECT *, CASE WHEN mean_lift>0 AND ci_low>0 AND reverses=0 THEN 'CONFIRMED' WHE
 def _(spark, d):
     from dayloom.plans.scoring import BANDS
     x = materialise(A.evaluate_topn(picks(spark, d), panel(spark, d), BANDS))
-    return B.external_validation(x, R.bootstrap_ci(x, [*SITE, "band"], "excess", 200))
+    return B.external_validation(x, R.bootstrap_ci(x, [*SITE, "band"], "excess", BOOT))
 
 
 RST = S.chain(PICKS, POP, S.feats("panel2", name="feats2"),

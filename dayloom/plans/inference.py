@@ -13,14 +13,14 @@ from dayloom.plans.registry import query
 from dayloom.plans.windows import LD, label_days
 
 P = S.PANEL
-REPS = 200
+BOOT, DIFF, FLIPS = 20_000, 10_000, 20_000  # replicates
 
 
 @query("J10_bootstrap_ci", "label:s n:i mean_value:f ci_low:f ci_high:f p_positive:f",
        "SELECT * FROM (SELECT label, count(*) n, avg(mean) mean_value FROM ld GROUP BY 1) JOIN bt USING (label)",
-       S.chain(LD, boot_sql("ld", "label", "mean", REPS, "bt")))
+       S.chain(LD, boot_sql("ld", "label", "mean", BOOT, "bt")))
 def _(spark, d):
-    return R.bootstrap_ci(label_days(spark, d), LABEL, "mean", REPS)
+    return R.bootstrap_ci(label_days(spark, d), LABEL, "mean", BOOT)
 
 
 CLS = S.chain(P, """cls AS (SELECT day, CASE WHEN isodow(day)>=6 THEN 'OFF' ELSE 'WORK' END grp,
@@ -36,18 +36,18 @@ def day_strength(spark, d):
 SELECT o.observed, quantile_cont(diff,0.025) ci_low, quantile_cont(diff,0.975) ci_high, avg((diff>0)::INT) p_positive FROM (
  SELECT rep, max(boot_mean) FILTER (grp='OFF')-max(boot_mean) FILTER (grp='WORK') diff FROM bd_m GROUP BY 1),
  (SELECT avg(strength) FILTER (grp='OFF')-avg(strength) FILTER (grp='WORK') observed FROM cls) o GROUP BY 1""",
-       S.chain(CLS, boot_sql("cls", "grp", "strength", REPS, "bd")))
+       S.chain(CLS, boot_sql("cls", "grp", "strength", DIFF, "bd")))
 def _(spark, d):
-    return R.bootstrap_diff_ci(day_strength(spark, d), "grp", "OFF", "WORK", "strength", REPS)
+    return R.bootstrap_diff_ci(day_strength(spark, d), "grp", "OFF", "WORK", "strength", DIFF)
 
 
 @query("J12_signflip_test", "label:s observed:f p_value:f null_low:f null_high:f", f"""
 SELECT label, max(obs) observed, (1+count(*) FILTER (abs(round(nul,9))>=abs(round(obs,9))))/(count(*)+1) p_value,
  quantile_cont(nul,0.025) null_low, quantile_cont(nul,0.975) null_high FROM (
  SELECT label, rep, avg(CASE WHEN {S.u('label', 'day', 'rep', "'s'")}<0.5 THEN -mean ELSE mean END) nul, avg(mean) obs
- FROM ld, (SELECT unnest(range(1,{REPS + 1})) rep) GROUP BY 1, 2) GROUP BY 1""", LD)
+ FROM ld, (SELECT unnest(range(1,{FLIPS + 1})) rep) GROUP BY 1, 2) GROUP BY 1""", LD)
 def _(spark, d):
-    return R.signflip_test(label_days(spark, d), LABEL, "mean", REPS)
+    return R.signflip_test(label_days(spark, d), LABEL, "mean", FLIPS)
 
 
 WKS = S.chain(LD, """wks AS (SELECT label, date_trunc('week', day)::DATE AS day, avg(mean) mean FROM ld GROUP BY 1, 2)""")
@@ -83,31 +83,23 @@ def _(spark, d):
     return R.wilson_rows(panel(spark, d), ["site", "entity_id"])
 
 
-@query("J16_perm_diff_test", "observed:f p_value:f", f"""
-SELECT max(obs) observed, (1+count(*) FILTER (abs(round(nul,9))>=abs(round(obs,9))))/(count(*)+1) p_value FROM (
- SELECT rep, avg(strength) FILTER (r<=m)-avg(strength) FILTER (r>m) nul, any_value(obs) obs FROM (
- SELECT rep, strength, row_number() OVER (PARTITION BY rep ORDER BY {S.u('day', 'rep', "'p'")}, day) r FROM cls,
-  (SELECT unnest(range(1,{REPS + 1})) rep)), (SELECT count(*) FILTER (grp='OFF') m,
-  avg(strength) FILTER (grp='OFF')-avg(strength) FILTER (grp<>'OFF') obs FROM cls) GROUP BY 1)""", CLS)
-def _(spark, d):
-    return R.perm_diff_test(day_strength(spark, d), "grp", "OFF", "strength", REPS)
+DEALS, DEALS_OF_DAYS = 1000, 10_000
 
 
-def perm_sql(src, reps, within="", seed="x", name="prm"):
-    g = f"day, {within}" if within else "day"
-    return f"""{name} AS (SELECT * EXCLUDE (strong, u, r, m), CASE WHEN rep=0 THEN strong ELSE r<=m END strong FROM (
- SELECT *, row_number() OVER (PARTITION BY {g}, rep ORDER BY u, entity_id) r,
-  count(*) FILTER (strong) OVER (PARTITION BY {g}, rep) m FROM (
-  SELECT *, {S.u('day', 'entity_id', 'rep', repr(seed))} u FROM {src}, (SELECT unnest(range(0,{reps + 1})) rep))))"""
+@query("J16_perm_diff_test", "observed:f p_value:f", """
+SELECT max(obs) observed, (1+count(*) FILTER (abs(round(nul,9))>=abs(round(obs,9))))/(count(*)+1) p_value FROM (
+ SELECT nul, max(nul) FILTER (rep=0) OVER () obs, rep FROM (
+ SELECT rep, avg(strength) FILTER (strong)-avg(strength) FILTER (NOT strong) nul FROM prm GROUP BY 1)) WHERE rep>0""",
+       S.chain(CLS, "off AS (SELECT *, grp='OFF' strong FROM cls)", S.deal("off", DEALS_OF_DAYS, "", "day", "p", "prm")))
+def _(spark, d):
+    return R.perm_diff_test(day_strength(spark, d), "grp", "OFF", "strength", DEALS_OF_DAYS)
 
 
-SPA = """cnt AS (SELECT day, rep, count(*) FILTER (e2=slot_index+1 AND s2=2) pairs, count(*) FILTER (e3=slot_index+2 AND s3=3) triples,
- count(*) FILTER (e5=slot_index+4 AND s5>=3) fives FROM (SELECT day, rep, slot_index, lead(slot_index,1) OVER w AS e2,
- lead(slot_index,2) OVER w AS e3, lead(slot_index,4) OVER w AS e5,
- sum(strong::INT) OVER (w ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) s2,
- sum(strong::INT) OVER (w ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) s3,
- sum(strong::INT) OVER (w ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) s5 FROM prm
- WINDOW w AS (PARTITION BY day, rep, island_id, side ORDER BY slot_index)) GROUP BY 1, 2)"""
+_AT = range(21)  # slots of a segment of the test layout
+SPA = f"""seg AS (SELECT day, rep, island_id, side, sum(1 << slot_index) e, sum(CASE WHEN strong THEN 1 << slot_index ELSE 0 END) b
+ FROM prm GROUP BY ALL),
+cnt AS (SELECT day, rep, {", ".join(f"sum({' + '.join(f'(((e::BIGINT >> {i}) & {(1 << n) - 1}) = {(1 << n) - 1} AND bit_count((b::BIGINT >> {i}) & {(1 << n) - 1}) >= {k})::INT' for i in _AT)}) AS {c}"
+                                    for c, n, k in (("pairs", 2, 2), ("triples", 3, 3), ("fives", 5, 3)))} FROM seg GROUP BY 1, 2)"""
 RECT = S.chain(P, S.LAYOUT, "rect AS (SELECT *, metric>=0 strong FROM panel JOIN layout USING (entity_id) WHERE shape='rect')")
 NULL_SPEC = "statistic:s observed:f null_mean:f null_low:f null_high:f p_upper:f effect:f ratio:f"
 
@@ -122,13 +114,12 @@ def null_sql(src, stats, by):
 
 
 STATS = ["pairs", "triples", "fives"]
-PREPS = 60
 for _n, _w in (("spatial", ""), ("within_label", "label")):
     @query(f"J{17 if not _w else 18}_{_n}_test", f"day:d {NULL_SPEC}", null_sql("cnt", STATS, "day"),
-           S.chain(RECT, perm_sql("rect", PREPS, _w), SPA))
+           S.chain(RECT, S.deal("rect", DEALS, f"day, {_w}" if _w else "day", "entity_id", "x", "prm"), SPA))
     def _(spark, d, _w=_w):
         p = panel(spark, d)
-        return R.spatial_test(p, PN.layout_of(p), 0, PREPS, [_w] if _w else [])
+        return R.spatial_test(p, PN.layout_of(p), 0, DEALS, [_w] if _w else [])
 
 
 GEV = """gev AS (SELECT day, rep, count(*) FILTER (e) overall, count(*) FILTER (e AND size<=4) s3_4,
@@ -138,18 +129,18 @@ GEV = """gev AS (SELECT day, rep, count(*) FILTER (e) overall, count(*) FILTER (
 
 
 @query("J19_group_event_test", f"day:d {NULL_SPEC}", null_sql("gev", ["overall", "s3_4", "s5_9", "s10"], "day"),
-       S.chain(P, "gx AS (SELECT *, metric>=-60 strong FROM panel)", perm_sql("gx", PREPS, seed="g"), GEV))
+       S.chain(P, "gx AS (SELECT *, metric>=-60 strong FROM panel)", S.deal("gx", DEALS, "day", "entity_id", "g", "prm"), GEV))
 def _(spark, d):
-    return R.group_event_test(panel(spark, d), -60, PREPS)
+    return R.group_event_test(panel(spark, d), -60, DEALS)
 
 
 @query("J20_period_summary", f"period:s {NULL_SPEC}", null_sql("per", STATS, "period"),
-       S.chain(RECT, perm_sql("rect", PREPS), SPA, """per AS (SELECT period, rep, sum(pairs) pairs, sum(triples) triples,
+       S.chain(RECT, S.deal("rect", DEALS, "day", "entity_id", "x", "prm"), SPA, """per AS (SELECT period, rep, sum(pairs) pairs, sum(triples) triples,
  sum(fives) fives FROM (SELECT *, 'FULL' AS period FROM cnt UNION ALL SELECT *, CASE WHEN day<DATE '2024-01-16' THEN 'DEV'
  ELSE 'LATER' END FROM cnt) GROUP BY 1, 2)"""))
 def _(spark, d):
     p = panel(spark, d)
-    return R.period_summary(R.spatial_counts(p, PN.layout_of(p), 0, PREPS), STATS, "2024-01-16")
+    return R.period_summary(R.spatial_counts(p, PN.layout_of(p), 0, DEALS), STATS, "2024-01-16")
 
 
 @query("J21_holm", "name:s p_value:f p_holm:f", f"""
@@ -157,11 +148,11 @@ SELECT name, p_value, max(raw) OVER (ORDER BY p_value, name ROWS UNBOUNDED PRECE
  SELECT *, least(1, p_value*(count(*) OVER ()-row_number() OVER (ORDER BY p_value, name)+1)) raw FROM (
  SELECT label AS name, (1+count(*) FILTER (abs(round(nul,9))>=abs(round(obs,9))))/(count(*)+1) p_value FROM (
  SELECT label, rep, avg(CASE WHEN {S.u('label', 'day', 'rep', "'s'")}<0.5 THEN -mean ELSE mean END) nul, avg(mean) obs
- FROM (SELECT label, day, mean-(SELECT avg(mean) FROM ld) mean FROM ld), (SELECT unnest(range(1,{REPS + 1})) rep) GROUP BY 1, 2)
+ FROM (SELECT label, day, mean-(SELECT avg(mean) FROM ld) mean FROM ld), (SELECT unnest(range(1,{FLIPS + 1})) rep) GROUP BY 1, 2)
  GROUP BY 1))""", LD)
 def _(spark, d):
     x = label_days(spark, d)
     centre = x.groupBy(*SITE).agg(F.avg("mean").alias("_c"))
     x = x.join(centre, SITE).withColumn("mean", F.col("mean") - F.col("_c"))
-    t = R.signflip_test(x, LABEL, "mean", REPS).withColumnRenamed("label", "name")
+    t = R.signflip_test(x, LABEL, "mean", FLIPS).withColumnRenamed("label", "name")
     return R.holm(t, SITE)

@@ -1,5 +1,7 @@
 """Common table expressions shared by the comparison SQL."""
 
+from dayloom.operators import deals as D
+
 PANEL = """panel AS (
   SELECT user_id AS entity_id, CAST(ts AS DATE) AS day, arg_max(event_type, event_id) AS label,
          CAST(count(*) AS DOUBLE) AS activity,
@@ -119,3 +121,29 @@ def models(modes: dict, name: str = "modes", src: str = "comps") -> str:
 def picks(src: str = "scored", name: str = "picks", n: int = 10, by: str = "day") -> str:
     return (f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, entity_id) "
             f"AS rank FROM {src}) WHERE rank<={n})")
+
+
+def deal(src: str, reps: int, group: str, order: str, seed: str, name: str, first: int | None = None) -> str:
+    """operators.deals in SQL: CTE ``name`` has the rows of ``src`` once for each rep from 0 on, with the image x of their number.
+
+    ``src`` has a flag strong, which is the dealt one from rep 1 on. With ``first`` only the images of the first numbers are made.
+    """
+    def mix(v):
+        for _ in range(2):
+            v = f"((xor({v}, ({v}) >> 16) * {D.SPREAD}) & {D.MASK})"
+        return v
+
+    rounds = range(1, D.ROUNDS + 1)
+    key = " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in [*group.split(", "), f"'{seed}'"] if p)
+    keys = f"SELECT {group + ', ' if group else ''}n, m, rep, [{', '.join(mix(f'((own + {t}) & {D.MASK})') for t in rounds)}] AS ks FROM grid_{name}"
+    other = "((k % n + n - x) % n)"
+    swap = f"lambda x, k: CASE WHEN {mix(f'((greatest(x, {other}) + k) & {D.MASK})')} >= 2147483648 THEN {other} ELSE x END"
+    join = f"nrs_{name} JOIN keys_{name} USING ({group})" if group else f"nrs_{name}, keys_{name}"
+    x = f"SELECT * EXCLUDE (ks), list_reduce(list_prepend(nr, ks), {swap}) AS x FROM {join}"
+    over = f"PARTITION BY {group} " if group else ""
+    return f"""nrs_{name} AS (SELECT *, row_number() OVER ({over}ORDER BY {order}) - 1 AS nr FROM {src}{f' QUALIFY nr < {first}' if first else ''}),
+grid_{name} AS (SELECT *, {mix(f"((key + rep * {D.STEP}) & {D.MASK})")} AS own FROM (
+ SELECT {group + ', ' if group else ''}count(*) n, count(*) FILTER (strong) m, CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) AS key FROM {src} {'GROUP BY ' + group if group else ''}),
+ (SELECT unnest(range(0, {reps + 1})) rep)),
+keys_{name} AS ({keys}),
+{name} AS (SELECT * EXCLUDE (strong, x, m, n, nr), CASE WHEN rep = 0 THEN strong ELSE x < m END AS strong, x, n FROM ({x}))"""

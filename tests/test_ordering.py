@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from dayloom.operators import aggregates as A
 from dayloom.operators import ordering as O
-from dayloom.operators import resampling as R
 from dayloom.operators import topk as K
 from dayloom.operators import windows as WN
 
@@ -77,16 +76,6 @@ def test_runs_cross_block_borders(make, monkeypatch):
     assert got == [(4094, 4096), (4095, 4097)]
 
 
-def test_uniform_cutoff_picks_exactly_m(spark, make):
-    p = make([(d, i, "A", i % 3) for d in (1, 2) for i in range(200)]).withColumn("strong", F.col("metric") > 1)
-    x = R.permuted_labels(p, 5)
-    counts = x.groupBy("day", "rep").agg(F.count_if("strong").alias("k")).toPandas()
-    assert len(counts) == 12 and (counts.k == 66).all()
-    one = x.where("rep = 1 AND strong").select("entity_id").toPandas()
-    two = x.where("rep = 2 AND strong").select("entity_id").toPandas()
-    assert set(one.entity_id) != set(two.entity_id)
-
-
 def test_score_bands_are_cumulative_ceilings(spark):
     df = spark.createDataFrame([("s", "2024-01-01", i, float(-i)) for i in range(1, 51)],
                                "site string, day string, entity_id bigint, score double")
