@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm import graph, setjoin
+from dayloom.llm import graph, line_matches, setjoin
 from dayloom.llm.common import _R, Texts, chunks, mix, read, white_table, word_places
 from dayloom.session import materialise
 
@@ -150,10 +150,9 @@ def _nodes(firsts: DataFrame, roots: DataFrame) -> DataFrame:
     bits = firsts.sparkSession.sparkContext.broadcast(setjoin._wanted(roots.select("node")))
 
     def pick(batches):
-        want = setjoin._unpack_bits(bits.value)
         for b in batches:
             s, doc, key, at = _load({c: b.column(i).to_pylist() for i, c in enumerate(("set", "doc", "key", "at"))}, "set", "doc", "key", "at")
-            use = want[s & setjoin._MASK]
+            use = setjoin._passes(bits.value, s)
             yield pa.RecordBatch.from_arrays([pa.array(x[use]) for x in (s, doc, key, at)], ["node", "doc", "key", "at"])
 
     return firsts.select("set", "doc", "key", "at").mapInArrow(pick, "node long, doc long, key long, at long").join(roots, "node")
@@ -185,14 +184,12 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = Fal
 
     placed = materialise(places(docs, table, parts), "places")
     rule = setjoin.Rule(similarity, MORE, signed=True, rare=RARE)
-    edges, index = setjoin.joined(keyed.select("_text"), sets, rule, size // 8, graph.components)
-    nodes = _nodes(placed.where("kind = 'first'"), materialise(graph.components(edges), "roots"))
+    firsts = placed.where("kind = 'first'")
     if direct:
-        nodes = materialise(nodes, "nodes")
-        at = nodes.select("node", "root", F.struct("doc", "key", "at").alias("place"))
-        linked = nodes.join(setjoin.earlier(edges, index, at, keyed.select("_text"), sets, rule), "node", "left_semi")
+        matched = line_matches.matched(keyed, lambda b: line_sets(b, table.value), sets, rule, parts)
+        linked = _nodes(firsts, materialise(matched.withColumn("root", F.col("node")), "matched"))
     else:
-        linked = _linked(nodes)
+        linked = _linked(_nodes(firsts, materialise(graph.components(setjoin.links(keyed.select("_text"), sets, rule, size // 8, graph.components)), "roots")))
 
     def pack(batches):
         for b in batches:

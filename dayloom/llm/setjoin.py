@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import mix
+from dayloom.llm.common import chunks, mix
 from dayloom.session import materialise
 
 RARE = 32  # the longest list of a rare token
@@ -124,10 +124,10 @@ def _count_pairs(a, b, na, nb, c=None):
     return a[at], b[at], na[at], nb[at], count
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices with about ``limit`` bytes of text, which stands in the first column."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        yield from chunks(iter([b]), limit, b.schema.names[0])
 
 
 def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarray], parts: int, bits=None, signed: bool = False, rare: int = RARE) -> DataFrame:
@@ -173,10 +173,9 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
             types = [pa.int32(), pa.string(), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-        want = None if bits is None else _unpack_bits(bits.value)
         for b in _small(batches):
             k, size, s = sets(b)
-            m = take(size) if want is None else np.where(want[k & _MASK], take(size), 0)
+            m = take(size) if bits is None else np.where(_passes(bits.value, k), take(size), 0)
             use = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(m, size)
             g = np.zeros(len(k), np.uint64)
             if signed and len(s):
@@ -399,8 +398,9 @@ def frequent_pairs(index: DataFrame, roots: DataFrame, rule: Rule) -> DataFrame:
 _MASK = (1 << BITS) - 1
 
 
-def _unpack_bits(packed: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+def _passes(packed: bytes, key: np.ndarray) -> np.ndarray:
+    at = key & _MASK
+    return (np.frombuffer(packed, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 def _wanted(keys: DataFrame) -> bytes:
@@ -424,11 +424,10 @@ def chosen(keys: DataFrame, rows: DataFrame, sets: Sets) -> DataFrame:
     bits = rows.sparkSession.sparkContext.broadcast(_wanted(keys))
 
     def pick(batches):
-        want = _unpack_bits(bits.value)
         for b in _small(batches):
             k, size, s = sets(b)
             end = np.cumsum(size)
-            got = np.flatnonzero(want[k & _MASK])
+            got = np.flatnonzero(_passes(bits.value, k))
             if len(got):
                 packed = [np.sort(s[end[i] - size[i]:end[i]]).tobytes() for i in got]
                 yield pa.RecordBatch.from_arrays([pa.array(k[got], pa.int64()), pa.array(packed, pa.binary())], ["key", "s"])
@@ -456,47 +455,8 @@ def verify(pairs: DataFrame, have: DataFrame, rule: Rule, per_cell: int = 20_000
     return pairs.select("a", "b", cell()).groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(test, "a long, b long")
 
 
-def earlier(edges: DataFrame, index: DataFrame, at: DataFrame, rows: DataFrame, sets: Sets, rule: Rule) -> DataFrame:
-    """node: the sets of ``at`` (node, root, place) that a set of earlier place is similar to itself, not only through others.
-
-    ``edges`` and ``index`` are those of ``joined``. All similar pairs that share
-    a rare token or lie in different components of the first links are edges;
-    the sets that these give no earlier partner, and that are not the earliest of
-    their component, meet all earlier sets of it that share an entry. In long
-    lists they meet a hashed 512th of them first, then a 64th and an eighth, so
-    that mostly the sets without a partner are left to meet all.
-    """
-    side = lambda c: at.select(F.col("node").alias(c), F.col("place").alias("at_" + c))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
-    late = materialise(both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct(), "late")
-    least = at.groupBy("root").agg(F.min("place").alias("least"))
-    needy = at.join(least, "root").where("place > least").join(late, "node", "left_anti").select("node", "root")
-    needy = materialise(needy.join(index.select(F.col("key").alias("node")).distinct(), "node", "left_semi"), "needy")
-    if needy.isEmpty():
-        return late
-    placed = at.join(needy.select("root").distinct(), "root", "left_semi").withColumnRenamed("node", "key")
-    e = materialise(index.join(placed, "key"), "entries")
-    have = materialise(chosen(e.select("key"), rows, sets), "sets")
-    longest = e.groupBy("token", "root").count().agg(F.max("count")).first()[0]
-    for share in [*(n for n in (512, 64, 8) if 8 * n <= longest), 1]:
-        x = _side(e.join(needy.select(F.col("node").alias("key")), "key", "left_semi"), "x")
-        y = _side(e.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), "y")
-        pairs = (x.join(y, (x["token"] == y["token"]) & (F.col("xroot") == F.col("yroot"))).where("yplace < xplace")
-                 .where(rule.num * F.greatest("xsize", "ysize") <= 100 * F.least("xsize", "ysize")).where(_partner(rule, "x", "y"))
-                 .select(F.col("xkey").alias("a"), F.col("ykey").alias("b")).distinct())
-        found = materialise(verify(materialise(pairs, "pairs"), have, rule).select(F.col("a").alias("node")).distinct(), "late")
-        late = late.unionByName(found)
-        needy = materialise(needy.join(found, "node", "left_anti"), "needy")
-    return late
-
-
 def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame:
     """Edges (a, b) of similar sets: as many as keep every component whole."""
-    return joined(rows, sets, rule, total, components)[0]
-
-
-def joined(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> tuple[DataFrame, DataFrame]:
-    """The edges of ``links`` and the index of the frequent class."""
     parts = max(64, total // (1 << 21))
     matched = materialise(match(postings(rows, sets, rule.prefix, parts, signed=rule.signed, rare=rule.rare), rule, parts), "matched")
     counts = materialise(frequent_parts(matched, rule), "frequent")
@@ -505,5 +465,5 @@ def joined(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> t
     found = materialise(verify(first, chosen(first.select("a", "b"), rows, sets), rule), "links")
     more = materialise(frequent_pairs(index, components(found), rule).join(first, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
-        return found, index
-    return found.unionByName(materialise(verify(more, chosen(more.select("a", "b"), rows, sets), rule), "links")), index
+        return found
+    return found.unionByName(materialise(verify(more, chosen(more.select("a", "b"), rows, sets), rule), "links"))
