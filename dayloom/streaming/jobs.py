@@ -7,6 +7,8 @@ shared folder.
 
 from __future__ import annotations
 
+import bisect
+import datetime as dt
 import json
 from collections.abc import Callable, Iterator
 
@@ -26,10 +28,15 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
             .parquet(folder))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append whatever is new to a Parquet table, exactly once."""
-    (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:
+    """Append whatever is new to a Parquet table, exactly once; the progress of the batches, state rows among it.
+
+    The sink's own log names the files of each batch, so a batch that runs again replaces itself.
+    """
+    query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p) for p in query.recentProgress]
 
 
 def run_batches(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None], mode: str = "append") -> None:
@@ -37,9 +44,14 @@ def run_batches(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int
      .trigger(availableNow=True).start().awaitTermination())
 
 
-def run_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the full result of a complete-mode aggregate: every batch replaces the table."""
-    run_batches(stream, checkpoint, lambda df, _: df.write.mode("overwrite").parquet(path), "complete")
+def close_windows(events: DataFrame, ts: str, after: str) -> DataFrame:
+    """One row of the events' schema that stands ``after`` behind the last one and is null elsewhere.
+
+    Landed behind the last file of a backfill it moves the watermark past every
+    open window; its own window stays open and is never written.
+    """
+    last = events.agg((F.max(ts) + F.expr(f"INTERVAL {after}")).alias(ts)).where(F.col(ts).isNotNull())
+    return last.select(*[F.col(ts).cast(f.dataType).alias(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
 
 
 def stream_panel(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +66,10 @@ def stream_dedupe(events: DataFrame, key: list[str], ts: str, late: str) -> Data
 
 def stream_windows(events: DataFrame, ts: str, length: str, slide: str | None = None, late: str = "1 day",
                    by: list[str] = ()) -> DataFrame:
-    """Tumbling or sliding counts and sums."""
+    """Tumbling or sliding counts and sums; written in append mode, each window once, when the watermark has passed its end.
+
+    A row that comes later than ``late`` behind the newest one seen is dropped, and so is the state of written windows.
+    """
     w = F.window(ts, length, slide) if slide else F.window(ts, length)
     return events.withWatermark(ts, late).groupBy(w.alias("w"), *by).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(
@@ -62,7 +77,7 @@ def stream_windows(events: DataFrame, ts: str, length: str, slide: str | None =
 
 
 def stream_sessions(events: DataFrame, ts: str, gap: str, by: list[str], late: str = "1 day") -> DataFrame:
-    """Activity sessions per entity that end after a silent gap."""
+    """Activity sessions per entity that end after a silent gap; each is written once, when the watermark has passed its end."""
     return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(
         F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n")
 
@@ -103,47 +118,127 @@ def stream_epochs(panel: DataFrame) -> DataFrame:
         _epochs, EPOCH_OUT, EPOCH_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-GUARD_OUT = "site string, day date, changes bigint, signature string, status string"
-GUARD_STATE = "open string, approved string"  # lists as JSON
-PLANNED = "planned:"  # an approval of whatever changes on the date that follows
+GUARD_OUT = "site string, day date, changes bigint, signature string, status string, incident string, scheduled date"
+GUARD_STATE = "open string, approved string, plans string, confirmed string"  # short lists as JSON
+PLANNED = "planned:"  # signature of an open planned date
+APPROVAL_DAYS = 400  # an approval is remembered so long; then the same change blocks again
+ACTUAL, UNCONFIRMED = "ACTUAL_CHANGE", "KNOWN_CHANGE_UNCONFIRMED"
+_EVENTS = ("plan", "confirmed", "change", "approval")  # in this order on one day
 
 
-def _guard(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    waiting, approved = [json.loads(x) for x in state.get] if state.exists else ([], [])
-    out = []
-    for row in pd.concat(list(batches)).sort_values(["day", "is_approval"]).itertuples():
-        if row.is_approval:
-            if row.signature.startswith(PLANNED) or row.signature in waiting:
-                approved.append(row.signature)
-                waiting = [s for s in waiting if s != row.signature]
-            continue
+class _Guard:
+    """Incidents of one site, the oldest first: [kind, signature, day of the change, scheduled day]."""
+
+    def __init__(self, stored):
+        self.open, self.approved, self.plans, self.confirmed = ([json.loads(x) for x in stored] if stored else ([], {}, [], {}))
+
+    def stored(self):
+        return tuple(json.dumps(x) for x in (self.open, self.approved, self.plans, self.confirmed))
+
+    def known(self, signature: str) -> bool:
+        return signature in self.approved or any(i[1] == signature for i in self.open)
+
+    def planned(self, days: set[str]):
+        return next((i for i in self.open if i[0] == UNCONFIRMED and i[3] in days), None)
+
+    def change(self, signature: str, day: str, near: set[str]) -> None:
+        """An actual change: it fills in the incident of a planned date ``near`` it, else waits behind those that are open."""
+        incident = self.planned(near)
+        if signature in self.approved:
+            if incident:  # the planned change came, and it is one that was approved
+                self.open.remove(incident)
+        elif any(i[1] == signature for i in self.open):
+            pass
+        elif incident:
+            incident[:3] = [ACTUAL, signature, day]
+        else:
+            self.open.append([ACTUAL, signature, day, None])
+
+    def approve(self, signature: str, day: str) -> None:
+        """Only what waits can be approved; a planned date is released, not what may still change on it."""
+        if any(i[1] == signature for i in self.open):
+            self.open = [i for i in self.open if i[1] != signature]
+            if not signature.startswith(PLANNED):
+                self.approved[signature] = day
+
+    def assess(self, row, target: str, early: str) -> tuple:
+        """The day's status: the actual change first, then the plan for the next day, then what still waits."""
+        day = str(row.day)
+        self.approved = {s: d for s, d in self.approved.items() if (row.day - dt.date.fromisoformat(d)).days <= APPROVAL_DAYS}
         blocked = row.changes > 0 or not row.comparable
-        fine = row.signature in approved or f"{PLANNED}{row.day}" in approved
-        if blocked and not fine and row.signature not in waiting:
-            waiting.append(row.signature)  # behind those that wait already
-        status = "MANUAL_REVIEW" if waiting else "APPROVED" if blocked else "PASS"
-        out.append((row.day, row.changes, row.signature, status))
-    state.update((json.dumps(waiting), json.dumps(approved)))
-    pdf = pd.DataFrame(out, columns=["day", "changes", "signature", "status"])
+        if not row.comparable:  # a gap says nothing about a planned date
+            self.change(row.signature, day, set())
+        elif blocked:
+            self.change(row.signature, day, {day, early})
+        elif incident := self.planned({day}):
+            self.open.remove(incident)  # the planned day came and changed nothing
+        if target in self.plans:
+            seen = self.confirmed.get(target)
+            if seen is None:
+                if not any(i[3] == target for i in self.open):
+                    self.open.append([UNCONFIRMED, f"{PLANNED}{target}", target, target])
+            elif seen[0] > 0 and not self.known(seen[1]):
+                self.open.append([ACTUAL, seen[1], target, target])
+        self.plans = [p for p in self.plans if p >= day]
+        self.confirmed = {d: c for d, c in self.confirmed.items() if d >= day}
+        first = self.open[0] if self.open else None
+        status = "MANUAL_REVIEW" if first else "APPROVED" if blocked else "PASS"
+        scheduled = dt.date.fromisoformat(first[3]) if first and first[3] else None
+        return row.day, row.changes, row.signature, status, first[0] if first else None, scheduled
+
+
+def _guard(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    guard, out = _Guard(state.get if state.exists else None), []
+    rows = pd.concat(list(batches))
+    rows["_order"] = rows["event"].map(_EVENTS.index)
+    for row in rows.sort_values(["day", "_order", "signature"]).itertuples():
+        if row.event == "approval":
+            guard.approve(row.signature, str(row.day))
+        elif row.event == "plan":
+            guard.plans = sorted({*guard.plans, row.signature})
+        elif row.event == "confirmed":
+            guard.confirmed[str(row.day)] = [row.changes, row.signature]
+        else:
+            tomorrow = str(row.day + dt.timedelta(days=1))
+            out.append(guard.assess(row, tomorrow, tomorrow))
+    state.update(guard.stored())
+    pdf = pd.DataFrame(out, columns=["day", "changes", "signature", "status", "incident", "scheduled"])
     pdf.insert(0, "site", key[0])
     yield pdf
 
 
-def stream_guard(changes: DataFrame, approvals: DataFrame) -> DataFrame:
+def stream_guard(changes: DataFrame, approvals: DataFrame, plans: DataFrame | None = None, confirmed: DataFrame | None = None) -> DataFrame:
     """Guard status per site and day; it fails closed.
 
     A change, and a day that cannot be compared with the day before, block
     (MANUAL_REVIEW) until their signature is approved; a further change waits
-    behind the first. A signature approved once is APPROVED when it comes again.
-    An approval of nothing that waits has no effect, but for a planned date.
-    Both streams carry one row per site and day, so a site's state and its
-    share of a batch stay small.
+    behind the first. A signature approved once is APPROVED when it comes again,
+    for APPROVAL_DAYS. An approval of nothing that waits has no effect.
+
+    ``plans`` (site, day, scheduled): a date on which a change is expected, known
+    from ``day`` on. The day before it opens an incident unless ``confirmed``
+    (site, day, changes, signature: the inventory confirmed for the planned date)
+    has come. A change seen on the planned date or a day early fills the incident
+    in, which stays blocked until that change is approved; a planned date that
+    changes nothing closes it; nothing else does, but its own approval
+    (``planned:`` and the date). An older change waits beside it. A confirmed
+    inventory with a change blocks like an actual one.
+
+    All streams carry a row per site and day, so a site's state and its share of
+    a batch stay small: incidents that wait, approvals and plans that still hold.
     """
-    c = changes.select("site", "day", "changes", "signature", "comparable", F.lit(False).alias("is_approval"))
-    a = approvals.select("site", "day", F.lit(0).cast("bigint").alias("changes"), "signature",
-                         F.lit(True).alias("comparable"), F.lit(True).alias("is_approval"))
-    return c.unionByName(a).groupBy("site").applyInPandasWithState(
-        _guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
+    none = F.lit(None).cast("string")
+
+    def rows(df, event, changes, signature, comparable):
+        return df.select("site", "day", changes.cast("bigint").alias("changes"), signature.alias("signature"), comparable.alias("comparable"), F.lit(event).alias("event"))
+
+    zero, yes = F.lit(0), F.lit(True)
+    x = rows(changes, "change", F.col("changes"), F.col("signature"), F.col("comparable")).unionByName(rows(approvals, "approval", zero, F.col("signature"), yes))
+    if plans is not None:
+        x = x.unionByName(rows(plans, "plan", zero, F.coalesce(F.col("scheduled").cast("string"), none), yes))
+    if confirmed is not None:
+        x = x.unionByName(rows(confirmed, "confirmed", F.col("changes"), F.col("signature"), yes))
+    return x.groupBy("site").applyInPandasWithState(_guard, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def change_signature(panel: DataFrame) -> DataFrame:
@@ -178,39 +273,47 @@ def lateness(df: DataFrame, event_day: str, processing_day: str) -> DataFrame:
 
 # ---- growing history --------------------------------------------------------------------
 
-STATE = T.StructType([
-    T.StructField("site", T.StringType()), T.StructField("entity_id", T.LongType()),
-    T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
-])
+HISTORY_OUT = "site string, entity_id bigint, day date, metric double, history_n bigint, prior_mean double, kind string"
+HISTORY_STATE = "n bigint, total double, settled date, days array<date>, metrics array<double>"
+LATE_DAYS = 7  # a row that is so many days behind the entity's newest one is still placed in its history
+
 
+def _history(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    n, total, settled, days, metrics = state.get if state.exists else (0, 0.0, None, [], [])
+    days, metrics, out = list(days), [None if m is None or m != m else m for m in metrics], []
+    for day, m in pd.concat(list(batches))[["day", "metric"]].sort_values("day", kind="stable").itertuples(index=False):
+        m = None if m != m else m
+        if settled is not None and day <= settled:
+            out.append((day, m, None, None, "TOO_LATE"))
+            continue
+        before = [x for d, x in zip(days, metrics) if d < day and x is not None]
+        seen = n + len(before)
+        late = bool(days) and day < days[-1]
+        out.append((day, m, seen, (total + sum(before)) / seen if seen else None, "LATE" if late else "ON_TIME"))
+        at = bisect.bisect_right(days, day)
+        days.insert(at, day)
+        metrics.insert(at, m)
+        while (days[-1] - days[0]).days > LATE_DAYS:  # these days cannot come again
+            settled, old = days.pop(0), metrics.pop(0)
+            n, total = n + (old is not None), total + (old or 0.0)
+    state.update((n, total, settled, days, [float("nan") if x is None else x for x in metrics]))
+    pdf = pd.DataFrame(out, columns=["day", "metric", "history_n", "prior_mean", "kind"]).astype({"history_n": "Int64", "metric": "float64", "prior_mean": "float64"})
+    pdf.insert(0, "entity_id", key[1])
+    pdf.insert(0, "site", key[0])
+    yield pdf
 
-def score_then_append(out: str, state: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step: score new days from the history so far, then add them to it.
 
-    History is one (n, total) row per entity, so a batch costs its own rows
-    plus the entities, not the whole past. Batch ids name the folders, so a
-    retried batch overwrites itself and nothing counts twice.
-    """
-    from pyspark.sql import Window
+def score_history(panel: DataFrame) -> DataFrame:
+    """Each row with the number and mean of its entity's earlier days, seen so far; then it joins that history.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch_id == 0
-        old = spark.createDataFrame([], STATE) if first else spark.read.schema(STATE).parquet(
-            f"{state}/batch={batch_id - 1}")
-        w = Window.partitionBy(*ENTITY).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-        m = F.col("metric")
-        x = batch.select(*KEY, "metric").withColumns({
-            "_bn": F.count(m).over(w), "_bt": F.coalesce(F.sum(m).over(w), F.lit(0.0))}).join(old, ENTITY, "left")
-        n = F.coalesce("n", F.lit(0)) + F.col("_bn")
-        total = F.coalesce("total", F.lit(0.0)) + F.col("_bt")
-        x.select(*KEY, "metric", n.alias("history_n"), F.try_divide(total, n).alias("prior_mean")).write.mode(
-            "overwrite").parquet(f"{out}/batch={batch_id}")
-        add = batch.groupBy(*ENTITY).agg(F.count(m).alias("n"), F.sum(m).alias("total"))
-        old.unionByName(add).groupBy(*ENTITY).agg(F.sum("n").alias("n"), F.sum("total").alias("total")).write.mode(
-            "overwrite").parquet(f"{state}/batch={batch_id}")
-
-    return step
+    State is kept per entity by the state store, so a batch reads and writes
+    the entities that it touches and no others: sums of the settled days and
+    the last LATE_DAYS days one by one. A late row among these (kind LATE) is
+    scored from earlier days alone and counts for later ones that follow; an
+    even later one (TOO_LATE) is only reported. Rows already written stay.
+    """
+    return panel.select(*KEY, "metric").groupBy(*ENTITY).applyInPandasWithState(
+        _history, HISTORY_OUT, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def enrich(stream: DataFrame, holidays: DataFrame, layout: DataFrame) -> DataFrame:

@@ -107,10 +107,10 @@ def test_guard_fails_closed(spark):
     run([("s", day(1), 0, "gap:1", False), ("s", day(2), 3, "x", True), ("s", day(3), 0, "", True)], [("s", day(1), "gap:1"), ("s", day(1), "x")])
     run([("s", day(4), 2, "y", True), ("s", day(5), 0, "", True)], [("s", day(4), "x")])  # y came while x was open
     run([("s", day(6), 3, "x", True), ("s", day(7), 0, "", True), ("s", day(8), 5, "x", True)], [("s", day(6), "y")])
-    run([("s", day(10), 0, "gap:10", False), ("s", day(11), 7, "z", True)], [("s", day(9), "planned:2024-01-11"), ("s", day(10), "gap:10")])
+    run([("s", day(10), 0, "gap:10", False), ("s", day(11), 7, "z", True)], [("s", day(9), "planned:2024-01-11"), ("s", day(10), "gap:10")])  # no plan: nothing to approve
     got = {r.day.day: r.status for r in spark.read.parquet(f"{root}/out").collect()}
     assert got == {1: "MANUAL_REVIEW", 2: "MANUAL_REVIEW", 3: "MANUAL_REVIEW", 4: "MANUAL_REVIEW", 5: "MANUAL_REVIEW", 6: "MANUAL_REVIEW",
-                   7: "PASS", 8: "APPROVED", 10: "MANUAL_REVIEW", 11: "APPROVED"}
+                   7: "PASS", 8: "APPROVED", 10: "MANUAL_REVIEW", 11: "MANUAL_REVIEW"}
 
 
 def test_change_signature_sees_added_and_removed_ids_and_gaps(make):
@@ -128,13 +128,102 @@ def test_stream_epochs_reports_late_rows(spark, make):
     assert got == [(1, "EPOCH", 1), (2, "LATE", 2), (3, "EPOCH", 2), (5, "EPOCH", 3)]
 
 
-def test_history_batch_can_be_retried(spark, make):
-    root = scratch_path(spark, "retry")
-    step = L.score_then_append(f"{root}/out", f"{root}/state")
-    step(make([(1, 1, "A", 4)]), 0)
-    for _ in range(2):
-        step(make([(2, 1, "A", 8)]), 1)
-    step(make([(3, 1, "A", 0)]), 2)
-    got = sorted((r.day.day, r.history_n, r.prior_mean) for r in spark.read.parquet(f"{root}/out").collect())
-    assert got == [(1, 0, None), (2, 1, 4.0), (3, 2, 6.0)]
-    assert PANEL.names[0] == KEY[0]
+PLAN = dt.date(2024, 10, 6)
+
+
+def guard_days(spark, *runs):
+    """Each run: rows (day, changes, signature), approvals (day, signature), confirmed (day, changes, signature), plans (days of October 2024)."""
+    root = scratch_path(spark, "guard-plan")
+    day = lambda n: dt.date(2024, 10, n)
+    kinds = {"c": "site string, day date, changes bigint, signature string, comparable boolean", "a": "site string, day date, signature string",
+             "k": "site string, day date, changes bigint, signature string", "p": "site string, day date, scheduled date"}
+    for run in runs:
+        land = {"c": [("s", day(d), n, x, True) for d, n, x in run.get("rows", [])], "a": [("s", day(d), x) for d, x in run.get("approvals", [])],
+                "k": [("s", day(d), n, x) for d, n, x in run.get("confirmed", [])], "p": [("s", day(1), day(d)) for d in run.get("plans", [])]}
+        for k, v in land.items():
+            spark.createDataFrame(v, kinds[k]).write.mode("append").parquet(f"{root}/{k}")
+        streams = [L.file_stream(spark, f"{root}/{k}", spark.createDataFrame([], kinds[k]).schema) for k in "capk"]
+        L.run_to_table(L.stream_guard(*streams), f"{root}/out", f"{root}/ck")
+    return {r.day.day: (r.status, r.incident, r.scheduled) for r in spark.read.parquet(f"{root}/out").collect()}
+
+
+OK, BLOCK = "PASS", "MANUAL_REVIEW"
+FREE = (OK, None, None)
+
+
+def test_a_planned_date_without_inventory_blocks_and_closes_without_a_change(spark):
+    got = guard_days(spark, {"plans": [6], "rows": [(4, 0, ""), (5, 0, "")]}, {"rows": [(6, 0, ""), (7, 0, "")]})
+    assert got == {4: FREE, 5: (BLOCK, L.UNCONFIRMED, PLAN), 6: FREE, 7: FREE}
+
+
+def test_a_planned_change_is_filled_in_and_stays_blocked_until_it_is_approved(spark):
+    got = guard_days(spark, {"plans": [6], "rows": [(5, 0, "")]}, {"rows": [(6, 3, "x"), (7, 0, "")]}, {"approvals": [(7, "x")], "rows": [(8, 0, "")]})
+    assert got == {5: (BLOCK, L.UNCONFIRMED, PLAN), 6: (BLOCK, L.ACTUAL, PLAN), 7: (BLOCK, L.ACTUAL, PLAN), 8: FREE}
+
+
+def test_a_change_a_day_early_is_that_of_the_planned_date(spark):
+    """It is kept as seen, and the planned date opens nothing beside it."""
+    got = guard_days(spark, {"plans": [6], "rows": [(5, 3, "x")]}, {"rows": [(6, 0, ""), (7, 0, "")]}, {"approvals": [(7, "x")], "rows": [(8, 0, "")]})
+    assert {d: r[:2] for d, r in got.items()} == {5: (BLOCK, L.ACTUAL), 6: (BLOCK, L.ACTUAL), 7: (BLOCK, L.ACTUAL), 8: FREE[:2]}
+
+
+def test_an_older_change_is_not_that_of_the_planned_date(spark):
+    got = guard_days(spark, {"plans": [6], "rows": [(4, 2, "old"), (5, 0, "")]}, {"approvals": [(5, "old")], "rows": [(6, 2, "new")]}, {"approvals": [(6, "new")], "rows": [(7, 0, "")]})
+    assert got == {4: (BLOCK, L.ACTUAL, None), 5: (BLOCK, L.ACTUAL, None), 6: (BLOCK, L.ACTUAL, PLAN), 7: FREE}
+
+
+def test_approving_a_planned_date_does_not_let_a_change_pass(spark):
+    got = guard_days(spark, {"plans": [6], "approvals": [(3, "planned:2024-10-06")], "rows": [(5, 0, "")]},
+                     {"approvals": [(5, "planned:2024-10-06")], "rows": [(6, 7, "z")]})
+    assert got == {5: (BLOCK, L.UNCONFIRMED, PLAN), 6: (BLOCK, L.ACTUAL, None)}
+
+
+def test_a_confirmed_inventory_is_checked_in_place_of_the_plan(spark):
+    same = guard_days(spark, {"plans": [6], "confirmed": [(6, 0, "")]}, {"rows": [(5, 0, ""), (6, 0, "")]})
+    assert same == {5: FREE, 6: FREE}
+    other = guard_days(spark, {"plans": [6], "confirmed": [(6, 2, "c")]}, {"rows": [(5, 0, "")]}, {"rows": [(6, 2, "c")]}, {"approvals": [(6, "c")], "rows": [(7, 0, "")]})
+    assert other == {5: (BLOCK, L.ACTUAL, PLAN), 6: (BLOCK, L.ACTUAL, PLAN), 7: FREE}
+
+
+def test_approvals_lapse(spark, monkeypatch):
+    monkeypatch.setattr(L, "APPROVAL_DAYS", 3)
+    guard = L._Guard(None)
+    row = lambda n, k, x: type("Row", (), {"day": dt.date(2024, 1, n), "changes": k, "signature": x, "comparable": True})
+    status = lambda n, k, x: guard.assess(row(n, k, x), "-", "-")[3]
+    assert status(1, 1, "x") == BLOCK
+    guard.approve("x", "2024-01-02")
+    assert [status(3, 1, "x"), status(5, 1, "x"), status(6, 1, "x")] == ["APPROVED", "APPROVED", BLOCK]
+    assert L._Guard(guard.stored()).stored() == guard.stored()
+
+
+def test_late_rows_never_see_later_days(spark, make):
+    root = scratch_path(spark, "history")
+    parts = [[(1, 1, "A", 4), (3, 1, "A", 8), (9, 1, "A", 0), (1, 2, "A", 5)], [(8, 1, "A", 100), (10, 1, "A", 2), (2, 2, "B", None)],
+             [(1, 1, "A", 7), (11, 1, "A", 6), (3, 2, "B", 7)]]
+    for part in parts:
+        make(part).write.mode("append").parquet(f"{root}/in")
+        L.run_to_table(L.score_history(L.stream_panel(spark, f"{root}/in")), f"{root}/out", f"{root}/ck")
+    got = sorted((r.entity_id, r.day.day, r.metric, r.history_n, r.prior_mean, r.kind) for r in spark.read.parquet(f"{root}/out").where("entity_id = 1").collect())
+    assert got == [(1, 1, 4.0, 0, None, "ON_TIME"), (1, 1, 7.0, None, None, "TOO_LATE"), (1, 3, 8.0, 1, 4.0, "ON_TIME"), (1, 8, 100.0, 2, 6.0, "LATE"),
+                   (1, 9, 0.0, 2, 6.0, "ON_TIME"), (1, 10, 2.0, 4, 28.0, "ON_TIME"), (1, 11, 6.0, 5, 22.8, "ON_TIME")]
+    other = sorted((r.day.day, r.history_n, r.prior_mean) for r in spark.read.parquet(f"{root}/out").where("entity_id = 2").collect())
+    assert other == [(1, 0, None), (2, 1, 5.0), (3, 1, 5.0)]
+
+
+def test_windows_leave_the_state_once_they_are_written(spark):
+    root = scratch_path(spark, "evict")
+    kind = "ts timestamp, value double"
+    rows = lambda *days: spark.createDataFrame([(dt.datetime(2024, 1, d, 12), 1.0) for d in days], kind)
+
+    def run(df):
+        df.write.mode("append").parquet(f"{root}/in")
+        stream = L.stream_windows(L.file_stream(spark, f"{root}/in", df.schema), "ts", "1 day", late="2 days")
+        progress = L.run_to_table(stream, f"{root}/out", f"{root}/ck")
+        return progress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    assert run(rows(1, 2, 3)) == 3
+    assert run(rows(9, 9, 10)) == 2  # the first three are written and gone
+    assert run(rows(1)) == 2  # too late: dropped
+    run(L.close_windows(rows(9, 9, 10), "ts", "9 DAYS"))
+    got = sorted((r.start.day, r.n) for r in spark.read.parquet(f"{root}/out").collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (9, 2), (10, 1)]
