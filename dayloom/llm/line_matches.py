@@ -22,17 +22,17 @@ from dayloom.llm import setjoin
 from dayloom.llm.common import CHUNK, Texts, chunks, mix
 from dayloom.session import materialise
 
-CLOSE = 2  # earlier sets that a set is compared with in full for each list, at first
+CLOSE = 1  # earlier sets that a set is compared with in full for each list, at first
 SHORT = 256  # the longest list that is settled where it is gathered
 TURNS = (2, 32, None)  # members of a long list, from its beginning, that the others meet; None: all
 BLOCK = 4096  # sets on each side of a meeting
-FLUSH = 1 << 17  # lines packed at once in a task
+FLUSH = 1 << 15  # lines packed at once in a task
 
-_COLS = ("t", "k", "n", "g", "d", "x", "l")  # token, set, size, signature, and the place: document, its key, line
-_KINDS = dict(zip(_COLS, ("<u8", "<i8", "<i4", "<u8", "<i8", "<i8", "<i4")))
+_COLS = ("t", "k", "n", "g", "d", "l")  # token, set, size, signature, and the place: document, line (then the set)
+_KINDS = dict(zip(_COLS, ("<u8", "<i8", "<i4", "<u8", "<i8", "<i4")))
 _PACKED = "p int, kind string, " + ", ".join(f"{c} binary" for c in _COLS)
-_ROWS = "kind string, a long, b long, far int, more boolean, t long, k long, n int, g long, d long, x long, l int"
-_BLANK = {"kind": "", "a": 0, "b": 0, "far": 0, "more": False, "t": 0, "k": 0, "n": 0, "g": 0, "d": 0, "x": 0, "l": 0}
+_ROWS = "kind string, a long, b long, far int, more boolean, t long, k long, n int, g long, d long, l int"
+_BLANK = {"kind": "", "a": 0, "b": 0, "far": 0, "more": False, "t": 0, "k": 0, "n": 0, "g": 0, "d": 0, "l": 0}
 
 
 def _plain(a: np.ndarray, kind: str) -> bytes:
@@ -64,12 +64,11 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
     """Packed postings of the prefixes; of tokens with long lists inside a task the postings are spread and only a mark goes to the token's part."""
 
     def flush(held, salt):
-        k, n, d, x, l = (np.concatenate([h[i] for h in held]) for i in range(5))
-        tok = np.concatenate([h[5] for h in held])
+        k, n, d, l, tok = (np.concatenate(h) for h in zip(*held))
         start = np.cumsum(n) - n
-        order = np.lexsort((l, x, d))
+        order = np.lexsort((k, l, d))
         order = order[np.sort(np.unique(k[order], return_index=True)[1])]
-        k, n, d, x, l, start = k[order], n[order], d[order], x[order], l[order], start[order]  # the first line of each set, in the order of places
+        k, n, d, l, start = k[order], n[order], d[order], l[order], start[order]  # the first line of each set, in the order of places
         full = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
         sign = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tok[full]) % np.uint64(setjoin.SIGN) + np.uint64(6)), np.cumsum(n) - n)
         m = rule.prefix(n)
@@ -78,7 +77,7 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
         t = tok[start[of] + place]
         by = np.argsort(t, kind="stable")
         t, of, place = t[by], of[by], place[by]
-        cols = {"t": t, "k": k[of], "n": n[of], "g": sign[of] | np.minimum(place, 63).astype(np.uint64), "d": d[of], "x": x[of], "l": l[of]}
+        cols = {"t": t, "k": k[of], "n": n[of], "g": sign[of] | np.minimum(place, 63).astype(np.uint64), "d": d[of], "l": l[of]}
         first, many = _runs(t)
         hot = np.repeat(many > SHORT, many)
         rows = []
@@ -102,8 +101,7 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
             k, n, tok, row, number = line_sets(Texts(b.column(0)))
             if not len(k):
                 continue
-            doc, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (1, 2))
-            held.append((k, n, doc, key, number, tok))
+            held.append((k, n, b.column(1).to_numpy(zero_copy_only=False)[row], number, tok))
             lines += len(k)
             if lines >= FLUSH:
                 yield flush(held, salt)
@@ -111,7 +109,7 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
         if lines:
             yield flush(held, salt)
 
-    return keyed.select("_text", "_rank", "_key").mapInArrow(run, _PACKED)
+    return keyed.select("_text", "_rank").mapInArrow(run, _PACKED)
 
 
 def _frame(**columns) -> pd.DataFrame:
@@ -151,11 +149,11 @@ def _gather(packed: DataFrame, rule: setjoin.Rule, close: int | None, bits=None)
                 out.append(hot(_load(pdf.iloc[i:i + 1])))
         marked = np.unique(_array(pdf.loc[pdf["kind"] == "mark", "t"], "<u8"))
         cols = _load(pdf[pdf["kind"] == "post"])
-        order = np.lexsort((cols["l"], cols["x"], cols["d"], cols["k"], cols["t"]))
+        order = np.lexsort((cols["l"], cols["d"], cols["k"], cols["t"]))
         cols = _pick(cols, order)
         t, k = cols["t"], cols["k"]
         cols = _pick(cols, np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))[:len(t)]))  # the earliest place of each set
-        cols = _pick(cols, np.lexsort((cols["l"], cols["x"], cols["d"], cols["t"])))
+        cols = _pick(cols, np.lexsort((cols["k"], cols["l"], cols["d"], cols["t"])))
         start, many = _runs(cols["t"])
         often = (many > SHORT) | np.isin(cols["t"][start], marked)
         each = np.repeat(often, many)
@@ -186,7 +184,7 @@ def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None
 
     Both sides are cut into blocks by a hash, so a list of any length is spread.
     """
-    place = [F.col(c) for c in ("d", "x", "l")]
+    place = [F.col(c) for c in ("d", "l", "k")]
     x = hot.join(late.select(F.col("node").alias("k")), "k", "left_anti")
     if first is None:
         y = hot
@@ -208,7 +206,7 @@ def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None
                 earlier = y["d"] < x["d"][:, None]
                 same = y["d"] == x["d"][:, None]
                 if same.any():
-                    earlier |= same & ((y["x"] < x["x"][:, None]) | ((y["x"] == x["x"][:, None]) & (y["l"] < x["l"][:, None])))
+                    earlier |= same & ((y["l"] < x["l"][:, None]) | ((y["l"] == x["l"][:, None]) & (y["k"] < x["k"][:, None])))
                 use = earlier & rule.near(x["n"].astype(np.int64)[:, None], ny[None, :], x["g"].view(np.uint64)[:, None], gy[None, :])
                 i, j = np.nonzero(use)
                 if len(i):
@@ -222,35 +220,44 @@ def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None
 def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: setjoin.Rule, parts: int) -> DataFrame:
     """node: the keys of the sets that a set of an earlier place is similar to.
 
-    A set is compared in full with its CLOSE nearest candidates of each list
-    first; those that match none of them but have more are compared with all.
+    A set is compared in full with the nearest of its candidates first, then
+    with the CLOSE nearest of each list; those that match none of them but have
+    more are compared with all. Places are (document, line); of one place the
+    smaller set key comes first.
     """
     rows = keyed.select("_text")
     found = materialise(_gather(_postings(keyed, line_sets, rule, parts), rule, CLOSE), "lists")
-    pairs = found.where("kind = 'pair'").select("a", "b", "more")
+    pairs = found.where("kind = 'pair'").select("a", "b", "far", "more")
     # The places of one set are equal in all lists but where a long list was not gathered in one part.
-    hot = found.where("kind = 'hot'").select(*_COLS).groupBy("t", "k", "n", "g").agg(F.min(F.struct("d", "x", "l")).alias("at"))
-    hot = materialise(hot.select("t", "k", "n", "g", "at.d", "at.x", "at.l"), "long-lists")
-    wanted = pairs.select("a", "b").unionByName(hot.select(F.col("k").alias("a"), F.col("k").alias("b")))
-    have = materialise(setjoin.chosen(wanted, rows, sets), "sets")
+    hot = found.where("kind = 'hot'").select(*_COLS).groupBy("t", "k", "n", "g").agg(F.min(F.struct("d", "l")).alias("at"))
+    hot = materialise(hot.select("t", "k", "n", "g", "at.d", "at.l"), "long-lists")
 
     def late_of(some: DataFrame) -> DataFrame:
         some = materialise(some.select("a", "b").distinct(), "pairs")
-        return setjoin.verify(some, have, rule).select(F.col("a").alias("node")).distinct()
-
-    late = materialise(late_of(pairs), "late")
+        both = some.select("a", "b")
+        return materialise(setjoin.verify(some, setjoin.chosen(both, rows, sets), rule).select(F.col("a").alias("node")).distinct(), "late")
+
+    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+    late = late_of(nearest)
+    rest = materialise(pairs.join(late.select(F.col("node").alias("a")), "a", "left_anti").join(nearest, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        late = materialise(late.unionByName(late_of(rest)), "late")
     open_ = pairs.where("more").select("a").distinct().join(late.select(F.col("node").alias("a")), "a", "left_anti")
     open_ = materialise(open_, "open")
     if not open_.isEmpty():
         bits = rows.sparkSession.sparkContext.broadcast(setjoin._wanted(open_))
         all_ = materialise(_gather(_postings(keyed, line_sets, rule, parts), rule, None, bits).select("a", "b").join(open_, "a", "left_semi").distinct(), "pairs")
-        more = setjoin.verify(all_, materialise(setjoin.chosen(all_, rows, sets), "sets"), rule)
-        late = materialise(late.unionByName(more.select(F.col("a").alias("node")).distinct()), "late")
+        late = materialise(late.unionByName(late_of(all_)), "late")
     if hot.isEmpty():
         return late
     for first in TURNS:
         met = materialise(_meet(hot, late, rule, first, CLOSE), "met")
-        late = materialise(late.unionByName(late_of(met)), "late")
+        near = met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        new = late_of(near)
+        left = met.join(new.select(F.col("node").alias("a")), "a", "left_anti").join(near, ["a", "b"], "left_anti")
+        if not left.isEmpty():
+            new = new.unionByName(late_of(left))
+        late = materialise(late.unionByName(new), "late")
     open_ = met.where("more").select("a").distinct().join(late.select(F.col("node").alias("a")), "a", "left_anti")
     open_ = materialise(open_.withColumnRenamed("a", "k"), "open")
     if not open_.isEmpty():

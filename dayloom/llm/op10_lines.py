@@ -97,7 +97,7 @@ def _load(pdf, *cols):
 
 def _earliest(s, doc, key, at):
     """Sorted by set and place; whether each is the first of its set, and whether it is later (a repeated row is neither)."""
-    order = np.lexsort((at, key, doc, s))
+    order = np.lexsort((key, at, doc, s))
     s, doc, key, at = s[order], doc[order], key[order], at[order]
     one = np.append(True, s[1:] != s[:-1])[:len(s)]
     twin = np.append(False, (s[1:] == s[:-1]) & (key[1:] == key[:-1]) & (at[1:] == at[:-1]))[:len(s)]
@@ -160,8 +160,8 @@ def _nodes(firsts: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _linked(rows: DataFrame) -> DataFrame:
     """(key, at): of the first lines of linked sets all but the earliest of each group."""
-    least = rows.groupBy("root").agg(F.min(F.struct("doc", "key", "at")).alias("keep"))
-    return rows.join(least, "root").where(F.struct("doc", "key", "at") != F.col("keep")).select("key", "at")
+    least = rows.groupBy("root").agg(F.min(F.struct("doc", "at", "key")).alias("keep"))
+    return rows.join(least, "root").where(F.struct("doc", "at", "key") != F.col("keep")).select("key", "at")
 
 
 def late_lines(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = False) -> DataFrame:
