@@ -147,7 +147,8 @@ def _occurrences(docs: DataFrame, levels: list[int], longest: int, want=None, do
                         [pa.array(names).take(pa.array(r)), pa.array(np.full(len(r), n, np.int32)), phrases.cast(pa.string()), pa.array(many.astype(np.int64))],
                         ["lang", "words", "phrase", "n"])
 
-    return docs.mapInArrow(run, _COUNTED).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    # A chunk sends each phrase once, so no key is hot, and counting again before the shuffle would save few rows.
+    return docs.mapInArrow(run, _COUNTED).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
 def _filters(phrases: DataFrame, longest: int, size: int) -> dict[int, np.ndarray]:
