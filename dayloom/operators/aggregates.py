@@ -228,7 +228,7 @@ def median_split(df: DataFrame, x: str, y: str = "metric", inclusive: bool = Fal
     """Rows above the median of x against the rest (``inclusive`` counts equality as high)."""
     mid = O.exact_quantiles(df, SITE, x, {"_mid": 0.5})
     high = F.col(x) >= F.col("_mid") if inclusive else F.col(x) > F.col("_mid")
-    return df.join(mid, SITE).withColumn("half", F.when(high, "HIGH").otherwise("LOW")).groupBy(*SITE, "half").agg(
+    return O.attach(df, mid, SITE).withColumn("half", F.when(high, "HIGH").otherwise("LOW")).groupBy(*SITE, "half").agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), rate(F.col(y) > 0).alias("win_rate"))
 
 
@@ -326,7 +326,7 @@ def shrunk(df: DataFrame, by: Sequence[str], prior_n: float = 30.0) -> DataFrame
     site = df.groupBy(*SITE).agg(F.avg(m).alias("_site_mean"), rate(m > 0).alias("_site_win"))
     g = df.groupBy(*SITE, *by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(m).alias("_s"), F.count_if(m > 0).alias("_k"))
-    return g.join(site, SITE).select(
+    return O.attach(g, site, SITE).select(
         *SITE, *by, "n", X.shrink(F.col("_s"), F.col("n"), F.col("_site_mean"), prior_n).alias("eb_mean"),
         X.shrink(F.col("_k"), F.col("n"), F.col("_site_win"), prior_n).alias("eb_rate"))
 

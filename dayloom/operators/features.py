@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayloom.operators import ordering as O
 from dayloom.panel import DAY, ENTITY, SITE
 from dayloom.session import materialise
 
@@ -141,7 +142,7 @@ def rank_features(panel: DataFrame, t1: float = 100, t2: float = 200, half: floa
 def with_next_day(panel: DataFrame) -> DataFrame:
     """The panel plus tomorrow's rows: the latest day's inventory, dated one day on, with no outcome."""
     latest = panel.groupBy(*SITE).agg(F.max("day").alias("_last"))
-    tomorrow = panel.join(latest, SITE).where("day = _last").select(
+    tomorrow = O.attach(panel, latest, SITE).where("day = _last").select(
         "site", F.date_add("day", 1).alias("day"), "entity_id", "label",
         *[F.lit(None).cast(t).alias(c) for c, t in (("activity", "double"), ("metric", "double"),
                                                     ("c1", "bigint"), ("c2", "bigint"))])

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayloom.operators import ordering as O
 from dayloom.operators import quality as Q
 from dayloom.operators import windows as WN
 from dayloom.operators.aggregates import rate
@@ -197,9 +198,10 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def assign_blocks(df: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Block of each row's day. Blocks are day ranges, so they expand to a day table and join by equality."""
-    days = blocks.select("block", F.explode(F.sequence("start_day", "end_day")).alias("day"))
-    return df.join(days, "day")
+    """Block of each row's day, of its own site where the blocks have one. Blocks are day ranges, so they expand to a day table and join by equality."""
+    own = [c for c in ("site",) if c in blocks.columns]
+    days = blocks.select(*own, "block", F.explode(F.sequence("start_day", "end_day")).alias("day"))
+    return O.attach(df, days, [*own, "day"])
 
 
 def grid(df: DataFrame, **dims: Sequence) -> DataFrame:

@@ -155,7 +155,7 @@ def pulled_score(panel: DataFrame, t1: float = 100, t2: float = 200, prior_n: fl
     feats = FT.future_features(panel, t1=t1, t2=t2, extras=["recent7_win", "bounce"])
     m = F.col("metric")
     site = panel.groupBy(*SITE).agg(rate(m >= t1).alias("_p1"), rate(m >= t2).alias("_p2"))
-    x = feats.join(site, SITE).withColumns({
+    x = O.attach(feats, site, SITE).withColumns({
         "rate1_eb": X.shrink(F.col("rate1") * F.col("hist_n"), F.col("hist_n"), F.col("_p1"), prior_n),
         "rate2_eb": X.shrink(F.col("rate2") * F.col("hist_n"), F.col("hist_n"), F.col("_p2"), prior_n)})
     z = WN.zscores(materialise(x), list(PULL_WEIGHTS))
@@ -244,7 +244,7 @@ def combination_scores(df: DataFrame, t: float = 100) -> DataFrame:
     m = F.col("metric")
     g = df.groupBy(*ENTITY, "label").agg(F.count(F.lit(1)).alias("n"), F.avg(m).alias("mean"),
                                          rate(m > 0).alias("win"))
-    x = g.join(days, SITE).withColumn("continuity", F.least(F.col("n") / F.col("_days"), F.lit(1.0)))
+    x = O.attach(g, days, SITE).withColumn("continuity", F.least(F.col("n") / F.col("_days"), F.lit(1.0)))
     return x.withColumn("score", X.clip(F.col("mean") / (t * 0.06) + F.col("win") * 40 + F.col("continuity") * 20))
 
 
@@ -330,7 +330,7 @@ def robust_scores(df: DataFrame, keys: Sequence[str], parts: Mapping[str, float]
     cuts = O.exact_quantiles(long, [*SITE, "_c"], "_v", {"_lo": 0.05, "_hi": 0.95})
     wide = cuts.groupBy(*SITE).agg(*[F.max(F.when(F.col("_c") == c, F.col(e))).alias(f"{e}_{c}")
                                      for c in cols for e in ("_lo", "_hi")])
-    g = g.join(wide, SITE).withColumns({
+    g = O.attach(g, wide, SITE).withColumns({
         f"s_{c}": X.to_range(F.col(c), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")) for c in cols})
     return g.withColumn("score", sum(F.col(c) * v for c, v in parts.items() if c != "const") + parts.get("const", 0.0))
 
@@ -387,9 +387,9 @@ def band_score(df: DataFrame, t: float = 100, bonus: Column | None = None) -> Da
     wd = daily.groupBy(*SITE, F.weekday("day").alias("wd")).agg(F.avg("a").alias("a"), F.avg("p").alias("p")).select(
         *SITE, "wd", (X.to_range(F.col("a"), -0.3 * t, 0.1 * t) * 0.7 + X.to_range(F.col("p"), 20, 45) * 0.3
                       ).alias("wd_score"))
-    cand = df.join(latest, SITE).where("day = _d").select(
+    cand = O.attach(df, latest, SITE).where("day = _d").select(
         *ENTITY, "label", F.weekday(F.date_add("day", 1)).alias("wd"))
-    x = cand.join(ent, ENTITY).join(lab, LABEL).join(wd, ["site", "wd"], "left")
+    x = O.attach(cand.join(ent, ENTITY).join(lab, LABEL), wd, ["site", "wd"], "left")
     dd = X.rank_key(F.col("drawdown"))
     dd_points = F.when((dd >= -t) & (dd <= 0), 75.0).when(dd < -t, 50.0).when((dd > 0) & (dd <= t), 40.0).otherwise(25.0)
     bonus = F.lit(40.0) if bonus is None else bonus
@@ -413,11 +413,11 @@ def minmax_score(df: DataFrame, t: float = 100) -> DataFrame:
     lab = form(df, LABEL, True)
     lab = lab.select(*LABEL, *[F.col(c).alias(f"l_{c}") for c in ("last", "recent3", "dent", "mean", "win")])
     latest = df.groupBy(*SITE).agg(F.max("day").alias("_d"))
-    cand = df.join(latest, SITE).where("day = _d").select(*ENTITY, "label")
+    cand = O.attach(df, latest, SITE).where("day = _d").select(*ENTITY, "label")
     x = cand.join(form(df, ENTITY, False), ENTITY).join(lab, LABEL)
     ends = x.groupBy(*SITE).agg(*[f(c).alias(f"_{n}_{c}") for c in MINMAX_WEIGHTS
                                   for n, f in (("a", F.min), ("b", F.max))])
-    x = x.join(ends, SITE)
+    x = O.attach(x, ends, SITE)
     base = sum(X.to_range(F.col(c), F.col(f"_a_{c}"), F.col(f"_b_{c}")) * w for c, w in MINMAX_WEIGHTS.items())
     h = t / 2
     one = lambda cond, v: F.when(cond, v).otherwise(0.0)
@@ -450,7 +450,8 @@ def recent_win(df: DataFrame, n: int, topn: int, by: Sequence[str] = (), min_day
     days = df.select(*DAY).distinct().withColumn("_d", F.row_number().over(Window.partitionBy(*SITE).orderBy("day")))
     x = df.withColumns({
         "recent_win": F.coalesce(F.avg((F.col("metric") > 0).cast("int")).over(w), F.lit(-1.0)),
-        "recent_n": F.count("metric").over(w)}).join(days, DAY).where(F.col("_d") > min_days).drop("_d")
+        "recent_n": F.count("metric").over(w)})
+    x = O.attach(x, days, DAY).where(F.col("_d") > min_days).drop("_d")
     order = [X.rank_key(F.col("recent_win")).desc(), F.desc("recent_n"), F.asc("entity_id")]
     return O.top_n(x, [*DAY, *by], order, topn)
 
@@ -461,7 +462,7 @@ def neutral_fill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = DAY)
     long = df.unpivot(by, [F.col(c).cast("double").alias(c) for c in columns], "_c", "_v")
     mids = O.exact_quantiles(long, [*by, "_c"], "_v", {"_mid": 0.5})  # all columns in one ordering
     wide = mids.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.col("_mid"))).alias(f"_mid_{c}") for c in columns])
-    out = df.join(wide, by, "left")
+    out = O.attach(df, wide, by, "left")
     return out.withColumns({c: F.coalesce(c, f"_mid_{c}", F.lit(0.0)) for c in columns}).drop(
         *[f"_mid_{c}" for c in columns])
 
@@ -538,7 +539,7 @@ def epoch_features(panel: DataFrame, observed_only: bool, t1: float = 100, t2: f
     """Next-day factors of renamed entities from their current label epoch only."""
     ep = WN.reset_history(panel).where("epoch > 1")
     last = panel.groupBy(*SITE).agg(F.max("day").alias("_last"))
-    here = panel.join(last, SITE).where("day = _last").select(*ENTITY, F.weekday(F.date_add("day", 1)).alias("_wd"))
+    here = O.attach(panel, last, SITE).where("day = _last").select(*ENTITY, F.weekday(F.date_add("day", 1)).alias("_wd"))
     x = ep.join(here, ENTITY)
     if observed_only:
         x = x.where("activity > 0")
@@ -642,9 +643,10 @@ def inventory_flags(panel: DataFrame, window: int = 7) -> DataFrame:
     last = panel.groupBy(*SITE).agg(F.max("day").alias("_last"))
     days = panel.select(*DAY).distinct().withColumn("_rank", F.row_number().over(
         Window.partitionBy(*SITE).orderBy(F.desc("day"))))
-    x = panel.join(last, SITE).join(days, DAY)
+    x = O.attach(panel, days.join(last, SITE), DAY)
     latest = x.where("day = _last").select(*ENTITY, F.col("label").alias("now"))
-    first_seen = panel.groupBy(*LABEL).agg(F.min("day").alias("_first")).join(last, SITE).select(
+    first_seen = panel.groupBy(*LABEL).agg(F.min("day").alias("_first"))
+    first_seen = O.attach(first_seen, last, SITE).select(
         "site", F.col("label").alias("now"), (F.col("_first") == F.col("_last")).alias("new_label"))
     h = x.join(latest, ENTITY)
     same = F.col("label") == F.col("now")

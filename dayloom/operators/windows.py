@@ -45,7 +45,7 @@ def normalise(df: DataFrame, c: str, lo: float, hi: float) -> DataFrame:
     v = F.col(c)
     ends = df.groupBy(*SITE).agg(F.min(c).alias("_mn"), F.max(c).alias("_mx"))
     cuts = O.exact_quantiles(df, SITE, c, {"_p05": 0.05, "_p95": 0.95})
-    return df.join(ends, SITE).join(cuts, SITE).withColumns({
+    return O.attach(df, ends.join(cuts, SITE), SITE).withColumns({
         "minmax": X.to_range(v, F.col("_mn"), F.col("_mx")), "fixed": X.to_range(v, lo, hi),
         "robust": X.to_range(v, F.col("_p05"), F.col("_p95"))}).drop("_mn", "_mx", "_p05", "_p95")
 
@@ -379,7 +379,7 @@ def zscores(df: DataFrame, columns: Sequence[str], by: Sequence[str] = DAY, pref
         f(pick(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     z = {f"{prefix}{c}": F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(0.0)) == 0, 0.0).otherwise(
         (F.coalesce(F.col(c), F.lit(0.0)) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns}
-    out = df.join(stats, list(by)).withColumns(z)
+    out = O.attach(df, stats, by).withColumns(z)
     return out.drop(*[f"_{n}_{c}" for c in columns for n in "ms"])
 
 

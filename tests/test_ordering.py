@@ -82,3 +82,47 @@ def test_score_bands_are_cumulative_ceilings(spark):
     got = K.score_bands(df).groupBy("score_band").count().toPandas().set_index("score_band")["count"].to_dict()
     # ceil of 50 x 1, 2, 5, 10, 20, 30, 50 %: 1, 1, 3, 5, 10, 15, 25
     assert got == {"TOP1": 1, "TOP5": 2, "TOP10": 2, "TOP20": 5, "TOP30": 5, "TOP50": 10, "BOTTOM50": 25}
+
+
+@pytest.mark.parametrize("hot, values", [(50, 1), (7, 1000), (10 ** 6, 10)])
+def test_hot_values_are_dealt_over_copies_of_their_rank(spark, skewed, monkeypatch, hot, values):
+    monkeypatch.setattr(O, "HOT", hot)
+    monkeypatch.setattr(O, "HOT_VALUES", values)
+    x = pd.concat([skewed, skewed.iloc[:5]]).assign(v=lambda d: d.v.where(d.v != d.v.max()))  # repeated rows and nulls
+    got = O.rank_positions(spark.createDataFrame(x.astype({"v": "float64"})).withColumn("v", F.nanvl("v", F.lit(None))), ["g"], "v").toPandas()
+    assert len(got) == len(x)
+    known = got[got.v.notna()]
+    nulls = got[got.v.isna()].groupby("g").size().reindex(got.g.unique()).fillna(0)
+    want = known.groupby("g")["v"].rank() + known.g.map(nulls)  # nulls stand first
+    assert np.allclose(known.avg_rank, want)
+
+
+@pytest.mark.parametrize("cells", [10 ** 6, 0])
+def test_group_values_reach_all_rows(spark, skewed, monkeypatch, cells):
+    monkeypatch.setattr(O, "SMALL", cells)
+    df = spark.createDataFrame(skewed)
+    small = df.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("g <> 'a'")
+    for how in ("inner", "left"):
+        got = O.attach(df, small, ["g"], how).toPandas()
+        want = skewed.merge(small.toPandas(), on="g", how=how)
+        assert list(got.columns) == ["g", "site", "v", "id", "k"]
+        assert got.sort_values("id").k.fillna(-1).tolist() == want.sort_values("id").k.fillna(-1).tolist()
+
+
+def test_no_rows_are_gathered_by_site_alone(spark, make, monkeypatch):
+    """With no room for ordinary broadcasts, the plans exchange data on site or day only for tables of one row a group."""
+    from dayloom.operators import joins as J
+    from dayloom.operators import scoring as SC
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = make([(d, i, "AB"[i % 2], i * d % 7) for d in (1, 2, 3) for i in range(30)])
+        blocks = p.groupBy("site").agg(F.min("day").alias("start_day"), F.max("day").alias("end_day")).withColumn("block", F.lit(1))
+        for df in (A.median_split(p, "metric"), WN.normalise(p, "metric", 0, 7), WN.zscores(p, ["metric"]), J.assign_blocks(p, blocks),
+                   SC.neutral_fill(p, ["metric"]), A.shrunk(p, ["entity_id"])):
+            df.collect()
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "BroadcastHashJoin" in plan
+            assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
