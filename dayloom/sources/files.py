@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from dayloom.functions import text as TX
 from dayloom.operators import quality as Q
 from dayloom.panel import DAY, KEY, PANEL
+from dayloom.sources import splits as SP
 
 REQUIRED = ("day", "entity_id", "label", "metric")
 DECODERS = ("utf-8-sig", "utf-8", "cp932")
@@ -46,7 +47,7 @@ ROWS = "path string, line bigint, day string, entity_id string, label string, ac
 
 
 def parse_daily(files: DataFrame) -> DataFrame:
-    """Rows of small daily CSV files (path, content) under canonical text columns.
+    """Rows of small daily CSV documents that stand in a column (path, content), under canonical text columns.
 
     Each file is decoded with the first encoding that fits and its own header
     decides the column order. Files that are empty or lack a required header
@@ -72,17 +73,8 @@ def parse_daily(files: DataFrame) -> DataFrame:
 
 
 def read_daily_files(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    )
-    return parse_daily(files.where("length > 0"))
-
-
-def read_large_csv(spark: SparkSession, path: str, columns: Sequence[str], encoding: str = "UTF-8") -> DataFrame:
-    """Integrated CSV files with one known header order; splittable, unlike the small daily files."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding).option(
-        "enforceSchema", False).csv(path)
+    """Rows of all daily files below a folder; files are read by splits, so one of any size is read by several tasks."""
+    return SP.daily_rows(spark, path, list(REQUIRED), [f.split()[0] for f in ROWS.split(", ")][2:], glob)
 
 
 def file_day(path: Column) -> Column:
@@ -126,12 +118,6 @@ def integrate(df: DataFrame) -> DataFrame:
     return df.withColumn("weekday", F.weekday("day")).sortWithinPartitions(*KEY)
 
 
-def write_daily_csv(df: DataFrame, path: str) -> None:
-    """One CSV folder per site and day."""
-    out = df.withColumn("file_day", F.col("day")).repartition("site", "file_day")
-    out.write.partitionBy("site", "file_day").option("header", True).mode("errorifexists").csv(path)
-
-
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("site", "day")) -> None:
     """One folder per site and day; a rerun replaces only the days it carries.
 

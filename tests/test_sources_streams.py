@@ -30,6 +30,54 @@ def test_daily_files_in_three_encodings_and_bad_ones(spark, tmp_path):
     assert bad == {dt.date(2024, 1, 1): 0, dt.date(2024, 1, 2): 0, dt.date(2024, 1, 3): 1}
 
 
+def test_files_are_read_by_splits(spark, tmp_path):
+    """Splits of some bytes, line breaks and commas in cells, doubled marks, CRLF, short and long records, cp932 among them."""
+    import csv
+    import io
+
+    from dayloom.sources import splits as SP
+
+    rs = __import__("random").Random(3)
+    names, want, widths = ["20240101.csv", "20240102.csv", "20240103.csv"], {}, {}
+    for k, name in enumerate(names):
+        out = io.StringIO()
+        w = csv.writer(out, lineterminator="\r\n" if k == 1 else "\n")
+        w.writerow(["日付", "台番号", "機種名", "差枚"])
+        few = many = blank = 0
+        for i in range(30):
+            row = ["2024-01-0%d" % (k + 1), str(i), rs.choice(["機種,ア", 'say "hi"', "two\nlines", "plain", '"', "a\n\n,b", ""]) if k < 2 else "plain", str(rs.randint(-9, 9))]
+            if k == 2 and i % 10 == 0:
+                row = row[:2] if i % 20 else row + ["extra", "more"]
+                few, many = few + (i % 20 > 0), many + (i % 20 == 0)
+            if k == 2 and i == 5:
+                row, blank = ["", " ", "", ""], blank + 1
+            w.writerow(row)
+        raw = out.getvalue().encode("cp932" if k == 1 else "utf-8")
+        (tmp_path / name).write_bytes(raw)
+        rows = list(csv.reader(io.StringIO(raw.decode("cp932" if k == 1 else "utf-8"), newline="")))
+        want[name] = sorted((r[1] if len(r) > 1 else None, r[2].replace("\r\n", "\n") if len(r) > 2 else None, r[3] if len(r) > 3 else None) for r in rows[1:] if any(c.strip() for c in r))
+        widths[name] = (4, 30, few, many, blank)
+    (tmp_path / "20240104.csv").write_bytes(b"\x81\xff\xfe,\n")
+    (tmp_path / "20240105.csv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = FI.read_daily_files(spark, str(tmp_path)).collect()
+            tasks = SP.raw_lines(spark, str(tmp_path)).rdd.getNumPartitions()
+            report = SP.row_widths(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert tasks > 6 or size != "300"
+        got = {}
+        for r in rows:
+            got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.entity_id, r.label, r.metric))
+        assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}, size
+        assert {r.path.rsplit("/", 1)[1]: (r["columns"], r.records, r.too_few, r.too_many, r.blank) for r in report} == widths
+    check = {r.path.rsplit("/", 1)[1]: (r.equal, r.missing, r.surplus) for r in SP.header_check(spark, str(tmp_path), ["day", "entity_id", "label", "metric"]).collect()}
+    assert check == {n: (True, "", "") for n in names}
+
+
 def test_columns_resolve_by_first_spelling(spark):
     df = spark.createDataFrame([(1, 2)], "`差枚` int, diff int")
     assert FI.resolve_columns(df, {"metric": ["差枚", "diff"]}).first().metric == 1
