@@ -250,6 +250,25 @@ def risk_stats(daily: DataFrame, by: Sequence[str] = SITE, value: str = "total")
         F.min_by("day", F.struct(v, F.col("day"))).alias("worst_day"))
 
 
+def session_summary(df: DataFrame, by: Sequence[str], invested: str, recovered: str) -> DataFrame:
+    """Sessions, amounts, wins, mean profit, win rate and return on what was invested, per group; missing amounts count as 0."""
+    i, r = (F.coalesce(F.col(c), F.lit(0)) for c in (invested, recovered))
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("sessions"), F.sum(i).alias("invested"), F.sum(r).alias("recovered"), F.sum(r - i).alias("profit"),
+        F.count_if(r > i).alias("wins"), F.avg((r - i).cast("double")).alias("mean_profit"), (rate(r > i) * 100).alias("win_rate"),
+        (F.try_divide(F.sum(r).cast("double"), F.sum(i).cast("double")) * 100).alias("roi"))
+
+
+def crosstab(df: DataFrame, row: Sequence[str], column: str) -> DataFrame:
+    """Counts of each (row, column) cell in long form, empty cells as 0, with the totals of the row and of the column."""
+    cells = df.groupBy(*row, column).agg(F.count(F.lit(1)).alias("n"))
+    rows = cells.groupBy(*row).agg(F.sum("n").alias("row_total"))
+    columns = cells.groupBy(column).agg(F.sum("n").alias("column_total"))
+    names = columns.agg(F.sort_array(F.collect_set(column)).alias("_all"))  # the distinct columns: a cell of the header
+    full = O.attach(rows.withColumn("_k", F.lit(1)), names.withColumn("_k", F.lit(1)), ["_k"]).withColumn(column, F.explode("_all")).drop("_k", "_all")
+    return O.attach(full.join(cells, [*row, column], "left"), columns, [column]).withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def drop_extremes(daily: DataFrame, by: Sequence[str] = SITE, value: str = "total") -> DataFrame:
     """Totals with the best one or two and the worst one day taken out."""
     w = Window.partitionBy(*by)
@@ -386,7 +405,6 @@ def extremes(df: DataFrame, n: int, value: str = "metric") -> DataFrame:
     return low.unionByName(high)
 
 
-SCENARIOS = (("SOFT", "metric"), ("ALL_POSITIVE", "metric"))
 
 
 def size_stratum(n: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -120,13 +121,21 @@ def edge_blocks(blocks: DataFrame, rule: str = "TOP4_5", base: str = "TOP10") ->
     return WN.prior_block_features(wide)
 
 
-def switch_candidates(edges: DataFrame, t: float = 100, min_prior: int = 2) -> DataFrame:
-    """Eight switch triggers on the prior edge, each evaluated against always staying with the base rule."""
-    last, l2, l3 = F.col("prior_last"), F.col("prior_last2"), F.col("prior_last3")
-    rules = {
-        "A_LAST_POSITIVE": last > 0, "B_LAST_GE_03": last >= 0.3 * t, "C_LAST_GE_05": last >= 0.5 * t,
-        "D_LAST_GE_075": last >= 0.75 * t, "E_LAST2_POSITIVE": l2 > 0, "F_LAST2_GE_03": l2 >= 0.3 * t,
-        "G_LAST_AND_LAST2": (last > 0) & (l2 > 0), "H_LAST_AND_LAST3": (last > 0) & (l3 > 0)}
+# Parameter rows: the prior-block features that must all reach a share of the threshold (0: be positive).
+SWITCHES = [(("prior_last",), 0.0), (("prior_last",), 0.3), (("prior_last",), 0.5), (("prior_last",), 0.75), (("prior_last2",), 0.0),
+            (("prior_last2",), 0.3), (("prior_last", "prior_last2"), 0.0), (("prior_last", "prior_last3"), 0.0)]
+
+
+def switch_name(fields: Sequence[str], share: float) -> str:
+    return "_and_".join(f.removeprefix("prior_") for f in fields) + (f"_from_{share:g}" if share else "_positive")
+
+
+def switch_candidates(edges: DataFrame, t: float = 100, min_prior: int = 2, switches=SWITCHES) -> DataFrame:
+    """Triggers on the prior edge, a row of ``switches`` each, against always staying with the base rule."""
+    rules = {}
+    for fields, share in switches:
+        tests = [F.col(f) >= share * t if share else F.col(f) > 0 for f in fields]
+        rules[switch_name(fields, share)] = functools.reduce(lambda a, b: a & b, tests)
     ready = F.col("prior_blocks") >= min_prior
     rows = F.array(*[F.struct(F.lit(n).alias("candidate"), F.coalesce(ready & c, F.lit(False)).alias("switch"))
                      for n, c in rules.items()])
@@ -407,6 +416,19 @@ def efficiency(adaptive: DataFrame, base: DataFrame) -> DataFrame:
             X.rank_key(F.col("a_mean") - F.col("b_mean")) < 0, "WORSE").otherwise("TIE")})
 
 
+def block_summary(daily: DataFrame) -> DataFrame:
+    """Per block: days, totals of both sides and their difference, mean entities, and the totals scaled to ten entities.
+
+    ``daily`` has block, a_mean, a_n, b_mean and b_n for each day.
+    """
+    a, b = F.col("a_mean") * F.col("a_n"), F.col("b_mean") * F.col("b_n")
+    return daily.groupBy(*SITE, "block").agg(
+        F.min("day").alias("start"), F.max("day").alias("end"), F.count(F.lit(1)).alias("days"), F.sum(a).alias("total"), F.sum(b).alias("base_total"),
+        (F.sum(a) - F.sum(b)).alias("difference"), F.avg("a_mean").alias("mean"), F.avg("b_mean").alias("base_mean"),
+        F.avg("a_n").alias("entities"), F.avg("b_n").alias("base_entities"), (F.sum("a_mean") * 10).alias("scaled"),
+        (F.sum("b_mean") * 10).alias("base_scaled"), (F.sum(F.col("a_mean") - F.col("b_mean")) * 10).alias("improvement"))
+
+
 def focus_dependence(detail: DataFrame, focus: Column) -> DataFrame:
     """How much of a replacement advantage comes from the focus labels."""
     signed = F.when(F.col("kind") == "ENTERED", F.col("metric")).otherwise(-F.col("metric"))

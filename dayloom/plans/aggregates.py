@@ -3,7 +3,7 @@
 from dayloom.functions import expr as X
 from dayloom.operators import aggregates as A
 from dayloom.operators import features as FT
-from dayloom.panel import DAY, ENTITY, LABEL, SITE
+from dayloom.panel import DAY, ENTITY, LABEL, SITE, table
 from dayloom.plans import sql as S
 from dayloom.plans.common import F, daily, lines, panel
 from dayloom.plans.registry import query
@@ -266,6 +266,26 @@ def _(spark, d):
     return A.risk_stats(_label_days(spark, d), LABEL)
 
 
+@query("E24_sessions_roi", "mode:s sessions:i invested:m recovered:m profit:m wins:i mean_profit:f win_rate:f roi:f", """
+SELECT l_linestatus || l_returnflag AS mode, count(*) AS sessions, sum(i) invested, sum(r) recovered, sum(r - i) profit, count(*) FILTER (r > i) wins,
+ avg((r - i)::DOUBLE) mean_profit, 100 * avg((r > i)::INT) win_rate, 100 * sum(r)::DOUBLE / sum(i)::DOUBLE roi FROM (
+ SELECT l_linestatus, l_returnflag, l_extendedprice::DECIMAL(18,2) i, (l_extendedprice::DECIMAL(18,2) * (CASE WHEN l_returnflag = 'R' THEN 1.25 ELSE 0.95 END)::DECIMAL(4,2)) r FROM lineitem)
+GROUP BY 1""")
+def _(spark, d):
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    back = price * F.when(F.col("l_returnflag") == "R", 1.25).otherwise(0.95).cast("decimal(4,2)")
+    x = table(spark, d, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("mode"), price.alias("i"), back.alias("r"))
+    return A.session_summary(x, ["mode"], "i", "r")
+
+
+@query("E15_segment_crosstab", "day:d label:s n:i row_total:i column_total:i", """
+SELECT day, label, coalesce(n, 0) n, sum(n) OVER (PARTITION BY day) row_total, sum(n) OVER (PARTITION BY label) column_total
+FROM (SELECT DISTINCT day FROM panel) CROSS JOIN (SELECT DISTINCT label FROM panel)
+LEFT JOIN (SELECT day, label, count(*) n FROM panel GROUP BY 1, 2) USING (day, label)""", P)
+def _(spark, d):
+    return A.crosstab(panel(spark, d), ["day"], "label")
+
+
 @query("E25_drop_extremes", "label:s total:f without_best1:f without_best2:f without_worst1:f best_day:d worst_day:d",
        """
 SELECT label, sum(total) total, sum(total) FILTER (h>1) without_best1, sum(total) FILTER (h>2) without_best2,

@@ -103,9 +103,8 @@ EDG = S.chain(BLK, """edg AS (SELECT *, count(edge) OVER (w ROWS BETWEEN UNBOUND
  max(total) FILTER (rule='TOP4_5') rt, max(total) FILTER (rule='TOP10') bt,
  round(max(mean) FILTER (rule='TOP4_5')-max(mean) FILTER (rule='TOP10'), 9) edge FROM blk GROUP BY 1)
  WINDOW w AS (ORDER BY block))""")
-_CANDS = {"A_LAST_POSITIVE": "pl>0", "B_LAST_GE_03": "pl>=30", "C_LAST_GE_05": "pl>=50", "D_LAST_GE_075": "pl>=75",
-          "E_LAST2_POSITIVE": "p2>0", "F_LAST2_GE_03": "p2>=30", "G_LAST_AND_LAST2": "pl>0 AND p2>0",
-          "H_LAST_AND_LAST3": "pl>0 AND p3>0"}
+_PRIOR = {"prior_last": "pl", "prior_last2": "p2", "prior_last3": "p3"}
+_CANDS = {B.switch_name(f, v): " AND ".join(f"{_PRIOR[x]}>={v * 100:g}" if v else f"{_PRIOR[x]}>0" for x in f) for f, v in B.SWITCHES}
 
 
 @query("J04_switch_candidates", "candidate:s blocks:i switches:i total:f base_total:f gain:f mean_gain:f good:i bad:i",
@@ -327,6 +326,19 @@ def _(spark, d):
     return B.efficiency(r.where("band = 'TOP4_5'"), r.where("band = 'TOP10'"))
 
 
+@query("J28_block_summary", "block:i start:d end:d days:i total:f base_total:f difference:f mean:f base_mean:f entities:f base_entities:f scaled:f "
+                            "base_scaled:f improvement:f", """
+SELECT (a.day - (SELECT min(day) FROM rdaily)) // 7 + 1 AS block, min(a.day) AS start, max(a.day) AS "end", count(*) AS days, sum(a.mean*a.n) total, sum(b.mean*b.n) base_total,
+ sum(a.mean*a.n) - sum(b.mean*b.n) difference, avg(a.mean) mean, avg(b.mean) base_mean, avg(a.n) entities, avg(b.n) base_entities,
+ 10*sum(a.mean) scaled, 10*sum(b.mean) base_scaled, 10*sum(a.mean-b.mean) improvement
+FROM rdaily a JOIN rdaily b ON a.day=b.day AND a.band='TOP4_5' AND b.band='TOP10' GROUP BY 1""", BLK)
+def _(spark, d):
+    r = materialise(rule_daily(spark, d))
+    first = r.agg(F.min("day")).first()[0]
+    x = B.efficiency(r.where("band = 'TOP4_5'"), r.where("band = 'TOP10'"))
+    return B.block_summary(x.withColumn("block", F.floor(F.datediff("day", F.lit(first)) / 7) + 1))
+
+
 @query("J29_focus_dependence", "replacements:i focus_rows:i advantage:f focus_part:f without_focus:f focus_share:f", """
 SELECT count(*) replacements, count(*) FILTER (f) focus_rows, sum(v) advantage, coalesce(sum(v) FILTER (f),0) focus_part,
  sum(v)-coalesce(sum(v) FILTER (f),0) without_focus, coalesce(sum(v) FILTER (f),0)/nullif(sum(v),0) focus_share FROM (

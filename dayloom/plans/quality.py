@@ -8,6 +8,8 @@ from dayloom.plans import sql as S
 from dayloom.plans.common import F, P, lines, panel, shuffled_second
 from dayloom.plans.expressions import DIRTY, dirty
 from dayloom.plans.registry import query
+from dayloom.session import scratch_path
+from dayloom.sources import splits as SP
 
 PS = S.PANEL
 
@@ -26,6 +28,45 @@ def _(spark, d):
     return Q.check_blanks(dirty(spark, d), ["k", "t"])
 
 
+HEADER = ["日付", "台番号", "機種名", "差枚"]
+NARROW, WIDE, BLANK = 7, 11, 13  # ids divisible by these have a cell too few, a cell too many, blank cells alone
+FILES = """cut AS (SELECT day, entity_id // 64 AS b, CASE WHEN entity_id % 7 = 0 THEN 'few' WHEN entity_id % 11 = 0 THEN 'many'
+ WHEN entity_id % 13 = 0 THEN 'blank' ELSE 'fine' END AS kind FROM panel)"""
+
+
+def landed(spark, d):
+    """Raw daily files of 64 ids each, some lines of which have too few or too many cells; every second one has a column more."""
+    path = scratch_path(spark, "raw")
+    e = F.col("entity_id")
+    more = F.floor(e / 64) % 2 == 1
+    fine = F.concat_ws(",", F.col("day").cast("string"), e.cast("string"), F.concat(F.lit('"'), "label", F.lit(', ""x"""')), F.format_string("%.2f", "metric"))
+    line = F.concat(F.when(e % NARROW == 0, F.concat_ws(",", F.col("day").cast("string"), e.cast("string"))).when(e % WIDE == 0, F.concat(fine, F.lit(",more")))
+                    .when(e % BLANK == 0, F.lit(" ,,,")).otherwise(fine), F.when(more, ",note").otherwise(""))
+    line = F.when((e % BLANK == 0) & (e % NARROW != 0) & (e % WIDE != 0), F.when(more, " ,,,,").otherwise(" ,,,")).otherwise(line)
+    head = F.concat(F.lit(",".join(HEADER)), F.when(more, ",memo").otherwise(""))
+    files = panel(spark, d).groupBy(F.col("day").alias("file_day"), F.floor(e / 64).alias("b")).agg(
+        F.concat_ws("\n", F.array(F.max(head)), F.collect_list(line)).alias("value"))  # at most 64 lines
+    files.repartition("file_day", "b").write.partitionBy("file_day", "b").text(path)
+    return path
+
+
+def by_file(df):
+    return df.withColumns({"file_day": F.to_date(F.regexp_extract("path", "file_day=([^/]+)", 1)), "b": F.regexp_extract("path", "/b=([0-9]+)", 1).cast("bigint")})
+
+
+@query("C01_header_files", "file_day:d b:i equal:b missing:s surplus:s", """
+SELECT DISTINCT day AS file_day, b, b % 2 = 0 AS equal, '' missing, CASE WHEN b % 2 = 0 THEN '' ELSE 'memo' END surplus FROM cut""", S.chain(PS, FILES))
+def _(spark, d):
+    return by_file(SP.header_check(spark, landed(spark, d), ["day", "entity_id", "label", "metric"], "part-*"))
+
+
+@query("C02_row_widths", "file_day:d b:i columns:i records:i too_few:i too_many:i blank:i", """
+SELECT day AS file_day, b, 4 + b % 2 AS "columns", count(*) records, count(*) FILTER (kind = 'few') too_few, count(*) FILTER (kind = 'many') too_many,
+ count(*) FILTER (kind = 'blank') blank FROM cut GROUP BY 1, 2, 3""", S.chain(PS, FILES))
+def _(spark, d):
+    return by_file(SP.row_widths(spark, landed(spark, d), "part-*"))
+
+
 @query("C03_check_types", "column:s invalid:i", """
 SELECT 'k' AS "column", 0 invalid FROM dirty GROUP BY 1 UNION ALL
 SELECT 't', count(*) FILTER (NOT regexp_full_match(trim(t), '[+-]?[0-9]+(\\.[0-9]+)?')) FROM dirty""", DIRTY)

@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Means of two-digit values are often exact at seven digits; the shift keeps them off rounding ties,
-# where the last bit (summation order) would decide.
-SHIFT = 3.21987e-7
-
 _SQL_CAST = {
     "d": "CAST(CAST({c} AS DATE) AS VARCHAR)",
     "s": "CAST({c} AS VARCHAR)",
     "i": "CAST({c} AS BIGINT)",
-    "f": "round(CAST({c} AS DOUBLE) + {shift}::DOUBLE, 6) + 0::DOUBLE",
-    "m": "round(CAST({c} AS DOUBLE) + {big}::DOUBLE, 3) + 0::DOUBLE",
+    "f": "round_even(round(CAST({c} AS DOUBLE), 9) * 1e6::DOUBLE, 0) / 1e6::DOUBLE + 0::DOUBLE",
+    "m": "round_even(round(CAST({c} AS DOUBLE), 6) * 1e3::DOUBLE, 0) / 1e3::DOUBLE + 0::DOUBLE",
     "b": "CAST({c} AS BOOLEAN)",
 }
 
@@ -38,20 +34,21 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         "d": lambda c: c.cast("date").cast("string"),
         "s": lambda c: c.cast("string"),
         "i": lambda c: c.cast("bigint"),
-        "f": lambda c: F.round(c.cast("double") + F.lit(SHIFT), 6) + F.lit(0.0),
-        "m": lambda c: F.round(c.cast("double") + F.lit(SHIFT * 1000), 3) + F.lit(0.0),
+        # The first rounding drops what the order of a sum leaves in the last bits, so a tie of the second is one in any engine.
+        "f": lambda c: F.rint(F.round(c.cast("double"), 9) * 1e6) / 1e6 + F.lit(0.0),
+        "m": lambda c: F.rint(F.round(c.cast("double"), 6) * 1e3) / 1e3 + F.lit(0.0),
         "b": lambda c: c.cast("boolean"),
     }
     return df.select(*[cast[k](F.col(c)).alias(c) for c, k in _columns(spec)])
 
 
-def query(name: str, spec: str, sql: str | None = None, ctes: str = "", recursive: bool = False):
+def query(name: str, spec: str, sql: str | None = None, ctes: str = ""):
     """Register a query; ``ctes`` is a comma-joined chain placed before the final select."""
 
     def add(fn):
         QUERIES[name] = lambda spark, folder: shape(fn(spark, folder), spec)
         if sql is not None:
-            cols = ", ".join(f"{_SQL_CAST[k].format(c='q.' + c, shift=SHIFT, big=SHIFT * 1000)} AS {c}" for c, k in _columns(spec))
+            cols = ", ".join(f"{_SQL_CAST[k].format(c='q.' + c)} AS {c}" for c, k in _columns(spec))
             head = f"WITH {ctes}\n" if ctes else ""
             SQL[name] = f"{head}SELECT {cols} FROM (\n{sql.strip()}\n) q"
         return fn

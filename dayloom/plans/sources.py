@@ -103,8 +103,8 @@ def _(spark, d):
     return H.extract_links(table(spark, d, "pages").select("page_id", "html"))
 
 
-@query("A08_extract_tables", "day:d entity_id:i label:s metric:f", "SELECT * FROM panel", P)
-def _(spark, d):
+def day_pages(spark, d):
+    """HTML pages of the panel."""
     # one page per (day, block of 64 ids): a small decoy table and the data table, column order by day
     e = F.col("entity_id")
     cells = lambda *c: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in c], F.lit("</tr>"))
@@ -118,7 +118,12 @@ def _(spark, d):
     pages = docs.select(F.xxhash64("day", "b").alias("page_id"), F.concat(
         F.lit("<html><body><table><tr><th>menu</th></tr><tr><td>x</td></tr></table><table><tr>"), "h", F.lit("</tr>"),
         "t", F.lit("</table></body></html>")).alias("html"))
-    text = H.table_to_text_rows(H.extract_tables(pages), ["day", "entity_id", "label", "metric"])
+    return pages
+
+
+@query("A08_extract_tables", "day:d entity_id:i label:s metric:f", "SELECT * FROM panel", P)
+def _(spark, d):
+    text = H.table_to_text_rows(H.extract_tables(day_pages(spark, d)), ["day", "entity_id", "label", "metric"])
     return text.select(TX.to_day(F.col("day")).alias("day"), TX.to_int0(F.col("entity_id")).alias("entity_id"), "label",
                        TX.to_number(F.col("metric")).alias("metric"))
 
@@ -153,6 +158,19 @@ def _(spark, d):
     return H.tag_census(table(spark, d, "pages"), ["li", "h1", "table"])
 
 
+@query("A11_header_census", "headers:s tables:i pages:i", """
+SELECT CASE WHEN day(day) % 2 = 1 THEN 'day,entity_id,label,metric' ELSE 'entity_id,metric,day,label' END headers,
+ count(DISTINCT (day, entity_id // 64)) AS tables, count(DISTINCT (day, entity_id // 64)) pages FROM panel GROUP BY 1""", P)
+def _(spark, d):
+    return H.header_census(H.extract_tables(day_pages(spark, d)))
+
+
+@query("A11_tables_per_entity", "tables:i entities:i",
+       "SELECT n AS tables, count(*) entities FROM (SELECT entity_id, count(*) n FROM panel GROUP BY 1) GROUP BY 1", P)
+def _(spark, d):
+    return H.tables_per_entity(H.extract_tables(day_pages(spark, d)))
+
+
 @query("A12_write_partitioned", "day:d n:i total:f", "SELECT day, count(*) n, sum(metric) total FROM panel GROUP BY 1", P)
 def _(spark, d):
     path = scratch_path(spark, "panel")

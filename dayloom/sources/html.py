@@ -49,8 +49,15 @@ def tag_census(pages: DataFrame, tags: Sequence[str], html: str = "html") -> Dat
 
 
 def header_census(rows: DataFrame, by: Sequence[str] = ("page_id",)) -> DataFrame:
-    """Tables per page and pages per header signature, from parsed table headers."""
-    return rows.groupBy("headers").agg(F.count(F.lit(1)).alias("tables"), F.countDistinct(*by).alias("pages"))
+    """Tables and pages of each header signature, from the rows of parsed tables."""
+    one = rows.where("row_no = 1").select(*by, F.array_join("headers", ",").alias("headers"))
+    return one.groupBy("headers").agg(F.count(F.lit(1)).alias("tables"), F.countDistinct(*by).alias("pages"))
+
+
+def tables_per_entity(rows: DataFrame, entity: str = "entity_id") -> DataFrame:
+    """How many entities stand in how many tables."""
+    own = table_to_text_rows(rows, [entity]).select("page_id", entity).distinct()
+    return own.groupBy(entity).agg(F.count(F.lit(1)).alias("tables")).groupBy("tables").agg(F.count(F.lit(1)).alias("entities"))
 
 
 class _Tables(HTMLParser):
