@@ -559,6 +559,46 @@ def epoch_features(panel: DataFrame, observed_only: bool, t1: float = 100, t2: f
         (F.coalesce("_wavg", "avg_all") * k + F.col("avg_all") * (1 - k)).alias("weekday_avg"), "rate1", "rate2")
 
 
+def _epoch_frame(panel: DataFrame, t1: float, t2: float) -> DataFrame:
+    """Next-day baseline features, the same with epoch features for entities whose label changed (e_*), changed and epoch_n."""
+    base = FT.future_features(panel, t1=t1, t2=t2, extras=())
+    ep = epoch_features(panel, True, t1, t2)
+    names = {f: f"e_{f}" for f in EPOCH_FACTORS}
+    j = base.join(ep.select(*ENTITY, "epoch_n", *[F.col(f).alias(a) for f, a in names.items()]), ENTITY, "left")
+    return materialise(j.withColumns({a: F.coalesce(a, f) for f, a in names.items()}).withColumn("changed", F.col("epoch_n").isNotNull()))
+
+
+class _Policies:
+    """Ways to treat entities whose label changed: each has a feature set, a population of its z moments and candidates.
+
+    ``kinds``: name of the moments -> (column of each factor, population); ``rows``: (policy, moments, candidates).
+    """
+
+    def __init__(self, thresholds: Sequence[int]):
+        plain = {f: f for f in BASE_WEIGHTS}
+        epoch = {f: f"e_{f}" if f in EPOCH_FACTORS else f for f in BASE_WEIGHTS}
+        self.long_enough = {t: ~F.col("changed") | (F.col("epoch_n") >= t) for t in thresholds}
+        self.kinds = {"base": (plain, F.lit(True)), "rank": (epoch, F.lit(True))} | {f"pop{t}": (epoch, ok) for t, ok in self.long_enough.items()}
+
+    def join(self, j: DataFrame) -> DataFrame:
+        """All sets of moments from one pass over the features."""
+        stats = j.groupBy(*DAY).agg(*[
+            f(F.when(cond, F.col(c))).alias(f"_{n}_{k}_{c}") for k, (cols, cond) in self.kinds.items()
+            for c in cols.values() for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+        return O.attach(j, stats, DAY)
+
+    def component(self, kind: str, factor: str) -> Column:
+        c = self.kinds[kind][0][factor]
+        return component(F.when(F.coalesce(F.col(f"_s_{kind}_{c}"), F.lit(0.0)) == 0, 0.0).otherwise(
+            (F.col(c) - F.col(f"_m_{kind}_{c}")) / F.col(f"_s_{kind}_{c}")))
+
+    def scores(self, j: DataFrame, rows: Sequence[tuple[str, str, Column]]) -> DataFrame:
+        total = lambda kind: X.rank_key(sum(self.component(kind, f) * w for f, w in BASE_WEIGHTS.items()))
+        parts = F.array(*[F.struct(F.lit(n).alias("policy"), total(k).alias("score"), c.alias("candidate")) for n, k, c in rows])
+        keep = [c for c in (*DAY, "entity_id", "label", "changed", "eligible", "epoch_n") if c in j.columns]
+        return self.join(j).withColumn("_p", F.explode(parts)).select(*keep, "_p.*")
+
+
 def epoch_policies(panel: DataFrame, threshold: int = 14, t1: float = 100, t2: float = 200) -> DataFrame:
     """Next-day ranking under four ways to treat entities whose label changed.
 
@@ -566,36 +606,34 @@ def epoch_policies(panel: DataFrame, threshold: int = 14, t1: float = 100, t2: f
     moments and drops short epochs from the ranking only; EPOCH_POP drops them
     from the z population too; BASE_REF keeps baseline features and moments.
     """
-    base = FT.future_features(panel, t1=t1, t2=t2, extras=())
-    ep = epoch_features(panel, True, t1, t2)
-    names = {f: f"e_{f}" for f in EPOCH_FACTORS}
-    j = base.join(ep.select(*ENTITY, "epoch_n", *[F.col(f).alias(a) for f, a in names.items()]), ENTITY, "left")
-    j = j.withColumns({a: F.coalesce(a, f) for f, a in names.items()}).withColumn(
-        "changed", F.col("epoch_n").isNotNull()).withColumn(
-        "eligible", ~F.col("changed") | (F.col("epoch_n") >= threshold))
-    j = materialise(j)
-    # all three sets of z moments from one pass over the features
-    epoch = {f: names.get(f, f) for f in BASE_WEIGHTS}
-    plain = {f: f for f in BASE_WEIGHTS}
-    sets = {"base": (plain, F.lit(True)), "rank": (epoch, F.lit(True)), "pop": (epoch, F.col("eligible"))}
-    stats = j.groupBy(*DAY).agg(*[
-        f(F.when(cond, F.col(c))).alias(f"_{n}_{k}_{c}") for k, (cols, cond) in sets.items()
-        for c in cols.values() for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    x = j.join(stats, DAY)
-
-    def total(key):
-        cols = sets[key][0]
-        z = {f: F.when(F.coalesce(F.col(f"_s_{key}_{c}"), F.lit(0.0)) == 0, 0.0).otherwise(
-            (F.col(c) - F.col(f"_m_{key}_{c}")) / F.col(f"_s_{key}_{c}")) for f, c in cols.items()}
-        return X.rank_key(sum(component(z[f]) * w for f, w in BASE_WEIGHTS.items()))
-
-    ok = F.col("eligible")
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("policy"), total(k).alias("score"), c.alias("candidate"))
-        for n, k, c in (("BASELINE", "base", F.lit(True)), ("EPOCH_RANK", "rank", ok), ("EPOCH_POP", "pop", ok),
-                        ("BASE_REF", "base", ok))])
-    return x.withColumn("_p", F.explode(rows)).select(
-        *DAY, "entity_id", "label", "changed", "eligible", "epoch_n", "_p.*")
+    p = _Policies([threshold])
+    ok = p.long_enough[threshold]
+    return p.scores(_epoch_frame(panel, t1, t2).withColumn("eligible", ok), [
+        ("BASELINE", "base", F.lit(True)), ("EPOCH_RANK", "rank", ok), ("EPOCH_POP", f"pop{threshold}", ok), ("BASE_REF", "base", ok)])
+
+
+LADDER = (7, 14, 21, 31)  # fixed values: least days of an epoch
+
+
+def epoch_ladder(panel: DataFrame, thresholds: Sequence[int] = LADDER, t1: float = 100, t2: float = 200) -> DataFrame:
+    """Scores without exclusion and with changed entities of fewer days than each threshold left out of the ranking, or of the z population too."""
+    p = _Policies(thresholds)
+    rows = [("BASELINE", "base", F.lit(True)), ("EPOCH", "rank", F.lit(True))]
+    for t, ok in p.long_enough.items():
+        rows += [(f"EXCLUDE_LT{t}", "rank", ok), (f"EXCLUDE_LT{t}_POP", f"pop{t}", ok)]
+    return p.scores(_epoch_frame(panel, t1, t2), rows)
+
+
+def normalisation_shift(panel: DataFrame, thresholds: Sequence[int] = LADDER, t1: float = 100, t2: float = 200) -> DataFrame:
+    """Per set of moments and factor: population and what is outside it, the population's moments and range, and how many components are clipped."""
+    p = _Policies(thresholds)
+    x = p.join(_epoch_frame(panel, t1, t2))
+    parts = F.array(*[F.struct(F.lit(k.upper()).alias("moments"), F.lit(f).alias("factor"), F.col(cols[f]).cast("double").alias("v"),
+                               p.component(k, f).alias("c"), cond.alias("inside")) for k, (cols, cond) in p.kinds.items() for f in BASE_WEIGHTS])
+    v = F.when(F.col("inside"), F.col("v"))
+    return x.select(*DAY, F.explode(parts).alias("p")).select(*DAY, "p.*").groupBy(*DAY, "moments", "factor").agg(
+        F.count_if("inside").alias("population"), F.count_if(~F.col("inside")).alias("excluded"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"),
+        F.min(v).alias("lo"), F.max(v).alias("hi"), F.count_if(F.col("c") <= 0).alias("clipped_low"), F.count_if(F.col("c") >= 100).alias("clipped_high"))
 
 
 def policy_picks(scored: DataFrame, n: int = 10) -> DataFrame:

@@ -426,6 +426,31 @@ def _(spark, d):
     return SC.policy_picks(_policies(spark, d))
 
 
+STEPS = (2, 3, 4, 7)  # the test panel's epochs are short
+LADDER = S.chain(PEPOCH, ",\n".join(
+    f"""ej{t} AS (SELECT * EXCLUDE (eligible), epoch_n IS NULL OR epoch_n>={t} eligible FROM ej),
+{S.scored(SC.BASE_WEIGHTS, f"ej{t}", f"s_pop{t}", where="eligible")}, {S.scored(SC.BASE_WEIGHTS, f"ej{t}", f"s_rank{t}")}""" for t in STEPS))
+
+
+@query("I22_epoch_ladder", "policy:s day:d entity_id:i score:f candidate:b", "\nUNION ALL ".join(
+    f"SELECT '{n}' policy, day, entity_id, score, {c} AS candidate FROM {src}" for n, src, c in [
+        ("BASELINE", "s_base", "true"), ("EPOCH", "s_rank", "true"),
+        *[(f"EXCLUDE_LT{t}", f"s_rank{t}", "eligible") for t in STEPS], *[(f"EXCLUDE_LT{t}_POP", f"s_pop{t}", "eligible") for t in STEPS]]), LADDER)
+def _(spark, d):
+    return SC.epoch_ladder(materialise(panel(spark, d)), STEPS)
+
+
+_SETS = [("BASE", "bj", "true"), ("RANK", "ej", "true"), *[(f"POP{t}", f"ej{t}", "eligible") for t in STEPS]]
+
+
+@query("I24_normalisation_shift", "day:d moments:s factor:s population:i excluded:i mean:f sd:f lo:f hi:f clipped_low:i clipped_high:i", "\nUNION ALL ".join(
+    f"""SELECT day, '{k}' moments, '{f}' factor, count(*) FILTER ({w}) population, count(*) FILTER (NOT {w}) excluded, avg(v) FILTER ({w}) mean,
+ stddev_pop(v) FILTER ({w}) sd, min(v) FILTER ({w}) lo, max(v) FILTER ({w}) hi, count(*) FILTER (c<=0) clipped_low, count(*) FILTER (c>=100) clipped_high
+FROM (SELECT *, {f} v, {S.comp(f, where=w)} c FROM {src}) GROUP BY 1""" for k, src, w in _SETS for f in SC.BASE_WEIGHTS), LADDER)
+def _(spark, d):
+    return SC.normalisation_shift(materialise(panel(spark, d)), STEPS)
+
+
 CATS = [("SALES", "in", "purchase"), ("SYSTEM", "in", "error|login")]
 
 
