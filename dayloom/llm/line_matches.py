@@ -22,7 +22,7 @@ from dayloom.llm import setjoin
 from dayloom.llm.common import CHUNK, Texts, chunks, mix
 from dayloom.session import materialise
 
-CLOSE = 1  # earlier sets that a set is compared with in full for each list, at first
+CLOSE, CLOSEST = 8, 2  # earlier sets of a list, of a long list's block, that a set can be compared with before all are
 SHORT = 256  # the longest list that is settled where it is gathered
 TURNS = (2, 32, None)  # members of a long list, from its beginning, that the others meet; None: all
 BLOCK = 4096  # sets on each side of a meeting
@@ -251,7 +251,7 @@ def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: set
     if hot.isEmpty():
         return late
     for first in TURNS:
-        met = materialise(_meet(hot, late, rule, first, CLOSE), "met")
+        met = materialise(_meet(hot, late, rule, first, CLOSEST), "met")
         near = met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
         new = late_of(near)
         left = met.join(new.select(F.col("node").alias("a")), "a", "left_anti").join(near, ["a", "b"], "left_anti")

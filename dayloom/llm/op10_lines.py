@@ -19,13 +19,14 @@ RARE = 1000  # the longest list of a rare token: places, lengths and signatures
 COUNTERS = 20  # bits of the number of counters that order tokens by rarity
 FLUSH = 1 << 18  # lines packed at once in a task
 CHUNK = 1 << 20  # bytes of text worked on at once
+SEGMENT = 1 << 18  # bytes whose words are hashed at once
 
 _PACKED = "p long, kind string, set binary, doc binary, key binary, at binary"
 
 
 def _lines(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash of each word, first word of each line with words, the line's row and its number in the text."""
-    h, first, last = word_places(t, white_table())
+    h, first, last = word_places(t, white_table(), SEGMENT)
     before = np.searchsorted(first, t.off)
     breaks = np.append(0, np.cumsum(t.data == 10, dtype=np.int32))
     row = np.repeat(np.arange(len(t)), np.diff(before))
@@ -64,7 +65,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << COUNTERS, np.int64)
         for b in chunks(batches, CHUNK):
-            h, _, _ = word_places(Texts(b.column(0)), white_table())
+            h, _, _ = word_places(Texts(b.column(0)), white_table(), SEGMENT)
             total += np.bincount((h >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS)
         cut = total.reshape(64, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(64)), pa.array([zlib.compress(c.tobytes(), 1) for c in cut], pa.binary())], ["slice", "n"])

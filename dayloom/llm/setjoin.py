@@ -124,7 +124,7 @@ def _count_pairs(a, b, na, nb, c=None):
     return a[at], b[at], na[at], nb[at], count
 
 
-def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch], limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Slices with about ``limit`` bytes of text, which stands in the first column."""
     for b in batches:
         yield from chunks(iter([b]), limit, b.schema.names[0])
