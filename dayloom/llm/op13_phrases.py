@@ -16,7 +16,7 @@ from dayloom.session import materialise
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 SHARE, SAMPLED = 4, 2  # one document in SHARE is in the sample; a phrase that it holds SAMPLED times is proposed
-CHUNK = 1 << 21  # bytes of text worked on at once
+CHUNK = 1 << 22  # bytes of text worked on at once
 BITS = (20, 28)  # the least and the greatest logarithm of a filter's size in bits
 GROUP = 100_000  # candidates of a language that one task ranks
 BREAKS = ".,;:!?\n\v\f\r"  # fixed: they end a piece; blank and tab end a word
@@ -86,10 +86,11 @@ def _strings(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarr
     sizes = np.ones_like(starts)
     for i in range(n):
         starts[:, 2 * i], sizes[:, 2 * i] = first[at + i], last[at + i] - first[at + i]
-    starts, flat = starts.ravel(), sizes.ravel()
-    ends = np.cumsum(flat)
-    where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + flat, flat)
     off = np.append(0, np.cumsum(sizes.sum(1)))
+    kind = np.int32 if max(int(off[-1]), len(data)) < 1 << 31 else np.int64
+    starts, flat = starts.ravel().astype(kind), sizes.ravel().astype(kind)
+    where = np.repeat(starts - np.cumsum(flat, dtype=kind) + flat, flat)
+    where += np.arange(len(where), dtype=kind)
     if off[-1] < 1 << 31:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(off.astype(np.int32)), pa.py_buffer(data[where]))
     return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(off), pa.py_buffer(data[where]))
