@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -99,6 +101,14 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: str =
             at = to
 
 
+def release() -> None:
+    """Give freed memory back: a worker waits for its next task with what the last one left."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word and the number of words before each row."""
     h, first, _ = word_places(t, sep, segment)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.llm import setjoin
-from dayloom.llm.common import CHUNK, Texts, chunks, mix
+from dayloom.llm.common import CHUNK, Texts, chunks, mix, release
 from dayloom.session import materialise
 
 CLOSE, CLOSEST = 8, 2  # earlier sets of a list, of a long list's block, that a set can be compared with before all are
@@ -108,6 +108,8 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
                 held, lines, salt = [], 0, salt + 1
         if lines:
             yield flush(held, salt)
+        del held
+        release()
 
     return keyed.select("_text", "_rank").mapInArrow(run, _PACKED)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm import graph, line_matches, setjoin
-from dayloom.llm.common import _R, Texts, chunks, mix, read, white_table, word_places
+from dayloom.llm.common import _R, Texts, chunks, mix, read, release, white_table, word_places
 from dayloom.session import materialise
 
 SIMILARITY, MORE = 80, 1  # percent; shared tokens that a pair must have in the prefixes
@@ -131,6 +131,8 @@ def places(docs: DataFrame, table, parts: int) -> DataFrame:
                 held, n = [], 0
         if n:
             yield flush(held)
+        del held
+        release()
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         s, doc, key, at, one, late = _earliest(*_load(pdf[pdf["kind"] == "line"], "set", "doc", "key", "at"))

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import chunks, read, texts
+from dayloom.llm.common import chunks, read, release, texts
 from dayloom.session import materialise
 
 MODEL, SPECIAL, END, SIZE = "byte_bpe_50k.tiktoken", "<|endoftext|>", 0, 2048
 BLOCK = 40_000  # pieces packed together in a task
 
-_ENCODERS: dict[str, Encoder] = {}  # in a worker, for all its tasks
+_ENCODERS: dict[str, Encoder] = {}  # in a worker, for the batches of a task
 
 
 class Encoder:
@@ -68,6 +68,9 @@ def pieces(docs: DataFrame, model_path: str, size: int = SIZE, end: int = END) -
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                 ["doc_id", "piece", "start", "length", "ids"])
+        del encode
+        _ENCODERS.clear()  # the next stage's tasks run in the same workers
+        release()
 
     d = texts(docs)
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import Texts, chunks, read, white_table, words
+from dayloom.llm.common import Texts, chunks, read, release, white_table, words
 
 BUCKETS, RANK, MAX_ROWS, THRESHOLD = 1 << 16, 8, 8000, 0.3
 METADATA = ("n_chars",)
@@ -184,6 +184,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = METADATA, t
             row, bucket, weight, stats = features(t)
             m = kept.value.margins(row, bucket, weight, _dense(b, stats), len(t))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(1 / (1 + np.exp(-np.clip(m.astype(np.float64), -30, 30))))], ["doc_id", "score"])
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = _inputs(docs, metadata, "doc_id").mapInArrow(run, f"doc_id {kind}, score double")

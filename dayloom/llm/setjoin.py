@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import chunks, mix
+from dayloom.llm.common import chunks, mix, release
 from dayloom.session import materialise
 
 RARE = 32  # the longest list of a rare token
@@ -431,6 +431,7 @@ def chosen(keys: DataFrame, rows: DataFrame, sets: Sets) -> DataFrame:
             if len(got):
                 packed = [np.sort(s[end[i] - size[i]:end[i]]).tobytes() for i in got]
                 yield pa.RecordBatch.from_arrays([pa.array(k[got], pa.int64()), pa.array(packed, pa.binary())], ["key", "s"])
+        release()
 
     return rows.mapInArrow(pick, "key long, s binary").dropDuplicates(["key"])
 
