@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = METADA
     """Model of ``labels.quality`` from at most ``max_rows`` labelled rows that are not held out, in the order of a hash of their ids.
 
     The inputs of these rows are made by Spark from whole texts; the driver
-    gets their word buckets alone, and its memory is bounded by ``max_rows``.
+    gets their word buckets alone, one row for each id (the least of an id's
+    different ones), so its memory is bounded by ``max_rows``.
     """
     known = (labels.where(F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
@@ -164,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = METADA
                  pa.array([x.tobytes() for x in dense]), b.column(2), b.column(3)], ["bucket", "weight", "dense", "quality", "doc_id"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = _inputs(rows, metadata, F.col("quality").cast("int"), "doc_id").mapInArrow(run, f"bucket binary, weight binary, dense binary, quality int, doc_id {kind}").collect()
+    got = _inputs(rows, metadata, F.col("quality").cast("int"), "doc_id").mapInArrow(run, f"bucket binary, weight binary, dense binary, quality int, doc_id {kind}")
+    one = got.groupBy("doc_id").agg(F.min(F.struct("quality", "dense", "bucket", "weight")).alias("x"))  # of an id's rows one: at most max_rows
+    got = one.select("doc_id", "x.*").collect()
     got.sort(key=lambda r: (r.doc_id, r.quality, r.dense, r.bucket))
     dense = np.array([np.frombuffer(r.dense) for r in got]).reshape(len(got), STATS + 2 * len(metadata))
     return fit([(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.weight, np.float32)) for r in got], dense, np.array([float(r.quality > 0) for r in got]))

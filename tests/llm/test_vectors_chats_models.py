@@ -225,3 +225,14 @@ def test_pipeline_on_awkward_rows(spark, docs, rows, tmp_path):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, folder).columns == docs.columns
         assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+def test_repeated_rows_reach_the_driver_once(spark, monkeypatch):
+    got = []
+    real = op8_quality.fit
+    monkeypatch.setattr(op8_quality, "fit", lambda rows, *a, **k: got.append(len(rows)) or real(rows, *a, **k))
+    docs = spark.range(20_000).select((F.col("id") % 2 + 1).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text"), F.lit(6).alias("n_chars"))
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, quality int")
+    op8_quality.train(docs, labels, max_rows=3)
+    kept = docs.where(~op8_quality.held_out()).select("doc_id").distinct().count()
+    assert got == [kept] and kept <= 2
