@@ -335,6 +335,7 @@ def robust_scores(df: DataFrame, keys: Sequence[str], parts: Mapping[str, float]
     return g.withColumn("score", sum(F.col(c) * v for c, v in parts.items() if c != "const") + parts.get("const", 0.0))
 
 
+# Shares of the robust scores of labels and entities.
 ROBUST_LABEL = {"s_mean": 0.25, "win": 0.15, "p1": 0.1, "p2": 0.05, "s_recent3": 0.15, "s_neg_dip": 0.1,
                 "reliability": 0.15, "const": 2.5}
 ROBUST_ENTITY = {"s_mean": 0.25, "win": 0.1, "p1": 0.1, "p2": 0.05, "s_recent3": 0.15, "s_neg_dip": 0.15,

@@ -10,7 +10,7 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -36,12 +36,7 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:
     query = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
-    return [json.loads(p.json) if hasattr(p, "json") and isinstance(p.json, str) else dict(p) for p in query.recentProgress]
-
-
-def run_batches(stream: DataFrame, checkpoint: str, fn: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).outputMode(mode)
-     .trigger(availableNow=True).start().awaitTermination())
+    return [json.loads(p.json) if not isinstance(p, dict) else p for p in query.recentProgress]
 
 
 def close_windows(events: DataFrame, ts: str, after: str) -> DataFrame:
