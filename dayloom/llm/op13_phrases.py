@@ -16,7 +16,7 @@ from dayloom.session import materialise
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 SHARE, SAMPLED = 4, 2  # one document in SHARE is in the sample; a phrase that it holds SAMPLED times is proposed
-CHUNK = 1 << 22  # bytes of text worked on at once
+CHUNK = 5 << 20  # bytes of text worked on at once
 BITS = (20, 28)  # the least and the greatest logarithm of a filter's size in bits
 GROUP = 100_000  # candidates of a language that one task ranks
 BREAKS = ".,;:!?\n\v\f\r"  # fixed: they end a piece; blank and tab end a word
@@ -149,7 +149,8 @@ def _occurrences(docs: DataFrame, levels: list[int], longest: int, want=None, do
                         ["lang", "words", "phrase", "n"])
 
     # A chunk sends each phrase once, so no key is hot, and counting again before the shuffle would save few rows.
-    return docs.mapInArrow(run, _COUNTED).repartition("lang", "words", "phrase").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, _COUNTED).select("lang", "phrase", "n").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    return found.withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
 
 
 def _filters(phrases: DataFrame, longest: int, size: int) -> dict[int, np.ndarray]:
