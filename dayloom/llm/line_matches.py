@@ -197,6 +197,7 @@ def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None
     block = lambda to: F.pmod(F.xxhash64("k"), F.col(to)).cast("int")
     x = x.join(many, "t").withColumn("i", block("xs")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
     y = y.join(many, "t").withColumn("j", block("ys")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    y = y.toDF(*y.columns)  # both sides come from the same table: columns of its own
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dayloom.llm import op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op7_packing, op10_lines, setjoin
+from dayloom.llm import line_matches, op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op7_packing, op10_lines, setjoin
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -352,5 +352,25 @@ def test_lines_go_only_for_a_match_of_their_own(spark, monkeypatch, rare):
     assert left == got
 
 
+def test_lines_of_a_long_list(spark):
+    """A rare word in more lines than a list is settled with: each line meets the first ones, then the others."""
+    rs = np.random.RandomState(9)
+    rows = [(d, " ".join(["shared", *[f"g{d % 60}w{i}" if rs.rand() > 0.06 else f"e{rs.randint(900)}" for i in range(8)]])) for d in range(500)]
+    gone = brute_matched(rows)
+    got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), direct=True).collect()}
+    assert got == {d: int((d, 0) in gone) for d, _ in rows} and 50 < len(gone) < 450
+
+
+def test_lines_meet_in_a_long_list(spark):
+    """The meeting by itself: both sides are the same table."""
+    n = 300
+    df = spark.createDataFrame([(7, k, 5, 0, k, 0) for k in range(n)], "t long, k long, n int, g long, d long, l int")
+    late = spark.createDataFrame([(5,)], "node long")
+    rule = setjoin.Rule(80, 1, signed=True, rare=1000)
+    for first in (2, None):
+        got = {(r.a, r.b) for r in line_matches._meet(df, late, rule, first, None).collect()}
+        assert got == {(a, b) for a in range(n) if a != 5 for b in range(min(a, first or n))}
+
+
 def test_lines_of_an_empty_table(empty):
     assert op10_lines.dedup(empty).count() == 0 and op10_lines.drop_lines(empty).columns == empty.columns
