@@ -137,9 +137,9 @@ def write_report(sheets: Mapping[str, DataFrame], path: str) -> None:
 # ---- fingerprints, manifests, snapshots ------------------------------------------
 
 def row_text(df: DataFrame, cols: Sequence[str]) -> Column:
-    """Row as text; doubles with nine decimals."""
+    """Row as text; doubles with nine decimals, and zero without a sign: it is left by the order of a sum."""
     kinds = dict(df.dtypes)
-    parts = [F.format_string("%.9f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    parts = [F.format_string("%.9f", F.col(c) + F.lit(0.0)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
              for c in cols]
     return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
 
