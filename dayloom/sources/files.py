@@ -77,9 +77,13 @@ def read_daily_files(spark: SparkSession, path: str, glob: str = "*.csv") -> Dat
     return SP.daily_rows(spark, path, list(REQUIRED), [f.split()[0] for f in ROWS.split(", ")][2:], glob)
 
 
+UNIQUE = r"[0-9a-f]{8}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{4}-?[0-9a-f]{12}"  # generated parts of file and folder names
+
+
 def file_day(path: Column) -> Column:
-    """Date in a file path: yyyy-mm-dd or yyyymmdd."""
-    return TX.to_day(F.regexp_extract(path, r"(20\d{2}-\d{2}-\d{2}|20\d{6})", 1))
+    """Date in a file path: yyyy-mm-dd or yyyymmdd, the last one; digits of longer numbers and of generated names are none."""
+    named = F.regexp_replace(path, UNIQUE, "")
+    return TX.to_day(F.regexp_extract(named, r"(?s).*(?<!\d)(20\d{2}-\d{2}-\d{2}|20\d{6})(?!\d)", 1))
 
 
 def with_file_day(rows: DataFrame) -> DataFrame:

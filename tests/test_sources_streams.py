@@ -30,6 +30,17 @@ def test_daily_files_in_three_encodings_and_bad_ones(spark, tmp_path):
     assert bad == {dt.date(2024, 1, 1): 0, dt.date(2024, 1, 2): 0, dt.date(2024, 1, 3): 1}
 
 
+def test_the_day_of_a_file_is_not_in_its_folders(spark):
+    """Numbers of applications and generated names hold digits that look like days."""
+    day = "2024-01-05"
+    paths = ["/x/dayloom-app-20261130134412-0000/daily/site=S0/file_day=2024-01-05/part-0.csv", "/x/local-1792013045612/2024-01-05.csv",
+             "/x/daily-0b20481130ff4c0da0b1f2a3b4c5d6e7/file_day=2024-01-05/part-00000-20261130-1f2a-4c0d-a0b1-f2a3b4c5d6e7.c000.csv",
+             "/x/20231231/20240105.csv", "/x/hall_20240105_v2.csv"]
+    df = spark.createDataFrame([(p, day) for p in paths], "path string, day string")
+    got = FI.check_file_day(df).collect()
+    assert {r.path: (str(r.file_day), r.mismatched) for r in got} == {p: (day, 0) for p in paths}
+
+
 def test_files_are_read_by_splits(spark, tmp_path):
     """Splits of some bytes, line breaks and commas in cells, doubled marks, CRLF, short and long records, cp932 among them."""
     import csv
