@@ -11,6 +11,7 @@ so any engine gets the same deal. Groups have fewer than 2^31 rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 ROUNDS = 12
 REPS = 1000  # replicates that one task works on at once
-CELLS = 1 << 21  # row x replicate cells held at once
+CELLS = 1 << 15  # row x replicate cells worked on at once, in the cache
+TASKS = 3  # for each core
+HELD = 256  # groups and blocks of replicates whose sums a task holds
 STEP, SPREAD, MASK = 2654435769, 73244475, 0xFFFFFFFF  # odd constants of the mixing; 32 bits
 
 
@@ -55,18 +58,50 @@ def permuted(x: np.ndarray, n: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return x
 
 
+@lru_cache(256)
+def _rounds(key: int, n: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and pivots of a group's rounds (first axis) for the replicates from ``first`` to ``last``."""
+    keys = np.ascontiguousarray(round_keys(np.int64(key), np.arange(first, last + 1, dtype=np.int64)).T)
+    return keys, (keys % np.uint32(n)).astype(np.int32)
+
+
+def images(x: np.ndarray, n: int, keys: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """``permuted`` for the rows of one group (rows x replicates), in blocks that stay in the cache."""
+    reps = keys.shape[1]
+    out = np.empty((len(x), reps), np.int32)
+    step = max(1, CELLS // max(1, reps))
+    other, high, move = (np.empty((min(step, len(x)), reps), np.int32) for _ in range(3))
+    for i in range(0, len(x), step):
+        at = out[i:i + step]
+        at[:] = x[i:i + step, None]
+        o, h, v = other[:len(at)], high[:len(at)], move[:len(at)]
+        bits, shifted = h.view(np.uint32), v.view(np.uint32)
+        for t in range(len(keys)):
+            np.subtract(pivots[t], at, out=o)
+            np.right_shift(o, 31, out=v)  # all ones where it is negative
+            v &= np.int32(n)
+            o += v
+            np.maximum(at, o, out=h)
+            bits += keys[t]
+            for _ in range(2):  # _mix in place
+                np.right_shift(bits, np.uint32(16), out=shifted)
+                bits ^= shifted
+                bits *= np.uint32(SPREAD)
+            h >>= 31  # all ones where the partners swap
+            o ^= at
+            o &= h
+            at ^= o
+    return out
+
+
 def flags(number: np.ndarray, n: np.ndarray, m: np.ndarray, key: np.ndarray, reps: np.ndarray) -> np.ndarray:
-    """Rows x replicates: whether a row (``number`` of ``n``, from 0) is among the ``m`` flagged ones."""
+    """Rows x replicates (in unbroken order): whether a row (``number`` of ``n``, from 0) is among the ``m`` flagged ones."""
     out = np.empty((len(number), len(reps)), bool)
-    groups, at = np.unique(np.stack([key, n, m]), axis=1, return_inverse=True)
-    at = at.ravel()
-    for g in range(groups.shape[1]):
-        rows = np.flatnonzero(at == g)
-        keys = round_keys(np.int64(groups[0, g]), reps)
-        step = max(1, CELLS // max(1, len(reps)))
-        for i in range(0, len(rows), step):
-            some = rows[i:i + step]
-            out[some] = permuted(number[some][:, None], groups[1, g:g + 1], keys[None]) < groups[2, g]
+    order = np.lexsort((m, n, key))
+    number, n, m, key = (c[order] for c in (number, n, m, key))
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (m[1:] != m[:-1]))[:len(key)])
+    for i, j in zip(start, [*start[1:], len(key)]):
+        out[order[i:j]] = images(number[i:j], int(n[i]), *_rounds(int(key[i]), int(n[i]), int(reps[0]), int(reps[-1]))) < m[i]
     return out
 
 
@@ -74,29 +109,45 @@ def blocks(df: DataFrame, reps: int) -> DataFrame:
     """Every row once for each block of at most REPS replicates from 1 on, dealt out evenly: columns rep_from, rep_to."""
     count = -(-reps // REPS)
     spread = df.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    # The dealing is what spreads a small input over the cores; adaptive execution joins small partitions again for large ones.
+    # The work is rows times replicates, so it is dealt by row into a fixed number of tasks, whatever the bytes and however few the groups.
     return spread.select("*", (F.col("_b") * REPS + 1).alias("rep_from"), F.least(F.lit(reps), (F.col("_b") + 1) * REPS).alias("rep_to")).drop("_b").repartition(
-        *[F.col(c) for c in df.columns if dict(df.dtypes)[c] in ("date", "string", "bigint", "int")], "rep_from")
+        TASKS * df.sparkSession.sparkContext.defaultParallelism, *[F.col(c) for c in df.columns], "rep_from")
 
 
-def _packs(frames: Iterator[pd.DataFrame], fixed: Sequence[str], rows: int = 256) -> Iterator[tuple]:
+def _packs(frames: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[tuple]:
     for pdf in frames:
         for (a, b), part in pdf.groupby(["rep_from", "rep_to"], sort=False):
             for at in range(0, len(part), rows):
                 yield np.arange(a, b + 1, dtype=np.int64), part.iloc[at:at + rows]
 
 
-def _long(part: pd.DataFrame, by: Sequence[str], reps: np.ndarray, values: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Sums of the rows' values for each group and replicate."""
-    groups = part[list(by)].drop_duplicates()
-    place = part[list(by)].merge(groups.assign(_g=range(len(groups))), on=list(by), how="left")["_g"].to_numpy()
-    out = pd.DataFrame({c: np.repeat(groups[c].to_numpy(), len(reps)) for c in by})
-    out["rep"] = np.tile(reps, len(groups))
-    for name, v in values.items():
-        total = np.zeros((len(groups), len(reps)), v.dtype)
-        np.add.at(total, place, v)
-        out[name] = total.ravel()
-    return out
+class _Sums:
+    """Sums for each group and block of replicates, held for a task and given out once, or when HELD are held."""
+
+    def __init__(self, by: Sequence[str], names: Sequence[str]):
+        self.by, self.names, self.held = list(by), list(names), {}
+
+    def add(self, part: pd.DataFrame, reps: np.ndarray, values: dict[str, np.ndarray]) -> None:
+        """``values`` are rows x replicates."""
+        group = part.groupby(self.by, sort=False, dropna=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)[:len(order)])
+        sums = [np.add.reduceat(values[c][order], start, axis=0, dtype=np.int64 if values[c].dtype != np.float64 else np.float64) for c in self.names]
+        for i, key in enumerate(part[self.by].iloc[order[start]].itertuples(index=False, name=None)):
+            own = self.held.setdefault((key, int(reps[0])), [np.zeros_like(x[i]) for x in sums])
+            for total, x in zip(own, sums):
+                total += x[i]
+
+    def rows(self, last: bool = False) -> Iterator[pd.DataFrame]:
+        if len(self.held) < (1 if last else HELD):
+            return
+        size = [len(v[0]) for v in self.held.values()]
+        keys = list(zip(*[k for k, _ in self.held]))
+        out = {c: pd.Series(list(k)).repeat(size).to_numpy() for c, k in zip(self.by, keys)}
+        out["rep"] = np.concatenate([np.arange(first, first + n) for (_, first), n in zip(self.held, size)])
+        out |= {c: np.concatenate([v[i] for v in self.held.values()]) for i, c in enumerate(self.names)}
+        self.held = {}
+        yield pd.DataFrame(out)
 
 
 WINDOWS = {"pairs": (2, 2), "triples": (3, 3), "fives": (5, 3)}  # length of the window, flags that it needs
@@ -130,34 +181,41 @@ def window_counts(rows: DataFrame, by: Sequence[str], segment: Sequence[str], re
     placed = rows.withColumn("_w", F.explode(F.when(near, F.array(word, word - 1)).otherwise(F.array(word))))
     cell = F.struct((F.col("slot_index") - F.col("_w") * WORD).cast("int").alias("p"), F.col("_number").cast("long").alias("x"), F.col("_n").cast("long").alias("n"),
                     F.col("_m").cast("long").alias("m"), F.col("_key").alias("k"), F.col("strong").cast("int").alias("s"))
-    words = placed.groupBy(*by, *segment, "_w").agg(F.collect_list(cell).alias("cells")).drop(*segment, "_w")
-    seen = words.withColumns({"rep_from": F.lit(0), "rep_to": F.lit(0)})
+    words = placed.groupBy(*by, *segment, "_w").agg(F.collect_list(cell).alias("cells"))
+    spread = blocks(words, reps).select(*by, "cells", "rep_from", "rep_to").sortWithinPartitions(*by)
 
     def run(batches):
+        sums = _Sums(by, list(WINDOWS))
         for b in batches:
+            schema = pa.schema([*(b.schema.field(c) for c in by), *((c, pa.int64()) for c in ("rep", *WINDOWS))])
             fixed = b.select([*by, "rep_from", "rep_to"]).to_pandas()  # dates stay dates
             cells = b.column(b.schema.get_field_index("cells"))
             size = np.diff(cells.offsets.to_numpy())
             flat = {f: c.to_numpy() for f, c in zip("pxnmks", cells.flatten().flatten())}
             start = np.cumsum(size) - size
-            for (a, z), part in fixed.groupby(["rep_from", "rep_to"], sort=False):
-                for i in range(0, len(part), 64):
-                    at = part.index.to_numpy()[i:i + 64]
-                    of = np.concatenate([np.arange(start[j], start[j] + size[j]) for j in at])
-                    own = {f: c[of] for f, c in flat.items()}
-                    first = np.cumsum(size[at]) - size[at]
-                    reps_ = np.arange(a, z + 1, dtype=np.int64)
-                    on = own["s"][:, None] > 0 if z == 0 else flags(own["x"], own["n"], own["m"], own["k"], reps_)
-                    bit = np.uint64(1) << own["p"].astype(np.uint64)
-                    there = np.bitwise_or.reduceat(bit, first)
+            for reps_, part in _packs([fixed], 64):
+                at = part.index.to_numpy()
+                of = np.concatenate([np.arange(start[j], start[j] + size[j]) for j in at])
+                own = {f: c[of] for f, c in flat.items()}
+                first = np.cumsum(size[at]) - size[at]
+                bit = np.uint64(1) << own["p"].astype(np.uint64)
+                there = np.bitwise_or.reduceat(bit, first)[:, None]
+
+                def count(on, reps_):
                     lit = np.bitwise_or.reduceat(np.where(on, bit[:, None], np.uint64(0)), first, axis=0)
-                    counts = word_counts(lit, np.broadcast_to(there[:, None], lit.shape))
-                    yield pa.RecordBatch.from_pandas(_long(fixed.loc[at], by, reps_, counts), preserve_index=False)
+                    sums.add(part, reps_, word_counts(lit, np.broadcast_to(there, lit.shape)))
+
+                count(flags(own["x"], own["n"], own["m"], own["k"], reps_), reps_)
+                if reps_[0] == 1:  # the observed flags, once
+                    count(own["s"][:, None] > 0, np.zeros(1, np.int64))
+                for out in sums.rows():
+                    yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
+        for out in sums.rows(last=True):
+            yield pa.RecordBatch.from_pandas(out, schema, preserve_index=False)
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
     fields = f"{kinds}, rep long, " + ", ".join(f"{s} long" for s in WINDOWS)
-    counted = blocks(words, reps).select(*by, "cells", "rep_from", "rep_to").unionByName(seen.select(*by, "cells", "rep_from", "rep_to")).mapInArrow(run, fields)
-    return counted.groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in WINDOWS])
+    return spread.mapInArrow(run, fields).groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in WINDOWS])
 
 
 def flag_sums(rows: DataFrame, by: Sequence[str], reps: int, value: str | None = None) -> DataFrame:
@@ -167,18 +225,25 @@ def flag_sums(rows: DataFrame, by: Sequence[str], reps: int, value: str | None =
     """
     by = list(by)
     cols = [*by, "strong", "_number", "_n", "_m", "_key", F.col(value).cast("double").alias("_v") if value else F.lit(0.0).alias("_v")]
-    rows = rows.select(*cols)
-    seen = rows.withColumns({"rep_from": F.lit(0), "rep_to": F.lit(0)})
+    spread = blocks(rows.select(*cols), reps).sortWithinPartitions(*by)
 
     def run(frames):
-        for reps_, part in _packs(frames, by):
-            on = (part["strong"].to_numpy(bool)[:, None] if reps_[-1] == 0 else
-                  flags(part["_number"].to_numpy(np.int64), part["_n"].to_numpy(np.int64), part["_m"].to_numpy(np.int64), part["_key"].to_numpy(np.int64), reps_))
-            yield _long(part, by, reps_, {"q": on.astype(np.int64), "v": on * part["_v"].to_numpy(np.float64)[:, None]})
+        sums = _Sums(by, ["q", "v"])
+        for reps_, part in _packs(frames):
+            number, n, m, key = (part[c].to_numpy(np.int64) for c in ("_number", "_n", "_m", "_key"))
+            v = part["_v"].to_numpy(np.float64)[:, None]
+
+            def count(on, reps_):
+                sums.add(part, reps_, {"q": on, "v": on * v if value else np.zeros(on.shape)})
+
+            count(flags(number, n, m, key, reps_), reps_)
+            if reps_[0] == 1:  # the observed flags, once
+                count(part["strong"].to_numpy(bool)[:, None], np.zeros(1, np.int64))
+            yield from sums.rows()
+        yield from sums.rows(last=True)
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
-    spread = blocks(rows, reps)
-    out = spread.unionByName(seen.select(*spread.columns)).mapInPandas(run, f"{kinds}, rep long, q long, v double")
+    out = spread.mapInPandas(run, f"{kinds}, rep long, q long, v double")
     return out.groupBy(*by, "rep").agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
 
 
@@ -187,7 +252,7 @@ def draws(groups: DataFrame, by: Sequence[str], n: int, reps: int) -> DataFrame:
     by = list(by)
 
     def run(frames):
-        for reps_, part in _packs(frames, by, 16):
+        for reps_, part in _packs(frames, 16):
             for _, r in part.iterrows():
                 size = min(n, int(r["_n"]))
                 x = permuted(np.arange(size)[None, :], np.array([r["_n"]]), round_keys(np.int64(r["_key"]), reps_)[:, None, :])

@@ -125,3 +125,18 @@ def test_exact_sign_test_of_any_size(spark, n, unit, drift):
     df = spark.createDataFrame([("s", f"d{i}", x) for i, x in enumerate(v)], "site string, day string, v double")
     got = R.exact_sign_test(df, ["site"], "v").first()
     assert got.n == len(v) and got.p_value == pytest.approx(sums_p(v, 1 / unit), abs=1e-9)
+
+
+def test_sums_leave_a_task_once_and_one_group_meets_all_tasks(spark):
+    """Rows in random order, replicates in two blocks: every row of a group is spread over the tasks, and each task gives a group out once."""
+    n, reps = 3000, 1001
+    df = spark.range(n).select(F.lit("main").alias("site"), (F.col("id") % 40).alias("g"), (F.col("id") % 7 == 0).alias("strong"), F.col("id").alias("_number"),
+                               F.lit(n).alias("_n"), F.lit(429).alias("_m"), F.lit(99).alias("_key"))
+    spread = D.blocks(df.where("g = 3"), reps).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) == D.TASKS * spark.sparkContext.defaultParallelism
+    out = {(r.g, r.rep): r.q for r in D.flag_sums(df, ["site", "g"], reps).collect()}
+    on = D.flags(np.arange(n), np.full(n, n), np.full(n, 429), np.full(n, 99), np.arange(1, reps + 1))
+    assert len(out) == 40 * (reps + 1) and all(out[g, 0] == sum(i % 7 == 0 for i in range(g, n, 40)) for g in range(40))
+    assert all((np.array([out[g, r] for r in range(1, reps + 1)]) == on[g::40].sum(axis=0)).all() for g in range(40))
+    x, keys = np.arange(n), D.round_keys(np.int64(99), np.arange(1, 30))
+    assert (D.images(x, n, *D._rounds(99, n, 1, 29)) == D.permuted(x[:, None], np.array([n]), keys[None])).all()
