@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,23 @@ def test_fingerprint_ignores_order_but_not_copies(make):
     assert one(a) != one(a.unionByName(a))
 
 
+def test_tables_leave_a_task_in_small_batches(spark):
+    """A batch of 600 pages is not held as rows: none given out has more than HELD of them."""
+    rows = "".join(f"<tr><td>{i}</td><td>2024-01-01</td><td>A</td><td>{i}</td></tr>" for i in range(20))
+    html = f"<table><tr><th>entity_id</th><th>day</th><th>label</th><th>metric</th></tr>{rows}</table>"
+
+    class Pages:
+        """Hands out the function that runs in a task."""
+
+        select = lambda self, *columns: self
+        mapInArrow = mapInPandas = lambda self, run, fields: run
+
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(600)), "html": [html] * 600})
+    got = list(H.extract_tables(Pages())(iter([batch])))
+    assert sum(len(b) for b in got) == 12_000 and max(len(b) for b in got) <= H.HELD
+    assert H.extract_tables(spark.range(600).select(F.col("id").alias("page_id"), F.lit(html).alias("html"))).count() == 12_000
+
+
 def test_zero_has_one_text_whatever_its_sign(spark, make, tmp_path):
     """Two values whose sum is a hair below zero: rounding leaves a minus sign in one engine and none in the other."""
     import duckdb
