@@ -22,8 +22,25 @@ from dayloom.session import materialise
 CELL = r'("(?:[^"]|"")*"|[^,]*),'  # a quoted cell or one without a comma, and its comma
 
 
-def raw_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(path, block, at, value): the physical lines below a folder as bytes, with the split they stand in and their place there."""
+def packed_lines(files: DataFrame) -> DataFrame:
+    """(path, block, at, value): the physical lines of files that are rows (path, content), text or bytes of any encoding.
+
+    Very many small files are kept in a table: each file of its own costs a
+    folder to list, a task to open it and system calls. A row is one split.
+    """
+    text = F.decode(F.col("content").cast("binary"), "ISO-8859-1")  # a character for each byte
+    bare = F.when(text.endswith("\n"), F.substr(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    lines = files.where(F.octet_length("content") > 0).select("path", F.posexplode(F.split(bare, "\n", -1)).alias("at", "value"))
+    return lines.select("path", F.lit(0).cast("long").alias("block"), F.col("at").cast("long").alias("at"), F.encode("value", "ISO-8859-1").alias("value"))
+
+
+def raw_lines(spark: SparkSession, path: str | DataFrame, glob: str = "*.csv") -> DataFrame:
+    """(path, block, at, value): the physical lines below a folder as bytes, with the split they stand in and their place there.
+
+    In the place of a folder there may be a table of ``packed_lines``.
+    """
+    if isinstance(path, DataFrame):
+        return packed_lines(path)
     lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path)
     return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                         F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("value"))
@@ -105,7 +122,7 @@ def decoded(rows: DataFrame) -> DataFrame:
     return fine.unionByName(other.join(wrong, "path", "left_anti").select("path", "line", "text", "encoding"))
 
 
-def parsed(spark: SparkSession, path: str, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
+def parsed(spark: SparkSession, path: str | DataFrame, glob: str = "*.csv") -> tuple[DataFrame, DataFrame]:
     """Rows (path, line, encoding, cells) behind the header of each file, and the headers (path, header) under canonical names."""
     text = decoded(records(numbered(raw_lines(spark, path, glob))))
     rows = materialise(text.select("path", "line", "encoding", cells(F.col("text")).alias("cells")), "cells")
@@ -114,7 +131,7 @@ def parsed(spark: SparkSession, path: str, glob: str = "*.csv") -> tuple[DataFra
     return rows.where("line > 1"), rows.where("line = 1").select("path", header.alias("header"))
 
 
-def daily_rows(spark: SparkSession, path: str, required: list[str], columns: list[str], glob: str = "*.csv") -> DataFrame:
+def daily_rows(spark: SparkSession, path: str | DataFrame, required: list[str], columns: list[str], glob: str = "*.csv") -> DataFrame:
     """(path, line, columns): text cells under canonical names; the cells that a short record lacks are null.
 
     Files without one of the ``required`` columns, empty files and records of
@@ -127,7 +144,7 @@ def daily_rows(spark: SparkSession, path: str, required: list[str], columns: lis
         "path", "line", *[F.get("cells", F.when(F.array_position("header", c) > 0, F.array_position("header", c) - 1).cast("int")).alias(c) for c in columns])
 
 
-def row_widths(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def row_widths(spark: SparkSession, path: str | DataFrame, glob: str = "*.csv") -> DataFrame:
     """Per file: its columns, data records, records with too few or too many cells, blank records and the first wrong line."""
     rows, headers = parsed(spark, path, glob)
     x = O.attach(rows, headers, ["path"]).withColumns({"_w": F.size("cells"), "_h": F.size("header"), "_blank": F.forall("cells", lambda c: F.trim(c) == "")})
@@ -137,7 +154,7 @@ def row_widths(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame
         F.count_if(wrong & (F.col("_w") > F.col("_h"))).alias("too_many"), F.count_if("_blank").alias("blank"), F.min(F.when(wrong, F.col("line"))).alias("first_wrong"))
 
 
-def header_check(spark: SparkSession, path: str, expected: list[str], glob: str = "*.csv") -> DataFrame:
+def header_check(spark: SparkSession, path: str | DataFrame, expected: list[str], glob: str = "*.csv") -> DataFrame:
     """Per file: whether its header holds the expected names in their order, and what is missing or beyond them."""
     _, headers = parsed(spark, path, glob)
     want = F.array(*[F.lit(c) for c in expected])

@@ -10,6 +10,7 @@ from dayloom.panel import KEY, PANEL
 from dayloom.session import scratch_path
 from dayloom.sources import files as FI
 from dayloom.sources import html as H
+from dayloom.sources import splits as SP
 from dayloom.streaming import jobs as L
 
 HEAD = "日付,台番号,機種名,G数,差枚,BB,RB"
@@ -323,3 +324,28 @@ def test_windows_leave_the_state_once_they_are_written(spark):
     run(L.close_windows(rows(9, 9, 10), "ts", "9 DAYS"))
     got = sorted((r.start.day, r.n) for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [(1, 1), (2, 1), (3, 1), (9, 2), (10, 1)]
+
+
+def test_packed_files_give_the_lines_of_folders(spark, tmp_path):
+    files = {"a.csv": "日付,台番号,memo\n2024-01-01,1,\"two\nlines\"\n2024-01-01,2\n".encode(), "b.csv": "日付,台番号\r\n2024-01-02,ア\r\n , ".encode("cp932"),
+             "c.csv": "﻿日付,台番号\n\n1,2,3\n\n".encode(), "d.csv": b"", "e.csv": b"\n", "f.csv": b"\x81\xff\xfe,\n"}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    table = spark.createDataFrame([("x/" + n, bytearray(b)) for n, b in files.items()], "path string, content binary")
+    want = ["day", "entity_id"]
+    for report in (lambda p: SP.row_widths(spark, p), lambda p: SP.header_check(spark, p, want), lambda p: SP.daily_rows(spark, p, want, [*want, "memo"])):
+        rows = [sorted(str((r.path.rsplit("/", 1)[1], *r[1:])) for r in report(p).collect()) for p in (str(tmp_path), table)]
+        assert rows[0] == rows[1] and rows[0]
+
+
+def test_landed_files_are_not_a_folder_each(spark, make, monkeypatch, tmp_path):
+    from pyspark.sql import DataFrameWriter
+
+    from dayloom.plans import quality as PQ
+
+    monkeypatch.setattr(PQ, "panel", lambda spark, d: make([(day, e, "L", 1.5) for day in (1, 2) for e in range(200)]))
+    by = []
+    old = DataFrameWriter.partitionBy
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: by.append(c) or old(self, *c))
+    out = PQ.by_file(SP.row_widths(spark, PQ.landed(spark, ""))).collect()
+    assert not by and len(out) == 8 and sum(r.records for r in out) == 400
