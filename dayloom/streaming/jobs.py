@@ -269,45 +269,71 @@ def lateness(df: DataFrame, event_day: str, processing_day: str) -> DataFrame:
 # ---- growing history --------------------------------------------------------------------
 
 HISTORY_OUT = "site string, entity_id bigint, day date, metric double, history_n bigint, prior_mean double, kind string"
-HISTORY_STATE = "n bigint, total double, settled date, days array<date>, metrics array<double>"
+HISTORY_STATE = "ids array<bigint>, n array<bigint>, total array<double>, settled array<date>, width array<int>, days array<date>, metrics array<double>"
 LATE_DAYS = 7  # a row that is so many days behind the entity's newest one is still placed in its history
+IDS = 256  # ids next to one another whose histories are one entry of the state
 
 
-def _history(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, total, settled, days, metrics = state.get if state.exists else (0, 0.0, None, [], [])
-    days, metrics, out = list(days), [None if m is None or m != m else m for m in metrics], []
-    for day, m in pd.concat(list(batches))[["day", "metric"]].sort_values("day", kind="stable").itertuples(index=False):
+def _scored(history: tuple, rows: Iterator[tuple], out: list) -> tuple:
+    """One entity's history (count and sum of the settled days, the last of them, later days and their metrics) after its rows by day."""
+    n, total, settled, days, metrics = history
+    for at_row, day, m in rows:
         m = None if m != m else m
         if settled is not None and day <= settled:
-            out.append((day, m, None, None, "TOO_LATE"))
+            out.append((at_row, None, None, "TOO_LATE"))
             continue
         before = [x for d, x in zip(days, metrics) if d < day and x is not None]
         seen = n + len(before)
         late = bool(days) and day < days[-1]
-        out.append((day, m, seen, (total + sum(before)) / seen if seen else None, "LATE" if late else "ON_TIME"))
+        out.append((at_row, seen, (total + sum(before)) / seen if seen else None, "LATE" if late else "ON_TIME"))
         at = bisect.bisect_right(days, day)
         days.insert(at, day)
         metrics.insert(at, m)
         while (days[-1] - days[0]).days > LATE_DAYS:  # these days cannot come again
             settled, old = days.pop(0), metrics.pop(0)
             n, total = n + (old is not None), total + (old or 0.0)
-    state.update((n, total, settled, days, [float("nan") if x is None else x for x in metrics]))
-    pdf = pd.DataFrame(out, columns=["day", "metric", "history_n", "prior_mean", "kind"]).astype({"history_n": "Int64", "metric": "float64", "prior_mean": "float64"})
-    pdf.insert(0, "entity_id", key[1])
-    pdf.insert(0, "site", key[0])
-    yield pdf
+    return n, total, settled, days, metrics
+
+
+def _history(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held: dict = {}
+    if state.exists:
+        ids, n, total, settled, width, days, metrics = state.get
+        at = 0
+        for e, c, s, last, w in zip(ids, n, total, settled, width):
+            held[e] = (c, s, last, list(days[at:at + w]), [None if m is None or m != m else m for m in metrics[at:at + w]])
+            at += w
+    rows = pd.concat(list(batches))[["entity_id", "day", "metric"]].sort_values("day", kind="stable", ignore_index=True)
+    ids = [None] * len(rows) if pd.isna(key[1]) else rows["entity_id"].tolist()  # no id: a block of its own
+    own: dict = {}
+    for row in zip(ids, range(len(rows)), rows["day"], rows["metric"]):
+        own.setdefault(row[0], []).append(row[1:])
+    out = []
+    for e, some in own.items():
+        held[e] = _scored(held.get(e, (0, 0.0, None, [], [])), some, out)
+    every = list(held.values())
+    state.update((list(held), [h[0] for h in every], [h[1] for h in every], [h[2] for h in every], [len(h[3]) for h in every],
+                  [d for h in every for d in h[3]], [float("nan") if m is None else m for h in every for m in h[4]]))
+    at, seen, mean, kind = zip(*out)
+    found = rows.iloc[list(at)]
+    yield pd.DataFrame({
+        "site": key[0], "entity_id": pd.array([ids[i] for i in at], "Int64"), "day": found["day"].to_numpy(), "metric": found["metric"].astype("float64").to_numpy(),
+        "history_n": pd.array(seen, "Int64"), "prior_mean": pd.array(mean, "Float64").to_numpy("float64", na_value=float("nan")), "kind": kind})
 
 
 def score_history(panel: DataFrame) -> DataFrame:
     """Each row with the number and mean of its entity's earlier days, seen so far; then it joins that history.
 
-    State is kept per entity by the state store, so a batch reads and writes
-    the entities that it touches and no others: sums of the settled days and
-    the last LATE_DAYS days one by one. A late row among these (kind LATE) is
-    scored from earlier days alone and counts for later ones that follow; an
-    even later one (TOO_LATE) is only reported. Rows already written stay.
+    State is kept by the state store for blocks of IDS neighbouring ids, so a
+    batch reads and writes the blocks that it touches and no others: of each
+    entity sums of the settled days and the last LATE_DAYS days one by one. A
+    call costs far more than a row, so there is one for a block and not for an
+    entity. A late row among the last days (kind LATE) is scored from earlier
+    days alone and counts for later ones that follow; an even later one
+    (TOO_LATE) is only reported. Rows already written stay.
     """
-    return panel.select(*KEY, "metric").groupBy(*ENTITY).applyInPandasWithState(
+    block = F.floor(F.col("entity_id") / IDS).cast("bigint")
+    return panel.select(*KEY, "metric").withColumn("_block", block).groupBy("site", "_block").applyInPandasWithState(
         _history, HISTORY_OUT, HISTORY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 

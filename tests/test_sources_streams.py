@@ -349,3 +349,15 @@ def test_landed_files_are_not_a_folder_each(spark, make, monkeypatch, tmp_path):
     monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *c: by.append(c) or old(self, *c))
     out = PQ.by_file(SP.row_widths(spark, PQ.landed(spark, ""))).collect()
     assert not by and len(out) == 8 and sum(r.records for r in out) == 400
+
+
+def test_history_of_many_ids_is_kept_by_blocks(spark, make):
+    root = scratch_path(spark, "blocks")
+    ids = [*range(-3, 600), None]
+    for days in ((1, 3), (2, 4)):
+        make([(d, e, "A", d * (e or 0)) for d in days for e in ids]).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        progress = L.run_to_table(L.score_history(L.stream_panel(spark, f"{root}/in")), f"{root}/out", f"{root}/ck")
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] <= 5  # not one for each of 604 ids
+    got = {(r.entity_id, r.day.day): (r.history_n, r.prior_mean, r.kind) for r in spark.read.parquet(f"{root}/out").collect()}
+    want = {1: (0, None, "ON_TIME"), 2: (1, 1, "LATE"), 3: (1, 1, "ON_TIME"), 4: (3, 2, "ON_TIME")}
+    assert got == {(e, d): (n, m if m is None else m * (e or 0), kind) for e in ids for d, (n, m, kind) in want.items()}
