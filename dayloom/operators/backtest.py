@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +163,8 @@ def random_weights(spark: SparkSession, k: int, factors: Sequence[str], seed: st
 
 PATTERNS = 256  # patterns whose best rows a task keeps together
 ROWS = 2048  # rows that one matrix product takes
+SLICE = 32  # packed lists that leave a task at once
+TASKS = 32  # tasks next to one another whose lists are merged before those of all
 
 
 def _best_rows(scores: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
@@ -176,18 +179,25 @@ def pattern_picks(feats: DataFrame, vectors: DataFrame, factors: Sequence[str],
 
     The weights are a table of k short rows. A task multiplies blocks of rows
     with blocks of PATTERNS weight vectors and keeps n rows for each day and
-    pattern; only these leave it, as packed arrays, and are merged by (day, block).
+    pattern; only these leave it, as packed arrays, and are merged by (day, block),
+    of TASKS tasks first: a merge of all would hold a list for each task.
     """
     spark = feats.sparkSession
     parts = SC.components(feats, factors)
     table = vectors.orderBy(F.col("model").cast("long")).toPandas()  # k vectors of a few factors: a parameter
     kept = spark.sparkContext.broadcast((table["model"].to_numpy(), np.array(table["w"].tolist(), np.float64).reshape(len(table), -1)))
 
-    def pack(key, block, ids, metric, score):
-        return [*key, block, ids.astype(np.int64).tobytes(), metric.astype(np.float64).tobytes(), score.astype(np.float64).tobytes(), ids.shape[0]]
+    cols = [*DAY, "block", "part", "ids", "metrics", "scores", "size"]
+    kinds = "site string, day date, block int, part int, ids binary, metrics binary, scores binary, size int"
 
-    cols = [*DAY, "block", "ids", "metrics", "scores", "size"]
-    kinds = "site string, day date, block int, ids binary, metrics binary, scores binary, size int"
+    def pack(key, block, part, ids, metric, score):
+        return [*key, block, part, ids.astype(np.int64).tobytes(), metric.astype(np.float64).tobytes(), score.astype(np.float64).tobytes(), ids.shape[0]]
+
+    def emptied(held):
+        part = TaskContext.get().partitionId() // TASKS
+        while held:
+            some = [held.popitem() for _ in range(min(SLICE, len(held)))]
+            yield pd.DataFrame([pack(k[:2], k[2], part, *v) for k, v in some], columns=cols)
 
     def best(frames):
         held: dict[tuple, tuple] = {}
@@ -208,24 +218,27 @@ def pattern_picks(feats: DataFrame, vectors: DataFrame, factors: Sequence[str],
                         old = held.get((*key, block))
                         held[(*key, block)] = new if old is None else _merged([old, new], n)
             if len(held) * PATTERNS * n > 1 << 22:
-                yield pd.DataFrame([pack(k[:2], k[2], *v) for k, v in held.items()], columns=cols)
-                held.clear()
-        if held:
-            yield pd.DataFrame([pack(k[:2], k[2], *v) for k, v in held.items()], columns=cols)
+                yield from emptied(held)
+        yield from emptied(held)
+
+    def joined(pdf: pd.DataFrame) -> tuple:
+        lists = (tuple(np.frombuffer(b, t).reshape(r.size, -1) for b, t in ((r.ids, np.int64), (r.metrics, np.float64), (r.scores, np.float64)))
+                 for r in pdf.itertuples(index=False, name="Row"))
+        return functools.reduce(lambda a, b: _merged([a, b], n), lists)
+
+    def some(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([pack(key[:2], key[2], key[3], *joined(pdf))], columns=cols)
 
     def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         models = kept.value[0][key[2]:key[2] + PATTERNS]
-        lists = [tuple(np.frombuffer(b, t).reshape(size, -1) for b, t in ((r.ids, np.int64), (r.metrics, np.float64), (r.scores, np.float64)))
-                 for r, size in zip(pdf.itertuples(), pdf["size"])]
-        ids, metric, score = lists[0]
-        for other in lists[1:]:
-            ids, metric, score = _merged([(ids, metric, score), other], n)
+        ids, metric, score = joined(pdf)
         rank = np.repeat(np.arange(1, len(ids) + 1, dtype=np.int32), len(models))
         return pd.DataFrame({"site": key[0], "day": key[1], "model": np.tile(models, len(ids)), "rank": rank,
                              "entity_id": ids.ravel(), "metric": metric.ravel(), "score": score.ravel()})
 
     packed = parts.select(*DAY, "entity_id", F.col("metric").cast("double").alias("metric"), "comp").mapInPandas(best, kinds)
-    return packed.groupBy(*DAY, "block").applyInPandas(merge, "site string, day date, model string, rank int, entity_id long, metric double, score double")
+    fewer = packed.groupBy(*DAY, "block", "part").applyInPandas(some, kinds)
+    return fewer.groupBy(*DAY, "block").applyInPandas(merge, "site string, day date, model string, rank int, entity_id long, metric double, score double")
 
 
 def _merged(lists: list[tuple], n: int) -> tuple:

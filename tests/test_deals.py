@@ -140,3 +140,19 @@ def test_sums_leave_a_task_once_and_one_group_meets_all_tasks(spark):
     assert all((np.array([out[g, r] for r in range(1, reps + 1)]) == on[g::40].sum(axis=0)).all() for g in range(40))
     x, keys = np.arange(n), D.round_keys(np.int64(99), np.arange(1, 30))
     assert (D.images(x, n, *D._rounds(99, n, 1, 29)) == D.permuted(x[:, None], np.array([n]), keys[None])).all()
+
+
+def test_pattern_picks_merge_a_bounded_number_of_lists(spark, make, monkeypatch):
+    rs = np.random.RandomState(3)
+    rows = [("main", i % 3, int(i), float(rs.randint(5)), float(rs.randint(4)), float(rs.randint(3))) for i in range(600)]
+    feats = spark.createDataFrame(rows, "site string, day int, entity_id long, metric double, f double, g double").withColumn("day", F.date_add(F.lit("2024-01-01"), F.col("day"))).repartition(4)
+    vectors = B.random_weights(spark, 8, ["f", "g"])
+    found = []
+    for tasks, size in ((32, 32), (1, 1)):  # each task's lists merged alone first, given out one by one
+        monkeypatch.setattr(B, "TASKS", tasks)
+        monkeypatch.setattr(B, "SLICE", size)
+        got = B.pattern_picks(feats, vectors, ["f", "g"], 5)
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert plan.count("FlatMapGroupsInPandas") == 2 and "part#" in plan
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and len(found[0]) == 3 * 8 * 5
