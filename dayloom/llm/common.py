@@ -109,6 +109,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def freed(run, *frames):
+    """The result of ``run`` for one group, whose working memory is given back."""
+    out = run(*frames)
+    release()
+    return out
+
+
 def words(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word and the number of words before each row."""
     h, first, _ = word_places(t, sep, segment)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayloom.llm import setjoin
-from dayloom.llm.common import CHUNK, Texts, chunks, mix, release
+from dayloom.llm.common import CHUNK, Texts, chunks, freed, mix, release
 from dayloom.session import materialise
 
 CLOSE, CLOSEST = 8, 2  # earlier sets of a list, of a long list's block, that a set can be compared with before all are
@@ -178,7 +178,10 @@ def _gather(packed: DataFrame, rule: setjoin.Rule, close: int | None, bits=None)
                     out.append(_frame(kind="pair", a=k[x], b=k[y], far=far, more=more))
         return pd.concat(out, ignore_index=True) if out else _frame(kind="", a=np.zeros(0, np.int64))
 
-    return packed.groupBy("p").applyInPandas(run, _ROWS)
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return freed(run, pdf)
+
+    return packed.groupBy("p").applyInPandas(part, _ROWS)
 
 
 def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None, close: int | None) -> DataFrame:
@@ -255,11 +258,7 @@ def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: set
         return late
     for first in TURNS:
         met = materialise(_meet(hot, late, rule, first, CLOSEST), "met")
-        near = met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-        new = late_of(near)
-        left = met.join(new.select(F.col("node").alias("a")), "a", "left_anti").join(near, ["a", "b"], "left_anti")
-        if not left.isEmpty():
-            new = new.unionByName(late_of(left))
+        new = late_of(met)  # a few for each set: a pass over all texts costs more than comparing them
         late = materialise(late.unionByName(new), "late")
     open_ = met.where("more").select("a").distinct().join(late.select(F.col("node").alias("a")), "a", "left_anti")
     open_ = materialise(open_.withColumnRenamed("a", "k"), "open")

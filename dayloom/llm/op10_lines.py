@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm import graph, line_matches, setjoin
-from dayloom.llm.common import _R, Texts, chunks, mix, read, release, white_table, word_places
+from dayloom.llm.common import _R, Texts, chunks, freed, mix, read, release, white_table, word_places
 from dayloom.session import materialise
 
 SIMILARITY, MORE = 80, 1  # percent; shared tokens that a pair must have in the prefixes
@@ -145,7 +145,10 @@ def places(docs: DataFrame, table, parts: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["p", "kind", "set", "doc", "key", "at"])
 
     found = _keyed(docs).select("_text", "_rank", "_key").mapInArrow(scan, _PACKED)
-    return found.groupBy("p").applyInPandas(settle, _PACKED)
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return freed(settle, pdf)
+
+    return found.groupBy("p").applyInPandas(part, _PACKED)
 
 
 def _nodes(firsts: DataFrame, roots: DataFrame) -> DataFrame:

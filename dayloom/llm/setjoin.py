@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayloom.llm.common import chunks, mix, release
+from dayloom.llm.common import chunks, freed, mix, release
 from dayloom.session import materialise
 
 RARE = 32  # the longest list of a rare token
@@ -453,7 +453,10 @@ def verify(pairs: DataFrame, have: DataFrame, rule: Rule, per_cell: int = 20_000
         ok = [rule.similar(s[a], s[b]) for a, b in zip(left["a"], left["b"])]
         return left.loc[np.array(ok, bool), ["a", "b"]]
 
-    return pairs.select("a", "b", cell()).groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(test, "a long, b long")
+    def part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return freed(test, left, right)
+
+    return pairs.select("a", "b", cell()).groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(part, "a long, b long")
 
 
 def links(rows: DataFrame, sets: Sets, rule: Rule, total: int, components) -> DataFrame:

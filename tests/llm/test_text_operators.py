@@ -374,3 +374,17 @@ def test_lines_meet_in_a_long_list(spark):
 
 def test_lines_of_an_empty_table(empty):
     assert op10_lines.dedup(empty).count() == 0 and op10_lines.drop_lines(empty).columns == empty.columns
+
+
+def test_long_lists_read_the_texts_once_a_turn(spark, monkeypatch):
+    monkeypatch.setattr(line_matches, "SHORT", 3)
+    reads, meets = [], []
+    chosen, meet = setjoin.chosen, line_matches._meet
+    monkeypatch.setattr(setjoin, "chosen", lambda *a: reads.append(len(meets)) or chosen(*a))
+    monkeypatch.setattr(line_matches, "_meet", lambda *a: meets.append(1) or meet(*a))
+    rs = np.random.RandomState(4)
+    rows = [(d, " ".join(f"g{d % 8}w{i}" if rs.rand() > 0.08 else f"e{rs.randint(90)}" for i in range(9))) for d in range(120)]
+    gone = brute_matched(rows)
+    got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), direct=True).collect()}
+    assert got == {d: int((d, 0) in gone) for d, _ in rows} and gone
+    assert len(meets) >= 3 and max(collections.Counter(r for r in reads if r).values()) == 1
