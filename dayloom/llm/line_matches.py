@@ -2,9 +2,12 @@
 
 A posting carries the set's size, signature and earliest place, so a list
 knows the earlier sets that a set can be similar to before anything is
-written. Only the CLOSE nearest of them by signature leave it, and a set that has a
-partner needs no other. Long lists are settled in turns: a set meets the few
-earliest sets of the list first, and only what finds no partner meets more.
+written. A list is sorted by size: of each set only the window is looked at whose
+sizes its place in the set allows. Larger sets have longer signatures, as those of
+one word agree by chance. Only the CLOSE nearest of the sets that are left leave
+the part. Long lists are settled in turns: a set meets the few earliest sets of
+the list first, and only what finds no partner meets more. The scan that writes
+the postings writes the places of all lines too.
 """
 
 from __future__ import annotations
@@ -22,17 +25,22 @@ from dayloom.llm import setjoin
 from dayloom.llm.common import CHUNK, Texts, chunks, freed, mix, release
 from dayloom.session import materialise
 
-CLOSE, CLOSEST = 8, 2  # earlier sets of a list, of a long list's block, that a set can be compared with before all are
-SHORT = 256  # the longest list that is settled where it is gathered
+CLOSE, CLOSEST = 8, 2  # earlier sets of a part, of a long list's block, that a set can be compared with before all are
+DOUBT = 32  # times as many where the nearest one is far
+SHORT = 4096  # the longest list that is settled where it is gathered
+WIDE = (64, 144, 288)  # sizes of sets above which a signature has two words, four, eight
+PAIRS = 1 << 18  # pairs of a window looked at once
 TURNS = (2, 32, None)  # members of a long list, from its beginning, that the others meet; None: all
 BLOCK = 4096  # sets on each side of a meeting
 FLUSH = 1 << 15  # lines packed at once in a task
 
 _COLS = ("t", "k", "n", "g", "d", "l")  # token, set, size, signature, and the place: document, line (then the set)
 _KINDS = dict(zip(_COLS, ("<u8", "<i8", "<i4", "<u8", "<i8", "<i4")))
-_PACKED = "p int, kind string, " + ", ".join(f"{c} binary" for c in _COLS)
-_ROWS = "kind string, a long, b long, far int, more boolean, t long, k long, n int, g long, d long, l int"
-_BLANK = {"kind": "", "a": 0, "b": 0, "far": 0, "more": False, "t": 0, "k": 0, "n": 0, "g": 0, "d": 0, "l": 0}
+_PACKED = "p int, kind string, " + ", ".join(f"{c} binary" for c in (*_COLS, "w"))
+_PLACED = dict(zip(("k", "d", "g", "l"), ("set", "doc", "key", "at")))  # columns of the packed rows of kind 'line' and 'late'
+_ROWS = "kind string, a long, b long, da long, db long, more boolean, t long, k long, n int, g long, d long, l int, p int, set binary, doc binary, key binary, at binary"
+_BLANK = {"kind": "", "a": 0, "b": 0, "da": 0, "db": 0, "more": False, "t": 0, "k": 0, "n": 0, "g": 0, "d": 0, "l": 0,
+          "p": 0, "set": None, "doc": None, "key": None, "at": None}
 
 
 def _plain(a: np.ndarray, kind: str) -> bytes:
@@ -48,7 +56,12 @@ def _array(cells, kind: str) -> np.ndarray:
 
 
 def _load(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    return {c: _array(pdf[c], kind) for c, kind in _KINDS.items()}
+    """The columns of packed postings; w: seven words, zero where a signature is shorter."""
+    cols = {c: _array(pdf[c], kind) for c, kind in _KINDS.items()}
+    more = _more_words(cols["n"])
+    cols["w"] = np.zeros((len(more), 7), np.uint64)
+    cols["w"][np.arange(7) < more[:, None]] = _array(pdf["w"], "<u8")
+    return cols
 
 
 def _pick(cols: dict, at) -> dict:
@@ -60,40 +73,96 @@ def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(a)))
 
 
-def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts: int) -> DataFrame:
-    """Packed postings of the prefixes; of tokens with long lists inside a task the postings are spread and only a mark goes to the token's part."""
+def _more_words(n: np.ndarray) -> np.ndarray:
+    """Words that the signature of a set of n tokens has beyond the first."""
+    return (1 << np.searchsorted(WIDE, n).astype(np.int64)) - 1
+
+
+def _signatures(tok: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the signature of one word, and the words that a longer one has beyond its first.
+
+    A token flips one bit of one word. The xor of all words is the signature
+    of one word, so the first word need not be kept; and half as many words
+    come of the xor of the first half of them with the second.
+    """
+    h = mix(tok)
+    bit = np.uint64(1) << (h % np.uint64(setjoin.SIGN) + np.uint64(6))
+    g = np.bitwise_xor.reduceat(bit, np.cumsum(n) - n)
+    more = _more_words(n)
+    w = np.zeros((len(n), 7), np.uint64)
+    use = np.repeat(more > 0, n)
+    if use.any():
+        word, bit, start = h[use] >> np.uint64(61), bit[use], np.cumsum(n[more > 0]) - n[more > 0]
+        for i in range(7):
+            w[more > 0, i] = np.bitwise_xor.reduceat(np.where(word == i + 1, bit, np.uint64(0)), start)
+        for half in (4, 2):
+            short = np.flatnonzero(more < 2 * half - 1)
+            w[short, :half - 1] ^= w[short, half:2 * half - 1]
+            w[short, half - 1:] = 0
+    return g, w
+
+
+def _apart(cols: dict, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that differ between the longest signatures that both sets have: no more than the tokens that only one of them has."""
+    g = (cols["g"][x] ^ cols["g"][y]) >> np.uint64(6) << np.uint64(6)
+    out = np.bitwise_count(g).astype(np.int64)
+    both = _more_words(np.minimum(cols["n"][x], cols["n"][y]))
+    for more in (1, 3, 7):
+        at = np.flatnonzero(both == more)
+        if len(at):
+            w = cols["w"][x[at]] ^ cols["w"][y[at]]
+            w = np.column_stack([g[at] ^ np.bitwise_xor.reduce(w, axis=1), w])
+            while w.shape[1] > more + 1:
+                w = w[:, :w.shape[1] // 2] ^ w[:, w.shape[1] // 2:]
+            out[at] = np.bitwise_count(w).astype(np.int64).sum(axis=1)
+    return out
+
+
+def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts: int, place_rows: Callable | None = None, wanted=None) -> DataFrame:
+    """Packed postings of the prefixes; of tokens with long lists inside a task the postings are spread and only a mark goes to the token's part.
+
+    With ``place_rows`` the packed places of all lines too, as that function makes them; with ``wanted`` (a broadcast filter) only of tokens that pass it.
+    """
 
     def flush(held, salt):
-        k, n, d, l, tok = (np.concatenate(h) for h in zip(*held))
+        k, n, d, l, tok, key = (np.concatenate(h) for h in zip(*held))
+        rows = [] if place_rows is None else [(p, kind, b"", s, b"", x, doc, at, b"") for p, kind, s, doc, x, at in place_rows([(k, d, key, l)], parts)]
         start = np.cumsum(n) - n
         order = np.lexsort((k, l, d))
         order = order[np.sort(np.unique(k[order], return_index=True)[1])]
         k, n, d, l, start = k[order], n[order], d[order], l[order], start[order]  # the first line of each set, in the order of places
         full = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
-        sign = np.bitwise_xor.reduceat(np.uint64(1) << (mix(tok[full]) % np.uint64(setjoin.SIGN) + np.uint64(6)), np.cumsum(n) - n)
+        sign, wide = _signatures(tok[full], n)
         m = rule.prefix(n)
         place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
         of = np.repeat(np.arange(len(n)), m)
         t = tok[start[of] + place]
+        if wanted is not None:
+            use = setjoin._passes(wanted.value, t.view(np.int64))
+            t, of, place = t[use], of[use], place[use]
         by = np.argsort(t, kind="stable")
         t, of, place = t[by], of[by], place[by]
-        cols = {"t": t, "k": k[of], "n": n[of], "g": sign[of] | np.minimum(place, 63).astype(np.uint64), "d": d[of], "l": l[of]}
+        cols = {"t": t, "k": k[of], "n": n[of], "g": sign[of] | np.minimum(place, 63).astype(np.uint64), "d": d[of], "l": l[of], "w": wide[of]}
         first, many = _runs(t)
         hot = np.repeat(many > SHORT, many)
-        rows = []
         if hot.any():
-            rows.append((salt % parts, "hot", *[_plain(cols[c][hot], _KINDS[c]) for c in _COLS]))
+            rows.append((salt % parts, "hot", *cells(_pick(cols, hot))))
             rows += by_part("mark", _pick(cols, first[many > SHORT]))
         rows += by_part("post", _pick(cols, np.flatnonzero(~hot)))
-        types = [pa.int32(), pa.string(), *[pa.binary()] * len(_COLS)]
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), types)], ["p", "kind", *_COLS])
+        types = [pa.int32(), pa.string(), *[pa.binary()] * (len(_COLS) + 1)]
+        columns = list(zip(*rows)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types)], ["p", "kind", *_COLS, "w"])
+
+    def cells(cols):
+        more = np.arange(7) < _more_words(cols["n"])[:, None]
+        return *[_plain(cols[c], _KINDS[c]) for c in _COLS], _plain(cols["w"][more], "<u8")
 
     def by_part(kind, cols):
         part = (cols["t"] % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cols, part = _pick(cols, order), part[order]
         start, many = _runs(part)
-        return [(int(part[i]), kind, *[_plain(cols[c][i:i + m], _KINDS[c]) for c in _COLS]) for i, m in zip(start, many)]
+        return [(int(part[i]), kind, *cells(_pick(cols, slice(i, i + m)))) for i, m in zip(start, many)]
 
     def run(batches):
         held, lines, salt = [], 0, TaskContext.get().partitionId() * 7919
@@ -101,7 +170,8 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
             k, n, tok, row, number = line_sets(Texts(b.column(0)))
             if not len(k):
                 continue
-            held.append((k, n, b.column(1).to_numpy(zero_copy_only=False)[row], number, tok))
+            d, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (1, 2))
+            held.append((k, n, d, number, tok, key))
             lines += len(k)
             if lines >= FLUSH:
                 yield flush(held, salt)
@@ -111,7 +181,7 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
         del held
         release()
 
-    return keyed.select("_text", "_rank").mapInArrow(run, _PACKED)
+    return keyed.select("_text", "_rank", "_key").mapInArrow(run, _PACKED)
 
 
 def _frame(**columns) -> pd.DataFrame:
@@ -135,10 +205,72 @@ def _far(g, h):
     return np.bitwise_count((g ^ h) >> np.uint64(6)).astype(np.int64)
 
 
-def _gather(packed: DataFrame, rule: setjoin.Rule, close: int | None, bits=None) -> DataFrame:
-    """Rows of kind 'pair' (a, an earlier b, far, more) of short lists, and of kind 'hot': the postings of long ones.
+def _near(found: list, close: int | None, size: np.ndarray, rule: setjoin.Rule) -> tuple[np.ndarray, ...]:
+    """Of pairs (later, earlier, far, more) each once, and of each later set the ``close`` nearest (None: all); more: it has others.
 
-    With ``bits`` (a broadcast filter) only the pairs of sets a that pass it.
+    Where the nearest one differs in more than half of the bits allowed, DOUBT times as many.
+    """
+    later, earlier, far, more = (np.concatenate(c) for c in zip(*found))
+    order = np.lexsort((earlier, far, later))
+    some = np.unique(later[more])
+    later, earlier, far = later[order], earlier[order], far[order]
+    new = np.append(True, (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1]))[:len(later)]
+    later, earlier, far = later[new], earlier[new], far[new]
+    start, many = _runs(later)
+    use = np.ones(len(later), bool)
+    more = np.isin(later, some)
+    if close is not None:
+        doubt = 2 * far[start] * (100 + rule.num) > (100 - rule.num) * (size[later[start]] + size[earlier[start]])
+        most = np.where(doubt, DOUBT * close, close)
+        use = np.arange(len(later)) - np.repeat(start, many) < np.repeat(most, many)
+        more |= np.repeat(many > most, many)
+    return later[use], earlier[use], far[use], more[use]
+
+
+def _windows(cols: dict, rule: setjoin.Rule, close: int | None, want: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Rows (of a later set, of an earlier one, more) of the pairs that can be similar, of postings in the order of token and size."""
+    t, n, g = cols["t"], cols["n"].astype(np.int64), cols["g"]
+    order = np.lexsort((cols["k"], cols["l"], cols["d"]))
+    new = np.append(True, np.any([cols[c][order][1:] != cols[c][order][:-1] for c in ("k", "l", "d")], axis=0))[:len(order)]
+    node = np.empty(len(order), np.int64)  # the sets in the order of their places
+    node[order] = np.cumsum(new) - 1
+    row = order[new]  # a posting of each set
+    here = np.cumsum(np.append(False, t[1:] != t[:-1])[:len(t)]) << 32
+    low = np.searchsorted(here | n, here | rule.least(n))
+    most = (100 + rule.num) * (n - (g & np.uint64(63)).astype(np.int64)) // rule.num - n
+    high = np.where(most >= n, np.arange(len(n)), np.searchsorted(here | n, here | np.maximum(0, np.minimum(most, n)), side="right"))
+    many = np.maximum(0, high - low)
+    total = np.append(0, np.cumsum(many))
+    found, held, at = [], 0, 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+        x = np.repeat(np.arange(at, to), many[at:to])
+        y = np.arange(len(x)) + np.repeat(low[at:to] - total[at:to] + total[at], many[at:to])
+        at = to
+        use = rule.near(n[x], n[y], g[x], g[y])
+        x, y = x[use], y[use]
+        far = _apart(cols, x, y)
+        use = far * (100 + rule.num) <= (100 - rule.num) * (n[x] + n[y])
+        later, earlier, far = np.maximum(node[x], node[y])[use], np.minimum(node[x], node[y])[use], far[use]
+        if want is not None:
+            use = want[row[later]]
+            later, earlier, far = later[use], earlier[use], far[use]
+        if len(later):
+            found.append((later, earlier, far, np.zeros(len(later), bool)))
+            held += len(later)
+        if held > 4 * PAIRS:
+            found = [_near(found, close, n[row], rule)]
+            held = 0
+    if not found:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+    later, earlier, _, more = _near(found, close, n[row], rule)
+    return row[later], row[earlier], more
+
+
+def _gather(packed: DataFrame, rule: setjoin.Rule, close: int | None, bits=None, settle: Callable | None = None) -> DataFrame:
+    """Rows of kind 'pair' (a, an earlier b, their documents, more) of short lists, and of kind 'hot': the postings of long ones.
+
+    With ``bits`` (a broadcast filter) only the pairs of sets a that pass it; with ``settle`` the places of that function too.
     """
 
     def hot(cols) -> pd.DataFrame:
@@ -146,36 +278,28 @@ def _gather(packed: DataFrame, rule: setjoin.Rule, close: int | None, bits=None)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        if settle is not None:
+            placed = settle(pdf.loc[pdf["kind"].isin(["line", "late"]), ["kind", *_PLACED]].rename(columns=_PLACED))
+            out.append(_frame(**{c: placed[c].to_numpy() for c in placed}))
         if bits is None:
             for i in np.flatnonzero((pdf["kind"] == "hot").to_numpy()):
                 out.append(hot(_load(pdf.iloc[i:i + 1])))
         marked = np.unique(_array(pdf.loc[pdf["kind"] == "mark", "t"], "<u8"))
         cols = _load(pdf[pdf["kind"] == "post"])
         order = np.lexsort((cols["l"], cols["d"], cols["k"], cols["t"]))
-        cols = _pick(cols, order)
-        t, k = cols["t"], cols["k"]
-        cols = _pick(cols, np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))[:len(t)]))  # the earliest place of each set
-        cols = _pick(cols, np.lexsort((cols["k"], cols["l"], cols["d"], cols["t"])))
+        t, k = cols["t"][order], cols["k"][order]
+        cols = _pick(cols, order[np.append(True, (t[1:] != t[:-1]) | (k[1:] != k[:-1]))[:len(t)]])  # the earliest place of each set
+        cols = _pick(cols, np.lexsort((cols["k"], cols["n"], cols["t"])))
         start, many = _runs(cols["t"])
         often = (many > SHORT) | np.isin(cols["t"][start], marked)
         each = np.repeat(often, many)
         if each.any() and bits is None:
             out.append(hot(_pick(cols, np.flatnonzero(each))))
-        k, n, g = cols["k"], cols["n"].astype(np.int64), cols["g"]
-        want = np.ones(len(k), bool) if bits is None else setjoin._passes(bits.value, k)
-        for size in np.unique(many[~often]):
-            if size < 2:
-                continue
-            i, j = np.triu_indices(int(size), 1)
-            lists = start[~often & (many == size)]
-            step = max(1, (1 << 18) // len(i))
-            for at in range(0, len(lists), step):
-                x, y = (lists[at:at + step, None] + j).ravel(), (lists[at:at + step, None] + i).ravel()
-                use = rule.near(n[x], n[y], g[x], g[y]) & want[x]
-                x, y = x[use], y[use]
-                if len(x):
-                    x, y, far, more = _closest(x, y, _far(g[x], g[y]), close)
-                    out.append(_frame(kind="pair", a=k[x], b=k[y], far=far, more=more))
+        cols = _pick(cols, np.flatnonzero(~each & np.repeat(many > 1, many)))
+        later, earlier, more = _windows(cols, rule, close, None if bits is None else setjoin._passes(bits.value, cols["k"]))
+        if len(later):
+            k, d = cols["k"], cols["d"]
+            out.append(_frame(kind="pair", a=k[later], b=k[earlier], da=d[later], db=d[earlier], more=more))
         return pd.concat(out, ignore_index=True) if out else _frame(kind="", a=np.zeros(0, np.int64))
 
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -223,39 +347,50 @@ def _meet(hot: DataFrame, late: DataFrame, rule: setjoin.Rule, first: int | None
     return x.groupBy("t", "i", "j").cogroup(y.groupBy("t", "i", "j")).applyInPandas(run, "a long, b long, far int, more boolean")
 
 
-def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: setjoin.Rule, parts: int) -> DataFrame:
-    """node: the keys of the sets that a set of an earlier place is similar to.
+def _prefixes(have: DataFrame, rule: setjoin.Rule) -> DataFrame:
+    """The prefix tokens of the sets of ``have``, as longs."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.frombuffer(s, "<i8") for s in b.column(0).to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[:rule.prefix(len(s))] for s in sets]))], ["t"])
+
+    return have.select("s").mapInArrow(run, "t long")
+
+
+def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: setjoin.Rule, parts: int, place_rows: Callable, settle: Callable) -> tuple[DataFrame, DataFrame]:
+    """node: the keys of the sets that a set of an earlier place is similar to; and the places of all lines.
 
-    A set is compared in full with the nearest of its candidates first, then
-    with the CLOSE nearest of each list; those that match none of them but have
-    more are compared with all. Places are (document, line); of one place the
-    smaller set key comes first.
+    A set is compared in full with the CLOSE nearest of its candidates in each
+    part, or more where all are far; those that match none of them but have more are compared with all.
+    Places are (document, line); of one place the smaller set key comes first.
     """
-    rows = keyed.select("_text")
-    found = materialise(_gather(_postings(keyed, line_sets, rule, parts), rule, CLOSE), "lists")
-    pairs = found.where("kind = 'pair'").select("a", "b", "far", "more")
+    rows = keyed.select("_text", "_rank")
+    found = materialise(_gather(_postings(keyed, line_sets, rule, parts, place_rows), rule, CLOSE, None, settle), "lists")
+    pairs = found.where("kind = 'pair'").select("a", "b", "da", "db", "more")
     # The places of one set are equal in all lists but where a long list was not gathered in one part.
     hot = found.where("kind = 'hot'").select(*_COLS).groupBy("t", "k", "n", "g").agg(F.min(F.struct("d", "l")).alias("at"))
     hot = materialise(hot.select("t", "k", "n", "g", "at.d", "at.l"), "long-lists")
 
-    def late_of(some: DataFrame) -> DataFrame:
+    def late_of(some: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         some = materialise(some.select("a", "b").distinct(), "pairs")
         both = some.select("a", "b")
-        return materialise(setjoin.verify(some, setjoin.chosen(both, rows, sets), rule).select(F.col("a").alias("node")).distinct(), "late")
+        return materialise(setjoin.verify(some, setjoin.chosen(both, rows, sets, docs), rule).select(F.col("a").alias("node")).distinct(), "late")
 
-    nearest = pairs.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-    late = late_of(nearest)
-    rest = materialise(pairs.join(late.select(F.col("node").alias("a")), "a", "left_anti").join(nearest, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        late = materialise(late.unionByName(late_of(rest)), "late")
+    late = late_of(pairs, pairs.select("da", "db"))
     open_ = pairs.where("more").select("a").distinct().join(late.select(F.col("node").alias("a")), "a", "left_anti")
     open_ = materialise(open_, "open")
     if not open_.isEmpty():
-        bits = rows.sparkSession.sparkContext.broadcast(setjoin._wanted(open_))
-        all_ = materialise(_gather(_postings(keyed, line_sets, rule, parts), rule, None, bits).select("a", "b").join(open_, "a", "left_semi").distinct(), "pairs")
-        late = materialise(late.unionByName(late_of(all_)), "late")
+        sc = rows.sparkSession.sparkContext
+        docs = pairs.where("more").join(open_, "a", "left_semi").select("da")
+        tokens = sc.broadcast(setjoin._wanted(_prefixes(setjoin.chosen(open_, rows, sets, docs), rule)))  # only the lists of these sets are gathered again
+        bits = sc.broadcast(setjoin._wanted(open_))
+        all_ = _gather(_postings(keyed, line_sets, rule, parts, None, tokens), rule, None, bits).where("kind = 'pair'").join(open_, "a", "left_semi")
+        all_ = materialise(all_.select("a", "b", "da", "db"), "pairs")
+        late = materialise(late.unionByName(late_of(all_, all_.select("da", "db"))), "late")
     if hot.isEmpty():
-        return late
+        return late, found
     for first in TURNS:
         met = materialise(_meet(hot, late, rule, first, CLOSEST), "met")
         new = late_of(met)  # a few for each set: a pass over all texts costs more than comparing them
@@ -265,4 +400,4 @@ def matched(keyed: DataFrame, line_sets: Callable, sets: setjoin.Sets, rule: set
     if not open_.isEmpty():
         rest = late.unionByName(hot.join(open_, "k", "left_anti").select(F.col("k").alias("node")).distinct())
         late = late.unionByName(late_of(_meet(hot, rest, rule, None, None)))
-    return late
+    return late, found

@@ -105,19 +105,35 @@ def _earliest(s, doc, key, at):
     return s, doc, key, at, one, ~one & ~twin
 
 
+def _by_part(kind, p, *cols):
+    order = np.argsort(p, kind="stable")
+    p, cols = p[order], [c[order] for c in cols]
+    return [(n, kind, *(c[i:j].tobytes() for c in cols)) for n, i, j in _cuts(p)]
+
+
+def _place_rows(held: list, parts: int) -> list[tuple]:
+    """Packed rows (part, kind, set, doc, key, at) of lines: the earliest of each set by part of the set, and the later ones by part of the key."""
+    s, doc, key, at, one, late = _earliest(*(np.concatenate(x).astype("<i8") for x in zip(*held)))
+    late_ = key[late], at[late]
+    return _by_part("line", s[one] % parts, s[one], doc[one], key[one], at[one]) + [(p, k, b"", b"", *x) for p, k, *x in _by_part("late", late_[0] % parts, *late_)]
+
+
+def _settle(pdf: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """Of a part's packed rows the 'first' line of each set, and the 'late' lines by part of the key."""
+    s, doc, key, at, one, late = _earliest(*_load(pdf[pdf["kind"] == "line"], "set", "doc", "key", "at"))
+    rows = [(0, "first", *(c[one].tobytes() for c in (s, doc, key, at)))]
+    old = _load(pdf[pdf["kind"] == "late"], "key", "at")
+    key, at = np.concatenate([key[late], old[0]]), np.concatenate([at[late], old[1]])
+    rows += [(p, kind, b"", b"", *x) for p, kind, *x in _by_part("late", key % parts, key, at)]
+    return pd.DataFrame(rows, columns=["p", "kind", "set", "doc", "key", "at"])
+
+
 def places(docs: DataFrame, table, parts: int) -> DataFrame:
     """Rows of kind 'first' (set, doc, key, at: the earliest line of each set) and 'late' (key, at: all other lines), packed."""
 
-    def pack(kind, p, *cols):
-        order = np.argsort(p, kind="stable")
-        p, cols = p[order], [c[order] for c in cols]
-        return [(n, kind, *(c[i:j].tobytes() for c in cols)) for n, i, j in _cuts(p)]
-
     def flush(held):
-        s, doc, key, at, one, late = _earliest(*(np.concatenate(x) for x in zip(*held)))
-        rows = pack("line", s[one] % parts, s[one], doc[one], key[one], at[one]) + pack("late", key[late] % parts, s[late], doc[late], key[late], at[late])
         kinds = [pa.int64(), pa.string(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["p", "kind", "set", "doc", "key", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*_place_rows(held, parts)), kinds)], ["p", "kind", "set", "doc", "key", "at"])
 
     def scan(batches):
         held, n = [], 0
@@ -134,19 +150,9 @@ def places(docs: DataFrame, table, parts: int) -> DataFrame:
         del held
         release()
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, doc, key, at, one, late = _earliest(*_load(pdf[pdf["kind"] == "line"], "set", "doc", "key", "at"))
-        rows = [(0, "first", *(c[one].tobytes() for c in (s, doc, key, at)))]
-        old = _load(pdf[pdf["kind"] == "late"], "key", "at")
-        key, at = np.concatenate([key[late], old[0]]), np.concatenate([at[late], old[1]])
-        order = np.argsort(key % parts, kind="stable")
-        key, at = key[order], at[order]
-        rows += [(n, "late", b"", b"", key[i:j].tobytes(), at[i:j].tobytes()) for n, i, j in _cuts(key % parts)]
-        return pd.DataFrame(rows, columns=["p", "kind", "set", "doc", "key", "at"])
-
     found = _keyed(docs).select("_text", "_rank", "_key").mapInArrow(scan, _PACKED)
     def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        return freed(settle, pdf)
+        return freed(_settle, pdf, parts)
 
     return found.groupBy("p").applyInPandas(part, _PACKED)
 
@@ -188,11 +194,13 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = Fal
             tokens.append(tok[np.repeat(one, n)])
         return np.concatenate(keys), np.concatenate(sizes), np.concatenate(tokens)
 
-    placed = materialise(places(docs, table, parts), "places")
     rule = setjoin.Rule(similarity, MORE, signed=True, rare=RARE)
+    if direct:
+        matched, placed = line_matches.matched(keyed, lambda b: line_sets(b, table.value), sets, rule, parts, _place_rows, lambda pdf: _settle(pdf, parts))
+    else:
+        placed = materialise(places(docs, table, parts), "places")
     firsts = placed.where("kind = 'first'")
     if direct:
-        matched = line_matches.matched(keyed, lambda b: line_sets(b, table.value), sets, rule, parts)
         linked = _nodes(firsts, materialise(matched.withColumn("root", F.col("node")), "matched"))
     else:
         linked = _linked(_nodes(firsts, materialise(graph.components(setjoin.links(keyed.select("_text"), sets, rule, size // 8, graph.components)), "roots")))

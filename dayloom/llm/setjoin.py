@@ -419,12 +419,21 @@ def _wanted(keys: DataFrame) -> bytes:
     return total.tobytes()
 
 
-def chosen(keys: DataFrame, rows: DataFrame, sets: Sets) -> DataFrame:
-    """(key, s): the sorted tokens of the sets whose keys stand in the columns of ``keys``, and of few others."""
-    bits = rows.sparkSession.sparkContext.broadcast(_wanted(keys))
+def chosen(keys: DataFrame, rows: DataFrame, sets: Sets, docs: DataFrame | None = None) -> DataFrame:
+    """(key, s): the sorted tokens of the sets whose keys stand in the columns of ``keys``, and of few others.
+
+    ``docs`` names in its columns values of the second column of ``rows``: the rows in which all these sets occur.
+    """
+    sc = rows.sparkSession.sparkContext
+    bits = sc.broadcast(_wanted(keys))
+    only = None if docs is None else sc.broadcast(_wanted(docs))
+
+    def held(batches):
+        for b in batches:
+            yield b if only is None else b.filter(pa.array(_passes(only.value, b.column(1).to_numpy(zero_copy_only=False))))
 
     def pick(batches):
-        for b in _small(batches):
+        for b in _small(held(batches)):
             k, size, s = sets(b)
             end = np.cumsum(size)
             got = np.flatnonzero(_passes(bits.value, k))

@@ -388,3 +388,45 @@ def test_long_lists_read_the_texts_once_a_turn(spark, monkeypatch):
     got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(1), direct=True).collect()}
     assert got == {d: int((d, 0) in gone) for d, _ in rows} and gone
     assert len(meets) >= 3 and max(collections.Counter(r for r in reads if r).values()) == 1
+
+
+def test_signatures_of_any_length_bound_the_difference():
+    """Sets of 5 to 700 tokens: the bits that differ are no more than the tokens of one set alone, and tell unlike sets apart."""
+    rs = np.random.RandomState(11)
+    pool = rs.randint(1, 1 << 62, 6000).astype(np.uint64)
+    sets = [rs.choice(pool, n, replace=False) for n in (5, 40, 64, 65, 90, 144, 145, 200, 288, 289, 500, 700) for _ in range(4)]
+    sets += [np.append(s[rs.permutation(len(s))[len(s) // 10:]], rs.choice(pool, len(s) // 10)) for s in sets]
+    sets = [np.unique(s) for s in sets]
+    n = np.array([len(s) for s in sets])
+    g, w = line_matches._signatures(np.concatenate(sets), n)
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    far = line_matches._apart({"g": g, "w": w, "n": n}, x, y)
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+    assert (far <= real).all() and (far[x == y] == 0).all()
+    allowed = 20 * (n[x] + n[y]) // 180
+    assert not ((real > 2 * allowed) & (n[x] > 30) & (n[x] < 520) & (abs(n[x] - n[y]) < 40) & (far <= allowed)).any()
+
+
+def test_a_list_leaves_few_pairs_of_unlike_lines(spark):
+    """Long lines that share a word alone: their pairs are no candidates, or these grow with the square of the list."""
+    rs = np.random.RandomState(12)
+    rows = [(d, " ".join(["shared", *[f"w{x}" for x in rs.choice(40000, 110 + d % 3, replace=False)]])) for d in range(150)]
+    rows += [(200 + d, t.replace("shared", "shared again")) for d, t in rows[:20]]
+    keyed = op10_lines._keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    even = np.zeros(1 << op10_lines.COUNTERS, np.uint8)
+    rule = setjoin.Rule(80, 1, signed=True, rare=1000)
+    packed = line_matches._postings(keyed, lambda t: op10_lines.line_sets(t, even), rule, 8)
+    got = line_matches._gather(packed, rule, 8).where("kind = 'pair'").select("da", "db", "more").distinct().collect()
+    assert {(r.da, r.db) for r in got} == {(200 + d, d) for d in range(20)} and not any(r.more for r in got)
+
+
+@pytest.mark.parametrize("close, doubt, short", [(1, 1, 4096), (2, 3, 3)])
+def test_lines_with_more_candidates_than_are_compared_first(spark, monkeypatch, close, doubt, short):
+    """The exact way for the rest, in lists settled in place and in long ones."""
+    for name, value in (("CLOSE", close), ("DOUBT", doubt), ("SHORT", short), ("PAIRS", 50)):
+        monkeypatch.setattr(line_matches, name, value)
+    rs = np.random.RandomState(13)
+    rows = [(d, " ".join(f"g{d % 3}w{i}" if rs.rand() > 0.1 else f"e{rs.randint(90)}" for i in range(24 if d % 2 else 90))) for d in range(150)]
+    gone = brute_matched(rows)
+    got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), direct=True).collect()}
+    assert got == {d: int((d, 0) in gone) for d, _ in rows} and 10 < len(gone) < 140
