@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 20  # bytes of text worked on at once inside a task
+SEGMENT = 1 << 18  # bytes whose words are hashed at once for shingles
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -159,7 +160,7 @@ def word_places(t: Texts, sep: np.ndarray, segment: int = CHUNK) -> tuple[np.nda
 
 def shingle_sets(t: Texts, k: int = 5) -> list[np.ndarray]:
     """For each row the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none an empty set."""
-    h, at = words(t, white_table())
+    h, at = words(t, white_table(), SEGMENT)
     mul = [pow(int(_ODD), i, 1 << 64) for i in range(k)]
     if len(h) >= k:
         run = np.zeros(len(h) - k + 1, np.uint64)

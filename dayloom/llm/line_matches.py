@@ -124,61 +124,74 @@ def _postings(keyed: DataFrame, line_sets: Callable, rule: setjoin.Rule, parts:
     With ``place_rows`` the packed places of all lines too, as that function makes them; with ``wanted`` (a broadcast filter) only of tokens that pass it.
     """
 
-    def flush(held, salt):
-        k, n, d, l, tok, key = (np.concatenate(h) for h in zip(*held))
-        rows = [] if place_rows is None else [(p, kind, b"", s, b"", x, doc, at, b"") for p, kind, s, doc, x, at in place_rows([(k, d, key, l)], parts)]
-        start = np.cumsum(n) - n
+    def read(k, n, d, l, tok):
+        """Of each set of a chunk its first line, signature, and the tokens of its prefix that are wanted with their places."""
         order = np.lexsort((k, l, d))
         order = order[np.sort(np.unique(k[order], return_index=True)[1])]
-        k, n, d, l, start = k[order], n[order], d[order], l[order], start[order]  # the first line of each set, in the order of places
-        full = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start, n)
+        start = (np.cumsum(n) - n)[order]
+        k, n, d, l = k[order], n[order], d[order], l[order]
+        full = np.arange(int(n.sum())) + np.repeat(start - np.cumsum(n) + n, n)
         sign, wide = _signatures(tok[full], n)
         m = rule.prefix(n)
         place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        of = np.repeat(np.arange(len(n)), m)
-        t = tok[start[of] + place]
+        t = tok[np.repeat(start, m) + place]
         if wanted is not None:
             use = setjoin._passes(wanted.value, t.view(np.int64))
-            t, of, place = t[use], of[use], place[use]
-        by = np.argsort(t, kind="stable")
-        t, of, place = t[by], of[by], place[by]
-        cols = {"t": t, "k": k[of], "n": n[of], "g": sign[of] | np.minimum(place, 63).astype(np.uint64), "d": d[of], "l": l[of], "w": wide[of]}
+            m = np.bincount(np.repeat(np.arange(len(m)), m)[use], minlength=len(m))
+            t, place = t[use], place[use]
+        return k, n, d, l, sign, wide, m, t, place.clip(max=63).astype(np.uint8)
+
+    def flush(held, lines, salt):
+        rows = [] if place_rows is None else [(p, kind, b"", s, b"", x, doc, at, b"") for p, kind, s, doc, x, at in place_rows(lines, parts)]
+        k, n, d, l, sign, wide, m, t, place = (np.concatenate(h) for h in zip(*held))
+        held.clear()
+        order = np.lexsort((k, l, d))
+        one = np.zeros(len(k), bool)
+        one[order[np.unique(k[order], return_index=True)[1]]] = True  # the first line of each set
+        of = np.repeat(np.arange(len(k), dtype=np.int32), m)  # a posting has its token, set and place in it; the rest stays with the sets
+        at = np.flatnonzero(one[of])
+        at = at[np.lexsort((l[of[at]], d[of[at]], t[at]))]
+        t, of, place = t[at], of[at], place[at]
+
+        def cells(at):
+            x = of[at]
+            cols = {"t": t[at], "k": k[x], "n": n[x], "g": sign[x] | place[at], "d": d[x], "l": l[x]}
+            more = np.arange(7) < _more_words(cols["n"])[:, None]
+            return *[_plain(cols[c], _KINDS[c]) for c in _COLS], _plain(wide[x][more], "<u8")
+
+        def by_part(kind, at):
+            part = (t[at] % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at, part = at[order], part[order]
+            start, many = _runs(part)
+            return [(int(part[i]), kind, *cells(at[i:i + m])) for i, m in zip(start, many)]
+
         first, many = _runs(t)
         hot = np.repeat(many > SHORT, many)
         if hot.any():
-            rows.append((salt % parts, "hot", *cells(_pick(cols, hot))))
-            rows += by_part("mark", _pick(cols, first[many > SHORT]))
-        rows += by_part("post", _pick(cols, np.flatnonzero(~hot)))
+            rows.append((salt % parts, "hot", *cells(np.flatnonzero(hot))))
+            rows += by_part("mark", first[many > SHORT])
+        rows += by_part("post", np.flatnonzero(~hot))
         types = [pa.int32(), pa.string(), *[pa.binary()] * (len(_COLS) + 1)]
         columns = list(zip(*rows)) or [()] * len(types)
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, types)], ["p", "kind", *_COLS, "w"])
 
-    def cells(cols):
-        more = np.arange(7) < _more_words(cols["n"])[:, None]
-        return *[_plain(cols[c], _KINDS[c]) for c in _COLS], _plain(cols["w"][more], "<u8")
-
-    def by_part(kind, cols):
-        part = (cols["t"] % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        cols, part = _pick(cols, order), part[order]
-        start, many = _runs(part)
-        return [(int(part[i]), kind, *cells(_pick(cols, slice(i, i + m)))) for i, m in zip(start, many)]
-
     def run(batches):
-        held, lines, salt = [], 0, TaskContext.get().partitionId() * 7919
+        held, placed, lines, salt = [], [], 0, TaskContext.get().partitionId() * 7919
         for b in chunks(batches, CHUNK, "_text"):
             k, n, tok, row, number = line_sets(Texts(b.column(0)))
             if not len(k):
                 continue
             d, key = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in (1, 2))
-            held.append((k, n, d, number, tok, key))
+            held.append(read(k, n, d, number, tok))
+            placed.append((k, d, key, number))
             lines += len(k)
             if lines >= FLUSH:
-                yield flush(held, salt)
-                held, lines, salt = [], 0, salt + 1
+                yield flush(held, placed, salt)
+                held, placed, lines, salt = [], [], 0, salt + 1
         if lines:
-            yield flush(held, salt)
-        del held
+            yield flush(held, placed, salt)
+        del held, placed
         release()
 
     return keyed.select("_text", "_rank", "_key").mapInArrow(run, _PACKED)

@@ -181,7 +181,7 @@ def late_lines(docs: DataFrame, similarity: int = SIMILARITY, direct: bool = Fal
     keyed = _keyed(docs)
     size = keyed.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     table = docs.sparkSession.sparkContext.broadcast(rarity(docs))
-    parts = max(64, size >> 25)
+    parts = max(128, size >> 24)
 
     def sets(batch: pa.RecordBatch):
         keys, sizes, tokens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayloom.llm import graph, setjoin
-from dayloom.llm.common import Texts, chunks, read, set_key, shingle_sets, texts
+from dayloom.llm.common import Texts, chunks, read, release, set_key, shingle_sets, texts
 from dayloom.session import materialise
 
 WORDS, SIMILARITY = 5, 75
@@ -35,6 +35,7 @@ def profile(docs: DataFrame, k: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array([set_key(x) or None for x in s], pa.int64())],
                 ["doc_id", "n_shingles", "key"])
+        release()
 
     d = texts(docs)
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_shingles long, key long")

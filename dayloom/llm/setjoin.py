@@ -38,7 +38,7 @@ from dayloom.llm.common import chunks, freed, mix, release
 from dayloom.session import materialise
 
 RARE = 32  # the longest list of a rare token
-FLUSH = 1 << 20  # postings packed at once in a task, and pairs held at once
+FLUSH = 1 << 18  # postings packed at once in a task, and pairs held at once
 BITS = 25  # of the filter on wanted sets
 
 # Of a batch the keys of its sets, each once, their sizes, and their tokens one set after the other, in the order of the prefixes.
@@ -136,33 +136,37 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
     With ``bits`` (a broadcast filter) only of sets that pass it.
     """
 
-    def pack(p, kind, tok, key, n, g):
-        return p, kind, tok.astype(_U).tobytes(), key.astype(_I).tobytes(), n.astype(_N).tobytes(), g.tobytes() if signed else b""
-
     def flush(held, salt):
-        tok, key, n, g = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((key, tok))
-        tok, key, n, g = tok[order], key[order], n[order], g[order]
+        tok, many, key, n, g = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        of = np.repeat(np.arange(len(key), dtype=np.int32), many)  # a posting has its token, set and place in it; the rest stays with the sets
+        place = (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)).clip(max=63).astype(np.uint8)
+        order = np.lexsort((key[of], tok))
+        tok, of, place = tok[order], of[order], place[order]
         new = np.ones(len(tok), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-        tok, key, n, g = tok[new], key[new], n[new], g[new]
+        new[1:] = (tok[1:] != tok[:-1]) | (key[of[1:]] != key[of[:-1]])
+        tok, of, place = tok[new], of[new], place[new]
+
+        def pack(p, kind, at):
+            x = of[at]
+            return p, kind, tok[at].astype(_U).tobytes(), key[x].astype(_I).tobytes(), n[x].astype(_N).tobytes(), (g[x] | place[at]).tobytes() if signed else b""
+
+        def by_part(kind, at):
+            part = (tok[at] % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((key[of[at]], part))
+            part, at = part[order], at[order]
+            cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+            return [pack(int(part[i]), kind, at[i:j]) for i, j in zip(cuts, [*cuts[1:], len(part)])]
+
         start = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
         many = np.diff(np.append(start, len(tok)))
         hot = np.repeat(many > rare, many)
         out = []
         if hot.any():
-            t, k, s, x = tok[hot], key[hot], n[hot], g[hot]
-            out.append(pack(salt % parts, "hot", t, k, s, x))
-            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            out += by_part("mark", t[first], k[first], s[first], x[first])
-        return out + by_part("post", tok[~hot], key[~hot], n[~hot], g[~hot])
-
-    def by_part(kind, tok, key, n, g):
-        part = (tok % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((key, part))
-        part, tok, key, n, g = part[order], tok[order], key[order], n[order], g[order]
-        at = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
-        return [pack(int(part[i]), kind, tok[i:j], key[i:j], n[i:j], g[i:j]) for i, j in zip(at, [*at[1:], len(part)])]
+            at = np.flatnonzero(hot)
+            out.append(pack(salt % parts, "hot", at))
+            out += by_part("mark", at[np.append(True, tok[at][1:] != tok[at][:-1])])
+        return out + by_part("post", np.flatnonzero(~hot))
 
     def run(batches: Iterator[pa.RecordBatch]):
         names = ["p", "kind", "t", "k", "n", "g"]
@@ -181,18 +185,25 @@ def postings(rows: DataFrame, sets: Sets, take: Callable[[np.ndarray], np.ndarra
             if signed and len(s):
                 full = size > 0
                 g[full] = np.bitwise_xor.reduceat(np.uint64(1) << (mix(s) % np.uint64(SIGN) + _PLACE), (np.cumsum(size) - size)[full])
-            place = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            held.append((s[use], np.repeat(k, m), np.repeat(size, m), np.repeat(g, m) | np.minimum(place, 63).astype(np.uint64)))
+            held.append((s[use], m, k, size, g))
             many += len(held[-1][0])
             if many >= FLUSH:
                 yield out()
                 salt, many, held = salt + 1, 0, []
         if many:
             yield out()
+        del held
+        release()
 
     return rows.mapInArrow(run, _PACKED)
 
 
+def _freed(run: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        return freed(run, pdf)
+    return part
+
+
 def _unpack(frame: pd.DataFrame):
     return (np.frombuffer(b"".join(frame["t"]), _U), np.frombuffer(b"".join(frame["k"]), _I),
             np.frombuffer(b"".join(frame["n"]), _N).astype(np.int64))
@@ -246,13 +257,13 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
             each = np.repeat(often, many)
             if each.any():
                 out.append(frequent(tok[each], key[each], n[each]))
-            found, held = [], 0
+            found, held, most = [], 0, FLUSH
             for size in np.unique(many[~often]):
                 if size < 2:
                     continue
                 i, j = np.triu_indices(int(size), 1)
                 runs = start[~often & (many == size)]
-                step = max(1, (FLUSH >> 2) // len(i))
+                step = max(1, (FLUSH >> 1) // len(i))
                 for at in range(0, len(runs), step):
                     x = (runs[at:at + step, None] + i).ravel()
                     y = (runs[at:at + step, None] + j).ravel()
@@ -260,14 +271,15 @@ def match(packed: DataFrame, rule: Rule, parts: int) -> DataFrame:
                     x, y = x[use], y[use]
                     found.append(_count_pairs(key[x], key[y], n[x], n[y]))
                     held += len(found[-1][0])
-                    if held > FLUSH:
+                    if held > most:
                         found = [_count_pairs(*(np.concatenate(c) for c in zip(*found)))]
-                        held = 0
+                        held = len(found[0][0])
+                        most = max(FLUSH, 2 * held)
             if found:
                 out.append(_pair_frame("pair", *_count_pairs(*(np.concatenate(c) for c in zip(*found)))))
         return pd.concat(out, ignore_index=True) if out else _frame(kind="", a=[])
 
-    return packed.groupBy("p").applyInPandas(run, _JOINED)
+    return packed.groupBy("p").applyInPandas(_freed(run), _JOINED)
 
 
 def frequent_parts(matched: DataFrame, rule: Rule) -> DataFrame:
@@ -285,7 +297,7 @@ def frequent_parts(matched: DataFrame, rule: Rule) -> DataFrame:
         heads = pd.DataFrame({"kind": "count", "key": key[start], "size": n[start], "f": many})
         return heads.assign(kind=np.where(heads["f"] >= rule.shared(heads["size"].to_numpy()), "entry", "count"))
 
-    return matched.where("kind = 'frequent'").groupBy("q").applyInPandas(run, "kind string, key long, size int, f int")
+    return matched.where("kind = 'frequent'").groupBy("q").applyInPandas(_freed(run), "kind string, key long, size int, f int")
 
 
 def rare_pairs(matched: DataFrame, counts: DataFrame, rule: Rule) -> DataFrame:
@@ -312,7 +324,7 @@ def entries(counts: DataFrame, rows: DataFrame, sets: Sets, rule: Rule) -> DataF
     """
     keys = counts.where("kind = 'entry'").select("key", "size").distinct()
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(64, total // FLUSH)
+    parts = max(64, total >> 20)
     bits = rows.sparkSession.sparkContext.broadcast(_wanted(keys.select("key")))
     often = np.int64(1 << 30)  # stands for the count of a token that is frequent inside one task
     packed = "q int, t binary, k binary, n binary, d binary"
@@ -351,8 +363,8 @@ def entries(counts: DataFrame, rows: DataFrame, sets: Sets, rule: Rule) -> DataF
         use = place <= m - rule.least(n)
         return pd.DataFrame({"token": _signed(tok[use]), "key": key[use], "size": n[use], "m": m[use], "rest": (m - place)[use]})
 
-    shared = postings(rows, sets, lambda n: n, parts, bits).groupBy("p").applyInPandas(count, packed)
-    return shared.groupBy("q").applyInPandas(order, _ENTRIES)
+    shared = postings(rows, sets, lambda n: n, parts, bits).groupBy("p").applyInPandas(_freed(count), packed)
+    return shared.groupBy("q").applyInPandas(_freed(order), _ENTRIES)
 
 
 def _partner(rule: Rule, a: str, b: str, m: str = "rest"):

@@ -7,10 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dayloom.llm import line_matches, op2_tokens, op3_contamination, op4_substrings, op5_jaccard, op7_packing, op10_lines, setjoin
+from dayloom.llm.common import Texts
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -430,3 +432,57 @@ def test_lines_with_more_candidates_than_are_compared_first(spark, monkeypatch,
     gone = brute_matched(rows)
     got = {r.doc_id: r._removed for r in op10_lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), direct=True).collect()}
     assert got == {d: int((d, 0) in gone) for d, _ in rows} and 10 < len(gone) < 140
+
+
+@pytest.fixture
+def worker(monkeypatch):
+    """A task's function in this process: its packed rows, and the most memory in MB that it held."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    task = SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3))
+    monkeypatch.setattr(setjoin, "TaskContext", task)
+    monkeypatch.setattr(line_matches, "TaskContext", task)
+    rows = SimpleNamespace(mapInArrow=lambda run, _: run)
+    rows.select = lambda *_: rows
+
+    def work(made, batch):
+        tracemalloc.start()
+        try:
+            out = [r for b in made(rows)(iter([batch])) for r in b.to_pylist()]
+            return out, tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    return work
+
+
+def task_texts(seed, docs, lines, size):
+    rs = np.random.RandomState(seed)
+    return ["\n".join(" ".join(f"w{x}" for x in rs.randint(0, 30000, size)) for _ in range(lines)) for _ in range(docs)]
+
+
+def test_a_task_packs_the_prefixes_of_its_sets_in_little_memory(worker):
+    """Postings hold their token alone, what is the set's stays with the sets, and words are hashed by small segments."""
+    batch = pa.RecordBatch.from_pydict({"text": task_texts(14, 2500, 10, 36)})
+    rule = setjoin.Rule(75)
+    out, mb = worker(lambda rows: setjoin.postings(rows, op5_jaccard._sets(5), rule.prefix, 16), batch)
+    key, size, tok = op5_jaccard._sets(5)(batch)
+    want = {(t, k) for k, n, end in zip(key.tolist(), size.tolist(), np.cumsum(size)) for t in tok[end - n:end - n + rule.prefix(n)].tolist()}
+    got = [(t, k) for r in out for t, k in zip(np.frombuffer(r["t"], "<u8").tolist(), np.frombuffer(r["k"], "<i8").tolist())]
+    assert len(got) == len(want) and set(got) == want
+    assert mb < 45
+
+
+def test_a_task_packs_the_prefixes_of_its_lines_in_little_memory(worker):
+    """Whole sets are read a chunk at a time; prefixes, sizes and signatures are all that is held of them."""
+    texts = task_texts(15, 1600, 20, 36)
+    batch = pa.RecordBatch.from_pydict({"_text": texts, "_rank": list(range(len(texts))), "_key": list(range(len(texts)))})
+    even, rule = np.zeros(1 << op10_lines.COUNTERS, np.uint8), setjoin.Rule(80, 1, signed=True, rare=1000)
+    out, mb = worker(lambda rows: line_matches._postings(rows, lambda t: op10_lines.line_sets(t, even), rule, 16, op10_lines._place_rows), batch)
+    key, size, tok, *_ = op10_lines.line_sets(Texts(batch.column(0)), even)
+    want = {(t, k) for k, n, end in zip(key.tolist(), size.tolist(), np.cumsum(size)) for t in tok[end - n:end - n + rule.prefix(n)].tolist()}
+    posts = [r for r in out if r["kind"] == "post"]
+    got = [(t, k) for r in posts for t, k in zip(line_matches._array([r["t"]], "<u8").tolist(), line_matches._array([r["k"]], "<i8").tolist())]
+    assert len(got) == len(want) and set(got) == want
+    assert mb < 60
